@@ -149,3 +149,32 @@ def hardest_groups(fold_metrics: DataFrame, group_col: str, k: int = 3) -> DataF
          .select(F.lit("benign_recall").alias("criterion"), "rank", group_col,
                  F.col("benign_recall").alias("recall_value"), F.col("fp").alias("errors")))
     return a.unionByName(b)
+
+
+def roc_pr_auc(scored: DataFrame, actual: str = "actual", score: str = "score") -> DataFrame:
+    """Exact ROC-AUC (rank-sum, ties count one half) and PR-AUC (average precision).
+
+    Rows are first aggregated per distinct score; running totals over the
+    distinct scores come from :func:`flowlab.operators.position.running_totals`
+    (range-partitioned, no single-task window).
+    """
+    from flowlab.operators.position import running_totals
+
+    per = scored.groupBy(F.col(score).alias("_s")).agg(
+        F.count_if(F.col(actual) == 1).cast("double").alias("npos"),
+        F.count_if(F.col(actual) == 0).cast("double").alias("nneg"))
+    cum = running_totals(per, "_s", ["npos", "nneg"])
+    tot = per.agg(F.sum("npos").alias("P"), F.sum("nneg").alias("N"))
+    tot_row = tot.first()
+    P, N = float(tot_row["P"] or 0.0), float(tot_row["N"] or 0.0)
+    tp = F.lit(P) - F.col("below_npos")
+    fp = F.lit(N) - F.col("below_nneg")
+    agg = cum.agg(
+        F.sum(F.col("npos") * (F.col("below_nneg") + 0.5 * F.col("nneg"))).alias("_auc_num"),
+        F.sum(F.col("npos") * tp / (tp + fp)).alias("_ap_num"),
+        F.count(F.lit(1)).alias("distinct_scores"))
+    return agg.select(
+        F.lit(int(P)).cast("bigint").alias("positives"), F.lit(int(N)).cast("bigint").alias("negatives"),
+        "distinct_scores",
+        r6(F.try_divide(F.col("_auc_num"), F.lit(P * N))).alias("roc_auc"),
+        r6(F.try_divide(F.col("_ap_num"), F.lit(P))).alias("pr_auc"))

@@ -46,3 +46,50 @@ def positions_within(df: DataFrame, group_cols: list[str], order_cols: list[str]
     return (tagged.join(stats, ["_pid", *group_cols])
             .withColumn(pos_col, F.col("_off") + F.col("_i") - F.col("_i0"))
             .drop("_mid", "_pid", "_i", "_i0", "_off"))
+
+
+def running_totals(df: DataFrame, order_col: str, value_cols: list[str], prefix: str = "below_",
+                   n_partitions: int | None = None) -> DataFrame:
+    """Exclusive running sums of ``value_cols`` in ascending ``order_col`` (unique values).
+
+    No global window: rows are range-partitioned and sorted, each partition
+    computes its local cumulative sums (Arrow batches, ``mapInPandas``), and a
+    broadcast table of per-partition totals (one row per partition) supplies the
+    offsets. Adds ``prefix + col`` = sum of the column over all rows ordered before.
+    """
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    spark = df.sparkSession
+    n_parts = n_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = (df.repartitionByRange(n_parts, order_col).sortWithinPartitions(order_col)
+              .withColumn("_pid", F.spark_partition_id()))
+    ranged = cut_lineage(ranged)
+    totals = ranged.groupBy("_pid").agg(*[F.sum(c).alias("_t_" + c) for c in value_cols])
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = broadcast_if_small(totals.select(
+        "_pid", *[F.coalesce(F.sum("_t_" + c).over(before), F.lit(0)).alias("_o_" + c) for c in value_cols]))
+    out_fields = list(ranged.schema.fields) + [T.StructField("_l_" + c, T.DoubleType()) for c in value_cols]
+    schema = T.StructType(out_fields)
+
+    def local(it):
+        carry = {c: 0.0 for c in value_cols}
+        pid = None
+        for pdf in it:
+            if pdf.empty:
+                continue
+            if pid is None or pdf["_pid"].iloc[0] != pid:
+                pid = pdf["_pid"].iloc[0]
+                carry = {c: 0.0 for c in value_cols}
+            for c in value_cols:
+                v = pdf[c].astype("float64")
+                cs = v.cumsum()
+                pdf["_l_" + c] = cs - v + carry[c]
+                carry[c] += float(v.sum())
+            yield pdf
+
+    loc = ranged.mapInPandas(local, schema)
+    out = loc.join(offsets, "_pid")
+    for c in value_cols:
+        out = out.withColumn(prefix + c, F.col("_o_" + c).cast("double") + F.col("_l_" + c))
+    return out.drop("_pid", *["_o_" + c for c in value_cols], *["_l_" + c for c in value_cols])

@@ -13,12 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlab.functions.exprs import pct_of_total, r6
+from flowlab.operators import knn
 from flowlab.operators import label as lab
 from flowlab.operators import metrics as met
 from flowlab.operators import scale as sc
+from flowlab.operators import smote as smote_op
 from flowlab.operators import split as sp
 from flowlab.session import broadcast_if_small, read_table
-from flowlab.sources.adapters import TRAFFIC_FEATURES, events_as_traffic
+from flowlab.sources.adapters import (TRAFFIC_FEATURES, embedding_features, embeddings_as_rows,
+                                      events_as_traffic)
 
 SEED = 42
 TEST_FRACTION = 0.2
@@ -142,6 +145,152 @@ def q_minmax(spark, sf_dir):
     return out.select("row_key", "split", *[r6(f).alias(f) for f in TRAFFIC_FEATURES])
 
 
+# ------------------------------------------------------------------ kNN, SMOTE, evaluation
+K = 5
+
+
+def scaled_traffic_split(spark, sf_dir) -> DataFrame:
+    """Stratified split with features standardised by train-only statistics."""
+    split, model = _fit_scaler(spark, sf_dir)
+    return model.transform(sc.narrow_to_float(split, TRAFFIC_FEATURES))
+
+
+def knn_predictions(spark, sf_dir) -> DataFrame:
+    """Flagship chain: label -> stratified split -> train-only scaling -> 5-NN (distance weights)."""
+    data = scaled_traffic_split(spark, sf_dir).cache()
+    train = data.filter(F.col("split") == sp.TRAIN)
+    test = data.filter(F.col("split") == sp.TEST)
+    return knn.knn_classify(train, test, TRAFFIC_FEATURES, K, "binary_target", "row_key")
+
+
+def q_knn_join(spark, sf_dir):
+    """Exact 5 nearest other embeddings of every embedding (Euclidean, ties by id)."""
+    e = embeddings_as_rows(read_table(spark, sf_dir, "embeddings"))
+    nn = knn.knn_join(e, e, embedding_features(), K, "row_key", "row_key", exclude_self=True)
+    return nn.select("qid", "rid", "nn_rank", r6("dist").alias("dist"))
+
+
+def q_knn_classify(spark, sf_dir):
+    """M6: distance-weighted 5-NN prediction and attack score of every test row."""
+    p = knn_predictions(spark, sf_dir)
+    return p.select("row_key", F.col("binary_target").alias("actual"), "predicted", r6("score").alias("score"))
+
+
+def q_confusion(spark, sf_dir):
+    """A5: 2x2 confusion matrix (long form) of the kNN predictions."""
+    p = knn_predictions(spark, sf_dir)
+    return met.confusion_long(p, "binary_target", "predicted")
+
+
+def q_binary_metrics(spark, sf_dir):
+    """A5 + A6 + A7: counts, accuracy, attack/benign precision, recall, F1, macro averages, FPR."""
+    p = knn_predictions(spark, sf_dir)
+    return met.binary_metrics(p, "binary_target", "predicted")
+
+
+def q_classification_report(spark, sf_dir):
+    """10-class report (per class, accuracy, macro, weighted) of 5-NN on embeddings."""
+    e = embeddings_as_rows(read_table(spark, sf_dir, "embeddings"))
+    s = sp.stratified_split(e, "class_label", "row_key", TEST_FRACTION, SEED).cache()
+    feats = embedding_features()
+    model = sc.fit_standard(s.filter(F.col("split") == sp.TRAIN), feats)
+    z = model.transform(s)
+    pred = knn.knn_classify(z.filter(F.col("split") == sp.TRAIN), z.filter(F.col("split") == sp.TEST),
+                            feats, K, "class_label", "row_key")
+    return met.classification_report(pred, "class_label", "predicted").drop("label")
+
+
+def _fold_knn(train: DataFrame, test: DataFrame) -> DataFrame:
+    model = sc.fit_standard(train, TRAFFIC_FEATURES)
+    tr = model.transform(sc.narrow_to_float(train, TRAFFIC_FEATURES))
+    te = model.transform(sc.narrow_to_float(test, TRAFFIC_FEATURES))
+    return knn.knn_classify(tr, te, TRAFFIC_FEATURES, K, "binary_target", "row_key")
+
+
+def lodo_fold_counts(spark, sf_dir) -> DataFrame:
+    """M8 with 5-NN: per held-out device, scaler and references from the other devices only."""
+    t = traffic(spark, sf_dir).cache()
+    folds = [r[0] for r in t.select("device_id").distinct().orderBy("device_id").collect()]
+    per = []
+    for d in folds:
+        train, test = sp.holdout_fold(t, "device_id", d)
+        pred = _fold_knn(train, test)
+        c = met.confusion_counts(pred, "binary_target", "predicted")
+        per.append(c.select(F.lit(d).cast("int").alias("device_id"), "*",
+                            F.lit(train.count()).cast("bigint").alias("train_rows")))
+    return reduce(DataFrame.unionByName, per)
+
+
+def q_lodo_knn(spark, sf_dir):
+    """M8 + R3: one metrics row per held-out device."""
+    return met.metrics_from_counts(lodo_fold_counts(spark, sf_dir)).drop("n_rows")
+
+
+def q_lodo_pooled(spark, sf_dir):
+    """Pooled counts over folds, ratios from the pooled counts, mean fold metrics."""
+    return met.pooled_metrics(lodo_fold_counts(spark, sf_dir)).drop("n_rows")
+
+
+def q_hardest_devices(spark, sf_dir):
+    """Three lowest attack-recall folds (tie: most FN) and three lowest benign-recall (tie: most FP)."""
+    m = met.metrics_from_counts(lodo_fold_counts(spark, sf_dir))
+    return met.hardest_groups(m, "device_id", 3)
+
+
+def q_transfer_knn(spark, sf_dir):
+    """Train on the ordered-split train part of device 1, test on every row of device 2."""
+    s = sp.ordered_split(traffic(spark, sf_dir), "source_file", ["ts", "row_key"], 0.8).cache()
+    train = s.filter((F.col("device_id") == 1) & (F.col("split") == sp.TRAIN))
+    test = s.filter(F.col("device_id") == 2)
+    return met.binary_metrics(_fold_knn(train, test), "binary_target", "predicted").drop("n_rows")
+
+
+def q_family_holdout(spark, sf_dir):
+    """Hold out one attack family at a time; 5-NN trained on all other rows."""
+    t = traffic(spark, sf_dir).cache()
+    fams = [r[0] for r in t.filter(F.col("binary_target") == 1).select("family").distinct()
+            .orderBy("family").collect()]
+    per = []
+    for f in fams:
+        train, test = sp.holdout_fold(t, "family", f)
+        pred = _fold_knn(train, test)
+        per.append(met.binary_metrics(pred, "binary_target", "predicted")
+                   .select(F.lit(f).alias("held_out_family"), "*"))
+    return reduce(DataFrame.unionByName, per).drop("n_rows")
+
+
+def _smote_train(spark, sf_dir) -> DataFrame:
+    data = scaled_traffic_split(spark, sf_dir)
+    train = data.filter(F.col("split") == sp.TRAIN).cache()
+    return smote_op.smote(train, TRAFFIC_FEATURES, "binary_target", "row_key", K, SEED)
+
+
+def q_smote(spark, sf_dir):
+    """M5: SMOTE rows (k=5, seed 42) that bring the scaled train minority up to the majority count."""
+    out = _smote_train(spark, sf_dir).filter(F.col("is_synthetic"))
+    return out.select("syn_id", "binary_target", "base_key", "nn_key", r6("step").alias("step"),
+                      *[r6(f).alias(f) for f in TRAFFIC_FEATURES])
+
+
+def q_smote_balanced(spark, sf_dir):
+    """U3 + V1 check: class counts of originals and synthetic rows after the union."""
+    out = _smote_train(spark, sf_dir)
+    return out.groupBy("binary_target", "is_synthetic").agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_auc(spark, sf_dir):
+    """ROC-AUC and PR-AUC of the kNN attack score."""
+    p = knn_predictions(spark, sf_dir)
+    return met.roc_pr_auc(p, "binary_target", "score")
+
+
+def q_lof(spark, sf_dir):
+    """Local outlier factor (k=5) of every embedding."""
+    e = embeddings_as_rows(read_table(spark, sf_dir, "embeddings"))
+    out = knn.local_outlier_factor(e, embedding_features(), K, "row_key")
+    return out.select("row_key", r6("k_distance").alias("k_distance"), r6("lrd").alias("lrd"), r6("lof").alias("lof"))
+
+
 # ------------------------------------------------------------------ registry
 QUERIES = {
     "label_events": q_label_events,
@@ -156,6 +305,20 @@ QUERIES = {
     "scaler_params": q_scaler_params,
     "scale_apply": q_scale_apply,
     "minmax": q_minmax,
+    "knn_join": q_knn_join,
+    "knn_classify": q_knn_classify,
+    "confusion": q_confusion,
+    "binary_metrics": q_binary_metrics,
+    "classification_report": q_classification_report,
+    "lodo_knn": q_lodo_knn,
+    "lodo_pooled": q_lodo_pooled,
+    "hardest_devices": q_hardest_devices,
+    "transfer_knn": q_transfer_knn,
+    "family_holdout": q_family_holdout,
+    "smote": q_smote,
+    "smote_balanced": q_smote_balanced,
+    "auc": q_auc,
+    "lof": q_lof,
 }
 
-FLAGSHIP = q_class_distribution
+FLAGSHIP = q_binary_metrics

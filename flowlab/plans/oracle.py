@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from flowlab.functions.rand import hash32_sql
-from flowlab.sources.adapters import EVENTS_AS_TRAFFIC_SQL, TRAFFIC_FEATURES
+from flowlab.functions.rand import hash32_sql, uniform_sql
+from flowlab.sources.adapters import EVENTS_AS_TRAFFIC_SQL, TRAFFIC_FEATURES, embeddings_as_rows_sql
 
 SEED = 42
 FEATS = TRAFFIC_FEATURES
@@ -153,3 +153,238 @@ SELECT row_key, split, {', '.join(f'round({f}, 6) AS {f}' for f in FEATS)} FROM
 
 ORACLE["minmax"] = f"""WITH {scaled_cte('minmax')}
 SELECT row_key, split, {', '.join(f'round({f}, 6) AS {f}' for f in FEATS)} FROM scaled"""
+
+
+# ------------------------------------------------------------------ kNN family
+def dist_sql(a: str, b: str, feats: list[str]) -> str:
+    """Euclidean distance, squares summed left to right in feature order (as the kernel does)."""
+    terms = [f"((CAST({a}.{f} AS DOUBLE) - CAST({b}.{f} AS DOUBLE)) * (CAST({a}.{f} AS DOUBLE) - CAST({b}.{f} AS DOUBLE)))"
+             for f in feats]
+    return "sqrt(" + " + ".join(terms) + ")"
+
+
+def vote_sql(nn: str, group: str = "") -> str:
+    """Distance-weighted vote over CTE ``nn(<group> qid, rid, label, dist)``; yields (<group> qid, predicted, score)."""
+    g = f"{group}, " if group else ""
+    part = f"PARTITION BY {g}qid"
+    return f"""
+  v1 AS (SELECT {g}qid, label, sum(CASE WHEN dist > 0 THEN 1.0 / dist END) AS inv,
+                count(*) FILTER (WHERE dist = 0) AS z FROM {nn} GROUP BY ALL),
+  v2 AS (SELECT *, max(z) OVER ({part}) > 0 AS hz FROM v1),
+  v3 AS (SELECT *, CASE WHEN hz THEN CAST(z AS DOUBLE) ELSE coalesce(inv, 0.0) END AS w FROM v2),
+  v4 AS (SELECT *, sum(w) OVER ({part}) AS tot,
+                sum(CASE WHEN label = 1 THEN w ELSE 0.0 END) OVER ({part}) AS w1,
+                row_number() OVER ({part} ORDER BY w DESC, label) AS rk2 FROM v3),
+  vote AS (SELECT {g}qid, label AS predicted, w1 / tot AS score FROM v4 WHERE rk2 = 1)"""
+
+
+def metrics_cols_sql() -> str:
+    p = "coalesce(tp / nullif(tp + fp, 0), 0.0)"
+    r = "coalesce(tp / nullif(tp + fn, 0), 0.0)"
+    f1 = "coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0.0)"
+    p0 = "coalesce(tn / nullif(tn + fn, 0), 0.0)"
+    r0 = "coalesce(tn / nullif(tn + fp, 0), 0.0)"
+    f10 = "coalesce(2 * tn / nullif(2 * tn + fn + fp, 0), 0.0)"
+    return (f"tn, fp, fn, tp, round(coalesce((tp + tn) / nullif(tn + fp + fn + tp, 0), 0.0), 6) AS accuracy, "
+            f"round({p}, 6) AS precision, round({r}, 6) AS recall, round({f1}, 6) AS f1, "
+            f"round({p0}, 6) AS benign_precision, round({r0}, 6) AS benign_recall, round({f10}, 6) AS benign_f1, "
+            f"round(({p} + {p0}) / 2, 6) AS macro_precision, round(({r} + {r0}) / 2, 6) AS macro_recall, "
+            f"round(({f1} + {f10}) / 2, 6) AS macro_f1, "
+            f"round(coalesce(fp / nullif(fp + tn, 0), 0.0), 6) AS false_positive_rate")
+
+
+def counts_sql(src: str, actual: str = "actual", predicted: str = "predicted", group: str = "") -> str:
+    g = f"{group}, " if group else ""
+    gb = f" GROUP BY {group}" if group else ""
+    return (f"SELECT {g}count(*) FILTER (WHERE {actual} = 0 AND {predicted} = 0) AS tn, "
+            f"count(*) FILTER (WHERE {actual} = 0 AND {predicted} = 1) AS fp, "
+            f"count(*) FILTER (WHERE {actual} = 1 AND {predicted} = 0) AS fn, "
+            f"count(*) FILTER (WHERE {actual} = 1 AND {predicted} = 1) AS tp FROM {src}{gb}")
+
+
+KNN_PRED_CTE = scaled_cte("standard") + f""",
+  te AS (SELECT * FROM scaled WHERE split = 'test'),
+  tr AS (SELECT * FROM scaled WHERE split = 'train'),
+  dd AS (SELECT te.row_key AS qid, tr.row_key AS rid, tr.binary_target AS label, {dist_sql('te', 'tr', FEATS)} AS dist
+         FROM te JOIN tr ON true),
+  nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, rid) AS rk FROM dd) WHERE rk <= 5),
+  {vote_sql('nn')},
+  pred AS (SELECT te.row_key, te.binary_target AS actual, vote.predicted, vote.score
+           FROM te LEFT JOIN vote ON te.row_key = vote.qid)
+"""
+
+ORACLE["knn_classify"] = f"""WITH {KNN_PRED_CTE}
+SELECT row_key, actual, predicted, round(score, 6) AS score FROM pred"""
+
+ORACLE["confusion"] = f"""WITH {KNN_PRED_CTE},
+  grid AS (SELECT * FROM (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) g(actual, predicted)),
+  cnt AS (SELECT actual, predicted, count(*) AS n FROM pred GROUP BY ALL)
+SELECT g.actual, g.predicted, CAST(coalesce(cnt.n, 0) AS BIGINT) AS n
+FROM grid g LEFT JOIN cnt USING (actual, predicted)"""
+
+ORACLE["binary_metrics"] = f"""WITH {KNN_PRED_CTE},
+  c AS ({counts_sql('pred')})
+SELECT {metrics_cols_sql()}, tn + fp + fn + tp AS n_rows FROM c"""
+
+ORACLE["auc"] = f"""WITH {KNN_PRED_CTE},
+  per AS (SELECT score AS s, CAST(count(*) FILTER (WHERE actual = 1) AS DOUBLE) AS npos,
+                 CAST(count(*) FILTER (WHERE actual = 0) AS DOUBLE) AS nneg FROM pred GROUP BY 1),
+  c AS (SELECT *, coalesce(sum(npos) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bp,
+               coalesce(sum(nneg) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bn FROM per),
+  t AS (SELECT sum(npos) AS P, sum(nneg) AS N FROM per)
+SELECT CAST(P AS BIGINT) AS positives, CAST(N AS BIGINT) AS negatives, count(*) AS distinct_scores,
+       round(sum(npos * (bn + 0.5 * nneg)) / (P * N), 6) AS roc_auc,
+       round(sum(npos * (P - bp) / ((P - bp) + (N - bn))) / P, 6) AS pr_auc
+FROM c JOIN t ON true GROUP BY P, N"""
+
+
+def fold_knn_cte(folds_sql: str, train_cond: str, test_cond: str, base: str = "traffic") -> str:
+    """Per fold: train-only scaler, 5-NN of test rows against train rows, vote -> fpred(fold, row_key, actual, predicted)."""
+    agg = []
+    for i, f in enumerate(FEATS):
+        x = f"CAST(t.{f} AS DOUBLE)"
+        agg.append(f"avg({x}) AS m{i}, CASE WHEN coalesce(stddev_pop({x}), 0) = 0 THEN 1.0 ELSE stddev_pop({x}) END AS s{i}")
+    zcols = ", ".join(f"(CAST(t.{f} AS DOUBLE) - p.m{i}) / p.s{i} AS {f}" for i, f in enumerate(FEATS))
+    return f"""
+  folds AS ({folds_sql}),
+  fparams AS (SELECT f.fold, {', '.join(agg)} FROM folds f JOIN {base} t ON {train_cond} GROUP BY f.fold),
+  fz AS (SELECT p.fold, t.row_key, t.binary_target, ({test_cond}) AS is_test, ({train_cond}) AS is_train, {zcols}
+         FROM fparams p JOIN {base} t ON true JOIN folds f ON f.fold = p.fold),
+  fdd AS (SELECT q.fold, q.row_key AS qid, r.row_key AS rid, r.binary_target AS label, {dist_sql('q', 'r', FEATS)} AS dist
+          FROM fz q JOIN fz r ON q.fold = r.fold AND q.is_test AND r.is_train),
+  fnn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fold, qid ORDER BY dist, rid) AS rk FROM fdd) WHERE rk <= 5),
+  {vote_sql('fnn', 'fold')},
+  fpred AS (SELECT q.fold, q.row_key, q.binary_target AS actual, vote.predicted
+            FROM fz q LEFT JOIN vote ON vote.fold = q.fold AND vote.qid = q.row_key WHERE q.is_test),
+  ftrain AS (SELECT fold, count(*) FILTER (WHERE is_train) AS train_rows FROM fz GROUP BY fold)
+"""
+
+
+LODO_CTE = TRAFFIC_CTE + "," + fold_knn_cte("SELECT DISTINCT device_id AS fold FROM traffic",
+                                             "t.device_id IS DISTINCT FROM f.fold", "t.device_id IS NOT DISTINCT FROM f.fold")
+
+ORACLE["lodo_knn"] = f"""WITH {LODO_CTE},
+  c AS ({counts_sql('fpred', group='fold')})
+SELECT CAST(c.fold AS INTEGER) AS device_id, {metrics_cols_sql()}, ftrain.train_rows
+FROM c JOIN ftrain USING (fold)"""
+
+ORACLE["lodo_pooled"] = f"""WITH {LODO_CTE},
+  c AS ({counts_sql('fpred', group='fold')}),
+  m AS (SELECT {metrics_cols_sql()} FROM c),
+  pooled AS (SELECT CAST(sum(tn) AS BIGINT) AS tn, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn,
+                    CAST(sum(tp) AS BIGINT) AS tp, round(avg(accuracy), 6) AS mean_fold_accuracy,
+                    round(avg(macro_f1), 6) AS mean_fold_macro_f1, count(*) AS n_folds FROM m)
+SELECT {metrics_cols_sql()}, mean_fold_accuracy, mean_fold_macro_f1, n_folds FROM pooled"""
+
+ORACLE["hardest_devices"] = f"""WITH {LODO_CTE},
+  c AS ({counts_sql('fpred', group='fold')}),
+  m AS (SELECT CAST(fold AS INTEGER) AS device_id, {metrics_cols_sql()} FROM c),
+  a AS (SELECT 'attack_recall' AS criterion, row_number() OVER (ORDER BY recall, fn DESC, device_id) AS rank,
+               device_id, recall AS recall_value, fn AS errors FROM m),
+  b AS (SELECT 'benign_recall' AS criterion, row_number() OVER (ORDER BY benign_recall, fp DESC, device_id) AS rank,
+               device_id, benign_recall AS recall_value, fp AS errors FROM m)
+SELECT * FROM a WHERE rank <= 3 UNION ALL SELECT * FROM b WHERE rank <= 3"""
+
+ORACLE["transfer_knn"] = f"""WITH {ORDERED_CTE},""" + fold_knn_cte(
+    "SELECT 1 AS fold", "t.device_id = 1 AND t.split = 'train'", "t.device_id = 2", base="osplit") + f""",
+  c AS ({counts_sql('fpred')})
+SELECT {metrics_cols_sql()} FROM c"""
+
+ORACLE["family_holdout"] = f"WITH {TRAFFIC_CTE}," + fold_knn_cte(
+    "SELECT DISTINCT family AS fold FROM traffic WHERE binary_target = 1",
+    "t.family IS DISTINCT FROM f.fold", "t.family IS NOT DISTINCT FROM f.fold") + f""",
+  c AS ({counts_sql('fpred', group='fold')})
+SELECT fold AS held_out_family, {metrics_cols_sql()} FROM c"""
+
+SMOTE_CTE = f"""{scaled_cte('standard')},
+  tr AS (SELECT * FROM scaled WHERE split = 'train'),
+  cnt AS (SELECT binary_target, count(*) AS n FROM tr GROUP BY 1),
+  mx AS (SELECT max(n) AS n_max FROM cnt),
+  mc AS (SELECT c.binary_target AS cls, c.n AS n_c, mx.n_max - c.n AS need FROM cnt c JOIN mx ON c.n < mx.n_max),
+  mino AS (SELECT tr.*, row_number() OVER (ORDER BY row_key) - 1 AS pos FROM tr JOIN mc ON tr.binary_target = mc.cls),
+  md AS (SELECT a.row_key AS qid, b.row_key AS rid, {dist_sql('a', 'b', FEATS)} AS dist
+         FROM mino a JOIN mino b ON a.row_key <> b.row_key),
+  mnn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, rid) AS rk FROM md) WHERE rk <= 5),
+  syn0 AS (SELECT unnest(range(need)) AS j, n_c, cls FROM mc),
+  syn AS (SELECT j, cls, CAST(floor({uniform_sql(SEED, "smote:' || cls || ':base", 'j')} * n_c * 5) AS BIGINT) AS r,
+                 {uniform_sql(SEED, "smote:' || cls || ':step", 'j')} AS step FROM syn0),
+  syn2 AS (SELECT j, cls, step, r // 5 AS pos, r % 5 + 1 AS nn_rank FROM syn),
+  made AS (SELECT s.j AS syn_id, s.cls, s.step, b.row_key AS base_key, mnn.rid AS nn_key,
+                  {', '.join(f'b.{f} + s.step * (o.{f} - b.{f}) AS {f}' for f in FEATS)}
+           FROM syn2 s JOIN mino b ON b.pos = s.pos JOIN mnn ON mnn.qid = b.row_key AND mnn.rk = s.nn_rank
+           JOIN mino o ON o.row_key = mnn.rid)
+"""
+
+ORACLE["smote"] = f"""WITH {SMOTE_CTE}
+SELECT syn_id, cls AS binary_target, base_key, nn_key, round(step, 6) AS step,
+       {', '.join(f'round({f}, 6) AS {f}' for f in FEATS)}
+FROM made"""
+
+
+# ------------------------------------------------------------------ embeddings (64 dims)
+EFEATS = [f"e{i}" for i in range(64)]
+EMB_CTE = f"emb AS ({embeddings_as_rows_sql()})"
+
+ORACLE["knn_join"] = f"""WITH {EMB_CTE},
+  d AS (SELECT a.row_key AS qid, b.row_key AS rid, {dist_sql('a', 'b', EFEATS)} AS dist
+        FROM emb a JOIN emb b ON a.row_key <> b.row_key),
+  nn AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, rid) AS nn_rank FROM d)
+SELECT qid, rid, nn_rank, round(dist, 6) AS dist FROM nn WHERE nn_rank <= 5"""
+
+ORACLE["lof"] = f"""WITH {EMB_CTE},
+  d AS (SELECT a.row_key AS qid, b.row_key AS rid, {dist_sql('a', 'b', EFEATS)} AS dist
+        FROM emb a JOIN emb b ON a.row_key <> b.row_key),
+  nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, rid) AS rk FROM d) WHERE rk <= 5),
+  kd AS (SELECT qid, max(dist) AS k_distance FROM nn GROUP BY 1),
+  reach AS (SELECT nn.qid, greatest(kd.k_distance, nn.dist) AS r FROM nn JOIN kd ON nn.rid = kd.qid),
+  lrd AS (SELECT qid, CASE WHEN avg(r) > 0 THEN 1.0 / avg(r) ELSE 'inf'::DOUBLE END AS lrd FROM reach GROUP BY 1),
+  lo AS (SELECT nn.qid, avg(l.lrd) AS mo FROM nn JOIN lrd l ON nn.rid = l.qid GROUP BY 1)
+SELECT qid AS row_key, round(k_distance, 6) AS k_distance, round(lrd, 6) AS lrd, round(mo / lrd, 6) AS lof
+FROM lrd JOIN lo USING (qid) JOIN kd USING (qid)"""
+
+
+def _emb_params_sql() -> str:
+    parts = []
+    for i, f in enumerate(EFEATS):
+        x = f"CAST({f} AS DOUBLE)"
+        parts.append(f"avg({x}) AS m{i}, CASE WHEN coalesce(stddev_pop({x}), 0) = 0 THEN 1.0 ELSE stddev_pop({x}) END AS s{i}")
+    return ", ".join(parts)
+
+
+ORACLE["classification_report"] = f"""WITH {EMB_CTE},
+  eq AS (SELECT class_label, CAST(round_even(count(*) * 0.2::DOUBLE, 0) AS BIGINT) AS q FROM emb GROUP BY 1),
+  er AS (SELECT emb.*, row_number() OVER (PARTITION BY class_label
+            ORDER BY {hash32_sql(SEED, 'split', 'row_key')}, row_key) AS _rn FROM emb),
+  es AS (SELECT er.*, CASE WHEN _rn <= eq.q THEN 'test' ELSE 'train' END AS split FROM er JOIN eq USING (class_label)),
+  ep AS (SELECT {_emb_params_sql()} FROM es WHERE split = 'train'),
+  ez AS (SELECT es.row_key, es.class_label, es.split,
+                {', '.join(f'(CAST(es.{f} AS DOUBLE) - ep.m{i}) / ep.s{i} AS {f}' for i, f in enumerate(EFEATS))}
+         FROM es JOIN ep ON true),
+  te AS (SELECT * FROM ez WHERE split = 'test'), tr AS (SELECT * FROM ez WHERE split = 'train'),
+  dd AS (SELECT te.row_key AS qid, tr.row_key AS rid, tr.class_label AS label, {dist_sql('te', 'tr', EFEATS)} AS dist
+         FROM te JOIN tr ON true),
+  nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, rid) AS rk FROM dd) WHERE rk <= 5),
+  {vote_sql('nn')},
+  pred AS (SELECT te.class_label AS a, vote.predicted AS p FROM te LEFT JOIN vote ON te.row_key = vote.qid),
+  cells AS (SELECT a, p, count(*) AS n FROM pred GROUP BY ALL),
+  sup AS (SELECT a AS label, sum(n) AS support FROM cells GROUP BY 1),
+  prd AS (SELECT p AS label, sum(n) AS predicted_n FROM cells GROUP BY 1),
+  hit AS (SELECT a AS label, n AS tp FROM cells WHERE a = p),
+  per AS (SELECT label, coalesce(support, 0) AS support, coalesce(predicted_n, 0) AS predicted_n, coalesce(tp, 0) AS tp
+          FROM sup FULL OUTER JOIN prd USING (label) LEFT JOIN hit USING (label)),
+  per2 AS (SELECT *, coalesce(tp / nullif(predicted_n, 0), 0.0) AS precision,
+                  coalesce(tp / nullif(support, 0), 0.0) AS recall FROM per),
+  per3 AS (SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0.0) AS f1 FROM per2)
+SELECT CAST(label AS VARCHAR) AS class, round(precision, 6) AS precision,
+       round(recall, 6) AS recall, round(f1, 6) AS f1, CAST(support AS BIGINT) AS support FROM per3
+UNION ALL SELECT 'accuracy', NULL, NULL, round(coalesce(sum(tp) / nullif(sum(support), 0), 0.0), 6),
+       CAST(sum(support) AS BIGINT) FROM per3
+UNION ALL SELECT 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6),
+       CAST(sum(support) AS BIGINT) FROM per3
+UNION ALL SELECT 'weighted avg', round(coalesce(sum(precision * support) / nullif(sum(support), 0), 0.0), 6),
+       round(coalesce(sum(recall * support) / nullif(sum(support), 0), 0.0), 6),
+       round(coalesce(sum(f1 * support) / nullif(sum(support), 0), 0.0), 6), CAST(sum(support) AS BIGINT) FROM per3"""
+
+ORACLE["smote_balanced"] = f"""WITH {SMOTE_CTE}
+SELECT binary_target, false AS is_synthetic, count(*) AS n FROM tr GROUP BY 1
+UNION ALL SELECT cls AS binary_target, true AS is_synthetic, count(*) AS n FROM made GROUP BY 1"""
