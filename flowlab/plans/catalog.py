@@ -9,17 +9,21 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from flowlab.functions.exprs import pct_of_total, r6
+from flowlab.functions.exprs import nonfinite_to_null, pct_of_total, r6
+from flowlab.operators import features as feat
 from flowlab.operators import knn
 from flowlab.operators import label as lab
 from flowlab.operators import metrics as met
+from flowlab.operators import quality as qual
+from flowlab.operators import runs as runs_op
 from flowlab.operators import scale as sc
 from flowlab.operators import smote as smote_op
 from flowlab.operators import split as sp
 from flowlab.session import broadcast_if_small, read_table
+from flowlab.sources import ingest
 from flowlab.sources.adapters import (TRAFFIC_FEATURES, embedding_features, embeddings_as_rows,
                                       events_as_traffic)
 
@@ -291,6 +295,300 @@ def q_lof(spark, sf_dir):
     return out.select("row_key", r6("k_distance").alias("k_distance"), r6("lrd").alias("lrd"), r6("lof").alias("lof"))
 
 
+# ------------------------------------------------------------------ run records and result tables
+RUN_METRICS = ["n_orders", "total_price", "mean_price", "max_price", "open_share"]
+BASELINE_EXPERIMENT = "1-URGENT"
+
+
+def run_table(spark, sf_dir) -> DataFrame:
+    """Run records stand-in: one run per (order priority = experiment, order month = run)."""
+    o = read_table(spark, sf_dir, "orders")
+    return o.groupBy(F.col("o_orderpriority").alias("experiment"),
+                     F.date_format("o_orderdate", "yyyy-MM").alias("run_id")).agg(
+        F.count(F.lit(1)).alias("n_orders"), F.sum("o_totalprice").alias("total_price"),
+        F.avg("o_totalprice").alias("mean_price"), F.max("o_totalprice").alias("max_price"),
+        (F.count_if(F.col("o_orderstatus") == "O") / F.count(F.lit(1))).alias("open_share"))
+
+
+def _runs_long(spark, sf_dir) -> DataFrame:
+    return runs_op.runs_long(run_table(spark, sf_dir), ["experiment", "run_id"], RUN_METRICS)
+
+
+def q_run_summary_pop(spark, sf_dir):
+    """Per experiment and metric: runs, mean, min, max, population std."""
+    return runs_op.summary_pop(_runs_long(spark, sf_dir), ["experiment", "metric"])
+
+
+def q_run_summary_sample(spark, sf_dir):
+    """Per experiment, year and metric: n, reported value and kind, mean, sample std, min, max."""
+    long = _runs_long(spark, sf_dir).withColumn("year", F.substring("run_id", 1, 4))
+    return runs_op.summary_sample(long, ["experiment", "year", "metric"])
+
+
+def q_change_table(spark, sf_dir):
+    """J5 + P13-P15: every experiment's mean metrics against the baseline experiment."""
+    summ = runs_op.summary_pop(_runs_long(spark, sf_dir), ["experiment", "metric"])
+    return runs_op.compare_to_baseline(summ, "experiment", BASELINE_EXPERIMENT, "mean")
+
+
+def q_run_vs_prior(spark, sf_dir):
+    """Runs of the latest year left-joined to the same experiment and month a year before."""
+    r = run_table(spark, sf_dir).withColumns({"year": F.substring("run_id", 1, 4).cast("int"),
+                                              "month": F.substring("run_id", 6, 2).cast("int")})
+    last = r.agg(F.max("year")).first()[0]
+    cur = r.filter(F.col("year") == last)
+    prior = r.filter(F.col("year") == last - 1)
+    j = runs_op.pair_with_prior(cur, prior, ["experiment", "month"], ["n_orders", "total_price"])
+    ch = runs_op.direction_change(F.col("prior_n_orders").cast("double"), F.col("n_orders").cast("double"))
+    return j.select("experiment", "month", "n_orders", "prior_n_orders", r6("total_price").alias("total_price"),
+                    r6("prior_total_price").alias("prior_total_price"),
+                    r6(ch["signed_percent_change"]).alias("signed_percent_change"), ch["direction"].alias("direction"))
+
+
+def q_golden_match(spark, sf_dir):
+    """5-NN confusion matrix against the 3-NN one as the stored golden; per cell and overall match."""
+    data = scaled_traffic_split(spark, sf_dir).cache()
+    train = data.filter(F.col("split") == sp.TRAIN)
+    test = data.filter(F.col("split") == sp.TEST)
+    p5 = knn.knn_classify(train, test, TRAFFIC_FEATURES, 5, "binary_target", "row_key")
+    p3 = knn.knn_classify(train, test, TRAFFIC_FEATURES, 3, "binary_target", "row_key")
+    c5 = met.confusion_long(p5, "binary_target", "predicted")
+    c3 = met.confusion_long(p3, "binary_target", "predicted")
+    return runs_op.golden_match(c5, c3, ["actual", "predicted"], "n")
+
+
+def q_snapshot_diff(spark, sf_dir):
+    """Per (source, day) row counts of two states: days <= 20, and days >= 10 with value > 1."""
+    t = traffic(spark, sf_dir)
+    before = t.filter(F.col("dom") <= 20).groupBy("source_file", "dom").agg(F.count(F.lit(1)).alias("n"))
+    after = (t.filter((F.col("dom") >= 10) & (F.col("value") > 1.0))
+             .groupBy("source_file", "dom").agg(F.count(F.lit(1)).alias("n")))
+    d = runs_op.snapshot_diff(before, after, ["source_file", "dom"], "n")
+    return d.select("source_file", F.col("dom").cast("int").alias("dom"),
+                    F.coalesce("before_value", F.lit(0)).alias("before_n"),
+                    F.coalesce("after_value", F.lit(0)).alias("after_n"), "status")
+
+
+def q_fingerprint(spark, sf_dir):
+    """Test-label fingerprint after the split and after prediction (must be equal)."""
+    data = scaled_traffic_split(spark, sf_dir).cache()
+    test = data.filter(F.col("split") == sp.TEST)
+    pred = knn.knn_classify(data.filter(F.col("split") == sp.TRAIN), test, TRAFFIC_FEATURES, K)
+    a = runs_op.fingerprint(test, "row_key", "binary_target").select(F.lit("split_test").alias("stage"), "*")
+    b = runs_op.fingerprint(pred, "row_key", "binary_target").select(F.lit("predicted").alias("stage"), "*")
+    return a.unionByName(b)
+
+
+def q_runtime_table(spark, sf_dir):
+    """One row per experiment, one column per metric (mean over runs)."""
+    summ = runs_op.summary_pop(_runs_long(spark, sf_dir), ["experiment", "metric"])
+    return runs_op.pivot_table(summ, "experiment", "metric", "mean", RUN_METRICS)
+
+
+def q_summary_table(spark, sf_dir):
+    """R2: per experiment, value / std / min / max of every metric as columns, counts as BIGINT."""
+    summ = runs_op.summary_pop(_runs_long(spark, sf_dir), ["experiment", "metric"])
+    wide = summ.groupBy("experiment").pivot("metric", RUN_METRICS).agg(
+        F.first("mean").alias("value"), F.first("std").alias("std"), F.first("min").alias("min"),
+        F.first("max").alias("max"))
+    runs = summ.groupBy("experiment").agg(F.max("runs").cast("bigint").alias("runs"))
+    return wide.join(runs, "experiment")
+
+
+def q_experiment_table(spark, sf_dir):
+    """R3 + J1: leave-one-device-out fold results with device names, row counts and metrics."""
+    counts = lodo_fold_counts(spark, sf_dir)
+    m = met.metrics_from_counts(counts).withColumnRenamed("n_rows", "test_rows")
+    dim = broadcast_if_small(device_dim(spark, sf_dir))
+    return m.join(dim, "device_id", "left").select("device_id", "device_name", "train_rows", "test_rows", "tn", "fp",
+                                                   "fn", "tp", "accuracy", "precision", "recall", "f1", "macro_f1")
+
+
+def q_run_checks(spark, sf_dir):
+    """V1: named checks of the flagship run: split rows agree, confusion total, supports, labels unchanged."""
+    t = traffic(spark, sf_dir)
+    data = scaled_traffic_split(spark, sf_dir).cache()
+    train = data.filter(F.col("split") == sp.TRAIN)
+    test = data.filter(F.col("split") == sp.TEST)
+    pred = knn.knn_classify(train, test, TRAFFIC_FEATURES, K).cache()
+    conf = met.confusion_counts(pred, "binary_target", "predicted")
+    fp_a = runs_op.fingerprint(test, "row_key", "binary_target")
+    fp_b = runs_op.fingerprint(pred, "row_key", "binary_target")
+
+    def m(df, **named):
+        return [df.agg(expr.cast("double").alias("value")).select(F.lit(k).alias("measure"), "value")
+                for k, expr in named.items()]
+
+    rows = (m(t, input_rows=F.count(F.lit(1)))
+            + m(data, split_rows=F.count(F.lit(1)))
+            + m(test, test_rows=F.count(F.lit(1)), test_pos=F.count_if(F.col("binary_target") == 1))
+            + m(conf, conf_total=F.first(F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")),
+                conf_pos=F.first(F.col("fn") + F.col("tp")))
+            + m(fp_a, a_rows=F.first("rows"), a_sum=F.first("hash_sum"), a_xor=F.first("hash_xor"))
+            + m(fp_b, b_rows=F.first("rows"), b_sum=F.first("hash_sum"), b_xor=F.first("hash_xor"))
+            + m(pred, unpredicted=F.count_if(F.col("predicted").isNull()),
+                non_binary=F.count_if(~F.col("predicted").isin(0, 1))))
+    measures = reduce(DataFrame.unionByName, rows)
+    names = ["input_rows", "split_rows", "test_rows", "test_pos", "conf_total", "conf_pos", "a_rows", "a_sum",
+             "a_xor", "b_rows", "b_sum", "b_xor", "unpredicted", "non_binary"]
+    one = measures.groupBy().pivot("measure", names).agg(F.first("value"))
+    c = F.col
+    named = {
+        "split_rows_agree": c("input_rows") == c("split_rows"),
+        "confusion_total_equals_test_rows": c("conf_total") == c("test_rows"),
+        "attack_support_agrees": c("conf_pos") == c("test_pos"),
+        "test_labels_unchanged": (c("a_rows") == c("b_rows")) & (c("a_sum") == c("b_sum")) & (c("a_xor") == c("b_xor")),
+        "every_test_row_predicted": c("unpredicted") == 0,
+        "predictions_binary": c("non_binary") == 0,
+    }
+    parts = [one.select(F.lit(k).alias("check"), v.alias("passed")) for k, v in named.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+# ------------------------------------------------------------------ quality / EDA
+def q_eda_counts(spark, sf_dir):
+    """GROUPING SETS ((), (device), (label), (device, label)) row counts."""
+    return qual.eda_counts(traffic(spark, sf_dir), "device_id", "binary_label")
+
+
+def q_eda_features(spark, sf_dir):
+    """Per feature count, nulls, mean, sample std, min, max."""
+    return qual.eda_features(traffic(spark, sf_dir), TRAFFIC_FEATURES)
+
+
+def q_quality(spark, sf_dir):
+    """Per feature null / NaN / inf counts of the traffic features."""
+    return qual.nonfinite_counts(traffic(spark, sf_dir), TRAFFIC_FEATURES)
+
+
+LINEITEM_IDENTITY = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity"]
+
+
+def q_duplicates(spark, sf_dir):
+    """Exact duplicates of lineitem over its identity columns."""
+    return qual.duplicate_summary(read_table(spark, sf_dir, "lineitem"), LINEITEM_IDENTITY)
+
+
+def q_regex_timing(spark, sf_dir):
+    """Numbers pulled from whole document texts by regex; missing -> null."""
+    d = read_table(spark, sf_dir, "documents")
+    ver = F.regexp_extract("text", r"Version ([0-9]+(\.[0-9]+)?)", 1)
+    first = F.regexp_extract("text", r"([0-9]+(\.[0-9]+)?)", 1)
+    return d.select("doc_id",
+                    F.nullif(ver, F.lit("")).try_cast("double").alias("license_version"),
+                    F.nullif(first, F.lit("")).try_cast("double").alias("first_number"),
+                    F.regexp_count("text", F.lit("[0-9]+")).cast("bigint").alias("n_numbers"))
+
+
+def q_row_expectation(spark, sf_dir):
+    """V7: per source, file-summary row count vs rows after the ordered split, and expected split sizes."""
+    t = traffic(spark, sf_dir)
+    summary = t.groupBy("source_file").agg(F.count(F.lit(1)).alias("expected_rows"))
+    s = sp.source_split_summary(sp.ordered_split(t, "source_file", ["ts", "row_key"], 0.8), "source_file")
+    j = summary.join(s, "source_file", "full_outer")
+    exp_train = F.floor(F.col("expected_rows").cast("double") * F.lit(0.8)).cast("bigint")
+    return j.select("source_file", "expected_rows", F.col("total_rows").alias("observed_rows"),
+                    exp_train.alias("expected_train"), F.col("train_rows").alias("observed_train"),
+                    ((F.col("expected_rows") == F.col("total_rows")) & (exp_train == F.col("train_rows"))).alias("ok"))
+
+
+TOP_N = 2
+
+
+def _train_rank(spark, sf_dir):
+    split = traffic_split(spark, sf_dir)
+    train = split.filter(F.col("split") == sp.TRAIN)
+    return feat.rank_features(feat.feature_importance(train, TRAFFIC_FEATURES, "binary_target"), top_n=TOP_N), split
+
+
+def q_feature_rank(spark, sf_dir):
+    """W1 + W2: features ranked by class-mean variance share on the train split, top-2 flag."""
+    ranked, _ = _train_rank(spark, sf_dir)
+    return ranked.select("rank", "feature", r6("importance").alias("importance"), "source_column_index", "selected")
+
+
+def q_feature_sets(spark, sf_dir):
+    """J3 + J4 + U4: selected features (semi join), model positions in canonical order, set checks."""
+    ranked, _ = _train_rank(spark, sf_dir)
+    sel = ranked.filter(F.col("selected"))
+    w = Window.orderBy("source_column_index")
+    pos = sel.withColumn("model_position", F.row_number().over(w) - 1)
+    by_rank = F.array_sort(F.collect_list(F.struct("rank", "feature")).over(Window.partitionBy()))
+    by_pos = F.array_sort(F.collect_list(F.struct("model_position", "feature")).over(Window.partitionBy()))
+    pos = pos.withColumn("_ranked", F.transform(by_rank, lambda x: x["feature"])) \
+             .withColumn("_canon", F.transform(by_pos, lambda x: x["feature"]))
+    cmp = qual.list_set_compare(F.col("_ranked"), F.col("_canon"))
+    return pos.select("feature", "rank", "source_column_index", "model_position",
+                      cmp["same_set"].alias("same_set"), (F.col("_ranked") == F.col("_canon")).alias("same_order"))
+
+
+def q_select_top(spark, sf_dir):
+    """Train rows projected to the top-2 features (long form: row, feature, value)."""
+    ranked, split = _train_rank(spark, sf_dir)
+    top = [r[0] for r in ranked.filter(F.col("selected")).orderBy("rank").select("feature").collect()]
+    proj = feat.select_top(split.filter(F.col("split") == sp.TRAIN), top, TRAFFIC_FEATURES, TOP_N, "canonical",
+                           keep=["row_key"])
+    cols = [c for c in proj.columns if c != "row_key"]
+    return proj.unpivot(["row_key"], [F.col(c).cast("double").alias(c) for c in cols], "feature", "value") \
+        .withColumn("value", r6("value"))
+
+
+def q_fold_stats(spark, sf_dir):
+    """A10: mean, sample std, min, max of every metric over the leave-one-device-out folds."""
+    m = met.metrics_from_counts(lodo_fold_counts(spark, sf_dir))
+    names = ["accuracy", "precision", "recall", "f1", "benign_recall", "macro_f1"]
+    long = m.unpivot(["device_id"], [F.col(c).cast("double").alias(c) for c in names], "metric", "value")
+    return long.groupBy("metric").agg(r6(F.avg("value")).alias("mean"), r6(F.stddev_samp("value")).alias("std"),
+                                      r6(F.min("value")).alias("min"), r6(F.max("value")).alias("max"))
+
+
+def _fold_ranks(spark, sf_dir):
+    t = traffic(spark, sf_dir)
+    imp = feat.holdout_importance(t, TRAFFIC_FEATURES, "binary_target", "device_id")
+    return feat.rank_features(imp, ["fold"])
+
+
+def q_feature_stability(spark, sf_dir):
+    """Per feature, folds where it is in the fold's top 2, mean / best / worst rank."""
+    st = feat.feature_stability(_fold_ranks(spark, sf_dir), TOP_N)
+    return st.withColumn("mean_rank", r6("mean_rank"))
+
+
+def q_rank_pivot(spark, sf_dir):
+    """Top-2 rank x held-out device -> feature name."""
+    folds = [r[0] for r in traffic(spark, sf_dir).select("device_id").distinct().orderBy("device_id").collect()]
+    return feat.rank_pivot(_fold_ranks(spark, sf_dir), folds, TOP_N)
+
+
+def q_union_sources(spark, sf_dir):
+    """Union by name of the train and test parts equals the input, per source file."""
+    t = traffic(spark, sf_dir)
+    s = sp.stratified_split(t, "binary_target", "row_key", TEST_FRACTION, SEED)
+    u = ingest.union_sources([s.filter(F.col("split") == sp.TRAIN), s.filter(F.col("split") == sp.TEST)])
+    a = u.groupBy("source_file").agg(F.count(F.lit(1)).alias("union_rows"))
+    b = t.groupBy("source_file").agg(F.count(F.lit(1)).alias("input_rows"))
+    return a.join(b, "source_file", "full_outer").withColumn("equal", F.col("union_rows") == F.col("input_rows"))
+
+
+def q_nonfinite_null(spark, sf_dir):
+    """1/discount and sqrt(tax - 0.04) with inf and NaN turned into null (whole lineitem)."""
+    li = read_table(spark, sf_dir, "lineitem")
+    inv = F.pow(F.col("l_discount"), F.lit(-1.0))
+    sq = F.sqrt(F.col("l_tax") - F.lit(0.04))
+    return li.select("l_orderkey", "l_linenumber", r6(nonfinite_to_null(inv)).alias("inv_discount"),
+                     r6(nonfinite_to_null(sq)).alias("sqrt_tax"))
+
+
+def q_list_strings(spark, sf_dir):
+    """Per held-out device the train-device list as '1 2 3' and its length read back."""
+    devs = traffic(spark, sf_dir).select("device_id").distinct()
+    alld = F.array_sort(F.collect_set("device_id").over(Window.partitionBy()))
+    d = devs.withColumn("_all", alld)
+    s = F.array_join(F.filter("_all", lambda x: x != F.col("device_id")), " ")
+    return d.select("device_id", s.alias("train_devices"),
+                    F.size(F.split(s, " ")).alias("n_train_devices"))
+
+
 # ------------------------------------------------------------------ registry
 QUERIES = {
     "label_events": q_label_events,
@@ -319,6 +617,32 @@ QUERIES = {
     "smote_balanced": q_smote_balanced,
     "auc": q_auc,
     "lof": q_lof,
+    "run_summary_pop": q_run_summary_pop,
+    "run_summary_sample": q_run_summary_sample,
+    "change_table": q_change_table,
+    "run_vs_prior": q_run_vs_prior,
+    "golden_match": q_golden_match,
+    "snapshot_diff": q_snapshot_diff,
+    "fingerprint": q_fingerprint,
+    "runtime_table": q_runtime_table,
+    "summary_table": q_summary_table,
+    "experiment_table": q_experiment_table,
+    "run_checks": q_run_checks,
+    "eda_counts": q_eda_counts,
+    "eda_features": q_eda_features,
+    "quality": q_quality,
+    "duplicates": q_duplicates,
+    "regex_timing": q_regex_timing,
+    "row_expectation": q_row_expectation,
+    "feature_rank": q_feature_rank,
+    "feature_sets": q_feature_sets,
+    "select_top": q_select_top,
+    "fold_stats": q_fold_stats,
+    "feature_stability": q_feature_stability,
+    "rank_pivot": q_rank_pivot,
+    "union_sources": q_union_sources,
+    "nonfinite_null": q_nonfinite_null,
+    "list_strings": q_list_strings,
 }
 
 FLAGSHIP = q_binary_metrics

@@ -202,16 +202,25 @@ def counts_sql(src: str, actual: str = "actual", predicted: str = "predicted", g
             f"count(*) FILTER (WHERE {actual} = 1 AND {predicted} = 1) AS tp FROM {src}{gb}")
 
 
-KNN_PRED_CTE = scaled_cte("standard") + f""",
-  te AS (SELECT * FROM scaled WHERE split = 'test'),
-  tr AS (SELECT * FROM scaled WHERE split = 'train'),
-  dd AS (SELECT te.row_key AS qid, tr.row_key AS rid, tr.binary_target AS label, {dist_sql('te', 'tr', FEATS)} AS dist
+def knn_pred_body(k: int = 5, sfx: str = "") -> str:
+    """CTEs te, tr (once) + dd/nn/vote/pred with suffix: 5-NN (or k-NN) predictions of the test rows."""
+    v = vote_sql('nn' + sfx).replace(" v1 ", f" v1{sfx} ").replace("FROM v1)", f"FROM v1{sfx})")
+    v = v.replace(" v2 ", f" v2{sfx} ").replace("FROM v2)", f"FROM v2{sfx})")
+    v = v.replace(" v3 ", f" v3{sfx} ").replace("FROM v3)", f"FROM v3{sfx})")
+    v = v.replace(" v4 ", f" v4{sfx} ").replace("FROM v4 ", f"FROM v4{sfx} ").replace("vote AS", f"vote{sfx} AS")
+    return f"""
+  dd{sfx} AS (SELECT te.row_key AS qid, tr.row_key AS rid, tr.binary_target AS label, {dist_sql('te', 'tr', FEATS)} AS dist
          FROM te JOIN tr ON true),
-  nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, rid) AS rk FROM dd) WHERE rk <= 5),
-  {vote_sql('nn')},
-  pred AS (SELECT te.row_key, te.binary_target AS actual, vote.predicted, vote.score
-           FROM te LEFT JOIN vote ON te.row_key = vote.qid)
-"""
+  nn{sfx} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, rid) AS rk FROM dd{sfx})
+         WHERE rk <= {k}),
+  {v},
+  pred{sfx} AS (SELECT te.row_key, te.binary_target AS actual, vote{sfx}.predicted, vote{sfx}.score
+           FROM te LEFT JOIN vote{sfx} ON te.row_key = vote{sfx}.qid)"""
+
+
+KNN_PRED_CTE = scaled_cte("standard") + """,
+  te AS (SELECT * FROM scaled WHERE split = 'test'),
+  tr AS (SELECT * FROM scaled WHERE split = 'train'),""" + knn_pred_body(5) + "\n"
 
 ORACLE["knn_classify"] = f"""WITH {KNN_PRED_CTE}
 SELECT row_key, actual, predicted, round(score, 6) AS score FROM pred"""
@@ -388,3 +397,263 @@ UNION ALL SELECT 'weighted avg', round(coalesce(sum(precision * support) / nulli
 ORACLE["smote_balanced"] = f"""WITH {SMOTE_CTE}
 SELECT binary_target, false AS is_synthetic, count(*) AS n FROM tr GROUP BY 1
 UNION ALL SELECT cls AS binary_target, true AS is_synthetic, count(*) AS n FROM made GROUP BY 1"""
+
+
+# ------------------------------------------------------------------ run records
+RUN_METRICS = ["n_orders", "total_price", "mean_price", "max_price", "open_share"]
+RUNS_CTE = """
+  runs AS (SELECT o_orderpriority AS experiment, strftime(o_orderdate, '%Y-%m') AS run_id, count(*) AS n_orders,
+                  sum(o_totalprice) AS total_price, avg(o_totalprice) AS mean_price, max(o_totalprice) AS max_price,
+                  count(*) FILTER (WHERE o_orderstatus = 'O') / count(*) AS open_share
+           FROM orders GROUP BY 1, 2),
+  rl AS (""" + " UNION ALL ".join(
+    f"SELECT experiment, run_id, '{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM runs" for m in RUN_METRICS) + """),
+  summ AS (SELECT experiment, metric, count(*) AS runs, round(avg(value), 6) AS mean, round(min(value), 6) AS min,
+                  round(max(value), 6) AS max, round(coalesce(stddev_pop(value), 0.0), 6) AS std FROM rl GROUP BY ALL)
+"""
+
+ORACLE["run_summary_pop"] = f"""WITH {RUNS_CTE}
+SELECT * FROM summ"""
+
+ORACLE["run_summary_sample"] = f"""WITH {RUNS_CTE}
+SELECT experiment, substr(run_id, 1, 4) AS year, metric, count(value) AS n,
+       round(CASE WHEN count(value) = 1 THEN max(value) WHEN count(value) > 1 THEN avg(value) END, 6) AS reported_value,
+       CASE WHEN count(value) = 0 THEN 'not_measured_or_not_applicable'
+            WHEN count(value) = 1 THEN 'single_measured_run' ELSE 'arithmetic_mean' END AS reported_value_kind,
+       round(CASE WHEN count(value) > 1 THEN avg(value) END, 6) AS mean,
+       round(CASE WHEN count(value) > 1 THEN stddev_samp(value) END, 6) AS standard_deviation,
+       round(min(value), 6) AS minimum, round(max(value), 6) AS maximum
+FROM rl GROUP BY ALL"""
+
+ORACLE["change_table"] = f"""WITH {RUNS_CTE},
+  b AS (SELECT metric, mean AS reference_value FROM summ WHERE experiment = '1-URGENT'),
+  c AS (SELECT experiment, metric, mean AS comparison_value FROM summ WHERE experiment <> '1-URGENT'),
+  j AS (SELECT c.*, b.reference_value, comparison_value - reference_value AS d,
+               CASE WHEN reference_value <> 0 THEN (comparison_value - reference_value) / reference_value * 100.0 END AS sg
+        FROM c JOIN b USING (metric))
+SELECT experiment, metric, comparison_value, reference_value, round(d, 6) AS absolute_change,
+       round(sg, 6) AS signed_percent_change,
+       CASE WHEN d < 0 THEN 'reduction' WHEN d > 0 THEN 'increase' ELSE 'no_change' END AS direction,
+       round(CASE WHEN d < 0 THEN -sg WHEN d = 0 THEN 0.0 END, 6) AS reduction_percent,
+       round(CASE WHEN d > 0 THEN sg WHEN d = 0 THEN 0.0 END, 6) AS increase_percent,
+       round(d, 6) AS absolute_metric_difference, round(d * 100.0, 6) AS percentage_point_difference,
+       CASE WHEN d > 0 THEN 'increase' WHEN d < 0 THEN 'decrease' ELSE 'no_change' END AS metric_direction,
+       round(CASE WHEN reference_value <> 0 THEN (reference_value - comparison_value) / reference_value * 100.0
+                  ELSE 0.0 END, 6) AS reduction_pct,
+       round(reference_value / nullif(comparison_value, 0), 6) AS ratio,
+       CASE WHEN reference_value / nullif(comparison_value, 0) > 1 THEN 'speedup'
+            WHEN reference_value / nullif(comparison_value, 0) < 1 THEN 'slowdown' ELSE 'same' END AS speed_direction
+FROM j"""
+
+ORACLE["run_vs_prior"] = f"""WITH {RUNS_CTE},
+  r AS (SELECT *, CAST(substr(run_id, 1, 4) AS INTEGER) AS year, CAST(substr(run_id, 6, 2) AS INTEGER) AS month FROM runs),
+  cur AS (SELECT * FROM r WHERE year = (SELECT max(year) FROM r)),
+  pri AS (SELECT * FROM r WHERE year = (SELECT max(year) FROM r) - 1)
+SELECT cur.experiment, cur.month, cur.n_orders, pri.n_orders AS prior_n_orders,
+       round(cur.total_price, 6) AS total_price, round(pri.total_price, 6) AS prior_total_price,
+       round(CASE WHEN CAST(pri.n_orders AS DOUBLE) <> 0
+                  THEN (CAST(cur.n_orders AS DOUBLE) - CAST(pri.n_orders AS DOUBLE)) / CAST(pri.n_orders AS DOUBLE) * 100.0 END, 6)
+         AS signed_percent_change,
+       CASE WHEN CAST(cur.n_orders AS DOUBLE) - CAST(pri.n_orders AS DOUBLE) < 0 THEN 'reduction'
+            WHEN CAST(cur.n_orders AS DOUBLE) - CAST(pri.n_orders AS DOUBLE) > 0 THEN 'increase'
+            ELSE 'no_change' END AS direction
+FROM cur LEFT JOIN pri ON cur.experiment = pri.experiment AND cur.month = pri.month"""
+
+ORACLE["runtime_table"] = f"""WITH {RUNS_CTE}
+SELECT experiment, {', '.join(f"max(CASE WHEN metric = '{m}' THEN mean END) AS {m}" for m in RUN_METRICS)}
+FROM summ GROUP BY experiment"""
+
+ORACLE["summary_table"] = f"""WITH {RUNS_CTE}
+SELECT experiment, {', '.join(f"max(CASE WHEN metric = '{m}' THEN {a} END) AS {m}_{n}" for m in RUN_METRICS
+                              for a, n in (('mean', 'value'), ('std', 'std'), ('min', 'min'), ('max', 'max')))},
+       CAST(max(runs) AS BIGINT) AS runs
+FROM summ GROUP BY experiment"""
+
+ORACLE["golden_match"] = "WITH " + scaled_cte("standard") + """,
+  te AS (SELECT * FROM scaled WHERE split = 'test'),
+  tr AS (SELECT * FROM scaled WHERE split = 'train'),""" + knn_pred_body(5) + "," + knn_pred_body(3, "_g") + """,
+  grid AS (SELECT * FROM (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) g(actual, predicted)),
+  c5 AS (SELECT g.actual, g.predicted, (SELECT count(*) FROM pred p WHERE p.actual = g.actual AND p.predicted = g.predicted) AS run_n FROM grid g),
+  c3 AS (SELECT g.actual, g.predicted, (SELECT count(*) FROM pred_g p WHERE p.actual = g.actual AND p.predicted = g.predicted) AS golden_n FROM grid g),
+  j AS (SELECT actual, predicted, run_n, golden_n, run_n IS NOT DISTINCT FROM golden_n AS match
+        FROM c5 FULL OUTER JOIN c3 USING (actual, predicted))
+SELECT *, bool_and(match) OVER () AS all_match FROM j"""
+
+ORACLE["snapshot_diff"] = f"""WITH {TRAFFIC_CTE},
+  b AS (SELECT source_file, CAST(dom AS INTEGER) AS dom, count(*) AS n FROM traffic WHERE dom <= 20 GROUP BY ALL),
+  a AS (SELECT source_file, CAST(dom AS INTEGER) AS dom, count(*) AS n FROM traffic WHERE dom >= 10 AND value > 1.0 GROUP BY ALL),
+  j AS (SELECT coalesce(b.source_file, a.source_file) AS source_file, coalesce(b.dom, a.dom) AS dom,
+               b.n AS before_value, a.n AS after_value, b.n IS NOT NULL AS ib, a.n IS NOT NULL AS ia
+        FROM b FULL OUTER JOIN a ON b.source_file = a.source_file AND b.dom = a.dom)
+SELECT source_file, dom, coalesce(before_value, 0) AS before_n, coalesce(after_value, 0) AS after_n,
+       CASE WHEN NOT ib THEN 'created' WHEN NOT ia THEN 'removed'
+            WHEN before_value IS NOT DISTINCT FROM after_value THEN 'unchanged' ELSE 'changed' END AS status
+FROM j"""
+
+FP_SQL = hash32_sql(0, "fp", "row_key", "binary_target")
+
+ORACLE["fingerprint"] = f"""WITH {KNN_PRED_CTE}
+SELECT 'split_test' AS stage, count(*) AS rows, CAST(sum({FP_SQL}) AS BIGINT) AS hash_sum, bit_xor({FP_SQL}) AS hash_xor
+FROM te
+UNION ALL
+SELECT 'predicted', count(*), CAST(sum({FP_SQL}) AS BIGINT), bit_xor({FP_SQL})
+FROM (SELECT pred.row_key, pred.actual AS binary_target FROM pred)"""
+
+ORACLE["experiment_table"] = f"""WITH {LODO_CTE},
+  c AS ({counts_sql('fpred', group='fold')}),
+  m AS (SELECT fold, tn + fp + fn + tp AS test_rows, {metrics_cols_sql()} FROM c)
+SELECT CAST(m.fold AS INTEGER) AS device_id, nation.n_name AS device_name, ftrain.train_rows, test_rows, tn, fp, fn, tp,
+       accuracy, precision, recall, f1, macro_f1
+FROM m JOIN ftrain USING (fold) LEFT JOIN nation ON m.fold = nation.n_nationkey + 1"""
+
+ORACLE["run_checks"] = f"""WITH {KNN_PRED_CTE},
+  c AS ({counts_sql('pred')}),
+  fa AS (SELECT count(*) AS r, sum({FP_SQL}) AS s, bit_xor({FP_SQL}) AS x FROM te),
+  fb AS (SELECT count(*) AS r, sum({FP_SQL}) AS s, bit_xor({FP_SQL}) AS x
+         FROM (SELECT row_key, actual AS binary_target FROM pred))
+SELECT 'split_rows_agree' AS check, (SELECT count(*) FROM traffic) = (SELECT count(*) FROM tsplit) AS passed
+UNION ALL SELECT 'confusion_total_equals_test_rows', (SELECT tn + fp + fn + tp FROM c) = (SELECT count(*) FROM te)
+UNION ALL SELECT 'attack_support_agrees', (SELECT fn + tp FROM c) = (SELECT count(*) FROM te WHERE binary_target = 1)
+UNION ALL SELECT 'test_labels_unchanged', (SELECT r FROM fa) = (SELECT r FROM fb) AND (SELECT s FROM fa) = (SELECT s FROM fb)
+          AND (SELECT x FROM fa) = (SELECT x FROM fb)
+UNION ALL SELECT 'every_test_row_predicted', (SELECT count(*) FROM pred WHERE predicted IS NULL) = 0
+UNION ALL SELECT 'predictions_binary', (SELECT count(*) FROM pred WHERE predicted NOT IN (0, 1)) = 0"""
+
+# ------------------------------------------------------------------ quality / EDA
+ORACLE["eda_counts"] = f"""WITH {TRAFFIC_CTE}
+SELECT CASE WHEN GROUPING(device_id) = 1 THEN 'ALL' ELSE CAST(device_id AS VARCHAR) END AS device_id,
+       CASE WHEN GROUPING(binary_label) = 1 THEN 'ALL' ELSE binary_label END AS binary_label,
+       GROUPING_ID(device_id, binary_label) AS level, count(*) AS n
+FROM traffic GROUP BY GROUPING SETS ((), (device_id), (binary_label), (device_id, binary_label))"""
+
+ORACLE["eda_features"] = f"WITH {TRAFFIC_CTE}\n" + " UNION ALL ".join(
+    f"SELECT '{f}' AS feature, count({f}) AS n, count(*) FILTER (WHERE {f} IS NULL) AS n_null, "
+    f"round(avg(CAST({f} AS DOUBLE)), 6) AS mean, round(stddev_samp(CAST({f} AS DOUBLE)), 6) AS std, "
+    f"round(min(CAST({f} AS DOUBLE)), 6) AS min, round(max(CAST({f} AS DOUBLE)), 6) AS max FROM traffic" for f in FEATS)
+
+ORACLE["quality"] = f"WITH {TRAFFIC_CTE}\n" + " UNION ALL ".join(
+    f"SELECT '{f}' AS feature, count(*) FILTER (WHERE {f} IS NULL) AS n_null, "
+    f"count(*) FILTER (WHERE isnan(CAST({f} AS DOUBLE))) AS n_nan, "
+    f"count(*) FILTER (WHERE isinf(CAST({f} AS DOUBLE))) AS n_inf FROM traffic" for f in FEATS)
+
+ORACLE["duplicates"] = """WITH g AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, count(*) AS n
+           FROM lineitem GROUP BY ALL)
+SELECT CAST(sum(n) AS BIGINT) AS rows, count(*) AS distinct_rows, count(*) FILTER (WHERE n > 1) AS duplicate_groups,
+       CAST(coalesce(sum(n - 1) FILTER (WHERE n > 1), 0) AS BIGINT) AS surplus_rows FROM g"""
+
+ORACLE["regex_timing"] = r"""SELECT doc_id,
+       TRY_CAST(nullif(regexp_extract(text, 'Version ([0-9]+(\.[0-9]+)?)', 1), '') AS DOUBLE) AS license_version,
+       TRY_CAST(nullif(regexp_extract(text, '([0-9]+(\.[0-9]+)?)', 1), '') AS DOUBLE) AS first_number,
+       CAST(len(regexp_extract_all(text, '[0-9]+')) AS BIGINT) AS n_numbers
+FROM documents"""
+
+ORACLE["row_expectation"] = f"""WITH {ORDERED_CTE},
+  e AS (SELECT source_file, count(*) AS expected_rows FROM traffic GROUP BY 1),
+  o AS (SELECT source_file, count(*) AS total_rows, count(*) FILTER (WHERE split = 'train') AS train_rows
+        FROM osplit GROUP BY 1)
+SELECT coalesce(e.source_file, o.source_file) AS source_file, expected_rows, total_rows AS observed_rows,
+       CAST(floor(expected_rows * 0.8::DOUBLE) AS BIGINT) AS expected_train, train_rows AS observed_train,
+       expected_rows = total_rows AND CAST(floor(expected_rows * 0.8::DOUBLE) AS BIGINT) = train_rows AS ok
+FROM e FULL OUTER JOIN o ON e.source_file = o.source_file"""
+
+
+def _stats_cols(src_feats: list[str]) -> str:
+    cols = []
+    for i, f in enumerate(src_feats):
+        x = f"CAST({f} AS DOUBLE)"
+        for c in (0, 1):
+            cols.append(f"coalesce(sum({x}) FILTER (WHERE binary_target = {c}), 0.0) AS s{c}_{i}, "
+                        f"coalesce(sum({x} * {x}) FILTER (WHERE binary_target = {c}), 0.0) AS q{c}_{i}")
+    return ", ".join(cols)
+
+
+def _importance_sql() -> str:
+    n = "(CAST(n0 AS DOUBLE) + CAST(n1 AS DOUBLE))"
+    s = "(s0 + s1)"
+    q = "(q0 + q1)"
+    mean = f"({s} / {n})"
+    t0 = f"(CASE WHEN n0 > 0 THEN n0 * (s0 / n0 - {mean}) * (s0 / n0 - {mean}) ELSE 0.0 END)"
+    t1 = f"(CASE WHEN n1 > 0 THEN n1 * (s1 / n1 - {mean}) * (s1 / n1 - {mean}) ELSE 0.0 END)"
+    var_n = f"({q} - {s} * {s} / {n})"
+    return f"CASE WHEN {var_n} > 0 THEN ({t0} + {t1}) / {var_n} ELSE 0.0 END"
+
+
+def _long_stats(src: str, group: str = "") -> str:
+    g = f"{group}, " if group else ""
+    return " UNION ALL ".join(
+        f"SELECT {g}'{f}' AS feature, {i} AS source_column_index, n0, n1, s0_{i} AS s0, s1_{i} AS s1, "
+        f"q0_{i} AS q0, q1_{i} AS q1 FROM {src}" for i, f in enumerate(FEATS))
+
+
+RANK_CTE = SPLIT_CTE + f""",
+  cs AS (SELECT count(*) FILTER (WHERE binary_target = 0) AS n0, count(*) FILTER (WHERE binary_target = 1) AS n1,
+                {_stats_cols(FEATS)} FROM tsplit WHERE split = 'train'),
+  ls AS ({_long_stats('cs')}),
+  imp AS (SELECT feature, source_column_index, {_importance_sql()} AS importance FROM ls),
+  ranked AS (SELECT *, CAST(row_number() OVER (ORDER BY importance DESC, source_column_index) AS INTEGER) AS rank FROM imp)
+"""
+
+ORACLE["feature_rank"] = f"""WITH {RANK_CTE}
+SELECT rank, feature, round(importance, 6) AS importance, source_column_index, rank <= 2 AS selected FROM ranked"""
+
+ORACLE["feature_sets"] = f"""WITH {RANK_CTE},
+  sel AS (SELECT * FROM ranked WHERE rank <= 2),
+  lists AS (SELECT list(feature ORDER BY rank) AS by_rank, list(feature ORDER BY source_column_index) AS by_pos FROM sel)
+SELECT feature, rank, source_column_index,
+       CAST(row_number() OVER (ORDER BY source_column_index) - 1 AS INTEGER) AS model_position,
+       list_sort(by_rank) = list_sort(by_pos) AS same_set, by_rank = by_pos AS same_order
+FROM sel JOIN lists ON true"""
+
+ORACLE["select_top"] = f"""WITH {RANK_CTE},
+  trn AS (SELECT * FROM tsplit WHERE split = 'train'),
+  lng AS ({' UNION ALL '.join(f"SELECT row_key, '{f}' AS feature, CAST({f} AS DOUBLE) AS value FROM trn" for f in FEATS)})
+SELECT row_key, feature, round(value, 6) AS value FROM lng WHERE feature IN (SELECT feature FROM ranked WHERE rank <= 2)"""
+
+ORACLE["fold_stats"] = f"""WITH {LODO_CTE},
+  c AS ({counts_sql('fpred', group='fold')}),
+  m AS (SELECT fold, {metrics_cols_sql()} FROM c),
+  lng AS ({' UNION ALL '.join(f"SELECT fold, '{x}' AS metric, CAST({x} AS DOUBLE) AS value FROM m"
+                             for x in ['accuracy', 'precision', 'recall', 'f1', 'benign_recall', 'macro_f1'])})
+SELECT metric, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, round(min(value), 6) AS min,
+       round(max(value), 6) AS max FROM lng GROUP BY metric"""
+
+FOLD_RANK_CTE = TRAFFIC_CTE + f""",
+  pg AS (SELECT device_id AS fold, count(*) FILTER (WHERE binary_target = 0) AS n0,
+                count(*) FILTER (WHERE binary_target = 1) AS n1, {_stats_cols(FEATS)} FROM traffic GROUP BY device_id),
+  lpg AS ({_long_stats('pg', 'fold')}),
+  tot AS (SELECT feature, source_column_index, sum(n0) AS tn0, sum(n1) AS tn1, sum(s0) AS ts0, sum(s1) AS ts1,
+                 sum(q0) AS tq0, sum(q1) AS tq1 FROM lpg GROUP BY ALL),
+  rest AS (SELECT lpg.fold, feature, source_column_index, tn0 - n0 AS n0, tn1 - n1 AS n1, ts0 - s0 AS s0,
+                  ts1 - s1 AS s1, tq0 - q0 AS q0, tq1 - q1 AS q1 FROM lpg JOIN tot USING (feature, source_column_index)),
+  fimp AS (SELECT fold, feature, source_column_index, {_importance_sql()} AS importance FROM rest),
+  fr AS (SELECT *, CAST(row_number() OVER (PARTITION BY fold ORDER BY importance DESC, source_column_index) AS INTEGER)
+                   AS rank FROM fimp)
+"""
+
+ORACLE["feature_stability"] = f"""WITH {FOLD_RANK_CTE}
+SELECT feature, count(DISTINCT fold) AS folds_selected, round(avg(rank), 6) AS mean_rank, min(rank) AS best_rank,
+       max(rank) AS worst_rank FROM fr WHERE rank <= 2 GROUP BY feature"""
+
+ORACLE["rank_pivot"] = f"""WITH {FOLD_RANK_CTE},
+  top AS (SELECT rank, CAST(fold AS VARCHAR) AS fold, feature FROM fr WHERE rank <= 2)
+PIVOT top ON fold USING first(feature) GROUP BY rank"""
+
+ORACLE["union_sources"] = f"""WITH {SPLIT_CTE},
+  u AS (SELECT * FROM tsplit WHERE split = 'train' UNION ALL BY NAME SELECT * FROM tsplit WHERE split = 'test'),
+  a AS (SELECT source_file, count(*) AS union_rows FROM u GROUP BY 1),
+  b AS (SELECT source_file, count(*) AS input_rows FROM traffic GROUP BY 1)
+SELECT coalesce(a.source_file, b.source_file) AS source_file, union_rows, input_rows, union_rows = input_rows AS equal
+FROM a FULL OUTER JOIN b ON a.source_file = b.source_file"""
+
+ORACLE["nonfinite_null"] = """SELECT l_orderkey, l_linenumber,
+       round(CASE WHEN isnan(pow(l_discount, -1.0)) OR isinf(pow(l_discount, -1.0)) THEN NULL
+                  ELSE pow(l_discount, -1.0) END, 6) AS inv_discount,
+       round(CASE WHEN isnan(sqrt(l_tax - 0.04::DOUBLE)) OR isinf(sqrt(l_tax - 0.04::DOUBLE)) THEN NULL
+                  ELSE sqrt(l_tax - 0.04::DOUBLE) END, 6) AS sqrt_tax
+FROM lineitem"""
+
+ORACLE["list_strings"] = f"""WITH {TRAFFIC_CTE},
+  d AS (SELECT DISTINCT device_id FROM traffic),
+  a AS (SELECT list(device_id ORDER BY device_id) AS alld FROM d),
+  s AS (SELECT device_id, array_to_string(list_filter(alld, lambda x: x <> device_id), ' ') AS train_devices FROM d JOIN a ON true)
+SELECT device_id, train_devices, CAST(len(string_split(train_devices, ' ')) AS INTEGER) AS n_train_devices FROM s"""
