@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from flowlab.functions.exprs import nonfinite_to_null, pct_of_total, r6
 from flowlab.operators import features as feat
+from flowlab.plans import experiments as exp
 from flowlab.operators import knn
 from flowlab.operators import label as lab
 from flowlab.operators import metrics as met
@@ -589,6 +590,48 @@ def q_list_strings(spark, sf_dir):
                     F.size(F.split(s, " ")).alias("n_train_devices"))
 
 
+# ------------------------------------------------------------------ models (rows-only checks)
+# Forest size for the 9-fold plans (9 and 18 fits): smaller than the 100-tree default to bound
+# the cost of the registered check; pass numTrees/maxDepth to the plan functions to change it.
+FOLD_RF = dict(numTrees=20, maxDepth=12)
+
+def q_rf_importance(spark, sf_dir):
+    """M1 + M3 + W1: forest impurity importances of the traffic features (train split)."""
+    train = traffic_split(spark, sf_dir).filter(F.col("split") == sp.TRAIN)
+    return exp.rf_importance(train, TRAFFIC_FEATURES)
+
+
+def q_rf_three_config(spark, sf_dir):
+    """M7 (+ M1, M2, M4, M5): all features / top-2 / top-2 + scaling + SMOTE, forest metrics each."""
+    s = traffic_split(spark, sf_dir).cache()
+    return exp.three_config(s.filter(F.col("split") == sp.TRAIN), s.filter(F.col("split") == sp.TEST),
+                            TRAFFIC_FEATURES, TOP_N, SEED)
+
+
+def q_lodo_rf(spark, sf_dir):
+    """M8: leave-one-device-out forests on all four features."""
+    return exp.lodo_rf(traffic(spark, sf_dir), TRAFFIC_FEATURES, "device_id", **FOLD_RF)
+
+
+def q_nested_lodo(spark, sf_dir):
+    """M9 + V5: leak-free leave-one-device-out with a per-fold selector forest (top 2)."""
+    return exp.nested_lodo(traffic(spark, sf_dir), TRAFFIC_FEATURES, TOP_N, "device_id", **FOLD_RF)
+
+
+def q_other_models(spark, sf_dir):
+    """Logistic regression, linear SVM, GBT and MLP on the stratified split."""
+    s = traffic_split(spark, sf_dir).cache()
+    return exp.other_models(s.filter(F.col("split") == sp.TRAIN), s.filter(F.col("split") == sp.TEST),
+                            TRAFFIC_FEATURES, SEED)
+
+
+# ------------------------------------------------------------------ streaming
+def q_stream_counts(spark, sf_dir):
+    """Structured-streaming labeling of the events files with running counts per device and label."""
+    from flowlab.streaming.label_stream import run_label_stream
+    return run_label_stream(spark, sf_dir)
+
+
 # ------------------------------------------------------------------ registry
 QUERIES = {
     "label_events": q_label_events,
@@ -643,6 +686,12 @@ QUERIES = {
     "union_sources": q_union_sources,
     "nonfinite_null": q_nonfinite_null,
     "list_strings": q_list_strings,
+    "rf_importance": q_rf_importance,
+    "rf_three_config": q_rf_three_config,
+    "lodo_rf": q_lodo_rf,
+    "nested_lodo": q_nested_lodo,
+    "other_models": q_other_models,
+    "stream_counts": q_stream_counts,
 }
 
 FLAGSHIP = q_binary_metrics

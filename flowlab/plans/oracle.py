@@ -657,3 +657,6 @@ ORACLE["list_strings"] = f"""WITH {TRAFFIC_CTE},
   a AS (SELECT list(device_id ORDER BY device_id) AS alld FROM d),
   s AS (SELECT device_id, array_to_string(list_filter(alld, lambda x: x <> device_id), ' ') AS train_devices FROM d JOIN a ON true)
 SELECT device_id, train_devices, CAST(len(string_split(train_devices, ' ')) AS INTEGER) AS n_train_devices FROM s"""
+
+ORACLE["stream_counts"] = f"""WITH {TRAFFIC_CTE}
+SELECT device_id, binary_label, count(*) AS n FROM traffic GROUP BY ALL"""
