@@ -446,6 +446,22 @@ def q_run_checks(spark, sf_dir):
     return reduce(DataFrame.unionByName, parts)
 
 
+def q_cross_run_checks(spark, sf_dir):
+    """V2: checks across the run table: equal run counts and run ids per experiment, no missing metric."""
+    r = run_table(spark, sf_dir)
+    per = r.groupBy("experiment").agg(
+        F.count(F.lit(1)).alias("runs"),
+        F.xxhash64(F.array_sort(F.collect_set("run_id"))).alias("run_set"),
+        F.count_if(reduce(lambda a, b: a | b, [F.col(m).isNull() for m in RUN_METRICS])).alias("missing"))
+    named = {
+        "same_run_count": F.count_distinct("runs") == 1,
+        "same_run_ids": F.count_distinct("run_set") == 1,
+        "no_missing_metrics": F.sum("missing") == 0,
+        "several_experiments": F.count(F.lit(1)) > 1,
+    }
+    return qual.checks_table(named, per)
+
+
 # ------------------------------------------------------------------ quality / EDA
 def q_eda_counts(spark, sf_dir):
     """GROUPING SETS ((), (device), (label), (device, label)) row counts."""
@@ -671,6 +687,7 @@ QUERIES = {
     "summary_table": q_summary_table,
     "experiment_table": q_experiment_table,
     "run_checks": q_run_checks,
+    "cross_run_checks": q_cross_run_checks,
     "eda_counts": q_eda_counts,
     "eda_features": q_eda_features,
     "quality": q_quality,

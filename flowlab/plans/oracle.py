@@ -660,3 +660,12 @@ SELECT device_id, train_devices, CAST(len(string_split(train_devices, ' ')) AS I
 
 ORACLE["stream_counts"] = f"""WITH {TRAFFIC_CTE}
 SELECT device_id, binary_label, count(*) AS n FROM traffic GROUP BY ALL"""
+
+ORACLE["cross_run_checks"] = f"""WITH {RUNS_CTE},
+  per AS (SELECT experiment, count(*) AS runs, list_sort(list(DISTINCT run_id)) AS run_set,
+                 count(*) FILTER (WHERE {' OR '.join(f'{m} IS NULL' for m in RUN_METRICS)}) AS missing
+          FROM runs GROUP BY experiment)
+SELECT 'same_run_count' AS check, count(DISTINCT runs) = 1 AS passed FROM per
+UNION ALL SELECT 'same_run_ids', count(DISTINCT run_set) = 1 FROM per
+UNION ALL SELECT 'no_missing_metrics', sum(missing) = 0 FROM per
+UNION ALL SELECT 'several_experiments', count(*) > 1 FROM per"""
