@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowlab.operators.label import label_traffic
+from flowlab.operators.position import positions_within
 
 # Fixed file-name pattern of device traffic files: first dot token is digits.
 DEVICE_FILE_GLOB = "[0-9]*.*.csv"
@@ -63,20 +64,28 @@ def rename_map(spark: SparkSession, columns: list[str]) -> DataFrame:
 
 
 def scan_traffic(spark: SparkSession, directory: str, features: list[str],
-                 glob: str = DEVICE_FILE_GLOB) -> DataFrame:
+                 glob: str = DEVICE_FILE_GLOB, with_position: bool = False) -> DataFrame:
     """S1 + S2 + S3 + P1-P3: one typed scan of every device file, labeled from its file name.
 
     Files not matching the device pattern (metadata CSVs) are skipped by the
     glob. Input splits bound the memory per task (the chunked read of the
-    reference). ``row_pos`` is the position of the row inside its file.
+    reference). With ``with_position`` every row gets ``row_pos``, its 0-based
+    line position inside its file (capture order, needed by the ordered split):
+    rows are numbered in read order inside each input split and the splits of a
+    file are ordered by their byte offset, so the pair (split start, read index)
+    orders a file's rows; :func:`positions_within` turns it into positions
+    without putting a whole file in one task.
     """
     schema = feature_schema(features)
     raw = (spark.read.schema(schema).option("header", True).option("pathGlobFilter", glob)
            .option("ignoreLeadingWhiteSpace", True).csv(directory))
     named = raw.select(*[F.col(f"`{c}`").alias(safe_name(c)) for c in features],
                        F.col("_metadata.file_name").alias("source_file"),
-                       F.col("_metadata.file_block_start").alias("_block"))
-    return label_traffic(named).drop("_block")
+                       F.col("_metadata.file_block_start").alias("_block"),
+                       F.monotonically_increasing_id().alias("_read"))
+    if with_position:
+        named = positions_within(named, ["source_file"], ["_block", "_read"], pos_col="row_pos")
+    return label_traffic(named).drop("_block", "_read")
 
 
 def read_features_target(df: DataFrame, features: list[str], target: str = "binary_target") -> DataFrame:

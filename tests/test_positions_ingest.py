@@ -70,3 +70,42 @@ def test_run_record_json_roundtrip(spark):
     df = ingest.read_run_records(spark, d).cache()
     assert df.filter(F.col("model") == "rf").filter(F.col("fit_seconds").isNull()).count() == 1
     assert "_corrupt_record" in df.columns and df.filter(F.col("_corrupt_record").isNotNull()).count() == 1
+
+
+def test_scan_positions_follow_file_order_and_sinks(spark):
+    from flowlab.operators import split as sp
+
+    d = tempfile.mkdtemp(prefix="flowlab-order-")
+    sizes = {"1.benign.csv": 5, "1.mirai.ack.csv": 11, "2.gafgyt.tcp.csv": 4}
+    for name, n in sizes.items():
+        with open(os.path.join(d, name), "w") as fh:
+            fh.write("x,y\n" + "".join(f"{i},{100 - i}\n" for i in range(n)))
+    df = ingest.scan_traffic(spark, d, ["x", "y"], with_position=True).cache()
+    assert df.filter(F.col("row_pos") != F.col("x").cast("long")).count() == 0  # x holds the line index
+    s = sp.ordered_split(df.withColumn("row_key", F.monotonically_increasing_id()), "source_file", ["row_pos"], 0.8)
+    got = {r.source_file: r.train_rows for r in sp.source_split_summary(s).collect()}
+    assert got == {"1.benign.csv": 4, "1.mirai.ack.csv": 8, "2.gafgyt.tcp.csv": 3}
+    out = tempfile.mkdtemp(prefix="flowlab-sink-")
+    ingest.write_labeled(df, out + "/labeled")
+    back = spark.read.parquet(out + "/labeled")
+    assert {r.device_id: r["count"] for r in back.groupBy("device_id").count().collect()} == {1: 16, 2: 4}
+    ingest.write_split(s, out + "/split")
+    assert spark.read.parquet(out + "/split").filter(F.col("split") == "test").count() == 5
+    ingest.write_result_csv(sp.source_split_summary(s), out + "/summary")
+    assert spark.read.option("header", True).csv(out + "/summary").count() == 3
+
+
+def test_scan_positions_across_input_splits(spark):
+    d = tempfile.mkdtemp(prefix="flowlab-splits-")
+    with open(os.path.join(d, "3.mirai.syn.csv"), "w") as fh:
+        fh.write("x,y\n" + "".join(f"{i},{i % 7}\n" for i in range(3000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+    try:
+        raw = ingest.scan_traffic(spark, d, ["x", "y"], with_position=False)
+        assert raw.rdd.getNumPartitions() > 5
+        df = ingest.scan_traffic(spark, d, ["x", "y"], with_position=True)
+        assert df.filter(F.col("row_pos") != F.col("x").cast("long")).count() == 0
+        assert df.count() == 3000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
