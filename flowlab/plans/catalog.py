@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from flowlab.functions.exprs import nonfinite_to_null, pct_of_total, r6
 from flowlab.operators import features as feat
 from flowlab.plans import experiments as exp
+from flowlab.operators import iforest
 from flowlab.operators import knn
 from flowlab.operators import label as lab
 from flowlab.operators import metrics as met
@@ -641,6 +642,16 @@ def q_other_models(spark, sf_dir):
                             TRAFFIC_FEATURES, SEED)
 
 
+def q_isolation_forest(spark, sf_dir):
+    """Isolation forest per device fitted on benign rows (100 trees, 256 samples), every row scored."""
+    t = traffic(spark, sf_dir).cache()
+    forest = iforest.fit_isolation_forest(t.filter(F.col("binary_target") == 0), TRAFFIC_FEATURES, "row_key",
+                                          "device_id", n_trees=100, psi=256, seed=SEED)
+    scored = iforest.score_isolation_forest(t, forest, TRAFFIC_FEATURES, "row_key", "device_id", psi=256)
+    return scored.join(t.select("row_key", "binary_target"), "row_key").select(
+        "row_key", "device_id", "binary_target", r6("mean_path").alias("mean_path"), r6("score").alias("score"))
+
+
 # ------------------------------------------------------------------ streaming
 def q_stream_counts(spark, sf_dir):
     """Structured-streaming labeling of the events files with running counts per device and label."""
@@ -709,6 +720,7 @@ QUERIES = {
     "nested_lodo": q_nested_lodo,
     "other_models": q_other_models,
     "stream_counts": q_stream_counts,
+    "isolation_forest": q_isolation_forest,
 }
 
 FLAGSHIP = q_binary_metrics
