@@ -1,13 +1,14 @@
 """Exact k-nearest-neighbour join (J9), distance-weighted kNN classifier (M6), LOF.
 
 Block nested loop join: query rows are hashed into ``Bq`` blocks and reference
-rows into ``Br`` blocks (block sizes from counts, ~4k rows). Every query row is
+rows into ``Br`` blocks (counts from :func:`plan_blocks`: blocks up to 8k query
+and 64k reference rows, smaller only to give every core work). Every query row is
 replicated to the ``Br`` reference blocks of its block row and every reference
 row to the ``Bq`` query blocks, so each (query block, reference block) pair
-meets in exactly one cogroup. A cogrouped ``applyInPandas`` computes the
-distance tile with one NumPy matrix product, keeps the k best candidates per
-query (plus every candidate within rounding reach of the k-th), recomputes
-those distances exactly from differences, and emits them. A second step keyed
+meets in exactly one cogroup. A cogrouped ``applyInPandas`` walks the pair in 4k x 4k
+tiles: one NumPy matrix product per tile, the k best candidates per query
+(plus every candidate within rounding reach of the k-th) recomputed exactly
+from differences, then the k best of the block pair are emitted. A second step keyed
 by query id keeps the k best over all reference blocks, ties broken by
 (distance, reference id). Groups are bounded by the block size, so no group
 grows with the data and no single hot key exists (ids are hashed).
@@ -26,19 +27,10 @@ from pyspark.sql import types as T
 DEFAULT_BLOCK_ROWS = 4096
 
 
-def _kernel(features: list[str], k: int, exclude_self: bool, carry: list[str]):
+def _kernel(features: list[str], k: int, exclude_self: bool, carry: list[str], tile: int):
     d = len(features)
 
-    def fn(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        cols = ["qid", "rid", "dist", *carry]
-        if q.empty or r.empty:
-            return pd.DataFrame({c: pd.Series(dtype="float64") for c in cols}).astype({"qid": "int64", "rid": "int64"})
-        Q = q[features].to_numpy(dtype=np.float64)
-        R = r[features].to_numpy(dtype=np.float64)
-        qid = q["_qid"].to_numpy(dtype=np.int64)
-        rid = r["_rid"].to_numpy(dtype=np.int64)
-        qn = np.einsum("ij,ij->i", Q, Q)
-        rn = np.einsum("ij,ij->i", R, R)
+    def candidates(Q, qn, qid, R, rn, rid):
         d2 = qn[:, None] + rn[None, :] - 2.0 * (Q @ R.T)
         if exclude_self:
             d2[qid[:, None] == rid[None, :]] = np.inf
@@ -54,16 +46,55 @@ def _kernel(features: list[str], k: int, exclude_self: bool, carry: list[str]):
         for f in range(d):  # exact, sequential sum of squared differences
             diff = Q[qi, f] - R[rj, f]
             acc += diff * diff
-        out = pd.DataFrame({"qid": qid[qi], "rid": rid[rj], "dist": np.sqrt(acc)})
-        for c in carry:
-            out[c] = r[c].to_numpy()[rj]
+        return qi, rj, acc
+
+    def fn(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        cols = ["qid", "rid", "dist", *carry]
+        if q.empty or r.empty:
+            return pd.DataFrame({c: pd.Series(dtype="float64") for c in cols}).astype({"qid": "int64", "rid": "int64"})
+        Q = q[features].to_numpy(dtype=np.float64)
+        R = r[features].to_numpy(dtype=np.float64)
+        qid = q["_qid"].to_numpy(dtype=np.int64)
+        rid = r["_rid"].to_numpy(dtype=np.int64)
+        qn = np.einsum("ij,ij->i", Q, Q)
+        rn = np.einsum("ij,ij->i", R, R)
+        parts = []
+        # The reference block is walked in tiles; each tile keeps k candidates per query,
+        # so memory stays at one (query tile x reference tile) distance matrix.
+        for q0 in range(0, Q.shape[0], tile):
+            qs = slice(q0, q0 + tile)
+            for r0 in range(0, R.shape[0], tile):
+                rs = slice(r0, r0 + tile)
+                qi, rj, acc = candidates(Q[qs], qn[qs], qid[qs], R[rs], rn[rs], rid[rs])
+                part = pd.DataFrame({"qid": qid[qs][qi], "rid": rid[rs][rj], "dist": np.sqrt(acc)})
+                for c in carry:
+                    part[c] = r[c].to_numpy()[rs][rj]
+                parts.append(part)
+        out = pd.concat(parts, ignore_index=True)
         out = out.sort_values(["qid", "dist", "rid"], kind="mergesort")
-        out = out.groupby("qid", sort=False).head(kk)
+        out = out.groupby("qid", sort=False).head(min(k, R.shape[0]))
         return out[cols]
 
     return fn
 
 
+def plan_blocks(nq: int, nr: int, parallelism: int, q_block_rows: int = 8192, r_block_rows: int = 65536,
+                tile: int = DEFAULT_BLOCK_ROWS) -> tuple[int, int]:
+    """Block counts (Bq, Br): blocks as large as allowed (less replication: nq*Br + nr*Bq rows),
+    halved until there are at least 2 x parallelism block pairs or the blocks reach one tile."""
+    qb, rb = q_block_rows, r_block_rows
+    while True:
+        bq, br = max(1, math.ceil(nq / qb)), max(1, math.ceil(nr / rb))
+        if bq * br >= 2 * parallelism or (qb <= tile and rb <= tile):
+            return bq, br
+        if rb >= qb and rb > tile:
+            rb //= 2
+        elif qb > tile:
+            qb //= 2
+        else:
+            rb //= 2
+
+
 def knn_join(queries: DataFrame, refs: DataFrame, features: list[str], k: int = 5,
              q_key: str = "row_key", r_key: str = "row_key", exclude_self: bool = False,
              carry: list[str] | None = None, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
@@ -76,8 +107,9 @@ def knn_join(queries: DataFrame, refs: DataFrame, features: list[str], k: int =
     carry = carry or []
     nq = queries.count()
     nr = refs.count()
-    bq = max(1, math.ceil(nq / block_rows))
-    br = max(1, math.ceil(nr / block_rows))
+    par = queries.sparkSession.sparkContext.defaultParallelism
+    bq, br = plan_blocks(nq, nr, par, tile=block_rows) if block_rows >= DEFAULT_BLOCK_ROWS else (
+        max(1, math.ceil(nq / block_rows)), max(1, math.ceil(nr / block_rows)))
     q = queries.select(F.col(q_key).cast("bigint").alias("_qid"), *[F.col(f).cast("double").alias(f) for f in features])
     r = refs.select(F.col(r_key).cast("bigint").alias("_rid"), *[F.col(f).cast("double").alias(f) for f in features],
                     *[F.col(c) for c in carry])
@@ -88,8 +120,13 @@ def knn_join(queries: DataFrame, refs: DataFrame, features: list[str], k: int =
     carry_fields = [T.StructField(c, refs.schema[c].dataType) for c in carry]
     schema = T.StructType([T.StructField("qid", T.LongType()), T.StructField("rid", T.LongType()),
                            T.StructField("dist", T.DoubleType()), *carry_fields])
+    # One partition per block pair on both sides (an explicit count, so adaptive execution
+    # does not merge these small-but-CPU-heavy partitions); the cogroup reuses the partitioning.
+    n_pairs = bq * br
+    q = q.repartition(n_pairs, "_bq", "_br")
+    r = r.repartition(n_pairs, "_bq", "_br")
     cand = (q.groupBy("_bq", "_br").cogroup(r.groupBy("_bq", "_br"))
-            .applyInPandas(_kernel(features, k, exclude_self, carry), schema))
+            .applyInPandas(_kernel(features, k, exclude_self, carry, min(block_rows, DEFAULT_BLOCK_ROWS)), schema))
     w = Window.partitionBy("qid").orderBy("dist", "rid")
     return cand.withColumn("nn_rank", F.row_number().over(w)).filter(F.col("nn_rank") <= k)
 
