@@ -216,14 +216,15 @@ def _fold_knn(train: DataFrame, test: DataFrame) -> DataFrame:
 def lodo_fold_counts(spark, sf_dir) -> DataFrame:
     """M8 with 5-NN: per held-out device, scaler and references from the other devices only."""
     t = traffic(spark, sf_dir).cache()
-    folds = [r[0] for r in t.select("device_id").distinct().orderBy("device_id").collect()]
+    sizes = {r[0]: r[1] for r in t.groupBy("device_id").count().collect()}  # one row per device
+    total = sum(sizes.values())
     per = []
-    for d in folds:
+    for d in sorted(sizes, key=lambda v: (v is None, v)):
         train, test = sp.holdout_fold(t, "device_id", d)
         pred = _fold_knn(train, test)
         c = met.confusion_counts(pred, "binary_target", "predicted")
         per.append(c.select(F.lit(d).cast("int").alias("device_id"), "*",
-                            F.lit(train.count()).cast("bigint").alias("train_rows")))
+                            F.lit(total - sizes[d]).cast("bigint").alias("train_rows")))
     return reduce(DataFrame.unionByName, per)
 
 
