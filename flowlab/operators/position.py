@@ -23,7 +23,9 @@ _LOW33 = (1 << 33) - 1
 
 
 def positions_within(df: DataFrame, group_cols: list[str], order_cols: list[str],
-                     pos_col: str = "pos", n_partitions: int | None = None) -> DataFrame:
+                     pos_col: str = "pos", n_partitions: int | None = None,
+                     size_col: str | None = None) -> DataFrame:
+    """Add ``pos_col`` (0-based position in the group); with ``size_col`` also the group size."""
     spark = df.sparkSession
     n_parts = n_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [*group_cols, *order_cols]
@@ -39,8 +41,9 @@ def positions_within(df: DataFrame, group_cols: list[str], order_cols: list[str]
     stats = (tagged.groupBy("_pid", *group_cols)
              .agg(F.min("_i").alias("_i0"), F.count(F.lit(1)).alias("_n")))
     before = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    extra = [F.sum("_n").over(Window.partitionBy(*group_cols)).alias(size_col)] if size_col else []
     stats = stats.select("_pid", *group_cols, "_i0",
-                         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+                         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"), *extra)
     # At most (partitions + groups) rows: sorted ranges give each partition a run of groups.
     stats = broadcast_if_small(stats)
     return (tagged.join(stats, ["_pid", *group_cols])

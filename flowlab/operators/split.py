@@ -111,11 +111,9 @@ def ordered_split(df: DataFrame, group_col: str = "source_file", order_cols: lis
                   train_ratio: float = 0.8) -> DataFrame:
     """Per source, the first floor(n * ratio) rows in source order are train, the rest test."""
     order_cols = order_cols or ["ts", "row_key"]
-    pos = positions_within(df, [group_col], order_cols, pos_col="row_pos")
-    sizes = broadcast_if_small(df.groupBy(group_col).agg(F.count(F.lit(1)).alias("_n")))
+    pos = positions_within(df, [group_col], order_cols, pos_col="row_pos", size_col="_n")
     cut = F.floor(F.col("_n").cast("double") * F.lit(float(train_ratio)))
-    return (pos.join(sizes, group_col)
-            .withColumn("split", F.when(F.col("row_pos") < cut, F.lit(TRAIN)).otherwise(F.lit(TEST)))
+    return (pos.withColumn("split", F.when(F.col("row_pos") < cut, F.lit(TRAIN)).otherwise(F.lit(TEST)))
             .drop("_n"))
 
 

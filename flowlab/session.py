@@ -66,11 +66,13 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Dat
     """Broadcast ``df`` only if a count proves it has at most ``max_rows`` rows.
 
     Meant for aggregated side tables (cut points, per-group counts, parameter
-    rows). Above the bound the plain DataFrame is returned and Spark plans a
-    shuffle join instead.
+    rows). The table is checkpointed first, so its aggregation runs once for
+    both the size check and the join. Above the bound the (checkpointed)
+    DataFrame is returned without the hint and Spark plans a shuffle join.
     """
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
+    small = cut_lineage(df)  # computed once; the count and the join read the stored copy
+    n = small.count()
+    return F.broadcast(small) if n <= max_rows else small
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
