@@ -608,6 +608,28 @@ def q_list_strings(spark, sf_dir):
                     F.size(F.split(s, " ")).alias("n_train_devices"))
 
 
+def q_knn_three_config(spark, sf_dir):
+    """M7 with the kNN classifier: all features / top-2 / top-2 + SMOTE, train-only scaling, same split."""
+    ranked, _ = _train_rank(spark, sf_dir)
+    top = [r[0] for r in ranked.filter(F.col("selected")).orderBy("rank").select("feature").collect()]
+    sel = [f for f in TRAFFIC_FEATURES if f in set(top)]
+    data = scaled_traffic_split(spark, sf_dir).cache()
+    train = data.filter(F.col("split") == sp.TRAIN)
+    test = data.filter(F.col("split") == sp.TEST)
+    bal = smote_op.smote(train, sel, "binary_target", "row_key", K, SEED)
+    bal = bal.withColumn("row_key", F.coalesce(F.col("row_key"), -1 - F.col("syn_id"))).cache()
+    configs = [("all_features", TRAFFIC_FEATURES, train), (f"top{TOP_N}", sel, train),
+               (f"top{TOP_N}_smote", sel, bal)]
+    rows = []
+    for name, feats, refs in configs:
+        pred = knn.knn_classify(refs, test, feats, K, "binary_target", "row_key")
+        m = met.binary_metrics(pred, "binary_target", "predicted")
+        rows.append(m.select(F.lit(name).alias("config"), F.lit(len(feats)).alias("n_features"),
+                             F.lit(refs.count()).cast("bigint").alias("train_rows"), "tn", "fp", "fn", "tp",
+                             "accuracy", "precision", "recall", "f1", "macro_f1"))
+    return reduce(DataFrame.unionByName, rows)
+
+
 # ------------------------------------------------------------------ models (rows-only checks)
 # Forest size for the 9-fold plans (9 and 18 fits): smaller than the 100-tree default to bound
 # the cost of the registered check; pass numTrees/maxDepth to the plan functions to change it.
@@ -715,6 +737,7 @@ QUERIES = {
     "union_sources": q_union_sources,
     "nonfinite_null": q_nonfinite_null,
     "list_strings": q_list_strings,
+    "knn_three_config": q_knn_three_config,
     "rf_importance": q_rf_importance,
     "rf_three_config": q_rf_three_config,
     "lodo_rf": q_lodo_rf,

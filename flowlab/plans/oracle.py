@@ -585,13 +585,14 @@ def _long_stats(src: str, group: str = "") -> str:
         f"q0_{i} AS q0, q1_{i} AS q1 FROM {src}" for i, f in enumerate(FEATS))
 
 
-RANK_CTE = SPLIT_CTE + f""",
+RANK_PART = f"""
   cs AS (SELECT count(*) FILTER (WHERE binary_target = 0) AS n0, count(*) FILTER (WHERE binary_target = 1) AS n1,
                 {_stats_cols(FEATS)} FROM tsplit WHERE split = 'train'),
   ls AS ({_long_stats('cs')}),
   imp AS (SELECT feature, source_column_index, {_importance_sql()} AS importance FROM ls),
   ranked AS (SELECT *, CAST(row_number() OVER (ORDER BY importance DESC, source_column_index) AS INTEGER) AS rank FROM imp)
 """
+RANK_CTE = SPLIT_CTE + "," + RANK_PART
 
 ORACLE["feature_rank"] = f"""WITH {RANK_CTE}
 SELECT rank, feature, round(importance, 6) AS importance, source_column_index, rank <= 2 AS selected FROM ranked"""
@@ -669,3 +670,61 @@ SELECT 'same_run_count' AS check, count(DISTINCT runs) = 1 AS passed FROM per
 UNION ALL SELECT 'same_run_ids', count(DISTINCT run_set) = 1 FROM per
 UNION ALL SELECT 'no_missing_metrics', sum(missing) = 0 FROM per
 UNION ALL SELECT 'several_experiments', count(*) > 1 FROM per"""
+
+
+def wdist_sql(a: str, b: str, feats: list[str]) -> str:
+    """Distance over the selected features only: each squared term times its 0/1 weight from ``sel``."""
+    terms = [f"(sel.w_{f} * ((CAST({a}.{f} AS DOUBLE) - CAST({b}.{f} AS DOUBLE)) * "
+             f"(CAST({a}.{f} AS DOUBLE) - CAST({b}.{f} AS DOUBLE))))" for f in feats]
+    return "sqrt(" + " + ".join(terms) + ")"
+
+
+def _knn_metrics_sql(tag: str, refs: str, dist: str, config: str, n_feat: str) -> str:
+    v = vote_sql(f"nn_{tag}")
+    for name in ("v1", "v2", "v3", "v4"):
+        v = v.replace(f" {name} AS", f" {name}_{tag} AS").replace(f"FROM {name})", f"FROM {name}_{tag})")
+        v = v.replace(f"FROM {name} ", f"FROM {name}_{tag} ")
+    v = v.replace("vote AS", f"vote_{tag} AS")
+    return f"""
+  dd_{tag} AS (SELECT te.row_key AS qid, r.row_key AS rid, r.binary_target AS label, {dist} AS dist
+               FROM te JOIN {refs} r ON true JOIN sel ON true),
+  nn_{tag} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, rid) AS rk FROM dd_{tag})
+               WHERE rk <= 5),
+  {v},
+  pred_{tag} AS (SELECT te.binary_target AS actual, vote_{tag}.predicted FROM te LEFT JOIN vote_{tag}
+                 ON te.row_key = vote_{tag}.qid),
+  c_{tag} AS ({counts_sql(f'pred_{tag}')}),
+  m_{tag} AS (SELECT '{config}' AS config, {n_feat} AS n_features,
+                     CAST((SELECT count(*) FROM {refs}) AS BIGINT) AS train_rows, {metrics_cols_sql()} FROM c_{tag})"""
+
+
+THREE_CTE = scaled_cte("standard") + "," + RANK_PART + f""",
+  sel AS (SELECT {', '.join(f"max(CASE WHEN feature = '{f}' AND rank <= 2 THEN 1.0 ELSE 0.0 END) AS w_{f}" for f in FEATS)},
+                 CAST(count(*) FILTER (WHERE rank <= 2) AS INTEGER) AS n_sel FROM ranked),
+  te AS (SELECT * FROM scaled WHERE split = 'test'),
+  tr AS (SELECT * FROM scaled WHERE split = 'train'),
+  cnt AS (SELECT binary_target, count(*) AS n FROM tr GROUP BY 1),
+  mx AS (SELECT max(n) AS n_max FROM cnt),
+  mc AS (SELECT c.binary_target AS cls, c.n AS n_c, mx.n_max - c.n AS need FROM cnt c JOIN mx ON c.n < mx.n_max),
+  mino AS (SELECT tr.*, row_number() OVER (ORDER BY row_key) - 1 AS pos FROM tr JOIN mc ON tr.binary_target = mc.cls),
+  md AS (SELECT a.row_key AS qid, b.row_key AS rid, {wdist_sql('a', 'b', FEATS)} AS dist
+         FROM mino a JOIN mino b ON a.row_key <> b.row_key JOIN sel ON true),
+  mnn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, rid) AS rk FROM md) WHERE rk <= 5),
+  syn0 AS (SELECT unnest(range(need)) AS j, n_c, cls FROM mc),
+  syn AS (SELECT j, cls, CAST(floor({uniform_sql(SEED, "smote:' || cls || ':base", 'j')} * n_c * 5) AS BIGINT) AS r,
+                 {uniform_sql(SEED, "smote:' || cls || ':step", 'j')} AS step FROM syn0),
+  syn2 AS (SELECT j, cls, step, r // 5 AS pos, r % 5 + 1 AS nn_rank FROM syn),
+  made AS (SELECT -1 - s.j AS row_key, s.cls AS binary_target,
+                  {', '.join(f'b.{f} + s.step * (o.{f} - b.{f}) AS {f}' for f in FEATS)}
+           FROM syn2 s JOIN mino b ON b.pos = s.pos JOIN mnn ON mnn.qid = b.row_key AND mnn.rk = s.nn_rank
+           JOIN mino o ON o.row_key = mnn.rid),
+  bal AS (SELECT row_key, binary_target, {', '.join(FEATS)} FROM tr UNION ALL
+          SELECT row_key, binary_target, {', '.join(FEATS)} FROM made),""" + \
+    _knn_metrics_sql("all", "tr", dist_sql("te", "r", FEATS), "all_features", str(len(FEATS))) + "," + \
+    _knn_metrics_sql("top", "tr", wdist_sql("te", "r", FEATS), "top2", "(SELECT n_sel FROM sel)") + "," + \
+    _knn_metrics_sql("bal", "bal", wdist_sql("te", "r", FEATS), "top2_smote", "(SELECT n_sel FROM sel)") + "\n"
+
+ORACLE["knn_three_config"] = f"""WITH {THREE_CTE}
+SELECT config, n_features, train_rows, tn, fp, fn, tp, accuracy, precision, recall, f1, macro_f1 FROM m_all
+UNION ALL SELECT config, n_features, train_rows, tn, fp, fn, tp, accuracy, precision, recall, f1, macro_f1 FROM m_top
+UNION ALL SELECT config, n_features, train_rows, tn, fp, fn, tp, accuracy, precision, recall, f1, macro_f1 FROM m_bal"""
