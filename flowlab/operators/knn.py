@@ -97,16 +97,19 @@ def plan_blocks(nq: int, nr: int, parallelism: int, q_block_rows: int = 8192, r_
 
 def knn_join(queries: DataFrame, refs: DataFrame, features: list[str], k: int = 5,
              q_key: str = "row_key", r_key: str = "row_key", exclude_self: bool = False,
-             carry: list[str] | None = None, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+             carry: list[str] | None = None, block_rows: int = DEFAULT_BLOCK_ROWS,
+             sizes: tuple[int, int] | None = None) -> DataFrame:
     """Exact k nearest references per query (Euclidean). Returns qid, rid, dist, nn_rank, *carry.
 
+    ``sizes``: (query rows, reference rows) when the caller already knows them
+    (they only size the blocks), otherwise both sides are counted.
+
     ``carry``: numeric reference columns passed through (e.g. the class label).
     With ``exclude_self`` a query never matches the reference with the same id
     (self-join use, e.g. SMOTE neighbours).
     """
     carry = carry or []
-    nq = queries.count()
-    nr = refs.count()
+    nq, nr = sizes if sizes else (queries.count(), refs.count())
     par = queries.sparkSession.sparkContext.defaultParallelism
     bq, br = plan_blocks(nq, nr, par, tile=block_rows) if block_rows >= DEFAULT_BLOCK_ROWS else (
         max(1, math.ceil(nq / block_rows)), max(1, math.ceil(nr / block_rows)))
@@ -154,12 +157,13 @@ def weighted_vote(neigh: DataFrame, label_col: str = "label") -> DataFrame:
 
 def knn_classify(train: DataFrame, test: DataFrame, features: list[str], k: int = 5,
                  label_col: str = "binary_target", key_col: str = "row_key",
-                 block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+                 block_rows: int = DEFAULT_BLOCK_ROWS, sizes: tuple[int, int] | None = None) -> DataFrame:
     """M6: distance-weighted kNN prediction for every test row (train rows are the references).
 
     Returns the test rows with ``predicted`` and ``score`` columns.
     """
-    neigh = knn_join(test, train, features, k, key_col, key_col, carry=[label_col], block_rows=block_rows)
+    neigh = knn_join(test, train, features, k, key_col, key_col, carry=[label_col], block_rows=block_rows,
+                     sizes=sizes)
     votes = weighted_vote(neigh, label_col)
     return test.join(votes.withColumnRenamed("qid", key_col), key_col, "left")
 

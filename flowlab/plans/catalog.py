@@ -206,11 +206,11 @@ def q_classification_report(spark, sf_dir):
     return met.classification_report(pred, "class_label", "predicted").drop("label")
 
 
-def _fold_knn(train: DataFrame, test: DataFrame) -> DataFrame:
+def _fold_knn(train: DataFrame, test: DataFrame, sizes: tuple[int, int] | None = None) -> DataFrame:
     model = sc.fit_standard(train, TRAFFIC_FEATURES)
     tr = model.transform(sc.narrow_to_float(train, TRAFFIC_FEATURES))
     te = model.transform(sc.narrow_to_float(test, TRAFFIC_FEATURES))
-    return knn.knn_classify(tr, te, TRAFFIC_FEATURES, K, "binary_target", "row_key")
+    return knn.knn_classify(tr, te, TRAFFIC_FEATURES, K, "binary_target", "row_key", sizes=sizes)
 
 
 def lodo_fold_counts(spark, sf_dir) -> DataFrame:
@@ -221,7 +221,7 @@ def lodo_fold_counts(spark, sf_dir) -> DataFrame:
     per = []
     for d in sorted(sizes, key=lambda v: (v is None, v)):
         train, test = sp.holdout_fold(t, "device_id", d)
-        pred = _fold_knn(train, test)
+        pred = _fold_knn(train, test, sizes=(sizes[d], total - sizes[d]))
         c = met.confusion_counts(pred, "binary_target", "predicted")
         per.append(c.select(F.lit(d).cast("int").alias("device_id"), "*",
                             F.lit(total - sizes[d]).cast("bigint").alias("train_rows")))

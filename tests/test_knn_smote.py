@@ -88,3 +88,20 @@ def test_smote_minimum_class_size(spark):
     bad = bad.union(_frame(spark, X[:1] + 100, np.array([0]), start=50).withColumnRenamed("label", "binary_target"))
     with pytest.raises(ValueError):
         smote(bad, ["f0", "f1", "f2"], "binary_target", "row_key", k=5)  # class 1 has 5 rows, k=5
+
+
+def test_forest_independent_of_input_layout(spark):
+    from flowlab.operators import models
+
+    rng = np.random.default_rng(4)
+    X = rng.normal(size=(600, 3))
+    y = (X[:, 0] + 0.3 * rng.normal(size=600) > 0).astype(int)
+    base = _frame(spark, X, y).withColumnRenamed("label", "binary_target")
+    feats = ["f0", "f1", "f2"]
+    preds = []
+    for parts in (2, 7):
+        m = models.fit_random_forest(base.repartition(parts), feats, numTrees=10, maxDepth=6)
+        p = models.predict(m, base, feats).select("row_key", "predicted").toPandas().sort_values("row_key")
+        preds.append(p["predicted"].to_numpy())
+    assert np.array_equal(preds[0], preds[1])
+    assert (preds[0] == y).mean() > 0.9
