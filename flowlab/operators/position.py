@@ -60,7 +60,6 @@ def running_totals(df: DataFrame, order_col: str, value_cols: list[str], prefix:
     broadcast table of per-partition totals (one row per partition) supplies the
     offsets. Adds ``prefix + col`` = sum of the column over all rows ordered before.
     """
-    import pandas as pd
     from pyspark.sql import types as T
 
     spark = df.sparkSession
