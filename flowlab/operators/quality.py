@@ -76,3 +76,15 @@ def list_set_compare(a: Column, b: Column) -> dict[str, Column]:
         "same_set": (F.size(F.array_except(a, b)) == 0) & (F.size(F.array_except(b, a)) == 0),
         "a_subset_of_b": F.size(F.array_except(a, b)) == 0,
     }
+
+
+def eda_quantiles(df: DataFrame, features: list[str], probs: tuple[float, ...] = (0.25, 0.5, 0.75, 0.9),
+                  accuracy: int = 1_000_000) -> DataFrame:
+    """Per feature quantiles in one pass (bounded sketch; exact while rows <= accuracy)."""
+    wide = df.agg(*[F.percentile_approx(F.col(f).cast("double"), list(probs), accuracy).alias(f"p{i}")
+                    for i, f in enumerate(features)])
+    names = [f"q{int(round(p * 100))}" for p in probs]
+    parts = [wide.select(F.lit(f).alias("feature"),
+                         *[r6(F.col(f"p{i}")[j]).alias(n) for j, n in enumerate(names)])
+             for i, f in enumerate(features)]
+    return reduce(DataFrame.unionByName, parts)

@@ -475,6 +475,11 @@ def q_eda_features(spark, sf_dir):
     return qual.eda_features(traffic(spark, sf_dir), TRAFFIC_FEATURES)
 
 
+def q_eda_quantiles(spark, sf_dir):
+    """25/50/75/90 % quantiles of every traffic feature."""
+    return qual.eda_quantiles(traffic(spark, sf_dir), TRAFFIC_FEATURES)
+
+
 def q_quality(spark, sf_dir):
     """Per feature null / NaN / inf counts of the traffic features."""
     return qual.nonfinite_counts(traffic(spark, sf_dir), TRAFFIC_FEATURES)
@@ -724,6 +729,7 @@ QUERIES = {
     "cross_run_checks": q_cross_run_checks,
     "eda_counts": q_eda_counts,
     "eda_features": q_eda_features,
+    "eda_quantiles": q_eda_quantiles,
     "quality": q_quality,
     "duplicates": q_duplicates,
     "regex_timing": q_regex_timing,

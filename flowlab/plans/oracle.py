@@ -728,3 +728,8 @@ ORACLE["knn_three_config"] = f"""WITH {THREE_CTE}
 SELECT config, n_features, train_rows, tn, fp, fn, tp, accuracy, precision, recall, f1, macro_f1 FROM m_all
 UNION ALL SELECT config, n_features, train_rows, tn, fp, fn, tp, accuracy, precision, recall, f1, macro_f1 FROM m_top
 UNION ALL SELECT config, n_features, train_rows, tn, fp, fn, tp, accuracy, precision, recall, f1, macro_f1 FROM m_bal"""
+
+ORACLE["eda_quantiles"] = f"WITH {TRAFFIC_CTE}\n" + " UNION ALL ".join(
+    f"SELECT '{f}' AS feature, " + ", ".join(
+        f"round(quantile_disc(CAST({f} AS DOUBLE), {p}), 6) AS q{int(round(p * 100))}" for p in (0.25, 0.5, 0.75, 0.9))
+    + " FROM traffic" for f in FEATS)
