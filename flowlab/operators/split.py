@@ -117,6 +117,20 @@ def ordered_split(df: DataFrame, group_col: str = "source_file", order_cols: lis
             .drop("_n"))
 
 
+def ordered_split_by_position(df: DataFrame, group_col: str = "source_file", pos_col: str = "row_pos",
+                              train_ratio: float = 0.8) -> DataFrame:
+    """W3 when positions were stored at ingest: no sort, no window.
+
+    The split is a filter against per-source row counts: one aggregation whose
+    result has one row per source (size-checked broadcast) and one narrow pass.
+    """
+    sizes = broadcast_if_small(df.groupBy(group_col).agg(F.count(F.lit(1)).alias("_n")))
+    cut = F.floor(F.col("_n").cast("double") * F.lit(float(train_ratio)))
+    return (df.join(sizes, group_col)
+            .withColumn("split", F.when(F.col(pos_col) < cut, F.lit(TRAIN)).otherwise(F.lit(TEST)))
+            .drop("_n"))
+
+
 def source_split_summary(split_df: DataFrame, group_col: str = "source_file") -> DataFrame:
     """A4: per source total / train / test rows and its label."""
     return (split_df.groupBy(group_col)

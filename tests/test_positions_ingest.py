@@ -82,9 +82,13 @@ def test_scan_positions_follow_file_order_and_sinks(spark):
             fh.write("x,y\n" + "".join(f"{i},{100 - i}\n" for i in range(n)))
     df = ingest.scan_traffic(spark, d, ["x", "y"], with_position=True).cache()
     assert df.filter(F.col("row_pos") != F.col("x").cast("long")).count() == 0  # x holds the line index
-    s = sp.ordered_split(df.withColumn("row_key", F.monotonically_increasing_id()), "source_file", ["row_pos"], 0.8)
+    s = sp.ordered_split_by_position(df, "source_file", "row_pos", 0.8)
     got = {r.source_file: r.train_rows for r in sp.source_split_summary(s).collect()}
     assert got == {"1.benign.csv": 4, "1.mirai.ack.csv": 8, "2.gafgyt.tcp.csv": 3}
+    assert s.filter((F.col("split") == "train") != (F.col("x") < F.floor(F.lit(0.8) * F.when(
+        F.col("source_file") == "1.benign.csv", 5).when(F.col("source_file") == "1.mirai.ack.csv", 11).otherwise(4)))).count() == 0
+    s2 = sp.ordered_split(df.withColumn("row_key", F.monotonically_increasing_id()), "source_file", ["row_pos"], 0.8)
+    assert {r.source_file: r.train_rows for r in sp.source_split_summary(s2).collect()} == got
     out = tempfile.mkdtemp(prefix="flowlab-sink-")
     ingest.write_labeled(df, out + "/labeled")
     back = spark.read.parquet(out + "/labeled")
