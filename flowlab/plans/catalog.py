@@ -613,14 +613,17 @@ def q_list_strings(spark, sf_dir):
                     F.size(F.split(s, " ")).alias("n_train_devices"))
 
 
-def q_knn_three_config(spark, sf_dir):
-    """M7 with the kNN classifier: all features / top-2 / top-2 + SMOTE, train-only scaling, same split."""
-    ranked, _ = _train_rank(spark, sf_dir)
+def knn_three_config(train_raw: DataFrame, test_raw: DataFrame) -> DataFrame:
+    """M7 / M10 with the kNN classifier: all features / top-2 / top-2 + SMOTE.
+
+    Ranking, scaling and SMOTE are fitted on the train rows only; test rows are only transformed.
+    """
+    ranked = feat.rank_features(feat.feature_importance(train_raw, TRAFFIC_FEATURES, "binary_target"), top_n=TOP_N)
     top = [r[0] for r in ranked.filter(F.col("selected")).orderBy("rank").select("feature").collect()]
     sel = [f for f in TRAFFIC_FEATURES if f in set(top)]
-    data = scaled_traffic_split(spark, sf_dir).cache()
-    train = data.filter(F.col("split") == sp.TRAIN)
-    test = data.filter(F.col("split") == sp.TEST)
+    model = sc.fit_standard(train_raw, TRAFFIC_FEATURES)
+    train = model.transform(sc.narrow_to_float(train_raw, TRAFFIC_FEATURES)).cache()
+    test = model.transform(sc.narrow_to_float(test_raw, TRAFFIC_FEATURES))
     bal = smote_op.smote(train, sel, "binary_target", "row_key", K, SEED)
     bal = bal.withColumn("row_key", F.coalesce(F.col("row_key"), -1 - F.col("syn_id"))).cache()
     configs = [("all_features", TRAFFIC_FEATURES, train), (f"top{TOP_N}", sel, train),
@@ -635,6 +638,20 @@ def q_knn_three_config(spark, sf_dir):
     return reduce(DataFrame.unionByName, rows)
 
 
+def q_knn_three_config(spark, sf_dir):
+    """M7 with the kNN classifier on the stratified split: all features / top-2 / top-2 + SMOTE."""
+    split = traffic_split(spark, sf_dir).cache()
+    return knn_three_config(split.filter(F.col("split") == sp.TRAIN), split.filter(F.col("split") == sp.TEST))
+
+
+def q_transfer_three_config(spark, sf_dir):
+    """M10, three variants: train on device 1's ordered-train part, test on all of device 2."""
+    s = sp.ordered_split(traffic(spark, sf_dir), "source_file", ["ts", "row_key"], 0.8).cache()
+    train = s.filter((F.col("device_id") == 1) & (F.col("split") == sp.TRAIN))
+    test = s.filter(F.col("device_id") == 2)
+    return knn_three_config(train, test)
+
+
 # ------------------------------------------------------------------ models (rows-only checks)
 # Forest size for the 9-fold plans (9 and 18 fits): smaller than the 100-tree default to bound
 # the cost of the registered check; pass numTrees/maxDepth to the plan functions to change it.
@@ -744,6 +761,7 @@ QUERIES = {
     "nonfinite_null": q_nonfinite_null,
     "list_strings": q_list_strings,
     "knn_three_config": q_knn_three_config,
+    "transfer_three_config": q_transfer_three_config,
     "rf_importance": q_rf_importance,
     "rf_three_config": q_rf_three_config,
     "lodo_rf": q_lodo_rf,

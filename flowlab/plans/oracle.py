@@ -698,11 +698,21 @@ def _knn_metrics_sql(tag: str, refs: str, dist: str, config: str, n_feat: str) -
                      CAST((SELECT count(*) FROM {refs}) AS BIGINT) AS train_rows, {metrics_cols_sql()} FROM c_{tag})"""
 
 
-THREE_CTE = scaled_cte("standard") + "," + RANK_PART + f""",
+def three_config_cte(base_cte: str, train_cond: str, test_cond: str) -> str:
+    """kNN three-config experiment over ``src`` rows (defined by ``base_cte``) with train/test predicates."""
+    params = " UNION ALL ".join(
+        f"SELECT {i} AS position, avg(CAST({f} AS DOUBLE)) AS center, "
+        f"CASE WHEN coalesce(stddev_pop(CAST({f} AS DOUBLE)), 0) = 0 THEN 1.0 ELSE stddev_pop(CAST({f} AS DOUBLE)) END "
+        f"AS scale FROM src WHERE {train_cond}" for i, f in enumerate(FEATS))
+    zcols = ", ".join(f"(CAST({f} AS DOUBLE) - (SELECT center FROM params WHERE position = {i})) / "
+                      f"(SELECT scale FROM params WHERE position = {i}) AS {f}" for i, f in enumerate(FEATS))
+    rank_part = RANK_PART.replace("FROM tsplit WHERE split = 'train'", f"FROM src WHERE {train_cond}")
+    return base_cte + f""",
+  params AS ({params}),
+  te AS (SELECT row_key, binary_target, {zcols} FROM src WHERE {test_cond}),
+  tr AS (SELECT row_key, binary_target, {zcols} FROM src WHERE {train_cond}),""" + rank_part + f""",
   sel AS (SELECT {', '.join(f"max(CASE WHEN feature = '{f}' AND rank <= 2 THEN 1.0 ELSE 0.0 END) AS w_{f}" for f in FEATS)},
                  CAST(count(*) FILTER (WHERE rank <= 2) AS INTEGER) AS n_sel FROM ranked),
-  te AS (SELECT * FROM scaled WHERE split = 'test'),
-  tr AS (SELECT * FROM scaled WHERE split = 'train'),
   cnt AS (SELECT binary_target, count(*) AS n FROM tr GROUP BY 1),
   mx AS (SELECT max(n) AS n_max FROM cnt),
   mc AS (SELECT c.binary_target AS cls, c.n AS n_c, mx.n_max - c.n AS need FROM cnt c JOIN mx ON c.n < mx.n_max),
@@ -720,16 +730,19 @@ THREE_CTE = scaled_cte("standard") + "," + RANK_PART + f""",
            JOIN mino o ON o.row_key = mnn.rid),
   bal AS (SELECT row_key, binary_target, {', '.join(FEATS)} FROM tr UNION ALL
           SELECT row_key, binary_target, {', '.join(FEATS)} FROM made),""" + \
-    _knn_metrics_sql("all", "tr", dist_sql("te", "r", FEATS), "all_features", str(len(FEATS))) + "," + \
-    _knn_metrics_sql("top", "tr", wdist_sql("te", "r", FEATS), "top2", "(SELECT n_sel FROM sel)") + "," + \
-    _knn_metrics_sql("bal", "bal", wdist_sql("te", "r", FEATS), "top2_smote", "(SELECT n_sel FROM sel)") + "\n"
+        _knn_metrics_sql("all", "tr", dist_sql("te", "r", FEATS), "all_features", str(len(FEATS))) + "," + \
+        _knn_metrics_sql("top", "tr", wdist_sql("te", "r", FEATS), "top2", "(SELECT n_sel FROM sel)") + "," + \
+        _knn_metrics_sql("bal", "bal", wdist_sql("te", "r", FEATS), "top2_smote", "(SELECT n_sel FROM sel)") + "\n"
 
-ORACLE["knn_three_config"] = f"""WITH {THREE_CTE}
+
+THREE_SELECT = """
 SELECT config, n_features, train_rows, tn, fp, fn, tp, accuracy, precision, recall, f1, macro_f1 FROM m_all
 UNION ALL SELECT config, n_features, train_rows, tn, fp, fn, tp, accuracy, precision, recall, f1, macro_f1 FROM m_top
 UNION ALL SELECT config, n_features, train_rows, tn, fp, fn, tp, accuracy, precision, recall, f1, macro_f1 FROM m_bal"""
 
-ORACLE["eda_quantiles"] = f"WITH {TRAFFIC_CTE}\n" + " UNION ALL ".join(
-    f"SELECT '{f}' AS feature, " + ", ".join(
-        f"round(quantile_disc(CAST({f} AS DOUBLE), {p}), 6) AS q{int(round(p * 100))}" for p in (0.25, 0.5, 0.75, 0.9))
-    + " FROM traffic" for f in FEATS)
+ORACLE["knn_three_config"] = "WITH " + three_config_cte(SPLIT_CTE + ",\n  src AS (SELECT * FROM tsplit)",
+                                                       "split = 'train'", "split = 'test'") + THREE_SELECT
+
+ORACLE["transfer_three_config"] = "WITH " + three_config_cte(ORDERED_CTE + ",\n  src AS (SELECT * FROM osplit)",
+                                                            "device_id = 1 AND split = 'train'",
+                                                            "device_id = 2") + THREE_SELECT
