@@ -31,3 +31,12 @@ def test_query_matches_oracle(spark, name):
     assert sorted(sp.columns) == sorted(od.columns)
     assert len(sp) == len(od)
     assert digest(sp)[0] == digest(od)[0]
+
+
+def test_every_query_has_an_oracle_except_model_outputs():
+    import __spark_entry__ as E
+
+    rows_only = {"isolation_forest", "lodo_rf", "nested_lodo", "other_models", "rf_importance", "rf_three_config"}
+    q, o = E.queries(), E.oracle_sql()
+    assert set(q) - set(o) == rows_only
+    assert set(o) <= set(q)
