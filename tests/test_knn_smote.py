@@ -104,3 +104,19 @@ def test_forest_independent_of_input_layout(spark):
         preds.append(p["predicted"].to_numpy())
     assert np.array_equal(preds[0], preds[1])
     assert (preds[0] == y).mean() > 0.9
+
+
+@pytest.mark.parametrize("exclude_self", [False, True])
+def test_pruned_knn_equals_unpruned(spark, exclude_self):
+    rng = np.random.default_rng(9)
+    centers = rng.normal(scale=8.0, size=(6, 3))
+    R = np.vstack([c + rng.normal(size=(120, 3)) for c in centers])
+    R[:200] = np.round(R[:200])            # duplicates and exact ties inside one hot region
+    Q = R[::3] + (0 if exclude_self else 0.05)
+    feats = ["f0", "f1", "f2"]
+    refs = _frame(spark, R)
+    qs = refs if exclude_self else _frame(spark, Q, start=10_000)
+    a = knn.knn_join(qs, refs, feats, k=5, exclude_self=exclude_self, pruning=True, n_pivots=12).collect()
+    b = knn.knn_join(qs, refs, feats, k=5, exclude_self=exclude_self, pruning=False).collect()
+    key = lambda rows: sorted((r.qid, r.nn_rank, r.rid, round(r.dist, 12)) for r in rows)
+    assert key(a) == key(b)
