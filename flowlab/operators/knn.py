@@ -192,7 +192,7 @@ def _pruned_pairs(q: DataFrame, r: DataFrame, features: list[str], k: int, exclu
     a hot cell is still split over many tasks. Returns the keyed sides.
     """
     from flowlab.functions.rand import hash32
-    from flowlab.session import broadcast_if_small
+    from flowlab.session import broadcast_if_small, cut_lineage
 
     spark = q.sparkSession
     n_piv = int(min(nr, n_pivots or min(1024, max(16, nr // 512))))
@@ -200,7 +200,9 @@ def _pruned_pairs(q: DataFrame, r: DataFrame, features: list[str], k: int, exclu
                 .orderBy("_h", "_rid").limit(n_piv).select(*features).collect())  # P rows
     pivots = np.array([[float(x) for x in row] for row in piv_rows], dtype=np.float64)
     need = k + (1 if exclude_self else 0)
-    ra = _assign_cells(r, features, pivots)
+    # read three times below (cell stats, nearest members, the join): assigned once, kept in the
+    # shared checkpoint folder
+    ra = cut_lineage(_assign_cells(r, features, pivots))
     stats = ra.groupBy("_cell").agg(F.count(F.lit(1)).alias("n"), F.max("_pd").alias("rad")).collect()  # <= P rows
     # the `need` smallest member-to-pivot distances of every cell: top-k inside each partition,
     # then a merge of at most (partitions x need) values per cell
