@@ -228,6 +228,53 @@ def lodo_fold_counts(spark, sf_dir) -> DataFrame:
     return reduce(DataFrame.unionByName, per)
 
 
+def _fold_knn_sel(train: DataFrame, test: DataFrame, sel: list[str], sizes=None) -> DataFrame:
+    """Per fold: scaler fitted on the fold's train rows, 5-NN over the selected features."""
+    model = sc.fit_standard(train, TRAFFIC_FEATURES)
+    tr = model.transform(sc.narrow_to_float(train, TRAFFIC_FEATURES))
+    te = model.transform(sc.narrow_to_float(test, TRAFFIC_FEATURES))
+    return knn.knn_classify(tr, te, sel, K, "binary_target", "row_key", sizes=sizes)
+
+
+def _lodo_selected(spark, sf_dir, per_fold_sel: dict | None, global_sel: list[str] | None) -> DataFrame:
+    t = traffic(spark, sf_dir).cache()
+    sizes = {r[0]: r[1] for r in t.groupBy("device_id").count().collect()}  # one row per device
+    total = sum(sizes.values())
+    rows = []
+    for d in sorted(sizes, key=lambda v: (v is None, v)):
+        sel = per_fold_sel[d] if per_fold_sel is not None else global_sel
+        train, test = sp.holdout_fold(t, "device_id", d)
+        pred = _fold_knn_sel(train, test, sel, sizes=(sizes[d], total - sizes[d]))
+        m = met.binary_metrics(pred, "binary_target", "predicted")
+        rows.append(m.select(F.lit(d).cast("int").alias("device_id"), F.lit(" ".join(sel)).alias("selected"),
+                             "tn", "fp", "fn", "tp", "accuracy", "precision", "recall", "f1", "macro_f1",
+                             (F.col("n_rows") == F.lit(sizes[d])).alias("v_confusion_total"),
+                             F.lit(len(set(sel)) == TOP_N).alias("v_unique_features"),
+                             F.lit(set(sel) <= set(TRAFFIC_FEATURES)).alias("v_subset_of_all")))
+    return reduce(DataFrame.unionByName, rows)
+
+
+def q_lodo_knn_global_top(spark, sf_dir):
+    """M8 as the reference runs it: one global top-2 list (ranked on the stratified train split, which
+    includes every device, so it is leaky), then a 5-NN per held-out device."""
+    ranked, _ = _train_rank(spark, sf_dir)
+    top = {r[0] for r in ranked.filter(F.col("selected")).select("feature").collect()}
+    return _lodo_selected(spark, sf_dir, None, [f for f in TRAFFIC_FEATURES if f in top])
+
+
+def q_nested_lodo_knn(spark, sf_dir):
+    """M9 + V5: per held-out device, top-2 ranked on the other devices only (leak-free), scaler on the
+    other devices, 5-NN on the held-out device; validation flags per fold."""
+    t = traffic(spark, sf_dir)
+    ranks = feat.rank_features(feat.holdout_importance(t, TRAFFIC_FEATURES, "binary_target", "device_id"), ["fold"])
+    chosen = ranks.filter(F.col("rank") <= TOP_N).select("fold", "feature").collect()  # folds x 2 rows
+    per_fold = {}
+    for row in chosen:
+        per_fold.setdefault(row["fold"], set()).add(row["feature"])
+    per_fold = {k: [f for f in TRAFFIC_FEATURES if f in v] for k, v in per_fold.items()}
+    return _lodo_selected(spark, sf_dir, per_fold, None)
+
+
 def q_lodo_knn(spark, sf_dir):
     """M8 + R3: one metrics row per held-out device."""
     return met.metrics_from_counts(lodo_fold_counts(spark, sf_dir)).drop("n_rows")
@@ -724,6 +771,8 @@ QUERIES = {
     "binary_metrics": q_binary_metrics,
     "classification_report": q_classification_report,
     "lodo_knn": q_lodo_knn,
+    "lodo_knn_global_top": q_lodo_knn_global_top,
+    "nested_lodo_knn": q_nested_lodo_knn,
     "lodo_pooled": q_lodo_pooled,
     "hardest_devices": q_hardest_devices,
     "transfer_knn": q_transfer_knn,

@@ -751,3 +751,64 @@ ORACLE["eda_quantiles"] = f"WITH {TRAFFIC_CTE}\n" + " UNION ALL ".join(
     f"SELECT '{f}' AS feature, " + ", ".join(
         f"round(quantile_disc(CAST({f} AS DOUBLE), {p}), 6) AS q{int(round(p * 100))}" for p in (0.25, 0.5, 0.75, 0.9))
     + " FROM traffic" for f in FEATS)
+
+
+# ------------------------------------------------------------------ M8 / M9 with kNN on selected features
+def fold_knn_weighted_cte(folds_sql: str, train_cond: str, test_cond: str, weights_sql: str) -> str:
+    """As fold_knn_cte, with per-fold 0/1 feature weights ``fw(fold, w_<feature>...)`` in the distance."""
+    agg = []
+    for i, f in enumerate(FEATS):
+        x = f"CAST(t.{f} AS DOUBLE)"
+        agg.append(f"avg({x}) AS m{i}, CASE WHEN coalesce(stddev_pop({x}), 0) = 0 THEN 1.0 ELSE stddev_pop({x}) END AS s{i}")
+    zcols = ", ".join(f"(CAST(t.{f} AS DOUBLE) - p.m{i}) / p.s{i} AS {f}" for i, f in enumerate(FEATS))
+    terms = " + ".join(f"(fw.w_{f} * ((q.{f} - r.{f}) * (q.{f} - r.{f})))" for f in FEATS)
+    return f"""
+  folds AS ({folds_sql}),
+  fw AS ({weights_sql}),
+  fparams AS (SELECT f.fold, {', '.join(agg)} FROM folds f JOIN traffic t ON {train_cond} GROUP BY f.fold),
+  fz AS (SELECT p.fold, t.row_key, t.binary_target, ({test_cond}) AS is_test, ({train_cond}) AS is_train, {zcols}
+         FROM fparams p JOIN traffic t ON true JOIN folds f ON f.fold = p.fold),
+  fdd AS (SELECT q.fold, q.row_key AS qid, r.row_key AS rid, r.binary_target AS label, sqrt({terms}) AS dist
+          FROM fz q JOIN fz r ON q.fold = r.fold AND q.is_test AND r.is_train JOIN fw ON fw.fold = q.fold),
+  fnn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fold, qid ORDER BY dist, rid) AS rk FROM fdd) WHERE rk <= 5),
+  {vote_sql('fnn', 'fold')},
+  fpred AS (SELECT q.fold, q.row_key, q.binary_target AS actual, vote.predicted
+            FROM fz q LEFT JOIN vote ON vote.fold = q.fold AND vote.qid = q.row_key WHERE q.is_test)
+"""
+
+
+def _lodo_sel_select(sel_names_cte: str) -> str:
+    return f"""
+  c AS ({counts_sql('fpred', group='fold')}),
+  fsz AS (SELECT device_id AS fold, count(*) AS n FROM traffic GROUP BY 1),
+  names AS ({sel_names_cte})
+SELECT CAST(c.fold AS INTEGER) AS device_id, names.selected, tn, fp, fn, tp,
+       round(coalesce((tp + tn) / nullif(tn + fp + fn + tp, 0), 0.0), 6) AS accuracy,
+       round(coalesce(tp / nullif(tp + fp, 0), 0.0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0.0), 6) AS recall,
+       round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0.0), 6) AS f1,
+       round((coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0.0) + coalesce(2 * tn / nullif(2 * tn + fn + fp, 0), 0.0)) / 2, 6)
+         AS macro_f1,
+       tn + fp + fn + tp = fsz.n AS v_confusion_total, names.n_sel = 2 AS v_unique_features,
+       names.n_sel = names.n_known AS v_subset_of_all
+FROM c JOIN fsz USING (fold) JOIN names USING (fold)"""
+
+
+_W_GLOBAL = ", ".join(f"max(CASE WHEN feature = '{f}' AND rank <= 2 THEN 1.0 ELSE 0.0 END) AS w_{f}" for f in FEATS)
+_KNOWN = ", ".join(f"'{f}'" for f in FEATS)
+
+ORACLE["lodo_knn_global_top"] = f"WITH {RANK_CTE}," + fold_knn_weighted_cte(
+    "SELECT DISTINCT device_id AS fold FROM traffic",
+    "t.device_id IS DISTINCT FROM f.fold", "t.device_id IS NOT DISTINCT FROM f.fold",
+    f"SELECT f.fold, g.* FROM folds f JOIN (SELECT {_W_GLOBAL} FROM ranked) g ON true") + "," + _lodo_sel_select(
+    f"SELECT f.fold, s.selected, s.n_sel, s.n_known FROM folds f JOIN (SELECT string_agg(feature, ' ' ORDER BY "
+    f"source_column_index) AS selected, count(*) AS n_sel, count(*) FILTER (WHERE feature IN ({_KNOWN})) AS n_known "
+    f"FROM ranked WHERE rank <= 2) s ON true")
+
+_W_FOLD = ", ".join(f"max(CASE WHEN feature = '{f}' AND rank <= 2 THEN 1.0 ELSE 0.0 END) AS w_{f}" for f in FEATS)
+
+ORACLE["nested_lodo_knn"] = f"WITH {FOLD_RANK_CTE}," + fold_knn_weighted_cte(
+    "SELECT DISTINCT device_id AS fold FROM traffic",
+    "t.device_id IS DISTINCT FROM f.fold", "t.device_id IS NOT DISTINCT FROM f.fold",
+    f"SELECT fold, {_W_FOLD} FROM fr GROUP BY fold") + "," + _lodo_sel_select(
+    f"SELECT fold, string_agg(feature, ' ' ORDER BY source_column_index) AS selected, count(*) AS n_sel, "
+    f"count(*) FILTER (WHERE feature IN ({_KNOWN})) AS n_known FROM fr WHERE rank <= 2 GROUP BY fold")
