@@ -153,3 +153,33 @@ def dumps_record(record: dict) -> str:
             return [clean(x) for x in v]
         return v
     return json.dumps(clean(record), indent=2, sort_keys=True)
+
+
+def read_file_summary(spark: SparkSession, path: str) -> DataFrame:
+    """File summary table (file name, row count, feature count); the header has spaces after commas."""
+    schema = T.StructType([T.StructField("file_name", T.StringType()), T.StructField("data_count", T.LongType()),
+                           T.StructField("feature_count", T.IntegerType())])
+    return (spark.read.schema(schema).option("header", True).option("ignoreLeadingWhiteSpace", True)
+            .option("ignoreTrailingWhiteSpace", True).csv(path))
+
+
+def read_device_info(spark: SparkSession, path: str) -> DataFrame:
+    """Device dimension (id, name); ids must be unique."""
+    schema = T.StructType([T.StructField("device_id", T.IntegerType()), T.StructField("device_name", T.StringType())])
+    df = (spark.read.schema(schema).option("header", True).option("ignoreLeadingWhiteSpace", True)
+          .option("ignoreTrailingWhiteSpace", True).csv(path))
+    dup = df.groupBy("device_id").count().filter("count > 1").count()
+    if dup:
+        raise ValueError(f"{dup} duplicated device ids in {path}")
+    return df
+
+
+def row_expectation(scanned: DataFrame, summary: DataFrame, train_ratio: float = 0.8) -> DataFrame:
+    """V7: observed rows per source file against the file summary, with the expected ordered-split sizes."""
+    obs = scanned.groupBy("source_file").agg(F.count(F.lit(1)).alias("observed_rows"))
+    exp = summary.select(F.col("file_name").alias("source_file"), F.col("data_count").alias("expected_rows"))
+    j = exp.join(obs, "source_file", "full_outer")
+    return j.withColumns({
+        "expected_train": F.floor(F.col("expected_rows").cast("double") * F.lit(float(train_ratio))).cast("bigint"),
+        "ok": F.coalesce(F.col("expected_rows") == F.col("observed_rows"), F.lit(False)),
+    })

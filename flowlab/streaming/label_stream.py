@@ -43,3 +43,23 @@ def run_label_stream(spark: SparkSession, source_dir: str, out_dir: str | None =
          .foreachBatch(sink).trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.parquet(out_dir)
+
+
+def run_traffic_csv_stream(spark: SparkSession, source_dir: str, features: list[str], out_dir: str,
+                           checkpoint: str, glob: str = "[0-9]*.*.csv") -> DataFrame:
+    """T1 on raw captures: newly arrived device CSV files -> labels from the file name -> running counts."""
+    from flowlab.sources.ingest import feature_schema, safe_name
+
+    stream = (spark.readStream.schema(feature_schema(features)).option("header", True)
+              .option("pathGlobFilter", glob).option("maxFilesPerTrigger", 16).csv(source_dir))
+    named = stream.select(*[F.col(f"`{c}`").alias(safe_name(c)) for c in features],
+                          F.col("_metadata.file_name").alias("source_file"))
+    counts = label_traffic(named).groupBy("device_id", "binary_label").agg(F.count(F.lit(1)).alias("n"))
+
+    def sink(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(out_dir)
+
+    q = (counts.writeStream.outputMode("complete").option("checkpointLocation", checkpoint)
+         .foreachBatch(sink).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(out_dir)

@@ -113,3 +113,41 @@ def test_scan_positions_across_input_splits(spark):
         assert df.count() == 3000
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_metadata_tables_and_row_expectation(spark):
+    d = tempfile.mkdtemp(prefix="flowlab-meta-")
+    with open(os.path.join(d, "data_summary.csv"), "w") as fh:
+        fh.write("File Name, Data Count, Feature Count\n1.benign.csv, 3, 2\n1.gafgyt.scan.csv, 2, 2\n2.mirai.syn.csv, 5, 2\n")
+    with open(os.path.join(d, "device_info.csv"), "w") as fh:
+        fh.write("DeviceID,DeviceName\n1,Doorbell_A\n2,Thermostat_B\n")
+    caps = tempfile.mkdtemp(prefix="flowlab-caps-")
+    for name, n in [("1.benign.csv", 3), ("1.gafgyt.scan.csv", 2), ("2.mirai.syn.csv", 4)]:
+        with open(os.path.join(caps, name), "w") as fh:
+            fh.write("a,b\n" + "".join(f"{i},{i}\n" for i in range(n)))
+    summary = ingest.read_file_summary(spark, os.path.join(d, "data_summary.csv"))
+    assert {r.file_name: r.data_count for r in summary.collect()} == {"1.benign.csv": 3, "1.gafgyt.scan.csv": 2,
+                                                                       "2.mirai.syn.csv": 5}
+    devices = ingest.read_device_info(spark, os.path.join(d, "device_info.csv"))
+    assert devices.count() == 2
+    chk = {r.source_file: r.ok for r in ingest.row_expectation(ingest.scan_traffic(spark, caps, ["a", "b"]), summary).collect()}
+    assert chk == {"1.benign.csv": True, "1.gafgyt.scan.csv": True, "2.mirai.syn.csv": False}
+
+
+def test_csv_stream_counts_new_files(spark):
+    from flowlab.streaming.label_stream import run_traffic_csv_stream
+
+    src = tempfile.mkdtemp(prefix="flowlab-csvstream-")
+    state = tempfile.mkdtemp(prefix="flowlab-csvstate-")
+    for name, n in [("1.benign.csv", 3), ("3.mirai.ack.csv", 2)]:
+        with open(os.path.join(src, name), "w") as fh:
+            fh.write("x.1,y\n" + "".join(f"{i},{i}\n" for i in range(n)))
+    with open(os.path.join(src, "features.csv"), "w") as fh:
+        fh.write("a,b\n1,2\n")
+    out, ck = os.path.join(state, "out"), os.path.join(state, "ck")
+    first = {(r.device_id, r.binary_label): r.n for r in run_traffic_csv_stream(spark, src, ["x.1", "y"], out, ck).collect()}
+    assert first == {(1, "benign"): 3, (3, "attack"): 2}
+    with open(os.path.join(src, "3.gafgyt.udp.csv"), "w") as fh:
+        fh.write("x.1,y\n1,1\n2,2\n")
+    second = {(r.device_id, r.binary_label): r.n for r in run_traffic_csv_stream(spark, src, ["x.1", "y"], out, ck).collect()}
+    assert second == {(1, "benign"): 3, (3, "attack"): 4}
