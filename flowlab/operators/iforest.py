@@ -106,6 +106,9 @@ def fit_isolation_forest(fit_rows: DataFrame, features: list[str], key_col: str
 def score_isolation_forest(df: DataFrame, forest: DataFrame, features: list[str], key_col: str = "row_key",
                            group_col: str | None = None, psi: int = 256) -> DataFrame:
     """Anomaly score of every row of ``df`` against the forest of its group."""
+    from flowlab.session import cut_lineage
+
+    forest = cut_lineage(forest)  # trees are built once; the size check and the collect read the copy
     n_nodes = forest.count()
     if n_nodes > MAX_FOREST_NODES:
         raise ValueError(f"forest has {n_nodes} nodes; above the {MAX_FOREST_NODES} bound for scoring")

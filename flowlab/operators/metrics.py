@@ -159,10 +159,13 @@ def roc_pr_auc(scored: DataFrame, actual: str = "actual", score: str = "score")
     (range-partitioned, no single-task window).
     """
     from flowlab.operators.position import running_totals
+    from flowlab.session import cut_lineage
 
-    per = scored.groupBy(F.col(score).alias("_s")).agg(
+    # one row per distinct score; stored once so the totals and the running sums do not
+    # recompute the scoring plan (e.g. a kNN join) behind it
+    per = cut_lineage(scored.groupBy(F.col(score).alias("_s")).agg(
         F.count_if(F.col(actual) == 1).cast("double").alias("npos"),
-        F.count_if(F.col(actual) == 0).cast("double").alias("nneg"))
+        F.count_if(F.col(actual) == 0).cast("double").alias("nneg")))
     cum = running_totals(per, "_s", ["npos", "nneg"])
     tot = per.agg(F.sum("npos").alias("P"), F.sum("nneg").alias("N"))
     tot_row = tot.first()
