@@ -288,9 +288,9 @@ SELECT {metrics_cols_sql()}, mean_fold_accuracy, mean_fold_macro_f1, n_folds FRO
 ORACLE["hardest_devices"] = f"""WITH {LODO_CTE},
   c AS ({counts_sql('fpred', group='fold')}),
   m AS (SELECT CAST(fold AS INTEGER) AS device_id, {metrics_cols_sql()} FROM c),
-  a AS (SELECT 'attack_recall' AS criterion, row_number() OVER (ORDER BY recall, fn DESC, device_id) AS rank,
+  a AS (SELECT 'attack_recall' AS criterion, CAST(row_number() OVER (ORDER BY recall, fn DESC, device_id) AS INTEGER) AS rank,
                device_id, recall AS recall_value, fn AS errors FROM m),
-  b AS (SELECT 'benign_recall' AS criterion, row_number() OVER (ORDER BY benign_recall, fp DESC, device_id) AS rank,
+  b AS (SELECT 'benign_recall' AS criterion, CAST(row_number() OVER (ORDER BY benign_recall, fp DESC, device_id) AS INTEGER) AS rank,
                device_id, benign_recall AS recall_value, fp AS errors FROM m)
 SELECT * FROM a WHERE rank <= 3 UNION ALL SELECT * FROM b WHERE rank <= 3"""
 
@@ -337,7 +337,7 @@ EMB_CTE = f"emb AS ({embeddings_as_rows_sql()})"
 ORACLE["knn_join"] = f"""WITH {EMB_CTE},
   d AS (SELECT a.row_key AS qid, b.row_key AS rid, {dist_sql('a', 'b', EFEATS)} AS dist
         FROM emb a JOIN emb b ON a.row_key <> b.row_key),
-  nn AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, rid) AS nn_rank FROM d)
+  nn AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY dist, rid) AS INTEGER) AS nn_rank FROM d)
 SELECT qid, rid, nn_rank, round(dist, 6) AS dist FROM nn WHERE nn_rank <= 5"""
 
 ORACLE["lof"] = f"""WITH {EMB_CTE},
