@@ -45,10 +45,12 @@ def positions_within(df: DataFrame, group_cols: list[str], order_cols: list[str]
     stats = stats.select("_pid", *group_cols, "_i0",
                          F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"), *extra)
     # At most (partitions + groups) rows: sorted ranges give each partition a run of groups.
-    stats = broadcast_if_small(stats)
-    return (tagged.join(stats, ["_pid", *group_cols])
-            .withColumn(pos_col, F.col("_off") + F.col("_i") - F.col("_i0"))
-            .drop("_mid", "_pid", "_i", "_i0", "_off"))
+    stats = broadcast_if_small(stats.select(*[F.col(c).alias("_s_" + c) for c in stats.columns]))
+    cond = [tagged["_pid"] == stats["_s__pid"]] + [tagged[g].eqNullSafe(stats["_s_" + g]) for g in group_cols]
+    out = tagged.join(stats, cond).withColumn(pos_col, F.col("_s__off") + F.col("_i") - F.col("_s__i0"))
+    if size_col:
+        out = out.withColumnRenamed("_s_" + size_col, size_col)
+    return out.drop("_mid", "_pid", "_i", *[c for c in out.columns if c.startswith("_s_")])
 
 
 def running_totals(df: DataFrame, order_col: str, value_cols: list[str], prefix: str = "below_",

@@ -84,9 +84,9 @@ def quota_split(df: DataFrame, class_col: str, key_col: str, test_fraction: floa
            .agg(F.min_by(F.struct("_b", (F.col("q") - F.col("_cum") + F.col("_nb")).alias("_need")), "_b")
                 .alias("_c"))
            .select(class_col, F.col("_c._b").alias("_cut"), F.col("_c._need").alias("_need")))
-    cut = broadcast_if_small(cut)  # one row per class
+    cut = broadcast_if_small(cut.withColumnRenamed(class_col, "_cls"))  # one row per class
 
-    joined = hashed.join(cut, class_col, "left")
+    joined = hashed.join(cut, hashed[class_col].eqNullSafe(cut["_cls"]), "left").drop("_cls")
     rest = (joined.filter(F.col("_cut").isNull() | (F.col("_b") != F.col("_cut")))
             .withColumn("split", F.when(F.col("_b") < F.col("_cut"), F.lit(TEST)).otherwise(F.lit(TRAIN))))
     in_cut = joined.filter(F.col("_b") == F.col("_cut"))
@@ -124,9 +124,9 @@ def ordered_split_by_position(df: DataFrame, group_col: str = "source_file", pos
     The split is a filter against per-source row counts: one aggregation whose
     result has one row per source (size-checked broadcast) and one narrow pass.
     """
-    sizes = broadcast_if_small(df.groupBy(group_col).agg(F.count(F.lit(1)).alias("_n")))
+    sizes = broadcast_if_small(df.groupBy(F.col(group_col).alias("_grp")).agg(F.count(F.lit(1)).alias("_n")))
     cut = F.floor(F.col("_n").cast("double") * F.lit(float(train_ratio)))
-    return (df.join(sizes, group_col)
+    return (df.join(sizes, df[group_col].eqNullSafe(sizes["_grp"])).drop("_grp")
             .withColumn("split", F.when(F.col(pos_col) < cut, F.lit(TRAIN)).otherwise(F.lit(TEST)))
             .drop("_n"))
 

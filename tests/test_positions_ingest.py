@@ -151,3 +151,13 @@ def test_csv_stream_counts_new_files(spark):
         fh.write("x.1,y\n1,1\n2,2\n")
     second = {(r.device_id, r.binary_label): r.n for r in run_traffic_csv_stream(spark, src, ["x.1", "y"], out, ck).collect()}
     assert second == {(1, "benign"): 3, (3, "attack"): 4}
+
+
+def test_positions_keep_null_groups(spark):
+    rows = [(i, None if i % 4 == 0 else f"g{i % 3}", i) for i in range(60)]
+    df = spark.createDataFrame(rows, "k BIGINT, g STRING, o BIGINT")
+    got = positions_within(df, ["g"], ["o", "k"], n_partitions=3, size_col="n")
+    assert got.count() == 60
+    ref = df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("o", "k")) - 1)
+    assert {r.k: r.pos for r in got.collect()} == {r.k: r.rn for r in ref.collect()}
+    assert {r.k: r.n for r in got.collect()}[0] == 15
