@@ -79,8 +79,16 @@ def list_set_compare(a: Column, b: Column) -> dict[str, Column]:
 
 
 def eda_quantiles(df: DataFrame, features: list[str], probs: tuple[float, ...] = (0.25, 0.5, 0.75, 0.9),
-                  accuracy: int = 1_000_000) -> DataFrame:
-    """Per feature quantiles in one pass (bounded sketch; exact while rows <= accuracy)."""
+                  accuracy: int | None = None) -> DataFrame:
+    """Per feature quantiles in one pass with a bounded sketch.
+
+    The sketch is exact while rows <= accuracy. By default the accuracy follows
+    the row count (one count), capped at 100,000: exact up to 100k rows, rank
+    error at most rows / 100,000 beyond, and the sketch memory per task stays
+    bounded however many features are summarised.
+    """
+    if accuracy is None:
+        accuracy = int(min(100_000, max(10_000, df.count())))
     wide = df.agg(*[F.percentile_approx(F.col(f).cast("double"), list(probs), accuracy).alias(f"p{i}")
                     for i, f in enumerate(features)])
     names = [f"q{int(round(p * 100))}" for p in probs]
