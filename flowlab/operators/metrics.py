@@ -129,12 +129,18 @@ def classification_report(df: DataFrame, actual: str = "actual", predicted: str
 
 
 def pooled_metrics(fold_counts: DataFrame) -> DataFrame:
-    """Sum tn/fp/fn/tp over folds, then ratios; plus the mean of per-fold metrics."""
-    per = metrics_from_counts(fold_counts)
-    pooled = per.agg(*[F.sum(c).cast("bigint").alias(c) for c in ("tn", "fp", "fn", "tp")],
-                     r6(F.avg("accuracy")).alias("mean_fold_accuracy"),
-                     r6(F.avg("macro_f1")).alias("mean_fold_macro_f1"),
-                     F.count(F.lit(1)).alias("n_folds"))
+    """Sum tn/fp/fn/tp over folds, then ratios; plus the mean of per-fold metrics
+    (averaged unrounded, rounded once)."""
+    tn, fp, fn, tp = (F.col(c) for c in ("tn", "fp", "fn", "tp"))
+    acc = safe_ratio(tp + tn, tn + fp + fn + tp)
+    f1 = safe_ratio(2 * tp, 2 * tp + fp + fn)
+    f10 = safe_ratio(2 * tn, 2 * tn + fn + fp)
+    pooled = fold_counts.agg(*[F.sum(c).cast("bigint").alias(c) for c in ("tn", "fp", "fn", "tp")],
+                             r6(F.avg(acc)).alias("mean_fold_accuracy"),
+                             r6(F.avg(safe_ratio(tp, tp + fn))).alias("mean_fold_recall"),
+                             r6(F.avg(safe_ratio(tn, tn + fp))).alias("mean_fold_benign_recall"),
+                             r6(F.avg((f1 + f10) / 2)).alias("mean_fold_macro_f1"),
+                             F.count(F.lit(1)).alias("n_folds"))
     return metrics_from_counts(pooled)
 
 

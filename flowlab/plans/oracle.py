@@ -279,11 +279,16 @@ FROM c JOIN ftrain USING (fold)"""
 
 ORACLE["lodo_pooled"] = f"""WITH {LODO_CTE},
   c AS ({counts_sql('fpred', group='fold')}),
-  m AS (SELECT {metrics_cols_sql()} FROM c),
+  m AS (SELECT *, coalesce((tp + tn) / nullif(tn + fp + fn + tp, 0), 0.0) AS acc,
+               coalesce(tp / nullif(tp + fn, 0), 0.0) AS rec, coalesce(tn / nullif(tn + fp, 0), 0.0) AS rec0,
+               (coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0.0) + coalesce(2 * tn / nullif(2 * tn + fn + fp, 0), 0.0))
+                 / 2 AS mf1 FROM c),
   pooled AS (SELECT CAST(sum(tn) AS BIGINT) AS tn, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn,
-                    CAST(sum(tp) AS BIGINT) AS tp, round(avg(accuracy), 6) AS mean_fold_accuracy,
-                    round(avg(macro_f1), 6) AS mean_fold_macro_f1, count(*) AS n_folds FROM m)
-SELECT {metrics_cols_sql()}, mean_fold_accuracy, mean_fold_macro_f1, n_folds FROM pooled"""
+                    CAST(sum(tp) AS BIGINT) AS tp, round(avg(acc), 6) AS mean_fold_accuracy,
+                    round(avg(rec), 6) AS mean_fold_recall, round(avg(rec0), 6) AS mean_fold_benign_recall,
+                    round(avg(mf1), 6) AS mean_fold_macro_f1, count(*) AS n_folds FROM m)
+SELECT {metrics_cols_sql()}, mean_fold_accuracy, mean_fold_recall, mean_fold_benign_recall, mean_fold_macro_f1, n_folds
+FROM pooled"""
 
 ORACLE["hardest_devices"] = f"""WITH {LODO_CTE},
   c AS ({counts_sql('fpred', group='fold')}),
