@@ -52,3 +52,13 @@ def test_pooled_metrics_match_published(counts):
     for name in ("accuracy", "recall", "benign_recall", "mean_fold_accuracy", "mean_fold_recall",
                  "mean_fold_benign_recall", "mean_fold_macro_f1"):
         assert p[name] == POOLED[name], name
+
+
+def test_hardest_devices_match_published(counts):
+    m = met.metrics_from_counts(counts)
+    got = {}
+    for r in met.hardest_groups(m, "device_id", 3).collect():
+        got.setdefault(r.criterion, []).append((r.rank, r.device_id, r.errors))
+    # published: lowest attack recall 5, 9, 8 (FN 20, 10, 1); lowest benign recall 8, 3, 9 (FP 409, 18, 4)
+    assert sorted(got["attack_recall"]) == [(1, 5, 20), (2, 9, 10), (3, 8, 1)]
+    assert sorted(got["benign_recall"]) == [(1, 8, 409), (2, 3, 18), (3, 9, 4)]
