@@ -62,3 +62,16 @@ def test_hardest_devices_match_published(counts):
     # published: lowest attack recall 5, 9, 8 (FN 20, 10, 1); lowest benign recall 8, 3, 9 (FP 409, 18, 4)
     assert sorted(got["attack_recall"]) == [(1, 5, 20), (2, 9, 10), (3, 8, 1)]
     assert sorted(got["benign_recall"]) == [(1, 8, 409), (2, 3, 18), (3, 9, 4)]
+
+
+def test_knn_report_counts_match_published(spark):
+    # published device-1 kNN run: tn 9907, fp 3, fn 10, tp 193740 -> accuracy 0.999936, attack P/R/F1
+    # 0.999985 / 0.999948 / 0.999966, supports 9910 / 193750 / 203660
+    cells = [(0, 0, 9907), (0, 1, 3), (1, 0, 10), (1, 1, 193740)]
+    rows = [(a, p) for a, p, n in cells for _ in range(n)]
+    df = spark.createDataFrame(rows, "actual INT, predicted INT")
+    m = met.binary_metrics(df).first()
+    assert (m.accuracy, m.precision, m.recall, m.f1) == (0.999936, 0.999985, 0.999948, 0.999966)
+    rep = {r["class"]: r for r in met.classification_report(df, names=met.BINARY_NAMES).collect()}
+    assert rep["benign"].support == 9910 and rep["attack"].support == 193750
+    assert rep["accuracy"].support == 203660 and round(rep["macro avg"].f1, 2) == 1.0
