@@ -464,6 +464,9 @@ def q_run_checks(spark, sf_dir):
     conf = met.confusion_counts(pred, "binary_target", "predicted")
     fp_a = runs_op.fingerprint(test, "row_key", "binary_target")
     fp_b = runs_op.fingerprint(pred, "row_key", "binary_target")
+    bal = smote_op.smote(train.cache(), TRAFFIC_FEATURES, "binary_target", "row_key", K, SEED)
+    bal_counts = bal.groupBy("binary_target").agg(F.count(F.lit(1)).alias("n"))
+    mets = met.binary_metrics(pred, "binary_target", "predicted")
 
     def m(df, **named):
         return [df.agg(expr.cast("double").alias("value")).select(F.lit(k).alias("measure"), "value")
@@ -477,10 +480,13 @@ def q_run_checks(spark, sf_dir):
             + m(fp_a, a_rows=F.first("rows"), a_sum=F.first("hash_sum"), a_xor=F.first("hash_xor"))
             + m(fp_b, b_rows=F.first("rows"), b_sum=F.first("hash_sum"), b_xor=F.first("hash_xor"))
             + m(pred, unpredicted=F.count_if(F.col("predicted").isNull()),
-                non_binary=F.count_if(~F.col("predicted").isin(0, 1))))
+                non_binary=F.count_if(~F.col("predicted").isin(0, 1)))
+            + m(bal_counts, smote_min=F.min("n"), smote_max=F.max("n"))
+            + m(mets, acc_gap=F.first(F.abs(F.col("accuracy") - F.round(
+                (F.col("tp") + F.col("tn")) / (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")), 6)))))
     measures = reduce(DataFrame.unionByName, rows)
     names = ["input_rows", "split_rows", "test_rows", "test_pos", "conf_total", "conf_pos", "a_rows", "a_sum",
-             "a_xor", "b_rows", "b_sum", "b_xor", "unpredicted", "non_binary"]
+             "a_xor", "b_rows", "b_sum", "b_xor", "unpredicted", "non_binary", "smote_min", "smote_max", "acc_gap"]
     one = measures.groupBy().pivot("measure", names).agg(F.first("value"))
     c = F.col
     named = {
@@ -490,6 +496,8 @@ def q_run_checks(spark, sf_dir):
         "test_labels_unchanged": (c("a_rows") == c("b_rows")) & (c("a_sum") == c("b_sum")) & (c("a_xor") == c("b_xor")),
         "every_test_row_predicted": c("unpredicted") == 0,
         "predictions_binary": c("non_binary") == 0,
+        "classes_balanced_after_smote": c("smote_min") == c("smote_max"),
+        "metrics_recomputable_from_counts": c("acc_gap") <= 1e-15,
     }
     parts = [one.select(F.lit(k).alias("check"), v.alias("passed")) for k, v in named.items()]
     return reduce(DataFrame.unionByName, parts)

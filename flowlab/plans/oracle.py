@@ -511,7 +511,12 @@ SELECT CAST(m.fold AS INTEGER) AS device_id, nation.n_name AS device_name, ftrai
        accuracy, precision, recall, f1, macro_f1
 FROM m JOIN ftrain USING (fold) LEFT JOIN nation ON m.fold = nation.n_nationkey + 1"""
 
+SMOTE_TAIL = SMOTE_CTE[SMOTE_CTE.index("  cnt AS"):]
+
 ORACLE["run_checks"] = f"""WITH {KNN_PRED_CTE},
+{SMOTE_TAIL},
+  bal AS (SELECT binary_target, count(*) AS n FROM (SELECT binary_target FROM tr UNION ALL
+                                                    SELECT cls AS binary_target FROM made) GROUP BY 1),
   c AS ({counts_sql('pred')}),
   fa AS (SELECT count(*) AS r, sum({FP_SQL}) AS s, bit_xor({FP_SQL}) AS x FROM te),
   fb AS (SELECT count(*) AS r, sum({FP_SQL}) AS s, bit_xor({FP_SQL}) AS x
@@ -522,7 +527,11 @@ UNION ALL SELECT 'attack_support_agrees', (SELECT fn + tp FROM c) = (SELECT coun
 UNION ALL SELECT 'test_labels_unchanged', (SELECT r FROM fa) = (SELECT r FROM fb) AND (SELECT s FROM fa) = (SELECT s FROM fb)
           AND (SELECT x FROM fa) = (SELECT x FROM fb)
 UNION ALL SELECT 'every_test_row_predicted', (SELECT count(*) FROM pred WHERE predicted IS NULL) = 0
-UNION ALL SELECT 'predictions_binary', (SELECT count(*) FROM pred WHERE predicted NOT IN (0, 1)) = 0"""
+UNION ALL SELECT 'predictions_binary', (SELECT count(*) FROM pred WHERE predicted NOT IN (0, 1)) = 0
+UNION ALL SELECT 'classes_balanced_after_smote', (SELECT min(n) = max(n) FROM bal)
+UNION ALL SELECT 'metrics_recomputable_from_counts',
+          (SELECT abs(round(coalesce((tp + tn) / nullif(tn + fp + fn + tp, 0), 0.0), 6)
+                      - round((tp + tn) / (tn + fp + fn + tp), 6)) <= 1e-15 FROM c)"""
 
 # ------------------------------------------------------------------ quality / EDA
 ORACLE["eda_counts"] = f"""WITH {TRAFFIC_CTE}
