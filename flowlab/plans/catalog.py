@@ -699,6 +699,23 @@ def q_knn_three_config(spark, sf_dir):
     return knn_three_config(split.filter(F.col("split") == sp.TRAIN), split.filter(F.col("split") == sp.TEST))
 
 
+def q_experiment_run_checks(spark, sf_dir):
+    """V2 over the three-configuration runs: three runs, feature counts [all, top, top], the same test
+    rows and the same test class counts in every run."""
+    runs = q_knn_three_config(spark, sf_dir)
+    n_all, top = len(TRAFFIC_FEATURES), TOP_N
+    named = {
+        "three_runs": F.count(F.lit(1)) == 3,
+        "feature_counts": (F.count_if((F.col("config") == "all_features") & (F.col("n_features") == n_all)) == 1)
+        & (F.count_if((F.col("config") != "all_features") & (F.col("n_features") == top)) == 2),
+        "same_test_rows": F.count_distinct(F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")) == 1,
+        "same_test_attack_rows": F.count_distinct(F.col("fn") + F.col("tp")) == 1,
+        "smote_run_has_more_train_rows": F.max(F.when(F.col("config").endswith("_smote"), F.col("train_rows")))
+        > F.max(F.when(F.col("config") == "all_features", F.col("train_rows"))),
+    }
+    return qual.checks_table(named, runs)
+
+
 def q_transfer_three_config(spark, sf_dir):
     """M10, three variants: train on device 1's ordered-train part, test on all of device 2."""
     s = sp.ordered_split(traffic(spark, sf_dir), "source_file", ["ts", "row_key"], 0.8).cache()
@@ -819,6 +836,7 @@ QUERIES = {
     "list_strings": q_list_strings,
     "knn_three_config": q_knn_three_config,
     "transfer_three_config": q_transfer_three_config,
+    "experiment_run_checks": q_experiment_run_checks,
     "rf_importance": q_rf_importance,
     "rf_three_config": q_rf_three_config,
     "lodo_rf": q_lodo_rf,

@@ -826,3 +826,14 @@ ORACLE["nested_lodo_knn"] = f"WITH {FOLD_RANK_CTE}," + fold_knn_weighted_cte(
     f"SELECT fold, {_W_FOLD} FROM fr GROUP BY fold") + "," + _lodo_sel_select(
     f"SELECT fold, string_agg(feature, ' ' ORDER BY source_column_index) AS selected, count(*) AS n_sel, "
     f"count(*) FILTER (WHERE feature IN ({_KNOWN})) AS n_known FROM fr WHERE rank <= 2 GROUP BY fold")
+
+ORACLE["experiment_run_checks"] = ORACLE["knn_three_config"].replace(THREE_SELECT, "") + """,
+  runs AS (""" + THREE_SELECT + """)
+SELECT 'three_runs' AS check, count(*) = 3 AS passed FROM runs
+UNION ALL SELECT 'feature_counts', count(*) FILTER (WHERE config = 'all_features' AND n_features = 4) = 1
+          AND count(*) FILTER (WHERE config <> 'all_features' AND n_features = 2) = 2 FROM runs
+UNION ALL SELECT 'same_test_rows', count(DISTINCT tn + fp + fn + tp) = 1 FROM runs
+UNION ALL SELECT 'same_test_attack_rows', count(DISTINCT fn + tp) = 1 FROM runs
+UNION ALL SELECT 'smote_run_has_more_train_rows',
+          max(CASE WHEN config LIKE '%_smote' THEN train_rows END) > max(CASE WHEN config = 'all_features' THEN train_rows END)
+FROM runs"""
