@@ -57,20 +57,19 @@ def q_label_events(spark, sf_dir):
                                          "family", "attack_type", "multiclass_label")
 
 
-def _class_counts_long(df: DataFrame, stage: str) -> DataFrame:
-    t = F.col("binary_target")
-    wide = df.agg(F.count_if(t == 0).alias("n0"), F.count_if(t == 1).alias("n1"))
-    return wide.selectExpr(f"'{stage}' AS stage",
-                           "stack(2, 0, 'benign', n0, 1, 'attack', n1) AS (binary_target, binary_label, n)")
-
-
 def q_class_distribution(spark, sf_dir):
-    """A1, A2, P10: class counts zero-filled over {0, 1} with percent, for all rows / train / test."""
-    split = traffic_split(spark, sf_dir).cache()
-    parts = [_class_counts_long(split, "all"),
-             _class_counts_long(split.filter(F.col("split") == sp.TRAIN), "train"),
-             _class_counts_long(split.filter(F.col("split") == sp.TEST), "test")]
-    out = reduce(DataFrame.unionByName, parts)
+    """A1, A2, P10: class counts zero-filled over {0, 1} with percent, for all rows / train / test.
+
+    One pass over the split rows (counts per split stage); the 'all' stage sums that small result.
+    """
+    t = F.col("binary_target")
+    per = traffic_split(spark, sf_dir).groupBy(F.col("split").alias("stage")).agg(
+        F.count_if(t == 0).alias("n0"), F.count_if(t == 1).alias("n1")).cache()
+    both = per.unionByName(per.agg(F.lit("all").alias("stage"), F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
+    stages = spark.createDataFrame([("all",), (sp.TRAIN,), (sp.TEST,)], "stage STRING")  # fixed stage list
+    wide = stages.join(both, "stage", "left").select(
+        "stage", F.coalesce("n0", F.lit(0)).cast("bigint").alias("n0"), F.coalesce("n1", F.lit(0)).cast("bigint").alias("n1"))
+    out = wide.selectExpr("stage", "stack(2, 0, 'benign', n0, 1, 'attack', n1) AS (binary_target, binary_label, n)")
     return out.withColumn("pct", r6(pct_of_total("n", ["stage"])))
 
 
