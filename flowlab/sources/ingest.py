@@ -133,7 +133,7 @@ def write_run_records(df: DataFrame, path: str) -> None:
 
 def parse_report_timings(spark: SparkSession, path: str, labels: list[str]) -> DataFrame:
     """Pull '<label>: <number>' values out of text reports; missing -> null. One row per file."""
-    text = spark.read.option("wholetext", True).text(path).withColumn("file", F.col("_metadata.file_name"))
+    text = spark.read.text(path, wholetext=True).withColumn("file", F.col("_metadata.file_name"))
     cols = []
     for lab in labels:
         pat = lab.replace(" ", r"\s+") + r":\s*([0-9]+(?:\.[0-9]+)?)"

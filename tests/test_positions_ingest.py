@@ -161,3 +161,22 @@ def test_positions_keep_null_groups(spark):
     ref = df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("o", "k")) - 1)
     assert {r.k: r.pos for r in got.collect()} == {r.k: r.rn for r in ref.collect()}
     assert {r.k: r.n for r in got.collect()}[0] == 15
+
+
+def test_report_timings_and_typed_read(spark):
+    d = tempfile.mkdtemp(prefix="flowlab-reports-")
+    with open(os.path.join(d, "baseline.txt"), "w") as fh:
+        fh.write("Timing\n------\nRead train seconds: 30.49\nTrain seconds: 418.56\nPredict seconds: 1.05\n")
+    with open(os.path.join(d, "smote.txt"), "w") as fh:
+        fh.write("Train seconds: 260.80\nSMOTE seconds: 110.73\n")
+    got = {r.file: r for r in ingest.parse_report_timings(spark, d, ["Train seconds", "Predict seconds",
+                                                                      "SMOTE seconds"]).collect()}
+    assert got["baseline.txt"].train_seconds == 418.56 and got["baseline.txt"].predict_seconds == 1.05
+    assert got["baseline.txt"].smote_seconds is None and got["smote.txt"].smote_seconds == 110.73
+    names = ["MI_dir_L0.1_weight", "H_L5_mean", "HH_L0.01_radius"]
+    m = {r.original_name: r.name for r in ingest.rename_map(spark, names).collect()}
+    assert m["HH_L0.01_radius"] == "HH_L0_01_radius"
+    df = spark.createDataFrame([(1.5, 2.5, 3.5, 1)], "MI_dir_L0_1_weight DOUBLE, H_L5_mean DOUBLE, "
+                                                     "HH_L0_01_radius DOUBLE, binary_target BIGINT")
+    typed = ingest.read_features_target(df, [m[n] for n in names])
+    assert [f.dataType.simpleString() for f in typed.schema.fields] == ["float", "float", "float", "int"]
