@@ -389,7 +389,9 @@ def q_run_vs_prior(spark, sf_dir):
     prior = r.filter(F.col("year") == last - 1)
     j = runs_op.pair_with_prior(cur, prior, ["experiment", "month"], ["n_orders", "total_price"])
     ch = runs_op.direction_change(F.col("prior_n_orders").cast("double"), F.col("n_orders").cast("double"))
-    return j.select("experiment", "month", "n_orders", "prior_n_orders", r6("total_price").alias("total_price"),
+    # prior values are null for months without a prior run; DOUBLE keeps nulls representable everywhere
+    return j.select("experiment", "month", "n_orders", F.col("prior_n_orders").cast("double").alias("prior_n_orders"),
+                    r6("total_price").alias("total_price"),
                     r6("prior_total_price").alias("prior_total_price"),
                     r6(ch["signed_percent_change"]).alias("signed_percent_change"), ch["direction"].alias("direction"))
 

@@ -454,7 +454,7 @@ ORACLE["run_vs_prior"] = f"""WITH {RUNS_CTE},
   r AS (SELECT *, CAST(substr(run_id, 1, 4) AS INTEGER) AS year, CAST(substr(run_id, 6, 2) AS INTEGER) AS month FROM runs),
   cur AS (SELECT * FROM r WHERE year = (SELECT max(year) FROM r)),
   pri AS (SELECT * FROM r WHERE year = (SELECT max(year) FROM r) - 1)
-SELECT cur.experiment, cur.month, cur.n_orders, pri.n_orders AS prior_n_orders,
+SELECT cur.experiment, cur.month, cur.n_orders, CAST(pri.n_orders AS DOUBLE) AS prior_n_orders,
        round(cur.total_price, 6) AS total_price, round(pri.total_price, 6) AS prior_total_price,
        round(CASE WHEN CAST(pri.n_orders AS DOUBLE) <> 0
                   THEN (CAST(cur.n_orders AS DOUBLE) - CAST(pri.n_orders AS DOUBLE)) / CAST(pri.n_orders AS DOUBLE) * 100.0 END, 6)
