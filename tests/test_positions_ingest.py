@@ -180,3 +180,16 @@ def test_report_timings_and_typed_read(spark):
                                                      "HH_L0_01_radius DOUBLE, binary_target BIGINT")
     typed = ingest.read_features_target(df, [m[n] for n in names])
     assert [f.dataType.simpleString() for f in typed.schema.fields] == ["float", "float", "float", "int"]
+
+
+def test_broadcast_only_below_the_checked_bound(spark):
+    from flowlab.session import broadcast_if_small
+
+    big = spark.range(2000).withColumnRenamed("id", "k")
+    side = spark.range(50).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    small_join = big.join(broadcast_if_small(side, max_rows=100), "k")
+    large_join = big.join(broadcast_if_small(side, max_rows=10), "k")
+    assert "BroadcastHashJoin" in small_join._jdf.queryExecution().executedPlan().toString()
+    hinted = large_join._jdf.queryExecution().analyzed().toString()
+    assert "ResolvedHint" not in hinted and "broadcast" not in hinted.lower()
+    assert sorted(r.v for r in small_join.collect()) == sorted(r.v for r in large_join.collect())
