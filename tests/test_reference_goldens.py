@@ -75,3 +75,13 @@ def test_knn_report_counts_match_published(spark):
     rep = {r["class"]: r for r in met.classification_report(df, names=met.BINARY_NAMES).collect()}
     assert rep["benign"].support == 9910 and rep["attack"].support == 193750
     assert rep["accuracy"].support == 203660 and round(rep["macro avg"].f1, 2) == 1.0
+
+
+def test_publication_confusions_give_published_accuracy(spark):
+    # Published TN / FP / FN / TP and accuracy of the three configurations
+    runs = [("rf_115", 111185, 1, 0, 1301335, 0.999999292), ("rf_top20", 111184, 2, 1, 1301334, 0.999997876),
+            ("rf_top20_smote", 111185, 1, 1, 1301334, 0.999998584)]
+    df = spark.createDataFrame([r[:5] for r in runs], "run STRING, tn BIGINT, fp BIGINT, fn BIGINT, tp BIGINT")
+    got = {r.run: r.accuracy for r in met.metrics_from_counts(df).collect()}
+    for run, *_, acc in runs:
+        assert got[run] == round(acc, 6)
