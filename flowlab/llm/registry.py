@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from flowlab.llm import mixing, pii, pivot_topk, simhash_dedup, url_filter
+from flowlab.llm import (crf_quality, decontaminate, host_suffix_extract, mixing, pii, pivot_topk, simhash_dedup,
+                         url_filter, weak_toxicity)
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
+    "op2_crf_quality": crf_quality.op2_crf_quality,
+    "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_mixing": mixing.op4_mixing,
+    "op6_host_suffix_extract": host_suffix_extract.op6_host_suffix_extract,
+    "op7_weak_toxicity": weak_toxicity.op7_weak_toxicity,
     "op8_simhash_dedup": simhash_dedup.op8_simhash_dedup,
     "op9_pii": pii.op9_pii,
     "op10_pivot_topk": pivot_topk.op10_pivot_topk,
