@@ -6,9 +6,9 @@ The chain has two states, so a message is one log-odds number. A document's
 raw quality is the mean probability of "good" over its lines, weighted by
 line length; a logistic curve turns it into the probability of label 1.
 
-Training reads a bounded sample of labelled documents (``TRAIN_DOCS``). Lines
-start with the label of their document; one round of relabelling lets lines of
-bad documents that the first model finds good become good.
+Training reads a bounded sample of labelled documents (``TRAIN_DOCS``). The
+lines of a document take its label; the chain sorts out the clean lines that
+bad documents also hold, since most such lines stand in good documents.
 
 Scoring is a pandas UDF over the text column: no shuffle, memory bounded by
 ``PIECE_CHARS`` or one document.
@@ -164,7 +164,7 @@ def marginals(u: np.ndarray, per_text: np.ndarray, step: np.ndarray) -> tuple[np
     return 1 / (1 + np.exp(-np.clip(fwd + bwd, -50, 50))), expected
 
 
-def fit_chain(x: np.ndarray, per_text: np.ndarray, y: np.ndarray, rounds: int = 120, rate: float = 0.1, decay: float = 1e-3) -> Chain:
+def fit_chain(x: np.ndarray, per_text: np.ndarray, y: np.ndarray, rounds: int = 200, rate: float = 0.2, decay: float = 1e-4) -> Chain:
     """Penalised maximum likelihood by Adam on the whole sample."""
     inner = np.ones(len(y), bool)
     inner[np.cumsum(per_text) - per_text] = False
@@ -232,14 +232,7 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> C
     chars = np.concatenate([np.frombuffer(r["chars"], "<i4") for r in rows])
     label = np.array([r["quality"] for r in rows], float)
     wide = with_neighbours(x, per_text)
-    y = np.repeat(label, per_text)
-    chain = fit_chain(wide, per_text, y)
-    _, good = raw_quality(chain, x, per_text, chars)
-    turned = (y == 0) & (good > 0.5)
-    text_of = np.repeat(np.arange(len(per_text)), per_text)
-    still_bad = np.bincount(text_of[(y == 0) & ~turned], minlength=len(per_text)) > 0
-    y = np.where(turned & still_bad[text_of], 1.0, y)  # a bad document keeps at least one bad line
-    chain = fit_chain(wide, per_text, y)
+    chain = fit_chain(wide, per_text, np.repeat(label, per_text))
     raw, _ = raw_quality(chain, x, per_text, chars)
     chain.slope, chain.offset = fit_curve(raw, label)
     return chain

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from flowlab.llm.common import cut_lineage, n_words, table
+from flowlab.llm.common import cut_lineage, n_words, table, words
 
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
@@ -147,6 +147,27 @@ def training_order(plan: DataFrame) -> DataFrame:
             .orderBy("position", "draw", "copy"))
 
 
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: one row per taken copy of a document, range-sorted by training position.
+
+    The columns of ``docs`` come first, then copy, words and position. The last
+    copy of the document at a source's cut holds its first words only, joined
+    by one space. The plan is made without the texts; they are shuffled once
+    for the join with it and once for the sort.
+    """
+    key = "__text_key"
+    keyed = docs.withColumn(key, F.xxhash64("text"))
+    copies = (plan_mix(keyed, keep=(key,), **options).select("doc_id", key, "draw", "size", "epochs", "part", F.posexplode("positions").alias("copy", "position"))
+              .withColumn("words", F.when(F.col("copy") < F.col("epochs"), F.col("size")).otherwise(F.col("part"))))
+    rows = keyed.dropDuplicates(["doc_id", key]).alias("d").join(
+        copies.alias("c"), F.expr(f"d.doc_id <=> c.doc_id and d.{key} = c.{key}"))
+    text = F.when(F.col("c.words") < F.col("c.size"), F.concat_ws(" ", F.slice(words(F.col("d.text")), 1, F.col("c.words").cast("int")))).otherwise(F.col("d.text"))
+    own = [text.alias("text") if c == "text" else F.col(f"d.`{c}`") for c in docs.columns]
+    return (rows.select(*own, *[F.col(f"c.{c}").alias(f"__{c}") for c in ("copy", "words", "position", "draw")])
+            .orderBy("__position", "__draw", "__copy").drop("__draw")
+            .withColumnsRenamed({f"__{c}": c for c in ("copy", "words", "position")}))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mix of all ``documents``; one row per document, range-sorted by first training position (untaken last)."""
     plan = plan_mix(table(spark, sf_dir, "documents"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from flowlab.llm import (crf_quality, decontaminate, host_suffix_extract, mixing, pii, pivot_topk, simhash_dedup,
+from flowlab.llm import (crf_quality, decontaminate, host_suffix_extract, license_scan, mixing, pii, pivot_topk, simhash_dedup,
                          url_filter, weak_toxicity)
 
 QUERIES = {
@@ -10,6 +10,7 @@ QUERIES = {
     "op2_crf_quality": crf_quality.op2_crf_quality,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_mixing": mixing.op4_mixing,
+    "op5_license_scan": license_scan.op5_license_scan,
     "op6_host_suffix_extract": host_suffix_extract.op6_host_suffix_extract,
     "op7_weak_toxicity": weak_toxicity.op7_weak_toxicity,
     "op8_simhash_dedup": simhash_dedup.op8_simhash_dedup,

@@ -237,6 +237,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             .select("id", "fp", F.when(F.col("shared"), F.col("low")).otherwise(F.col("id")).alias("component")))
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One document of each near-duplicate group: the one of the smallest id. Columns stay as they are.
+
+    Repeated rows of that id become one row. Of a group of null ids only, one
+    row per distinct text stays.
+    """
+    stay = cut_lineage(near_duplicates(docs).where("id <=> component").groupBy("id").agg(F.count("*").alias("n")))
+    tmp = "__copies"
+    kept = docs.join(stay.select("id", F.col("n").alias(tmp)), docs["doc_id"].eqNullSafe(F.col("id"))).drop("id")
+    once = kept.where(F.col(tmp) == 1).drop(tmp)
+    if stay.where("n > 1").isEmpty():
+        return once
+    again = kept.where(F.col(tmp) > 1)
+    again = again.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(
+        again.where("doc_id is null").dropDuplicates(["text"]))
+    return once.unionByName(again.drop(tmp))
+
+
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of ``documents``: 3-word shingles, links at 3 or fewer differing bits."""
     out = near_duplicates(table(spark, sf_dir, "documents"))
