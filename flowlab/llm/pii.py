@@ -39,9 +39,9 @@ KINDS = (
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]\.[0-9]", True, 0.6, ("ip", "address", "host", "server")),
     Kind("card", r"[0-9](?:[\x20-]?+[0-9])++", r"[0-9][0-9\x20-]{9}", True, 0.8, ("card", "visa", "credit", "karte", "carte", "tarjeta")),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", True, 0.7, ("phone", "tel", "call", "mobile", "fax")),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?+[A-Z0-9]){11,30}+(?![A-Za-z0-9])", "[A-Z]{2}[0-9]{2}", False, 0.8,
+    Kind("iban", r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}", "[A-Z]{2}[0-9]{2}", False, 0.8,
          ("iban", "account", "bank", "konto", "cuenta", "compte")),
-    Kind("ssn", r"(?<![A-Za-z0-9.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])", "[0-9]{3}-[0-9]{2}-[0-9]{4}", False, 0.3,
+    Kind("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "[0-9]{3}-[0-9]{2}-[0-9]{4}", False, 0.3,
          ("ssn", "social", "security")),
 )
 BASE = tuple(k.name for k in KINDS if k.base)
@@ -108,13 +108,17 @@ def proposals(text: Column, kind: Kind) -> Column:
     return F.when(text.rlike(kind.needs), walk).otherwise(empty)
 
 
+def context_pattern(kind: Kind) -> str:
+    return rf"(?:^|[^a-z0-9])(?:{'|'.join(kind.context)})(?:$|[^a-z0-9])"
+
+
 def score(text: Column, kind: Kind, span: Column) -> Column:
     """Prior of the kind, raised when a context word stands within ``CONTEXT_CHARS`` of the span, in [0, 1]."""
     if not kind.context:
         return F.lit(kind.score)
     lo = F.greatest(span["start"] - CONTEXT_CHARS, F.lit(0))
     near = ascii_lower(F.concat_ws(" ", F.substr(text, lo + 1, span["start"] - lo), F.substr(text, span["end"] + 1, F.lit(CONTEXT_CHARS))))
-    return F.lit(kind.score) + F.when(near.rlike(rf"\b(?:{'|'.join(kind.context)})\b"), CONTEXT_GAIN).otherwise(0.0)
+    return F.lit(kind.score) + F.when(near.rlike(context_pattern(kind)), CONTEXT_GAIN).otherwise(0.0)
 
 
 def spans(text: Column) -> Column:

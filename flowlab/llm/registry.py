@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from flowlab.llm import (crf_quality, decontaminate, host_suffix_extract, license_scan, mixing, pii, pivot_topk, simhash_dedup,
-                         url_filter, weak_toxicity)
+from flowlab.llm import (crf_quality, decontaminate, host_suffix_extract, license_scan, mixing, oracle, pii, pivot_topk,
+                         simhash_dedup, url_filter, weak_toxicity)
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -17,4 +17,4 @@ QUERIES = {
     "op9_pii": pii.op9_pii,
     "op10_pivot_topk": pivot_topk.op10_pivot_topk,
 }
-ORACLE: dict[str, str] = {}
+ORACLE = dict(oracle.ORACLE)

@@ -75,7 +75,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, step
         for step in range(1, steps + 1):
             moved = (rank.withColumnRenamed("host", "src").join(walk, ["way", "src"])
                      .select(F.col("dst").alias("host"), "way", (F.col("s") * F.col("p") * damping).alias("s")))
-            rank = (moved.unionByName(start.withColumn("s", F.col("s") * (1 - damping)))
+            rank = (moved.unionByName(start)
                     .groupBy("host", "way").agg(F.sum("s").alias("s")))
             rank = cut_lineage(rank) if step % 5 == 0 else rank
     score = lambda way: F.sum(F.when(F.col("way") == way, F.col("s")).otherwise(0.0)).alias(way)
