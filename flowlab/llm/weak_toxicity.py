@@ -15,7 +15,6 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,8 +24,8 @@ from pyspark.sql import functions as F
 
 from flowlab.llm.common import crc_mod, table
 
-TRAIN_TOXIC, TRAIN_CLEAN = 3_000, 5_000  # labelled documents of either label in the training sample, by a hash of the id
-TRAIN_CHARS = 30_000  # longer documents are not used for training
+TRAIN_TOXIC, TRAIN_CLEAN = 2_000, 3_000  # labelled documents of either label in the training sample, by a hash of the id
+TRAIN_CHARS = 15_000  # longer documents are not used for training
 FOLDS, HELD_OUT = 5, 0
 CUT = 0.5
 PREFIXES = (4, 5, 6)
@@ -34,6 +33,7 @@ MIN_DOCS = 3  # documents of the sample that a term must occur in to be a featur
 MIN_Z = 5.0  # standard errors by which a mined term is more frequent in toxic documents than by chance
 MIN_ODDS = 3.0  # and its log odds ratio
 WORD_VOTERS, PREFIX_VOTERS = 8, 3  # lexicons of words, and of beginnings of each length
+REPEATS = 0.9  # correlation above which voters count as repeats of each other
 COPY_KEYS = 6  # keys that tell copies in the training sample
 VOCABULARY = 6_000  # features of the linear classifier
 TOKEN = re.compile(r"[^\W\d_]{3,}")
@@ -70,16 +70,40 @@ def one_of_each(rows: list) -> list:
     return out
 
 
+def term_ids(words: set[str]) -> np.ndarray:
+    """Sorted 64-bit hashes of the terms of a text: what the training keeps of it."""
+    import xxhash
+
+    found = terms(words)
+    return np.sort(np.fromiter((xxhash.xxh64_intdigest(t) for t in found), np.uint64, len(found)))
+
+
+def term_names(texts: list[str], wanted: np.ndarray) -> dict[int, str]:
+    """Hash -> term, for the wanted hashes; a text is given as its words."""
+    import xxhash
+
+    out, want = {}, set(wanted.tolist())
+    for words in texts:
+        if len(out) == len(want):
+            break
+        for t in terms(set(words.split())):
+            h = xxhash.xxh64_intdigest(t)
+            if h in want:
+                out[h] = t
+    return out
+
+
 @dataclass
 class Voters:
-    lexicons: list[set[str]] = field(default_factory=list)
-    suspects: set[str] = field(default_factory=set)
+    lexicons: list[set[int]] = field(default_factory=list)
+    words: set[int] = field(default_factory=set)
+    suspects: set[int] = field(default_factory=set)
 
-    def votes(self, found: set[str], n_tokens: int, shouts: bool, bangs: bool) -> list[int]:
+    def votes(self, found: np.ndarray, n_tokens: int, shouts: bool, bangs: bool) -> list[int]:
         """1 toxic, -1 clean, 0 abstains."""
-        hits = found & self.suspects
-        out = [1 if found & lex else 0 for lex in self.lexicons]
-        words = {h for h in hits if not h.endswith("*")}
+        hits = {h for h in found.tolist() if h in self.suspects}
+        out = [1 if hits & lex else 0 for lex in self.lexicons]
+        words = hits & self.words
         out += [-1 if not hits else 0, -1 if not words else 1, 1 if len(words) >= 2 else 0,
                 1 if len(hits) >= 4 else -1 if len(hits) < 2 else 0,
                 1 if n_tokens and len(words) / n_tokens > 0.02 else 0,
@@ -87,28 +111,25 @@ class Voters:
         return out
 
 
-def mine(samples: list[set[str]], label: np.ndarray) -> list[tuple[float, str]]:
+def mine(samples: list[np.ndarray], label: np.ndarray) -> list[tuple[float, int]]:
     """(log odds ratio, term) of the terms that stand out in toxic documents, strongest first."""
-    toxic, clean = Counter(), Counter()
-    for found, y in zip(samples, label):
-        (toxic if y else clean).update(found)
+    ids, n = np.unique(np.concatenate(samples), return_counts=True)
+    bad, k = np.unique(np.concatenate([s for s, y in zip(samples, label) if y]), return_counts=True)
+    n = n[np.searchsorted(ids, bad)]
     n1, n0 = int(label.sum()), int((1 - label).sum())
-    out = []
-    for t, k in toxic.items():
-        chance = (k + clean[t]) * n1 / (n1 + n0)
-        odds = np.log((k + 0.5) / (n1 - k + 0.5)) - np.log((clean[t] + 0.5) / (n0 - clean[t] + 0.5))
-        if k - chance >= MIN_Z * np.sqrt(chance) and odds >= MIN_ODDS:
-            out.append((float(odds), t))
-    return sorted(out, key=lambda x: (-x[0], x[1]))
+    chance = n * n1 / (n1 + n0)
+    odds = np.log((k + 0.5) / (n1 - k + 0.5)) - np.log((n - k + 0.5) / (n0 - (n - k) + 0.5))
+    good = (k - chance >= MIN_Z * np.sqrt(chance)) & (odds >= MIN_ODDS)
+    return sorted(zip(odds[good].tolist(), bad[good].tolist()), key=lambda x: (-x[0], x[1]))
 
 
-def make_voters(mined: list[tuple[float, str]]) -> Voters:
+def make_voters(mined: list[tuple[float, int]], names: dict[int, str]) -> Voters:
     """Deals words and beginnings of each length to lexicons in turn, so that the lexicons are of like strength."""
-    out = Voters(suspects={t for _, t in mined})
-    whole = [t for _, t in mined if not t.endswith("*")]
+    whole = [t for _, t in mined if not names[t].endswith("*")]
+    out = Voters(words=set(whole), suspects={t for _, t in mined})
     out.lexicons += [set(whole[i::WORD_VOTERS]) for i in range(WORD_VOTERS)]
     for n in PREFIXES:
-        part = [t for _, t in mined if t.endswith("*") and len(t) == n + 1]
+        part = [t for _, t in mined if names[t].endswith("*") and len(names[t]) == n + 1]
         out.lexicons += [set(part[i::PREFIX_VOTERS]) for i in range(PREFIX_VOTERS)]
     return out
 
@@ -119,9 +140,14 @@ def label_model(votes: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.nda
     Returns (posterior of toxic, accuracy of each voter where it votes,
     correlations of the voters given the class).
     """
-    q = 1 / (1 + np.exp(-np.clip(votes.sum(1), -10, 10).astype(float)))
     one = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(float)  # documents, voters, values
-    share, corr = np.ones(votes.shape[1]), np.eye(votes.shape[1])
+    v = votes.astype(float)
+    # voters that nearly repeat each other share one say from the start, else EM takes what they repeat for the class
+    sd = np.sqrt(np.maximum(v.var(0), 1e-12))
+    corr = (v - v.mean(0)).T @ (v - v.mean(0)) / len(v) / np.outer(sd, sd)
+    np.fill_diagonal(corr, 1.0)
+    share = 1 / (corr > REPEATS).sum(1)
+    q = 1 / (1 + np.exp(-np.clip(v @ share, -10, 10)))
     for step in range(2):
         for _ in range(rounds):
             prior = np.clip(q.mean(), 1e-3, 1 - 1e-3)
@@ -130,7 +156,6 @@ def label_model(votes: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.nda
             llr = (one * np.log(p1 / p0)).sum(2)
             q = 1 / (1 + np.exp(-np.clip(llr @ share + np.log(prior / (1 - prior)), -30, 30)))
         if step == 0:
-            v = votes.astype(float)
             m1, m0 = q @ v / max(q.sum(), 1e-9), (1 - q) @ v / max((1 - q).sum(), 1e-9)
             d1, d0 = v - m1, v - m0
             cov = ((d1 * q[:, None]).T @ d1 + (d0 * (1 - q)[:, None]).T @ d0) / len(v)
@@ -149,23 +174,23 @@ class Linear:
     offset: float = -5.0
 
 
-def fit_linear(samples: list[set[str]], target: np.ndarray, vocabulary: int = VOCABULARY, rounds: int = 300, decay: float = 2e-4) -> Linear:
-    """Logistic regression on soft labels over the terms whose presence says most about them, by proximal gradient steps (L1)."""
-    n, pos = Counter(), Counter()
-    for found, y in zip(samples, target):
-        n.update(found)
-        for t in found:
-            pos[t] += y
-    base, size = target.mean(), len(samples)
-    gain = sorted(((abs(pos[t] - k * base) / np.sqrt(k * max(base * (1 - base), 1e-9)), t) for t, k in n.items() if k >= MIN_DOCS),
-                  key=lambda x: (-x[0], x[1]))[:vocabulary]
-    index = {t: i for i, (_, t) in enumerate(gain)}
-    rows, cols = [], []
-    for i, found in enumerate(samples):
-        mine_ = sorted(index[t] for t in found if t in index)
-        cols += mine_
-        rows += [i] * len(mine_)
-    rows, cols = np.array(rows, int), np.array(cols, int)
+def fit_linear(samples: list[np.ndarray], target: np.ndarray, vocabulary: int = VOCABULARY, rounds: int = 300,
+               decay: float = 2e-4) -> tuple[np.ndarray, np.ndarray, float]:
+    """(terms, weights, offset): logistic regression on soft labels, by proximal gradient steps (L1).
+
+    Its features are the terms whose presence says most about the labels.
+    """
+    size, base = len(samples), float(target.mean())
+    rows = np.repeat(np.arange(size, dtype=np.int32), [len(s) for s in samples])
+    ids, cols = np.unique(np.concatenate(samples), return_inverse=True)
+    n = np.bincount(cols)
+    gain = np.abs(np.bincount(cols, weights=target[rows]) - n * base) / np.sqrt(n * max(base * (1 - base), 1e-9))
+    gain[n < MIN_DOCS] = 0
+    index = np.sort(np.argsort(-gain, kind="stable")[:vocabulary])
+    place = np.full(len(ids), -1)
+    place[index] = np.arange(len(index))
+    cols = place[cols]
+    rows, cols = rows[cols >= 0], cols[cols >= 0]
     w, b = np.zeros(len(index)), float(np.log(np.clip(base, 1e-3, 1 - 1e-3) / np.clip(1 - base, 1e-3, 1 - 1e-3)))
     scale = np.sqrt(np.bincount(cols, minlength=len(index)) / max(size, 1) + 1e-4)  # one step size for rare and frequent terms
     m_w, m_b, rate = np.zeros_like(w), 0.0, 0.5
@@ -176,7 +201,7 @@ def fit_linear(samples: list[set[str]], target: np.ndarray, vocabulary: int = VO
         m_w, m_b = 0.9 * m_w + g / scale, 0.9 * m_b + e.mean()
         w, b = w - rate * m_w, b - rate * m_b
         w = np.sign(w) * np.maximum(np.abs(w) - rate * decay / scale, 0)
-    return Linear({t: float(w[i]) for t, i in index.items() if w[i]}, float(b))
+    return ids[index][w != 0], w[w != 0], float(b)
 
 
 def train(docs: DataFrame, labels: DataFrame, toxic_docs: int = TRAIN_TOXIC, clean_docs: int = TRAIN_CLEAN) -> tuple[Linear, pd.DataFrame]:
@@ -206,11 +231,16 @@ def train(docs: DataFrame, labels: DataFrame, toxic_docs: int = TRAIN_TOXIC, cle
     label = np.array([r["toxic"] for r in got], int)
     if len(set(label.tolist())) < 2:
         return Linear(), pd.DataFrame({"voter": [], "accuracy": []})
-    samples = [terms(set(r["words"].split())) for r in got]
-    voters = make_voters(mine(samples, label))
+    texts = [r["words"] for r in got]
+    samples = [term_ids(set(t.split())) for t in texts]
+    mined = mine(samples, label)
+    voters = make_voters(mined, term_names(texts, np.array([t for _, t in mined], np.uint64)))
     votes = np.array([voters.votes(s, r["n"], r["shouts"], r["bangs"]) for r, s in zip(got, samples)])
     posterior, accuracy, _ = label_model(votes)
-    return fit_linear(samples, posterior), pd.DataFrame({"voter": np.arange(len(accuracy)), "accuracy": accuracy})
+    ids, weights, offset = fit_linear(samples, posterior)
+    names = term_names(texts, ids)
+    model = Linear({names[t]: float(w) for t, w in zip(ids.tolist(), weights)}, offset)
+    return model, pd.DataFrame({"voter": np.arange(len(accuracy)), "accuracy": accuracy})
 
 
 def toxicity_score(model: Linear, text: Column) -> Column:
