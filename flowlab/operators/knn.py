@@ -17,7 +17,6 @@ grows with the data and no single hot key exists (ids are hashed).
 from __future__ import annotations
 
 import math
-import os
 
 import numpy as np
 import pandas as pd
@@ -26,28 +25,44 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DEFAULT_BLOCK_ROWS = 4096
+PAIRS = 1_000_000  # exact distances computed at a time within a tile
 
 
 def _kernel(features: list[str], k: int, exclude_self: bool, carry: list[str], tile: int):
     d = len(features)
 
-    def candidates(Q, qn, qid, R, rn, rid):
-        d2 = qn[:, None] + rn[None, :] - 2.0 * (Q @ R.T)
+    def nearest(Q, qid, R, rid, centre):
+        """(query row, reference row, distance) of the k best references of every query of a tile."""
+        # product form on centred coordinates: its rounding error follows the spread, not the offset
+        q0, r0 = Q - centre, R - centre
+        qn, rn = np.einsum("ij,ij->i", q0, q0), np.einsum("ij,ij->i", r0, r0)
+        d2 = qn[:, None] + rn[None, :] - 2.0 * (q0 @ r0.T)
         if exclude_self:
             d2[qid[:, None] == rid[None, :]] = np.inf
         kk = min(k, R.shape[0])
         kth = np.partition(d2, kk - 1, axis=1)[:, kk - 1]
-        # Rounding error of the product form is below eps * (|q|^2 + max |r|^2).
-        tol = 1e-9 * (qn + rn.max()) + 1e-12
-        qi, rj = np.nonzero(d2 <= (kth + tol)[:, None])
+        tol = 1e-9 * (qn + rn.max()) + 1e-12  # far above the rounding error of the product form
+        near = d2 <= (kth + tol)[:, None]
         if exclude_self:
-            keep = qid[qi] != rid[rj]
-            qi, rj = qi[keep], rj[keep]
-        acc = np.zeros(qi.shape[0], dtype=np.float64)
-        for f in range(d):  # exact, sequential sum of squared differences
-            diff = Q[qi, f] - R[rj, f]
-            acc += diff * diff
-        return qi, rj, acc
+            near &= qid[:, None] != rid[None, :]
+        ends = np.cumsum(near.sum(axis=1))
+        out, start = [], 0
+        while start < Q.shape[0]:  # equal rows may all be near: recompute about PAIRS pairs at a time
+            base = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, base + PAIRS, side="right")))
+            qi, rj = np.nonzero(near[start:stop])
+            qi = qi + start
+            acc = np.zeros(qi.shape[0], dtype=np.float64)
+            for f in range(d):  # exact, sequential sum of squared differences
+                diff = Q[qi, f] - R[rj, f]
+                acc += diff * diff
+            order = np.lexsort((rid[rj], acc, qi))
+            qi, rj, acc = qi[order], rj[order], acc[order]
+            place = np.arange(len(qi)) - np.searchsorted(qi, qi)
+            best = place < k
+            out.append((qi[best], rj[best], np.sqrt(acc[best])))
+            start = stop
+        return [np.concatenate(x) for x in zip(*out)]
 
     def fn(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         cols = ["qid", "rid", "dist", *carry]
@@ -57,8 +72,7 @@ def _kernel(features: list[str], k: int, exclude_self: bool, carry: list[str], t
         R = r[features].to_numpy(dtype=np.float64)
         qid = q["_qid"].to_numpy(dtype=np.int64)
         rid = r["_rid"].to_numpy(dtype=np.int64)
-        qn = np.einsum("ij,ij->i", Q, Q)
-        rn = np.einsum("ij,ij->i", R, R)
+        centre = R.mean(axis=0)
         parts = []
         # The reference block is walked in tiles; each tile keeps k candidates per query,
         # so memory stays at one (query tile x reference tile) distance matrix.
@@ -66,8 +80,8 @@ def _kernel(features: list[str], k: int, exclude_self: bool, carry: list[str], t
             qs = slice(q0, q0 + tile)
             for r0 in range(0, R.shape[0], tile):
                 rs = slice(r0, r0 + tile)
-                qi, rj, acc = candidates(Q[qs], qn[qs], qid[qs], R[rs], rn[rs], rid[rs])
-                part = pd.DataFrame({"qid": qid[qs][qi], "rid": rid[rs][rj], "dist": np.sqrt(acc)})
+                qi, rj, dist = nearest(Q[qs], qid[qs], R[rs], rid[rs], centre)
+                part = pd.DataFrame({"qid": qid[qs][qi], "rid": rid[rs][rj], "dist": dist})
                 for c in carry:
                     part[c] = r[c].to_numpy()[rs][rj]
                 parts.append(part)
@@ -96,16 +110,14 @@ def plan_blocks(nq: int, nr: int, parallelism: int, q_block_rows: int = 8192, r_
             rb //= 2
 
 
-# Above this many (query, reference) pairs the pivot-pruned plan is used by default.
-PRUNE_MIN_PAIRS = 2_000_000_000
-BOUND_SLACK = 1e-9
+# Block pairs share this many shuffle partitions at most, however many there are.
+MAX_PARTITIONS = 8192
 
 
 def knn_join(queries: DataFrame, refs: DataFrame, features: list[str], k: int = 5,
              q_key: str = "row_key", r_key: str = "row_key", exclude_self: bool = False,
              carry: list[str] | None = None, block_rows: int = DEFAULT_BLOCK_ROWS,
-             sizes: tuple[int, int] | None = None, pruning="auto", n_pivots: int | None = None,
-             seed: int = 42) -> DataFrame:
+             sizes: tuple[int, int] | None = None) -> DataFrame:
     """Exact k nearest references per query (Euclidean). Returns qid, rid, dist, nn_rank, *carry.
 
     ``sizes``: (query rows, reference rows) when the caller already knows them
@@ -114,9 +126,6 @@ def knn_join(queries: DataFrame, refs: DataFrame, features: list[str], k: int =
     ``carry``: numeric reference columns passed through (e.g. the class label).
     With ``exclude_self`` a query never matches the reference with the same id
     (self-join use, e.g. SMOTE neighbours).
-
-    ``pruning``: True / False / "auto" (pivot pruning above PRUNE_MIN_PAIRS pairs);
-    both plans give the same rows (see :func:`_pruned_pairs`).
     """
     carry = carry or []
     nq, nr = sizes if sizes else (queries.count(), refs.count())
@@ -127,151 +136,23 @@ def knn_join(queries: DataFrame, refs: DataFrame, features: list[str], k: int =
     schema = T.StructType([T.StructField("qid", T.LongType()), T.StructField("rid", T.LongType()),
                            T.StructField("dist", T.DoubleType()), *carry_fields])
     kernel = _kernel(features, k, exclude_self, carry, min(block_rows, DEFAULT_BLOCK_ROWS))
-    forced = os.environ.get("FLOWLAB_KNN_PRUNING")  # "on" / "off": test switch for the plan choice
-    if forced in ("on", "off"):
-        pruning = forced == "on"
-    use_pivots = pruning is True or (pruning == "auto" and nq * nr >= PRUNE_MIN_PAIRS)
-    if use_pivots and nr > k + 1:
-        q, r, keys, n_groups = _pruned_pairs(q, r, features, k, exclude_self, nr, n_pivots, seed, block_rows)
-    else:
-        par = queries.sparkSession.sparkContext.defaultParallelism
-        bq, br = plan_blocks(nq, nr, par, tile=block_rows) if block_rows >= DEFAULT_BLOCK_ROWS else (
-            max(1, math.ceil(nq / block_rows)), max(1, math.ceil(nr / block_rows)))
-        q = (q.withColumn("_bq", F.pmod(F.xxhash64("_qid"), F.lit(bq)).cast("int"))
-             .withColumn("_br", F.explode(F.sequence(F.lit(0), F.lit(br - 1)))))
-        r = (r.withColumn("_br", F.pmod(F.xxhash64("_rid"), F.lit(br)).cast("int"))
-             .withColumn("_bq", F.explode(F.sequence(F.lit(0), F.lit(bq - 1)))))
-        keys, n_groups = ["_bq", "_br"], bq * br
-    # One partition per block pair on both sides (an explicit count, so adaptive execution
-    # does not merge these small-but-CPU-heavy partitions); the cogroup reuses the partitioning.
-    q = q.repartition(n_groups, *keys)
-    r = r.repartition(n_groups, *keys)
+    par = queries.sparkSession.sparkContext.defaultParallelism
+    bq, br = plan_blocks(nq, nr, par, tile=block_rows) if block_rows >= DEFAULT_BLOCK_ROWS else (
+        max(1, math.ceil(nq / block_rows)), max(1, math.ceil(nr / block_rows)))
+    q = (q.withColumn("_bq", F.pmod(F.xxhash64("_qid"), F.lit(bq)).cast("int"))
+         .withColumn("_br", F.explode(F.sequence(F.lit(0), F.lit(br - 1)))))
+    r = (r.withColumn("_br", F.pmod(F.xxhash64("_rid"), F.lit(br)).cast("int"))
+         .withColumn("_bq", F.explode(F.sequence(F.lit(0), F.lit(bq - 1)))))
+    keys, n_parts = ["_bq", "_br"], min(bq * br, MAX_PARTITIONS)
+    # An explicit partition count on both sides, so adaptive execution does not merge these
+    # small-but-CPU-heavy partitions; the cogroup reuses the partitioning.
+    q = q.repartition(n_parts, *keys)
+    r = r.repartition(n_parts, *keys)
     cand = q.groupBy(*keys).cogroup(r.groupBy(*keys)).applyInPandas(kernel, schema)
     w = Window.partitionBy("qid").orderBy("dist", "rid")
     return cand.withColumn("nn_rank", F.row_number().over(w)).filter(F.col("nn_rank") <= k)
 
 
-def _assign_cells(df: DataFrame, features: list[str], pivots: np.ndarray) -> DataFrame:
-    """Nearest pivot (``_cell``) and the exact distance to it (``_pd``) for every row (Arrow batches)."""
-    out_schema = T.StructType(list(df.schema.fields) + [T.StructField("_cell", T.IntegerType()),
-                                                        T.StructField("_pd", T.DoubleType())])
-    pn = np.einsum("ij,ij->i", pivots, pivots)
-
-    def assign(it):
-        for pdf in it:
-            X = pdf[features].to_numpy(dtype=np.float64)
-            cell = np.empty(X.shape[0], dtype=np.int32)
-            pd_ = np.empty(X.shape[0], dtype=np.float64)
-            for s0 in range(0, X.shape[0], 4096):
-                x = X[s0:s0 + 4096]
-                d2 = np.einsum("ij,ij->i", x, x)[:, None] + pn[None, :] - 2.0 * (x @ pivots.T)
-                c = np.argmin(d2, axis=1)
-                cell[s0:s0 + 4096] = c
-                pd_[s0:s0 + 4096] = np.sqrt(((x - pivots[c]) ** 2).sum(axis=1))
-            pdf = pdf.assign(_cell=cell, _pd=pd_)
-            yield pdf
-
-    return df.mapInPandas(assign, out_schema)
-
-
-def _pruned_pairs(q: DataFrame, r: DataFrame, features: list[str], k: int, exclude_self: bool, nr: int,
-                  n_pivots: int | None, seed: int, block_rows: int):
-    """Pivot (Voronoi) pruning for the exact kNN join, with a bound per query.
-
-    P reference rows chosen by a seeded hash are pivots (P <= 1024: a small
-    driver-side matrix). Every reference goes to its nearest pivot's cell; per
-    cell j small aggregations give the count, the radius R_j (largest member
-    distance to the pivot) and the k smallest member distances s_j1..s_jk (top-k
-    per partition, then merged). For a query q at distance d_j from pivot j,
-    the m-th closest member of cell j is within d_j + s_jm of q, so the k-th
-    smallest of all d_j + s_jm (k + 1 for a self join) bounds q's k-th
-    neighbour distance: theta_q. Every member of cell j is at least d_j - R_j
-    away (triangle inequality), so q is only sent to the cells with
-    d_j - R_j <= theta_q. References are never copied to other cells; inside a
-    cell, queries and references are hash-blocked as in the unpruned plan, so
-    a hot cell is still split over many tasks. Returns the keyed sides.
-    """
-    from flowlab.functions.rand import hash32
-    from flowlab.session import broadcast_if_small, cut_lineage
-
-    spark = q.sparkSession
-    n_piv = int(min(nr, n_pivots or min(1024, max(16, nr // 512))))
-    piv_rows = (r.select("_rid", *features, hash32(seed, "pivot", "_rid").alias("_h"))
-                .orderBy("_h", "_rid").limit(n_piv).select(*features).collect())  # P rows
-    pivots = np.array([[float(x) for x in row] for row in piv_rows], dtype=np.float64)
-    need = k + (1 if exclude_self else 0)
-    # read three times below (cell stats, nearest members, the join): assigned once, kept in the
-    # shared checkpoint folder
-    ra = cut_lineage(_assign_cells(r, features, pivots))
-    stats = ra.groupBy("_cell").agg(F.count(F.lit(1)).alias("n"), F.max("_pd").alias("rad")).collect()  # <= P rows
-    # the `need` smallest member-to-pivot distances of every cell: top-k inside each partition,
-    # then a merge of at most (partitions x need) values per cell
-    local_schema = T.StructType([T.StructField("_cell", T.IntegerType()), T.StructField("_pd", T.DoubleType())])
-
-    def local_smallest(it):
-        for pdf in it:
-            if not pdf.empty:
-                yield pdf[["_cell", "_pd"]].sort_values("_pd").groupby("_cell", sort=False).head(need)
-
-    small = (ra.select("_cell", "_pd").mapInPandas(local_smallest, local_schema)
-             .groupBy("_cell").agg(F.slice(F.array_sort(F.collect_list("_pd")), 1, need).alias("s")).collect())
-    small_by_cell = {row["_cell"]: row["s"] for row in small}
-    cells = np.array([row["_cell"] for row in stats], dtype=np.int64)
-    cnt = np.array([row["n"] for row in stats], dtype=np.int64)
-    rad = np.array([row["rad"] for row in stats], dtype=np.float64)
-    near = np.full((len(cells), need), np.inf)
-    for c_i, c in enumerate(cells):
-        vals = small_by_cell.get(int(c), [])
-        near[c_i, :len(vals)] = vals
-    piv_c = pivots[cells]
-    pn = np.einsum("ij,ij->i", piv_c, piv_c)
-    out_schema = T.StructType(list(q.schema.fields) + [T.StructField("_cell", T.IntegerType())])
-
-    def route(it):
-        for pdf in it:
-            X = pdf[features].to_numpy(dtype=np.float64)
-            idx, cell = [], []
-            for s0 in range(0, X.shape[0], 2048):
-                x = X[s0:s0 + 2048]
-                d2 = np.einsum("ij,ij->i", x, x)[:, None] + pn[None, :] - 2.0 * (x @ piv_c.T)
-                d = np.sqrt(np.maximum(d2, 0.0))
-                # d_j + (m-th smallest member distance of cell j) bounds the distance to a distinct
-                # reference, so the need-th smallest of these values bounds the need-th neighbour
-                upper = (d[:, :, None] + near[None, :, :]).reshape(x.shape[0], -1)
-                if upper.shape[1] >= need:
-                    theta = np.partition(upper, need - 1, axis=1)[:, need - 1]
-                else:
-                    theta = np.full(x.shape[0], np.inf)
-                # slack covers rounding of the product-form distances to the pivots
-                slack = BOUND_SLACK * (1.0 + d.max(axis=1, keepdims=True) + rad.max())
-                keep = (d - rad[None, :]) <= (theta[:, None] + slack)
-                qi, cj = np.nonzero(keep)
-                idx.append(qi + s0)
-                cell.append(cells[cj])
-            idx = np.concatenate(idx) if idx else np.empty(0, dtype=np.int64)
-            out = pdf.iloc[idx].reset_index(drop=True)
-            out["_cell"] = (np.concatenate(cell) if cell else np.empty(0)).astype(np.int32)
-            yield out
-
-    qx = q.mapInPandas(route, out_schema)
-    q_per_cell = qx.groupBy("_cell").agg(F.count(F.lit(1)).alias("nq"))
-    blocks_df = q_per_cell.join(spark.createDataFrame([(int(c), int(n)) for c, n in zip(cells, cnt)],
-                                                      "_cell INT, nr BIGINT"), "_cell")
-    blocks_df = blocks_df.select("_cell", F.greatest(F.lit(1), F.ceil(F.col("nq") / 8192)).cast("int").alias("_nbq"),
-                                 F.greatest(F.lit(1), F.ceil(F.col("nr") / 65536)).cast("int").alias("_nbr"))
-    blk = broadcast_if_small(blocks_df)  # one row per cell that receives queries (<= P)
-    n_groups = max(1, int(blk.agg(F.sum(F.col("_nbq") * F.col("_nbr"))).first()[0] or 1))
-    qk = (qx.join(blk, "_cell")
-          .withColumn("_bq", F.pmod(F.xxhash64("_qid"), F.col("_nbq")).cast("int"))
-          .withColumn("_br", F.explode(F.sequence(F.lit(0), F.col("_nbr") - 1)))
-          .drop("_nbq", "_nbr"))
-    rk = (ra.join(blk, "_cell")
-          .withColumn("_br", F.pmod(F.xxhash64("_rid"), F.col("_nbr")).cast("int"))
-          .withColumn("_bq", F.explode(F.sequence(F.lit(0), F.col("_nbq") - 1)))
-          .drop("_nbq", "_nbr", "_pd"))
-    return qk, rk, ["_cell", "_bq", "_br"], n_groups
-
-
 def weighted_vote(neigh: DataFrame, label_col: str = "label") -> DataFrame:
     """M6 vote: weight 1/d; if a query has neighbours at distance 0, only those count (weight 1).
 

@@ -106,17 +106,37 @@ def test_forest_independent_of_input_layout(spark):
     assert (preds[0] == y).mean() > 0.9
 
 
+@pytest.mark.parametrize("shift", [0.0, 1e6, 1e9])
 @pytest.mark.parametrize("exclude_self", [False, True])
-def test_pruned_knn_equals_unpruned(spark, exclude_self):
+def test_knn_equals_brute_force_at_any_offset(spark, exclude_self, shift):
     rng = np.random.default_rng(9)
-    centers = rng.normal(scale=8.0, size=(6, 3))
-    R = np.vstack([c + rng.normal(size=(120, 3)) for c in centers])
-    R[:200] = np.round(R[:200])            # duplicates and exact ties inside one hot region
-    Q = R[::3] + (0 if exclude_self else 0.05)
+    R = rng.normal(scale=8.0, size=(500, 3)) + shift
+    R[:200] = np.round(R[:200])  # duplicates and exact ties
+    Q = R[::3] + (0 if exclude_self else 0.25)
     feats = ["f0", "f1", "f2"]
     refs = _frame(spark, R)
     qs = refs if exclude_self else _frame(spark, Q, start=10_000)
-    a = knn.knn_join(qs, refs, feats, k=5, exclude_self=exclude_self, pruning=True, n_pivots=12).collect()
-    b = knn.knn_join(qs, refs, feats, k=5, exclude_self=exclude_self, pruning=False).collect()
-    key = lambda rows: sorted((r.qid, r.nn_rank, r.rid, round(r.dist, 12)) for r in rows)
-    assert key(a) == key(b)
+    got = sorted((r.qid, r.nn_rank, r.rid) for r in knn.knn_join(qs, refs, feats, k=5, exclude_self=exclude_self, block_rows=128).collect())
+    X = R if exclude_self else Q
+    want = []
+    for i, x in enumerate(X):
+        acc = np.zeros(len(R))
+        for f in range(3):
+            acc += (x[f] - R[:, f]) * (x[f] - R[:, f])
+        order = [j for j in np.lexsort((np.arange(len(R)), np.sqrt(acc))) if not (exclude_self and j == i)][:5]
+        want += [(i if exclude_self else 10_000 + i, n + 1, j) for n, j in enumerate(order)]
+    assert got == sorted(want)
+
+
+def test_equal_rows_stay_within_memory():
+    import resource
+
+    import pandas as pd
+
+    fn = knn._kernel(["f0", "f1"], 5, False, [], 4096)
+    q = pd.DataFrame({"_qid": range(2000), "f0": 1.0, "f1": 2.0})
+    r = pd.DataFrame({"_rid": range(50_000), "f0": 1.0, "f1": 2.0})
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    out = fn(q, r)
+    assert len(out) == 10_000 and set(out["rid"]) == set(range(5))
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1_500_000  # KiB
