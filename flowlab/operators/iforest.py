@@ -23,9 +23,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowlab.functions.rand import hash32, uniform
+from flowlab.session import broadcast_if_small, cut_lineage
 
 EULER = 0.5772156649015329
-MAX_FOREST_NODES = 5_000_000
+ROWS_PER_UNIT = 100_000  # rows scored together
 
 
 def c_factor(n) -> np.ndarray:
@@ -86,14 +87,18 @@ def fit_isolation_forest(fit_rows: DataFrame, features: list[str], key_col: str
                          seed: int = 42) -> DataFrame:
     """Forest table: (group?, tree, node, feature, threshold, left, right, size, depth, sample_size)."""
     gcols = [group_col] if group_col else []
-    sizes = fit_rows.groupBy(*gcols).agg(F.count(F.lit(1)).alias("_n")).collect()  # one row per group
-    n_min = min(r["_n"] for r in sizes)
-    reps = max(1, math.ceil(1.5 * psi * n_trees / n_min))
-    p = min(1.0, 1.5 * psi * n_trees / (n_min * reps))
-    rows = fit_rows.select(*gcols, F.col(key_col).alias("_key"), *[F.col(f).cast("double").alias(f) for f in features])
-    rep = rows.withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+    # a group's rows are copied only if it has fewer than the trees need, and thinned only if it has more
+    wanted = 1.5 * psi * n_trees
+    sizes = fit_rows.groupBy(*gcols).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sizes.select(*gcols, F.greatest(F.ceil(wanted / F.col("_n")), F.lit(1)).cast("int").alias("_reps"), "_n")
+    sizes = sizes.withColumn("_p", F.least(F.lit(1.0), wanted / (F.col("_n") * F.col("_reps")))).drop("_n")
+    sizes = broadcast_if_small(sizes)
+    fit_rows = (fit_rows.join(sizes.withColumnRenamed(group_col, "_g"), F.col(group_col).eqNullSafe(F.col("_g"))).drop("_g")
+                if group_col else fit_rows.crossJoin(sizes))  # without a group: one row of sizes
+    rows = fit_rows.select(*gcols, F.col(key_col).alias("_key"), *[F.col(f).cast("double").alias(f) for f in features], "_reps", "_p")
+    rep = rows.withColumn("_rep", F.explode(F.sequence(F.lit(0), F.col("_reps") - 1)))
     rep = rep.withColumn("_tree", F.pmod(hash32(seed, "if-tree", "_key", "_rep"), F.lit(n_trees)).cast("int"))
-    rep = rep.withColumn("_u", uniform(seed, "if-keep", "_key", "_rep")).filter(F.col("_u") < F.lit(p))
+    rep = rep.withColumn("_u", uniform(seed, "if-keep", "_key", "_rep")).filter(F.col("_u") < F.col("_p")).drop("_reps", "_p")
     schema_fields = ([T.StructField(group_col, fit_rows.schema[group_col].dataType)] if group_col else []) + [
         T.StructField("tree", T.IntegerType()), T.StructField("node", T.IntegerType()),
         T.StructField("feature", T.IntegerType()), T.StructField("threshold", T.DoubleType()),
@@ -104,60 +109,53 @@ def fit_isolation_forest(fit_rows: DataFrame, features: list[str], key_col: str
 
 
 def score_isolation_forest(df: DataFrame, forest: DataFrame, features: list[str], key_col: str = "row_key",
-                           group_col: str | None = None, psi: int = 256) -> DataFrame:
-    """Anomaly score of every row of ``df`` against the forest of its group."""
-    from flowlab.session import cut_lineage
-
-    forest = cut_lineage(forest)  # trees are built once; the size check and the collect read the copy
-    n_nodes = forest.count()
-    if n_nodes > MAX_FOREST_NODES:
-        raise ValueError(f"forest has {n_nodes} nodes; above the {MAX_FOREST_NODES} bound for scoring")
-    fpdf = forest.toPandas()  # bounded: groups * trees * (2 psi - 1) rows, checked above
-    forests = {}
-    for gval, g in (fpdf.groupby(group_col) if group_col else [(None, fpdf)]):
-        trees = []
-        for _, t in g.groupby("tree"):
-            t = t.sort_values("node")
-            trees.append((t["feature"].to_numpy(), t["threshold"].to_numpy(), t["left"].to_numpy(),
-                          t["right"].to_numpy(), t["size"].to_numpy(), t["depth"].to_numpy(),
-                          int(t["sample_size"].iloc[0])))
-        forests[gval] = trees
-    cpsi = {g: float(c_factor([trees[0][6] if trees else psi])[0]) for g, trees in forests.items()}
+                           group_col: str | None = None, psi: int = 256, carry: list[str] | None = None) -> DataFrame:
+    """Anomaly score of every row of ``df`` against the forest of its group; ``carry`` columns pass through.
+
+    Rows are dealt to units of a group (about ``ROWS_PER_UNIT`` rows, by a hash
+    of the key) and each unit meets the forest of its group, so neither a hot
+    group nor the whole forest has to fit anywhere. Rows of a group without a
+    forest get a null path and score.
+    """
+    carry = carry or []
     gcols = [group_col] if group_col else []
-    out_schema = T.StructType([T.StructField(key_col, df.schema[key_col].dataType)]
-                              + ([T.StructField(group_col, df.schema[group_col].dataType)] if group_col else [])
+    forest = cut_lineage(forest)  # the trees are built once
+    g = F.col(group_col).cast("string") if group_col else F.lit("")
+    units = df.groupBy(g.alias("_group")).agg(F.greatest(F.ceil(F.count(F.lit(1)) / ROWS_PER_UNIT), F.lit(1)).cast("int").alias("_units"))
+    units = broadcast_if_small(units)
+    rows = df.select(key_col, *gcols, *[c for c in carry if c not in (key_col, *gcols)], *[c for c in features if c not in carry], g.alias("_g0"))
+    rows = (rows.alias("r").join(units.alias("u"), F.expr("r._g0 <=> u._group")).drop("_g0")
+            .withColumn("_unit", F.pmod(F.xxhash64(key_col), F.col("_units")).cast("int")).drop("_units"))
+    trees = forest.withColumn("_g0", g).alias("r").join(units.alias("u"), F.expr("r._g0 <=> u._group")).drop("_g0")
+    trees = trees.withColumn("_unit", F.explode(F.sequence(F.lit(0), F.col("_units") - 1))).drop("_units")
+    trees = trees.toDF(*trees.columns)  # columns of its own: both sides of the cogroup come from ``units``
+    kept = [key_col, *gcols, *[c for c in carry if c not in (key_col, *gcols)]]
+    out_schema = T.StructType([T.StructField(c, df.schema[c].dataType) for c in kept]
                               + [T.StructField("mean_path", T.DoubleType()), T.StructField("score", T.DoubleType())])
 
-    def score(it):
-        for pdf in it:
-            if pdf.empty:
-                continue
-            res = np.full(len(pdf), np.nan)
-            keys = pdf[group_col] if group_col else pd.Series([None] * len(pdf))
-            for gval in keys.unique():
-                m = (keys == gval).to_numpy()
-                trees = forests.get(gval)
-                if not trees:
-                    continue
-                X = pdf.loc[m, features].to_numpy(dtype=np.float64)
-                total = np.zeros(X.shape[0])
-                for feat, thr, left, right, size, depth, _ in trees:
-                    node = np.zeros(X.shape[0], dtype=np.int64)
-                    for _ in range(int(depth.max()) + 1):
-                        f = feat[node]
-                        inner = f >= 0
-                        if not inner.any():
-                            break
-                        xv = X[np.arange(X.shape[0]), np.where(inner, f, 0)]
-                        nxt = np.where(xv < thr[node], left[node], right[node])
-                        node = np.where(inner, nxt, node)
-                    total += depth[node] + c_factor(size[node])
-                res[m] = total / len(trees)
-            out = pdf[[key_col, *gcols]].copy()
-            out["mean_path"] = res
-            c = np.array([cpsi.get(g, np.nan) for g in keys])
-            out["score"] = np.power(2.0, -res / c)
-            yield out
-
-    cols = [key_col, *gcols, *features]
-    return df.select(*cols).mapInPandas(score, out_schema)
+    def score(part: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
+        out = part[kept].copy()
+        if part.empty or nodes.empty:
+            return out.assign(mean_path=pd.Series(dtype="float64"), score=pd.Series(dtype="float64"))
+        X = part[features].to_numpy(dtype=np.float64)
+        total, n_trees = np.zeros(X.shape[0]), 0
+        at = np.arange(X.shape[0])
+        for _, t in nodes.groupby("tree"):
+            t = t.sort_values("node")
+            feat, thr, left, right, size, depth = (t[c].to_numpy() for c in ("feature", "threshold", "left", "right", "size", "depth"))
+            node = np.zeros(X.shape[0], dtype=np.int64)
+            for _ in range(int(depth.max()) + 1):
+                f = feat[node]
+                inner = f >= 0
+                if not inner.any():
+                    break
+                nxt = np.where(X[at, np.where(inner, f, 0)] < thr[node], left[node], right[node])
+                node = np.where(inner, nxt, node)
+            total += depth[node] + c_factor(size[node])
+            n_trees += 1
+        path = total / n_trees
+        c = float(c_factor([nodes["sample_size"].max() or psi])[0])
+        return out.assign(mean_path=path, score=np.power(2.0, -path / c) if c else 0.5)
+
+    keys = ["_group", "_unit"]
+    return rows.groupBy(*keys).cogroup(trees.groupBy(*keys)).applyInPandas(score, out_schema)

@@ -27,3 +27,14 @@ def test_outliers_rank_first_and_reproducible(spark):
 def test_c_factor():
     assert iforest.c_factor([1])[0] == 0.0 and iforest.c_factor([2])[0] == 1.0
     assert abs(iforest.c_factor([256])[0] - 10.244770920) < 1e-6
+
+
+def test_small_group_does_not_blow_up_the_others(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, "small" if i < 40 else "large", float(a), float(b)) for i, (a, b) in enumerate(rng.normal(size=(20_040, 2)))]
+    rows += [(90_000, "none", 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "row_key BIGINT, g STRING, f0 DOUBLE, f1 DOUBLE")
+    forest = iforest.fit_isolation_forest(df.filter("g <> 'none'"), ["f0", "f1"], "row_key", "g", n_trees=20, psi=32, seed=1)
+    assert forest.filter("node = 0").groupBy("g").count().filter("count = 20").count() == 2
+    out = iforest.score_isolation_forest(df, forest, ["f0", "f1"], "row_key", "g", psi=32).collect()
+    assert len(out) == len(rows) and [r.row_key for r in out if r.score is None or r.score != r.score] == [90_000]
