@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -21,6 +21,13 @@ def pct_of_total(col: str, partition_cols: list[str] | None = None) -> Column:
     return safe_ratio(F.col(col).cast("double") * 100.0, F.sum(col).over(w))
 
 
+def stacked(wide: DataFrame, rows: list[list[Column]], keep: list[str] | None = None) -> DataFrame:
+    """Turns each row of ``wide`` into len(rows) rows (named, equally typed columns), reading ``wide`` once."""
+    keep = keep or []
+    return (wide.select(*keep, F.explode(F.array(*[F.struct(*r) for r in rows])).alias("_row"))
+            .select(*keep, "_row.*"))
+
+
 def nonfinite_to_null(c) -> Column:
     """NaN and +/-inf become null."""
     c = F.col(c) if isinstance(c, str) else c

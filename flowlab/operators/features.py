@@ -3,7 +3,7 @@
 Importance score (stand-in for forest impurity importance where a SQL twin is
 wanted): the share of a feature's variance explained by the class means,
 sum_c n_c (mean_c - mean)^2 / (n var). It is computed from sufficient
-statistics (count, sum, sum of squares per class) gathered in one grouped
+statistics (count, mean, squared deviations per class) gathered in one grouped
 pass, so per-fold scores for leave-one-group-out are "all minus one group":
 no rescans, no replicated rows. Tree importances from Spark ML are exposed by
 ``flowlab.operators.models``.
@@ -16,40 +16,39 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowlab.functions.exprs import stacked
+
 META_COLUMNS = ["binary_label", "binary_target", "source_file"]
 
 
 def class_stats(df: DataFrame, features: list[str], label_col: str, classes: list[int],
                 group_cols: list[str] | None = None) -> DataFrame:
-    """(group..., feature, source_column_index, n<c>, s<c>, q<c> per class). One pass; output is small."""
-    group_cols = group_cols or []
+    """(group..., feature, source_column_index, n<c>, m<c>, v<c> per class): count, mean and squared deviations.
+
+    One pass with centred moments, so features with a large mean lose no
+    digits; the output is small.
+    """
     aggs = []
     for c in classes:
         is_c = F.col(label_col) == F.lit(c)
-        aggs.append(F.count_if(is_c).alias(f"n{c}"))
         for i, f in enumerate(features):
-            x = F.col(f).cast("double")
-            aggs += [F.coalesce(F.sum(F.when(is_c, x)), F.lit(0.0)).alias(f"s{c}_{i}"),
-                     F.coalesce(F.sum(F.when(is_c, x * x)), F.lit(0.0)).alias(f"q{c}_{i}")]
-    wide = df.groupBy(*group_cols).agg(*aggs)
-    parts = [wide.select(*group_cols, F.lit(f).alias("feature"), F.lit(i).alias("source_column_index"),
-                         *[F.col(f"n{c}").alias(f"n{c}") for c in classes],
-                         *[F.col(f"s{c}_{i}").alias(f"s{c}") for c in classes],
-                         *[F.col(f"q{c}_{i}").alias(f"q{c}") for c in classes])
-             for i, f in enumerate(features)]
-    return reduce(DataFrame.unionByName, parts)
+            x = F.when(is_c, F.col(f).cast("double"))
+            aggs += [F.count(x).cast("double").alias(f"n{c}_{i}"), F.coalesce(F.avg(x), F.lit(0.0)).alias(f"m{c}_{i}"),
+                     F.coalesce(F.var_pop(x) * F.count(x), F.lit(0.0)).alias(f"v{c}_{i}")]
+    wide = df.groupBy(*(group_cols or [])).agg(*aggs)
+    return stacked(wide, [[F.lit(f).alias("feature"), F.lit(i).alias("source_column_index"),
+                           *[F.col(f"{k}{c}_{i}").alias(f"{k}{c}") for c in classes for k in ("n", "m", "v")]]
+                          for i, f in enumerate(features)], group_cols)
 
 
 def importance_expr(classes: list[int]) -> Column:
-    n = reduce(lambda a, b: a + b, [F.col(f"n{c}").cast("double") for c in classes])
-    s = reduce(lambda a, b: a + b, [F.col(f"s{c}") for c in classes])
-    q = reduce(lambda a, b: a + b, [F.col(f"q{c}") for c in classes])
-    mean = s / n
-    terms = [F.when(F.col(f"n{c}") > 0, F.col(f"n{c}") * (F.col(f"s{c}") / F.col(f"n{c}") - mean)
-                    * (F.col(f"s{c}") / F.col(f"n{c}") - mean)).otherwise(F.lit(0.0)) for c in classes]
-    between = reduce(lambda a, b: a + b, terms)
-    var_n = q - s * s / n
-    return F.when(var_n > 0, between / var_n).otherwise(F.lit(0.0))
+    """Between-class share of the squared deviations."""
+    add = lambda cols: reduce(lambda a, b: a + b, cols)
+    n = add([F.col(f"n{c}") for c in classes])
+    mean = add([F.col(f"n{c}") * F.col(f"m{c}") for c in classes]) / n
+    between = add([F.col(f"n{c}") * (F.col(f"m{c}") - mean) * (F.col(f"m{c}") - mean) for c in classes])
+    total = between + add([F.col(f"v{c}") for c in classes])
+    return F.when((n > 0) & (total > 0), between / total).otherwise(F.lit(0.0))
 
 
 def feature_importance(df: DataFrame, features: list[str], label_col: str = "binary_target",
@@ -73,12 +72,27 @@ def holdout_importance(df: DataFrame, features: list[str], label_col: str, fold_
                        classes: list[int] | None = None) -> DataFrame:
     """Per fold (held-out value of ``fold_col``): importance over all rows except that fold."""
     classes = classes or [0, 1]
-    per = class_stats(df, features, label_col, classes, [fold_col]).cache()
-    sums = [F.sum(f"{k}{c}").alias(f"t{k}{c}") for c in classes for k in ("n", "s", "q")]
-    total = per.groupBy("feature", "source_column_index").agg(*sums)
-    j = per.join(total, ["feature", "source_column_index"])
-    rest = j.select(F.col(fold_col).alias("fold"), "feature", "source_column_index",
-                    *[(F.col(f"t{k}{c}") - F.col(f"{k}{c}")).alias(f"{k}{c}") for c in classes for k in ("n", "s", "q")])
+    per = class_stats(df, features, label_col, classes, [fold_col])
+    w = Window.partitionBy("feature")
+    cols = []
+    for c in classes:
+        n, m, v = F.col(f"n{c}"), F.col(f"m{c}"), F.col(f"v{c}")
+        n_all = F.sum(n).over(w)
+        mean = F.coalesce(F.try_divide(F.sum(n * m).over(w), n_all), F.lit(0.0))
+        v_all = F.sum(v).over(w)
+        cols += [n_all.alias(f"all_n{c}"), mean.alias(f"all_m{c}"), v_all.alias(f"all_v{c}")]
+    j = per.select("*", *cols)
+    for c in classes:  # deviations of the fold means from the overall mean complete the total
+        d = F.col(f"m{c}") - F.col(f"all_m{c}")
+        j = j.withColumn(f"all_v{c}", F.col(f"all_v{c}") + F.sum(F.col(f"n{c}") * d * d).over(w))
+    rest = []
+    for c in classes:
+        n, m, v = F.col(f"all_n{c}") - F.col(f"n{c}"), F.col(f"m{c}"), F.col(f"v{c}")
+        mean = F.coalesce(F.try_divide(F.col(f"all_n{c}") * F.col(f"all_m{c}") - F.col(f"n{c}") * m, n), F.lit(0.0))
+        moved = F.coalesce(F.try_divide(F.col(f"n{c}") * n, F.col(f"all_n{c}")), F.lit(0.0)) * (m - mean) * (m - mean)
+        rest += [n.alias(f"n{c}"), mean.alias(f"m{c}"),
+                 F.when(n > 0, F.greatest(F.col(f"all_v{c}") - v - moved, F.lit(0.0))).otherwise(0.0).alias(f"v{c}")]
+    rest = j.select(F.col(fold_col).alias("fold"), "feature", "source_column_index", *rest)
     return rest.select("fold", "feature", "source_column_index", importance_expr(classes).alias("importance"))
 
 

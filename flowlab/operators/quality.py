@@ -7,20 +7,19 @@ landing whole in one task).
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowlab.functions.exprs import r6
+from flowlab.functions.exprs import r6, stacked
 
 
 def eda_counts(df: DataFrame, group_a: str, group_b: str) -> DataFrame:
-    """Row counts for GROUPING SETS ((), (a), (b), (a, b)); rolled-up keys shown as 'ALL'."""
+    """Row counts for GROUPING SETS ((), (a), (b), (a, b)); rolled-up keys shown as 'ALL', null keys as null."""
     g = df.groupingSets([[], [group_a], [group_b], [group_a, group_b]], group_a, group_b)
-    out = g.agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("level"))
-    return out.select(F.when(F.col(group_a).isNull(), F.lit("ALL")).otherwise(F.col(group_a).cast("string")).alias(group_a),
-                      F.when(F.col(group_b).isNull(), F.lit("ALL")).otherwise(F.col(group_b).cast("string")).alias(group_b),
+    out = g.agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("level"),
+                F.grouping(group_a).alias("_ga"), F.grouping(group_b).alias("_gb"))
+    return out.select(F.when(F.col("_ga") == 1, F.lit("ALL")).otherwise(F.col(group_a).cast("string")).alias(group_a),
+                      F.when(F.col("_gb") == 1, F.lit("ALL")).otherwise(F.col(group_b).cast("string")).alias(group_b),
                       "level", "n")
 
 
@@ -32,10 +31,9 @@ def eda_features(df: DataFrame, features: list[str]) -> DataFrame:
         aggs += [F.count(x).alias(f"c{i}"), F.count_if(x.isNull()).alias(f"z{i}"), F.avg(x).alias(f"m{i}"),
                  F.stddev_samp(x).alias(f"s{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
     wide = df.agg(*aggs)
-    parts = [wide.select(F.lit(f).alias("feature"), F.col(f"c{i}").alias("n"), F.col(f"z{i}").alias("n_null"),
-                         r6(f"m{i}").alias("mean"), r6(f"s{i}").alias("std"), r6(f"lo{i}").alias("min"),
-                         r6(f"hi{i}").alias("max")) for i, f in enumerate(features)]
-    return reduce(DataFrame.unionByName, parts)
+    return stacked(wide, [[F.lit(f).alias("feature"), F.col(f"c{i}").alias("n"), F.col(f"z{i}").alias("n_null"),
+                           r6(f"m{i}").alias("mean"), r6(f"s{i}").alias("std"), r6(f"lo{i}").alias("min"),
+                           r6(f"hi{i}").alias("max")] for i, f in enumerate(features)])
 
 
 def nonfinite_counts(df: DataFrame, features: list[str]) -> DataFrame:
@@ -46,9 +44,8 @@ def nonfinite_counts(df: DataFrame, features: list[str]) -> DataFrame:
         aggs += [F.count_if(x.isNull()).alias(f"z{i}"), F.count_if(F.isnan(x)).alias(f"nan{i}"),
                  F.count_if(F.abs(x) == F.lit(float("inf"))).alias(f"inf{i}")]
     wide = df.agg(*aggs)
-    parts = [wide.select(F.lit(f).alias("feature"), F.col(f"z{i}").alias("n_null"), F.col(f"nan{i}").alias("n_nan"),
-                         F.col(f"inf{i}").alias("n_inf")) for i, f in enumerate(features)]
-    return reduce(DataFrame.unionByName, parts)
+    return stacked(wide, [[F.lit(f).alias("feature"), F.col(f"z{i}").alias("n_null"), F.col(f"nan{i}").alias("n_nan"),
+                           F.col(f"inf{i}").alias("n_inf")] for i, f in enumerate(features)])
 
 
 def duplicate_summary(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -63,9 +60,7 @@ def duplicate_summary(df: DataFrame, cols: list[str]) -> DataFrame:
 def checks_table(named: dict[str, Column], source: DataFrame) -> DataFrame:
     """V1 / V2: named boolean checks evaluated in one aggregation, returned as (check, passed) rows."""
     wide = source.agg(*[expr.alias(f"_c{i}") for i, expr in enumerate(named.values())])
-    parts = [wide.select(F.lit(name).alias("check"), F.col(f"_c{i}").alias("passed"))
-             for i, name in enumerate(named)]
-    return reduce(DataFrame.unionByName, parts)
+    return stacked(wide, [[F.lit(name).alias("check"), F.col(f"_c{i}").alias("passed")] for i, name in enumerate(named)])
 
 
 def list_set_compare(a: Column, b: Column) -> dict[str, Column]:
@@ -79,21 +74,15 @@ def list_set_compare(a: Column, b: Column) -> dict[str, Column]:
 
 
 def eda_quantiles(df: DataFrame, features: list[str], probs: tuple[float, ...] = (0.25, 0.5, 0.75, 0.9),
-                  accuracy: int | None = None) -> DataFrame:
+                  accuracy: int = 1_000_000) -> DataFrame:
     """Per feature quantiles in one pass with a bounded sketch.
 
-    The rank error of ``percentile_approx`` is at most rows / accuracy. By
-    default (one count): accuracy 1,000,000 up to 100k rows (rank error <= 0.1,
-    i.e. the exact value, and the sketch never holds more than the rows), and
-    Spark's default 10,000 above that (relative rank error 1e-4) so the sketch
-    per feature and task stays small however many features are summarised.
+    One rule at every size: the rank error of ``percentile_approx`` is at most
+    rows / accuracy (below one rank, hence exact, up to ``accuracy`` rows), and
+    its sketch holds a bounded number of samples per feature and task.
     """
-    if accuracy is None:
-        accuracy = 1_000_000 if df.count() <= 100_000 else 10_000
     wide = df.agg(*[F.percentile_approx(F.col(f).cast("double"), list(probs), accuracy).alias(f"p{i}")
                     for i, f in enumerate(features)])
     names = [f"q{int(round(p * 100))}" for p in probs]
-    parts = [wide.select(F.lit(f).alias("feature"),
-                         *[r6(F.col(f"p{i}")[j]).alias(n) for j, n in enumerate(names)])
-             for i, f in enumerate(features)]
-    return reduce(DataFrame.unionByName, parts)
+    return stacked(wide, [[F.lit(f).alias("feature"), *[r6(F.col(f"p{i}")[j]).alias(n) for j, n in enumerate(names)]]
+                          for i, f in enumerate(features)])

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from flowlab.functions.exprs import nonfinite_to_null, pct_of_total, r6
+from flowlab.functions.exprs import nonfinite_to_null, pct_of_total, r6, stacked
 from flowlab.operators import features as feat
 from flowlab.plans import experiments as exp
 from flowlab.operators import iforest
@@ -276,7 +276,7 @@ def q_nested_lodo_knn(spark, sf_dir):
 
 def q_lodo_knn(spark, sf_dir):
     """M8 + R3: one metrics row per held-out device."""
-    return met.metrics_from_counts(lodo_fold_counts(spark, sf_dir)).drop("n_rows")
+    return met.metrics_from_counts(lodo_fold_counts(spark, sf_dir)).drop("n_rows").orderBy("device_id")
 
 
 def q_lodo_pooled(spark, sf_dir):
@@ -287,7 +287,8 @@ def q_lodo_pooled(spark, sf_dir):
 def q_hardest_devices(spark, sf_dir):
     """Three lowest attack-recall folds (tie: most FN) and three lowest benign-recall (tie: most FP)."""
     m = met.metrics_from_counts(lodo_fold_counts(spark, sf_dir))
-    return met.hardest_groups(m, "device_id", 3)
+    out = met.hardest_groups(m, "device_id", 3)
+    return out.orderBy(*out.columns)
 
 
 def q_transfer_knn(spark, sf_dir):
@@ -469,9 +470,9 @@ def q_run_checks(spark, sf_dir):
     bal_counts = bal.groupBy("binary_target").agg(F.count(F.lit(1)).alias("n"))
     mets = met.binary_metrics(pred, "binary_target", "predicted")
 
-    def m(df, **named):
-        return [df.agg(expr.cast("double").alias("value")).select(F.lit(k).alias("measure"), "value")
-                for k, expr in named.items()]
+    def m(df, **named):  # one aggregation per frame
+        wide = df.agg(*[expr.cast("double").alias(k) for k, expr in named.items()])
+        return [stacked(wide, [[F.lit(k).alias("measure"), F.col(k).alias("value")] for k in named])]
 
     rows = (m(t, input_rows=F.count(F.lit(1)))
             + m(data, split_rows=F.count(F.lit(1)))
@@ -500,8 +501,7 @@ def q_run_checks(spark, sf_dir):
         "classes_balanced_after_smote": c("smote_min") == c("smote_max"),
         "metrics_recomputable_from_counts": c("acc_gap") <= 1e-15,
     }
-    parts = [one.select(F.lit(k).alias("check"), v.alias("passed")) for k, v in named.items()]
-    return reduce(DataFrame.unionByName, parts)
+    return stacked(one, [[F.lit(k).alias("check"), v.alias("passed")] for k, v in named.items()])
 
 
 def q_cross_run_checks(spark, sf_dir):
@@ -509,7 +509,7 @@ def q_cross_run_checks(spark, sf_dir):
     r = run_table(spark, sf_dir)
     per = r.groupBy("experiment").agg(
         F.count(F.lit(1)).alias("runs"),
-        F.xxhash64(F.array_sort(F.collect_set("run_id"))).alias("run_set"),
+        F.sum(F.xxhash64("run_id").cast("decimal(20,0)")).alias("run_set"),
         F.count_if(reduce(lambda a, b: a | b, [F.col(m).isNull() for m in RUN_METRICS])).alias("missing"))
     named = {
         "same_run_count": F.count_distinct("runs") == 1,
@@ -541,12 +541,10 @@ def q_quality(spark, sf_dir):
     return qual.nonfinite_counts(traffic(spark, sf_dir), TRAFFIC_FEATURES)
 
 
-LINEITEM_IDENTITY = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity"]
-
-
 def q_duplicates(spark, sf_dir):
-    """Exact duplicates of lineitem over its identity columns."""
-    return qual.duplicate_summary(read_table(spark, sf_dir, "lineitem"), LINEITEM_IDENTITY)
+    """Exact duplicates of lineitem over whole rows."""
+    rows = read_table(spark, sf_dir, "lineitem")
+    return qual.duplicate_summary(rows, rows.columns)
 
 
 def q_regex_timing(spark, sf_dir):
@@ -584,7 +582,7 @@ def _train_rank(spark, sf_dir):
 def q_feature_rank(spark, sf_dir):
     """W1 + W2: features ranked by class-mean variance share on the train split, top-2 flag."""
     ranked, _ = _train_rank(spark, sf_dir)
-    return ranked.select("rank", "feature", r6("importance").alias("importance"), "source_column_index", "selected")
+    return ranked.select("rank", "feature", r6("importance").alias("importance"), "source_column_index", "selected").orderBy("rank")
 
 
 def q_feature_sets(spark, sf_dir):
@@ -637,7 +635,7 @@ def q_feature_stability(spark, sf_dir):
 def q_rank_pivot(spark, sf_dir):
     """Top-2 rank x held-out device -> feature name."""
     folds = [r[0] for r in traffic(spark, sf_dir).select("device_id").distinct().orderBy("device_id").collect()]
-    return feat.rank_pivot(_fold_ranks(spark, sf_dir), folds, TOP_N)
+    return feat.rank_pivot(_fold_ranks(spark, sf_dir), folds, TOP_N).orderBy("rank")
 
 
 def q_union_sources(spark, sf_dir):
@@ -765,8 +763,9 @@ def q_isolation_forest(spark, sf_dir):
     t = traffic(spark, sf_dir).cache()
     forest = iforest.fit_isolation_forest(t.filter(F.col("binary_target") == 0), TRAFFIC_FEATURES, "row_key",
                                           "device_id", n_trees=100, psi=256, seed=SEED)
-    scored = iforest.score_isolation_forest(t, forest, TRAFFIC_FEATURES, "row_key", "device_id", psi=256)
-    return scored.join(t.select("row_key", "binary_target"), "row_key").select(
+    scored = iforest.score_isolation_forest(t, forest, TRAFFIC_FEATURES, "row_key", "device_id", psi=256,
+                                           carry=["binary_target"])
+    return scored.select(
         "row_key", "device_id", "binary_target", r6("mean_path").alias("mean_path"), r6("score").alias("score"))
 
 

@@ -550,8 +550,7 @@ ORACLE["quality"] = f"WITH {TRAFFIC_CTE}\n" + " UNION ALL ".join(
     f"count(*) FILTER (WHERE isnan(CAST({f} AS DOUBLE))) AS n_nan, "
     f"count(*) FILTER (WHERE isinf(CAST({f} AS DOUBLE))) AS n_inf FROM traffic" for f in FEATS)
 
-ORACLE["duplicates"] = """WITH g AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, count(*) AS n
-           FROM lineitem GROUP BY ALL)
+ORACLE["duplicates"] = """WITH g AS (SELECT lineitem.*, count(*) AS n FROM lineitem GROUP BY ALL)
 SELECT CAST(sum(n) AS BIGINT) AS rows, count(*) AS distinct_rows, count(*) FILTER (WHERE n > 1) AS duplicate_groups,
        CAST(coalesce(sum(n - 1) FILTER (WHERE n > 1), 0) AS BIGINT) AS surplus_rows FROM g"""
 
@@ -650,8 +649,8 @@ SELECT feature, count(DISTINCT fold) AS folds_selected, round(avg(rank), 6) AS m
        max(rank) AS worst_rank FROM fr WHERE rank <= 2 GROUP BY feature"""
 
 ORACLE["rank_pivot"] = f"""WITH {FOLD_RANK_CTE},
-  top AS (SELECT rank, CAST(fold AS VARCHAR) AS fold, feature FROM fr WHERE rank <= 2)
-PIVOT top ON fold USING first(feature) GROUP BY rank"""
+  top AS (SELECT rank, fold, feature FROM fr WHERE rank <= 2)
+SELECT rank, """ + ", ".join(f'max(feature) FILTER (WHERE fold = {k}) AS "{k}"' for k in range(1, 10)) + " FROM top GROUP BY rank"
 
 ORACLE["union_sources"] = f"""WITH {SPLIT_CTE},
   u AS (SELECT * FROM tsplit WHERE split = 'train' UNION ALL BY NAME SELECT * FROM tsplit WHERE split = 'test'),
