@@ -122,7 +122,7 @@ def pivot_table(long: DataFrame, row_col: str, pivot_col: str, value_col: str, v
 
 
 def fingerprint(df: DataFrame, key_col: str, label_col: str, salt: str = "fp") -> DataFrame:
-    """Order-free fingerprint of (key, label): rows, sum and xor of a 32-bit hash per row."""
+    """Order-free fingerprint of (key, label): rows, sum (modulo 2^62) and xor of a 32-bit hash per row."""
     h = hash32(0, salt, key_col, label_col)
-    return df.agg(F.count(F.lit(1)).alias("rows"), F.sum(h).cast("bigint").alias("hash_sum"),
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.pmod(F.sum(h.cast("decimal(20,0)")), F.lit(1 << 62).cast("decimal(20,0)")).cast("bigint").alias("hash_sum"),
                   F.bit_xor(h).alias("hash_xor"))

@@ -44,7 +44,7 @@ def largest_remainder_quota(counts: DataFrame, class_col: str, test_fraction: fl
     c = counts.withColumn("_total", F.sum("n").over(w_all))
     c = c.withColumn("n_test", F.ceil(F.col("_total").cast("double") * F.lit(float(test_fraction))).cast("bigint"))
     c = c.withColumn("n_train", F.col("_total") - F.col("n_test"))
-    c = c.withColumn("cont", (F.col("n") * F.col("n_train")) / F.col("_total"))
+    c = c.withColumn("cont", F.col("n").cast("double") * F.col("n_train") / F.col("_total"))
     c = c.withColumn("fl", F.floor("cont").cast("bigint"))
     c = c.withColumn("rem", F.col("cont") - F.col("fl"))
     c = c.withColumn("short", F.col("n_train") - F.sum("fl").over(w_all))

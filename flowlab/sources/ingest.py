@@ -67,6 +67,9 @@ def scan_traffic(spark: SparkSession, directory: str, features: list[str],
                  glob: str = DEVICE_FILE_GLOB, with_position: bool = False) -> DataFrame:
     """S1 + S2 + S3 + P1-P3: one typed scan of every device file, labeled from its file name.
 
+    The header of every file must equal ``features`` in order, and a value that
+    does not parse as a number fails the read: no column is bound by position
+    alone and no text turns into null.
     Files not matching the device pattern (metadata CSVs) are skipped by the
     glob. Input splits bound the memory per task (the chunked read of the
     reference). With ``with_position`` every row gets ``row_pos``, its 0-based
@@ -78,6 +81,7 @@ def scan_traffic(spark: SparkSession, directory: str, features: list[str],
     """
     schema = feature_schema(features)
     raw = (spark.read.schema(schema).option("header", True).option("pathGlobFilter", glob)
+           .option("enforceSchema", False).option("mode", "FAILFAST")
            .option("ignoreLeadingWhiteSpace", True).csv(directory))
     named = raw.select(*[F.col(f"`{c}`").alias(safe_name(c)) for c in features],
                        F.col("_metadata.file_name").alias("source_file"),

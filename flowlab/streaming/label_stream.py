@@ -32,8 +32,8 @@ def run_label_stream(spark: SparkSession, source_dir: str, out_dir: str | None =
     checkpoint = checkpoint or f"{base}/stream-{run}/checkpoint"
     out_dir = out_dir or f"{base}/stream-{run}/counts"
     schema = spark.read.parquet(f"{source_dir.rstrip('/')}/events.parquet").schema
-    stream = (spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
-              .option("maxFilesPerTrigger", 1).parquet(source_dir))
+    # a glob of paths, so that a table that is a folder of part files is read as well as a single file
+    stream = spark.readStream.schema(schema).parquet(f"{source_dir.rstrip('/')}/{file_glob}")
     counts = running_class_counts(stream)
 
     def sink(batch: DataFrame, epoch: int) -> None:
@@ -51,7 +51,7 @@ def run_traffic_csv_stream(spark: SparkSession, source_dir: str, features: list[
     from flowlab.sources.ingest import feature_schema, safe_name
 
     stream = (spark.readStream.schema(feature_schema(features)).option("header", True)
-              .option("pathGlobFilter", glob).option("maxFilesPerTrigger", 16).csv(source_dir))
+              .option("enforceSchema", False).option("mode", "FAILFAST").option("pathGlobFilter", glob).csv(source_dir))
     named = stream.select(*[F.col(f"`{c}`").alias(safe_name(c)) for c in features],
                           F.col("_metadata.file_name").alias("source_file"))
     counts = label_traffic(named).groupBy("device_id", "binary_label").agg(F.count(F.lit(1)).alias("n"))

@@ -193,3 +193,19 @@ def test_broadcast_only_below_the_checked_bound(spark):
     hinted = large_join._jdf.queryExecution().analyzed().toString()
     assert "ResolvedHint" not in hinted and "broadcast" not in hinted.lower()
     assert sorted(r.v for r in small_join.collect()) == sorted(r.v for r in large_join.collect())
+
+
+def test_swapped_header_and_bad_values_fail(spark):
+    d = tempfile.mkdtemp(prefix="flowlab-csv-")
+    with open(os.path.join(d, "1.benign.csv"), "w") as fh:
+        fh.write("x,y\n1,2\n")
+    assert ingest.scan_traffic(spark, d, ["x", "y"]).select("x", "y").collect() == [(1.0, 2.0)]
+    with open(os.path.join(d, "2.benign.csv"), "w") as fh:
+        fh.write("y,x\n1,2\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        ingest.scan_traffic(spark, d, ["x", "y"]).select("x", "y").collect()
+    e = tempfile.mkdtemp(prefix="flowlab-csv-")
+    with open(os.path.join(e, "1.benign.csv"), "w") as fh:
+        fh.write("x,y\n1,foo\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        ingest.scan_traffic(spark, e, ["x", "y"]).select("x", "y").collect()
