@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlab.llm.common import ascii_lower, cut_lineage, table
+from flowlab.session import broadcast_if_small
 
 # Rules (host and path prefix -> verdict), as given.
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
@@ -100,7 +101,7 @@ def filter_urls(pages: DataFrame, rules: dict[str, str] = RULES) -> DataFrame:
     share = lambda v: (F.count_if(F.col("ruled") == v) >= SEED_SHARE * F.count("*")).cast("int")
     seeds = judged.where("host <> ''").groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust"))
     scores = propagate(host_edges(pages), seeds)
-    scored = judged.join(scores, "host", "left")
+    scored = judged.join(broadcast_if_small(scores), "host", "left")  # one row per scored host; a hot host stays spread
     t, d = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
     method = F.when(d > BLOCK_RATIO * (t + d), "block").otherwise("allow")
     return scored.select("page_id", "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"),
