@@ -33,5 +33,5 @@ def words(text: Column) -> Column:
 
 
 def crc_mod(doc_id: Column, n: int) -> Column:
-    """crc32 of the id written as text, modulo n (fold of a row)."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % n
+    """crc32 of the id written as text, modulo n (fold of a row); a null id counts as the empty text."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n

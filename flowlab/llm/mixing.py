@@ -150,7 +150,8 @@ def training_order(plan: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: one row per taken copy of a document, range-sorted by training position.
 
-    The columns of ``docs`` come first, then copy, words and position. The last
+    The columns of ``docs`` come first, then copy, words and position (which
+    replace columns of these names). The last
     copy of the document at a source's cut holds its first words only, joined
     by one space. The plan is made without the texts; they are shuffled once
     for the join with it and once for the sort.
@@ -162,7 +163,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     rows = keyed.dropDuplicates(["doc_id", key]).alias("d").join(
         copies.alias("c"), F.expr(f"d.doc_id <=> c.doc_id and d.{key} = c.{key}"))
     text = F.when(F.col("c.words") < F.col("c.size"), F.concat_ws(" ", F.slice(words(F.col("d.text")), 1, F.col("c.words").cast("int")))).otherwise(F.col("d.text"))
-    own = [text.alias("text") if c == "text" else F.col(f"d.`{c}`") for c in docs.columns]
+    own = [text.alias("text") if c == "text" else F.col(f"d.`{c}`") for c in docs.columns if c not in ("copy", "words", "position")]
     return (rows.select(*own, *[F.col(f"c.{c}").alias(f"__{c}") for c in ("copy", "words", "position", "draw")])
             .orderBy("__position", "__draw", "__copy").drop("__draw")
             .withColumnsRenamed({f"__{c}": c for c in ("copy", "words", "position")}))

@@ -244,8 +244,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     row per distinct text stays.
     """
     stay = cut_lineage(near_duplicates(docs).where("id <=> component").groupBy("id").agg(F.count("*").alias("n")))
-    tmp = "__copies"
-    kept = docs.join(stay.select("id", F.col("n").alias(tmp)), docs["doc_id"].eqNullSafe(F.col("id"))).drop("id")
+    tmp, key = "__copies", "__kept_id"
+    kept = docs.join(stay.select(F.col("id").alias(key), F.col("n").alias(tmp)), docs["doc_id"].eqNullSafe(F.col(key))).drop(key)
     once = kept.where(F.col(tmp) == 1).drop(tmp)
     if stay.where("n > 1").isEmpty():
         return once

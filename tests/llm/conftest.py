@@ -2,6 +2,7 @@ import os
 import sys
 
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
@@ -26,4 +27,7 @@ def odd(spark):
     long = " ".join(f"w{i % 977}" for i in range(60_000))
     rows = [(1, None, "a", "x"), (2, "", "a", "x"), (None, "one two three four", None, "x"), (4, long, "b", None), (5, long, "b", "y"),
             (6, "same words here today", "a", "z"), (6, "same words here today", "a", "z"), (7, " \n\t ", None, "z"), (8, "é ß 漢字 😀 x", "ü", "z")]
-    return spark.createDataFrame(rows, "doc_id long, text string, source string, count string")
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, count string")
+    for name in ("id", "fp", "component", "score", "size", "position", "words", "rank", "value", "kind"):
+        df = df.withColumn(name, F.lit("clash"))
+    return df
