@@ -1,21 +1,19 @@
-"""Benchmark decontamination: SimHash of item-sized windows, Hamming blocks, exact weighted-shingle similarity.
+"""Benchmark decontamination: shingle look-up, exact weighted-shingle similarity of item-sized windows.
 
 A document is contaminated by an item of n words when one of its windows of n
 words has a weighted-shingle similarity of at least ``SIMILARITY`` with it:
 sum of the smaller over sum of the larger count of every five-word shingle.
+A document of fewer words than the item is one window: its whole text.
 
-1. Windows. A window of similarity s to an item of m shingles shares at least
-   2 m s / (1 + s) of them (both have m shingles). So only documents that hold
+1. Spots. A window of w shingles and similarity s to an item of m shingles
+   shares at least (m + w) s / (1 + s) of them. So only documents that hold
    that many of an item's shingles can be contaminated by it, and only windows
-   over one of those shingles; this loses nothing. The shingles of all texts
+   over that many of those spots; this loses nothing. The shingles of all texts
    are looked up once in the table of benchmark shingles.
-2. Fingerprints. Each such window and each item gets a 64-bit SimHash of its
-   shingles, repeats included.
-3. Hamming blocks. Fingerprints are cut into ``BLOCKS`` blocks. Within
-   ``RADIUS`` bits of each other, two of them differ by at most
-   RADIUS // BLOCKS bits in some block; items are filed under all values that
-   near to theirs, so the lookup misses no pair within the radius.
-4. Candidates within the radius are verified by their exact similarity.
+2. Every such window is verified by its exact similarity to that item; no
+   fingerprint stands in between, so no pair is missed.
+3. The best window of a pair gets a 64-bit SimHash of its shingles, repeats
+   included; its Hamming distance to the item's is reported.
 
 Only DataFrame expressions are used. Benchmark-sized tables are broadcast
 below a checked row count and joined by shuffle above it.
@@ -31,6 +29,7 @@ from flowlab.session import broadcast_if_small
 
 SHINGLE = 5
 SIMILARITY = 0.8
+# Bounds of the former fingerprint filter. Nothing here reads them: pairs of similarity 0.8 lie beyond any small radius.
 BLOCKS = 8
 RADIUS = 15
 WIDTH = 64 // BLOCKS
@@ -59,22 +58,6 @@ def simhash(hashes: Column) -> Column:
     return out
 
 
-def block(fp: Column, i: int) -> Column:
-    return F.shiftrightunsigned(fp, i * WIDTH).bitwiseAND(F.lit((1 << WIDTH) - 1))
-
-
-def near(x: Column, y: Column) -> Column:
-    return F.bit_count(x.bitwiseXOR(y)) <= RADIUS // BLOCKS
-
-
-def near_values(value: Column) -> Column:
-    """All block values within RADIUS // BLOCKS bits of a value."""
-    flips = [0]
-    for _ in range(RADIUS // BLOCKS):
-        flips = sorted({f ^ (1 << b) for f in flips for b in range(WIDTH)} | set(flips))
-    return F.transform(F.array(*[F.lit(f).cast("long") for f in flips]), lambda f: value.bitwiseXOR(f))
-
-
 def items(benchmark: DataFrame) -> DataFrame:
     """(item_id, n, k, m, hashes, counts, fp) of all items that have a word; k is the shingle length, m their number."""
     base = benchmark.select("item_id", word_hashes(F.col("text")).alias("w")).withColumn("n", F.size("w")).where("n > 0")
@@ -88,9 +71,9 @@ def items(benchmark: DataFrame) -> DataFrame:
 
 
 def similarity(window: Column, counts: Column, m: Column) -> Column:
-    """Weighted-shingle similarity of a window's hashes and an item's (hash, count) pairs; both have m shingles."""
+    """Weighted-shingle similarity of a window's hashes and the (hash, count) pairs of an item of m shingles."""
     shared = F.aggregate(counts, F.lit(0), lambda a, x: a + F.least(x["c"], F.size(F.filter(window, lambda h: h == x["h"]))))
-    return shared / (2 * m - shared)
+    return shared / (m + F.size(window) - shared)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -98,7 +81,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """(id, text_key, item_id, start, n_words, distance, similarity): the best window of every contaminated pair.
 
     ``start`` counts words from 0; among equal similarities the first window
-    is reported. ``text_key`` is xxhash64 of the text: repeated rows share it,
+    is reported. ``n_words`` is the size of the window: that of the item, or of
+    the document if it is shorter. ``text_key`` is xxhash64 of the text: repeated rows share it,
     and are one row here. Case of A-Z is ignored. Items of fewer than five
     words are compared as one shingle of all their words; null and blank items
     and texts match nothing; a null id is carried. Items of equal texts are
@@ -106,7 +90,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     bench = cut_lineage(items(benchmark))
     lengths = sorted(r["k"] for r in bench.select("k").distinct().collect())  # at most SHINGLE values
-    largest = bench.agg(F.max("n")).first()[0] or 0
     doc = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
     if not lengths:
         return doc.where("false").select("id", "text_key", F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("start"),
@@ -115,61 +98,42 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     hashed = doc.select("id", "text_key", word_hashes(F.col("text")).alias("w"))
     found = None
     for k in lengths:
-        at = hashed.select("id", "text_key", F.posexplode(shingles(F.col("w"), k)).alias("at", "h"))
-        part = at.join(known.where(F.col("k") == k), "h").select("id", "text_key", "item_id", "n", "m", "at")
+        at = hashed.select("id", "text_key", F.size("w").alias("size"), F.posexplode(shingles(F.col("w"), k)).alias("at", "h"))
+        part = at.join(known.where(F.col("k") == k), "h").select("id", "text_key", "size", "item_id", "n", "k", "m", "at")
         found = part if found is None else found.union(part)
-    least = F.ceil(F.col("m") * (2 * threshold / (1 + threshold)) - 1e-9)
-    hits = (found.groupBy("id", "text_key", "item_id", "n", "m").agg(F.collect_set("at").alias("spots"))
-            .where(F.size("spots") >= least))
-    hits = cut_lineage(hits.groupBy("id", "text_key").agg(F.collect_list(F.struct("n", "spots")).alias("hits")))
+    width = F.least("n", "size") - F.col("k") + 1  # shingles of a window
+    least = F.ceil((F.col("m") + width) * (threshold / (1 + threshold)) - 1e-9).cast("int")
+    hits = (found.groupBy("id", "text_key", "size", "item_id", "n", "k", "m").agg(F.sort_array(F.collect_set("at")).alias("spots"))
+            .withColumn("width", width).withColumn("least", F.greatest(least, F.lit(1))).where(F.size("spots") >= F.col("least")))
+
+    # starts of the windows over at least ``least`` spots
+    last = F.greatest(F.col("size") - F.col("n"), F.lit(0))
+    spans = F.transform(F.sequence(F.lit(0), F.size("spots") - F.col("least")), lambda j: F.struct(
+        F.greatest(F.get("spots", j + F.col("least") - 1) - F.col("width") + 1, F.lit(0)).alias("lo"),
+        F.least(F.get("spots", j), last).alias("hi")))
+    starts = F.array_distinct(F.flatten(F.transform(F.filter(spans, lambda s: s["lo"] <= s["hi"]), lambda s: F.sequence(s["lo"], s["hi"]))))
+    hits = hits.withColumn("starts", starts).where(F.size("starts") > 0)
+    hits = cut_lineage(hits.groupBy("id", "text_key").agg(F.collect_list(F.struct("item_id", "k", "width", "starts")).alias("hits")))
 
-    # windows: one code start * base + n for each distinct start and size
-    base, size = largest + 1, F.size("w")
     named = doc.join(broadcast_if_small(hits.select("text_key").distinct()), "text_key", "left_semi")
     rows = (named.dropDuplicates(["id", "text_key"]).alias("d")
             .join(hits.alias("h"), F.expr("d.text_key = h.text_key and d.id <=> h.id"))
             .select("d.id", "d.text_key", word_hashes(F.col("d.text")).alias("w"), "h.hits"))
+    rows = rows.select("id", "text_key", *[shingles(F.col("w"), k).alias(f"s{k}") for k in lengths], F.explode("hits").alias("hit"))
+    runs = F.array().cast("array<bigint>")
+    for k in lengths:
+        runs = F.when(F.col("hit.k") == k, F.col(f"s{k}")).otherwise(runs)
+    spread = (rows.select("id", "text_key", "hit.item_id", "hit.k", "hit.width", runs.alias("runs"), F.explode("hit.starts").alias("start"))
+              .select("id", "text_key", "item_id", "start", (F.col("width") + F.col("k") - 1).alias("n_words"),
+                      F.slice("runs", F.col("start") + 1, F.col("width")).alias("window")))
 
-    def starts(hit: Column) -> Column:
-        k = F.least(hit["n"], F.lit(SHINGLE))
-        spans = F.transform(hit["spots"], lambda at: F.struct(F.greatest(at - (hit["n"] - k), F.lit(0)).alias("lo"),
-                                                              F.least(at, size - hit["n"]).alias("hi")))
-        return F.flatten(F.transform(F.filter(spans, lambda s: s["lo"] <= s["hi"]), lambda s: F.transform(
-            F.sequence(s["lo"], s["hi"]), lambda x: x.cast("long") * base + hit["n"])))
-
-    rows = rows.select("id", "text_key", *[shingles(F.col("w"), k).alias(f"s{k}") for k in lengths],
-                       F.array_distinct(F.flatten(F.transform("hits", starts))).alias("codes"))
-
-    def window(code: Column) -> Column:
-        n, start = (code % base).cast("int"), F.floor(code / base).cast("int")
-        runs = F.array().cast("array<bigint>")
-        for k in lengths:
-            fits = (n >= SHINGLE) if k == SHINGLE else (n == k)
-            runs = F.when(fits, F.slice(F.col(f"s{k}"), start + 1, n - (k - 1))).otherwise(runs)
-        return F.struct(n.alias("n"), start.alias("start"), runs.alias("window"))
-
-    spread = rows.select("id", "text_key", F.explode(F.transform("codes", window)).alias("x")).select("id", "text_key", "x.*")
-    printed = spread.withColumn("fp", simhash(F.col("window")))
-
-    filed = bench.select("item_id", "n", F.col("fp").alias("item_fp"), F.explode(F.array(*[
-        F.struct(F.lit(i).alias("i"), near_values(block(F.col("fp"), i)).alias("near")) for i in range(BLOCKS)])).alias("b"))
-    filed = broadcast_if_small(filed.select("item_id", "n", "item_fp", F.col("b.i").alias("i"), F.explode("b.near").alias("value")))
-    asked = printed.withColumn("b", F.explode(F.array(*[
-        F.struct(F.lit(i).alias("i"), block(F.col("fp"), i).alias("value")) for i in range(BLOCKS)])))
-    asked = asked.select("id", "text_key", "n", "start", "window", "fp", F.col("b.i").alias("i"), F.col("b.value").alias("value"))
-    first = F.lit(BLOCKS)
-    for i in range(BLOCKS - 1, -1, -1):
-        first = F.when(near(block(F.col("fp"), i), block(F.col("item_fp"), i)), F.lit(i)).otherwise(first)
-    distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))).cast("int")
-    pairs = (asked.join(filed, ["n", "i", "value"]).where(F.col("i") == first)  # a pair is kept in its first block only
-             .withColumn("distance", distance).where(F.col("distance") <= RADIUS))
-    parts = broadcast_if_small(bench.select("item_id", "counts", "m"))
-    checked = (pairs.join(parts, "item_id").withColumn("similarity", similarity(F.col("window"), F.col("counts"), F.col("m")))
+    parts = broadcast_if_small(bench.select("item_id", "counts", "m", F.col("fp").alias("item_fp")))
+    checked = (spread.join(parts, "item_id").withColumn("similarity", similarity(F.col("window"), F.col("counts"), F.col("m")))
                .where(F.col("similarity") >= threshold))
-    best = F.max(F.struct("similarity", (-F.col("start")).alias("back"), (-F.col("distance")).alias("far"), "n"))
-    return (checked.groupBy("id", "text_key", "item_id").agg(best.alias("x"))
-            .select("id", "text_key", "item_id", (-F.col("x.back")).alias("start"), F.col("x.n").alias("n_words"),
-                    (-F.col("x.far")).alias("distance"), F.col("x.similarity").alias("similarity")))
+    best = F.max_by(F.struct("start", "n_words", "similarity", "window", "item_fp"), F.struct("similarity", -F.col("start")))
+    distance = F.bit_count(simhash(F.col("window")).bitwiseXOR(F.col("item_fp"))).cast("int")
+    return (checked.groupBy("id", "text_key", "item_id").agg(best.alias("x")).select("id", "text_key", "item_id", "x.*")
+            .select("id", "text_key", "item_id", "start", "n_words", distance.alias("distance"), "similarity"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
