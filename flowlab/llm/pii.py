@@ -48,6 +48,14 @@ BASE = tuple(k.name for k in KINDS if k.base)
 THRESHOLD = 0.5  # spans of added kinds below this score are dropped
 CONTEXT_CHARS = 40  # characters on each side that are searched for context words
 CONTEXT_GAIN = 0.3
+# Every start of an IBAN: one character is matched, so no start is swallowed by the run before it.
+IBAN_START = r"[A-Z](?=[A-Z][0-9]{2}(?:\x20?[A-Z0-9]){11,30})"
+IBAN_REACH = 68  # characters of the longest run with its spaces, and the one after them
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV",
+    22: "BG BH DE GB GE IE IM GG JE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}  # characters without spaces; other countries: any of 15 to 34
 
 
 def digits(s: Column) -> Column:
@@ -85,15 +93,43 @@ def valid(kind: str, m: Column) -> Column:
         return F.when(F.length(n).between(12, 19), luhn(n)).otherwise(False)
     if kind == "phone":
         return F.length(digits(m)).between(9, 15)
-    if kind == "iban":
-        return F.when(F.length(F.replace(m, F.lit(" "), F.lit(""))).between(15, 34), mod97(m)).otherwise(False)
     if kind == "ssn":
         return ~m.rlike("^(000|666|9)") & ~m.rlike("-00-|-0000$")
     return F.lit(True)
 
 
+def iban_prefix(run: Column) -> Column:
+    """The longest prefix of a run that is an IBAN: of its country's length, right modulo 97 and not within a longer word; else null."""
+    sizes = F.array(*[F.lit(n) for n in range(34, 14, -1)])
+    for n, countries in IBAN_LENGTHS.items():
+        sizes = F.when(F.substring(run, 1, 2).isin(countries.split()), F.array(F.lit(n))).otherwise(sizes)
+    ends = F.transform(sizes, lambda n: F.call_function("regexp_extract", run, F.concat(
+        F.lit(r"^((?:[A-Z0-9]\x20?){"), (n - 1).cast("string"), F.lit(r"}[A-Z0-9])(?![A-Z0-9])")), F.lit(1)))
+    return F.get(F.filter(ends, lambda x: (x != "") & mod97(x)), F.lit(0))
+
+
+def ibans(text: Column) -> Column:
+    """array<struct(start, end, value)> of the leftmost, non-overlapping IBANs; every start is tried."""
+    empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    gaps = F.split(text, IBAN_START, -1)
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+    starts = F.aggregate(F.slice(gaps, F.lit(1), F.size(gaps) - 1), begin, lambda a, g: F.struct(
+        (a["at"] + F.length(g) + 1).alias("at"), F.concat(a["starts"], F.array(a["at"] + F.length(g))).alias("starts")))["starts"]
+    # a run is followed by what stands behind it, so that the right boundary shows
+    found = F.transform(starts, lambda s: F.struct(s.alias("start"), iban_prefix(F.substr(text, s + 1, F.lit(IBAN_REACH))).alias("value")))
+    found = F.filter(found, lambda x: x["value"].isNotNull())
+    walk = F.aggregate(found, empty, lambda a, x: F.when(
+        (F.size(a) == 0) | (x["start"] >= F.coalesce(F.get(a, F.size(a) - 1)["end"], F.lit(0))),
+        F.concat(a, F.array(F.struct(x["start"].alias("start"), (x["start"] + F.length(x["value"])).alias("end"), x["value"].alias("value"))))
+    ).otherwise(a))
+    return walk
+
+
 def proposals(text: Column, kind: Kind) -> Column:
     """array<struct(start, end, value)> of the valid, leftmost, non-overlapping matches of one kind."""
+    if kind.name == "iban":
+        empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
+        return F.when(text.rlike(kind.needs), ibans(text)).otherwise(empty)
     empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
     hits = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
     gaps = F.split(text, kind.pattern, -1)
