@@ -126,12 +126,19 @@ def knn_join(queries: DataFrame, refs: DataFrame, features: list[str], k: int =
     ``carry``: numeric reference columns passed through (e.g. the class label).
     With ``exclude_self`` a query never matches the reference with the same id
     (self-join use, e.g. SMOTE neighbours).
+
+    Rows with a null, NaN or infinite feature have no distance: such a
+    reference is nobody's neighbour, such a query has no neighbours (no rows).
     """
     carry = carry or []
     nq, nr = sizes if sizes else (queries.count(), refs.count())
     q = queries.select(F.col(q_key).cast("bigint").alias("_qid"), *[F.col(f).cast("double").alias(f) for f in features])
     r = refs.select(F.col(r_key).cast("bigint").alias("_rid"), *[F.col(f).cast("double").alias(f) for f in features],
                     *[F.col(c) for c in carry])
+    finite = F.lit(True)
+    for f in features:
+        finite = finite & F.coalesce(F.abs(F.col(f)) < F.lit(float("inf")), F.lit(False))  # NaN counts as larger
+    q, r = q.where(finite), r.where(finite)
     carry_fields = [T.StructField(c, refs.schema[c].dataType) for c in carry]
     schema = T.StructType([T.StructField("qid", T.LongType()), T.StructField("rid", T.LongType()),
                            T.StructField("dist", T.DoubleType()), *carry_fields])
