@@ -44,13 +44,25 @@ def fitting_rule(host: Column, path: Column, rules: dict[str, str] = RULES) -> C
     return out
 
 
-def host_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst, n): links from a host to other hosts, found in the whole html (absolute and scheme-relative links)."""
+def ruling(rule: Column, rules: dict[str, str]) -> Column:
+    """The verdict of a rule; null without one."""
+    out = F.lit(None).cast("string")
+    for name, verdict in rules.items():
+        out = F.when(rule == name, F.lit(verdict)).otherwise(out)
+    return out
+
+
+def ruled_links(pages: DataFrame, rules: dict[str, str] = RULES) -> DataFrame:
+    """(src, dst, url, ruled, n): links between hosts, by target url (a hash), with the verdict of the rule that fits it.
+
+    Absolute and scheme-relative links of the whole html count.
+    """
     links = F.regexp_extract_all(F.coalesce(F.col("html"), F.lit("")), F.lit(LINK), F.lit(1))
     one = (pages.select(url_host(F.col("url")).alias("src"), F.explode(links).alias("link"))
-           .select("src", url_host(F.when(F.col("link").startswith("//"), F.concat(F.lit("http:"), "link"))
-                                   .otherwise(F.col("link"))).alias("dst")))
-    return one.where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
+           .select("src", F.when(F.col("link").startswith("//"), F.concat(F.lit("http:"), "link")).otherwise(F.col("link")).alias("link"))
+           .select("src", url_host(F.col("link")).alias("dst"), url_path(F.col("link")).alias("path")))
+    one = one.where("src <> '' and dst <> '' and src <> dst").withColumn("ruled", ruling(fitting_rule(F.col("dst"), F.col("path"), rules), rules))
+    return one.groupBy("src", "dst", F.xxhash64("path").alias("url"), "ruled").agg(F.count("*").alias("n"))
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, steps: int = STEPS) -> DataFrame:
@@ -88,19 +100,21 @@ def filter_urls(pages: DataFrame, rules: dict[str, str] = RULES) -> DataFrame:
 
     The longest fitting rule decides; else the host's scores do: block when
     distrust exceeds ``BLOCK_RATIO`` of both scores together, allow otherwise.
-    Hosts without any score, the empty host included (null or malformed urls),
+    A host that only links name is a seed by its distinct linked urls, as a
+    crawled one is by its pages. Hosts without any score, the empty host included (null or malformed urls),
     are allowed and score 0. Null html has no links. Repeated rows count each.
     Other columns are ignored.
     """
     judged = pages.select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
     judged = judged.withColumn("rule", fitting_rule(F.col("host"), F.col("path"), rules))
-    ruled = F.lit(None).cast("string")
-    for rule, verdict in rules.items():
-        ruled = F.when(F.col("rule") == rule, F.lit(verdict)).otherwise(ruled)
-    judged = judged.withColumn("ruled", ruled)
+    judged = judged.withColumn("ruled", ruling(F.col("rule"), rules))
     share = lambda v: (F.count_if(F.col("ruled") == v) >= SEED_SHARE * F.count("*")).cast("int")
     seeds = judged.where("host <> ''").groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust"))
-    scores = propagate(host_edges(pages), seeds)
+    links = cut_lineage(ruled_links(pages, rules))
+    linked = links.select(F.col("dst").alias("host"), "url", "ruled").distinct().groupBy("host").agg(
+        share("allow").alias("trust"), share("block").alias("distrust"))
+    seeds = seeds.unionByName(linked.join(seeds, "host", "left_anti"))  # hosts without pages are judged by their linked urls
+    scores = propagate(links.groupBy("src", "dst").agg(F.sum("n").alias("n")), seeds)
     scored = judged.join(broadcast_if_small(scores), "host", "left")  # one row per scored host; a hot host stays spread
     t, d = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
     method = F.when(d > BLOCK_RATIO * (t + d), "block").otherwise("allow")
