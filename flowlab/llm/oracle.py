@@ -7,7 +7,7 @@ held-out labels or known texts.
 
 from __future__ import annotations
 
-from flowlab.llm import mixing, pii, pivot_topk, url_filter
+from flowlab.llm import mixing, pii, pivot_topk, substring_dedup, url_filter
 
 SPACE_CLASS = r"[^\x20\x09-\x0D]+"
 
@@ -146,9 +146,26 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= {pivot_topk.K}"""
 
 
+def substring_sql() -> str:
+    n = substring_dedup.WINDOW
+    return f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(coalesce(text, ''), {quoted(SPACE_CLASS)}) AS w FROM documents),
+v AS MATERIALIZED (SELECT row, coalesce(doc_id, {substring_dedup.LAST}) AS o, i AS s, md5(array_to_string(list_slice(w, i, i + {n - 1}), ' ')) AS h
+  FROM (SELECT *, unnest(generate_series(1, len(w) - {n - 1})) AS i FROM d)),
+f AS MATERIALIZED (SELECT h, min(o) AS first FROM v GROUP BY h),
+g AS MATERIALIZED (SELECT row, s, first < o AS gone FROM v JOIN f USING (h)),
+x AS (SELECT row, doc_id, i, w[i] AS word FROM (SELECT *, unnest(generate_series(1, len(w))) AS i FROM d)),
+y AS (SELECT x.*, coalesce(bool_or(g.gone) OVER (PARTITION BY x.row ORDER BY x.i ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW), false) AS out
+  FROM x LEFT JOIN g ON g.row = x.row AND g.s = x.i),
+z AS (SELECT row, count(*) FILTER (WHERE out) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT out) AS kept FROM y GROUP BY row)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN z USING (row)"""
+
+
 ORACLE = {
     "op1_url_filter": url_sql(),
     "op4_mixing": mix_sql(),
     "op9_pii": pii_sql(),
     "op10_pivot_topk": topk_sql(),
+    "op13_substring_dedup": substring_sql(),
 }
