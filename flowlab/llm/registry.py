@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from flowlab.llm import (crf_quality, decontaminate, host_suffix_extract, license_scan, mixing, oracle, pii, pivot_topk,
-                         simhash_dedup, substring_dedup, url_filter, weak_toxicity, whitening)
+from flowlab.llm import (conversation_trie, crf_quality, decontaminate, host_suffix_extract, license_scan, mixing, oracle, pii,
+                         pivot_topk, simhash_dedup, substring_dedup, url_filter, weak_toxicity, whitening)
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_pii": pii.op9_pii,
     "op10_pivot_topk": pivot_topk.op10_pivot_topk,
     "op11_whitening": whitening.op11_whitening,
+    "op12_conversation_trie": conversation_trie.op12_conversation_trie,
     "op13_substring_dedup": substring_dedup.op13_substring_dedup,
 }
 ORACLE = dict(oracle.ORACLE)
