@@ -2,8 +2,8 @@
 
 A word goes when a window of ``WINDOW`` words covers it whose word sequence also
 starts in a document of a smaller id. Every window gets a Rabin-Karp hash
-(polynomial over 128-bit word hashes, two bases, arithmetic modulo 2^64, from
-prefix sums). Shuffling one row per window would move several times the text,
+(two polynomials over word hashes, modulo 2^64, from prefix sums; the words are
+hashed from their bytes likewise). Shuffling one row per window would move several times the text,
 so neighbouring windows travel together:
 
 1. The anchor of a window is its ``GRAM``-word run of the smallest hash, the
@@ -26,7 +26,6 @@ combined before each shuffle and hot keys only meet joins that Spark can split.
 
 from __future__ import annotations
 
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,68 +37,73 @@ from flowlab.llm.common import cut_lineage, table
 
 WINDOW = 50
 GRAM = 8
-CHUNK_WORDS = 1 << 18  # words hashed at a time; a longer text is a chunk of its own
-VOCABULARY = 1 << 20  # word hashes kept per task
+CHUNK = 1 << 21  # bytes of text handled at a time; a longer text is a chunk of its own
+PIECE = 1 << 20  # bytes of a chunk hashed at a time
 BASES = (0x9E3779B97F4A7C15 | 3, 0xC2B2AE3D27D4EB4F | 3)
 LAST = 2**63 - 1  # order of a null id
 
 
-class Vocabulary(dict):
-    """Word -> index of its two 64-bit hashes, filled on demand."""
-
-    def __init__(self):
-        super().__init__()
-        self.low, self.high = array("Q"), array("Q")
+def mix(x: np.ndarray) -> np.ndarray:
+    """Bijective scrambling of 64-bit values, so that all bits are fit for comparison."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
 
-        value = xxhash.xxh3_128_intdigest(word)
-        self.low.append(value & 0xFFFFFFFFFFFFFFFF)
-        self.high.append(value >> 64)
-        self[word] = at = len(self.low) - 1
-        return at
+BYTES = mix(np.arange(1, 257, dtype=np.uint64))  # value of a byte in the hash of a word
+SPACES = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 
 
 class Rolling:
-    """Rabin-Karp hashes of the word runs of a chunk of texts."""
+    """Rabin-Karp hashes of the word runs of some texts; the words themselves are hashed from their bytes the same way."""
 
     def __init__(self):
-        self.vocabulary = Vocabulary()
         self.powers = [np.ones(1, np.uint64)] * 4
 
-    def load(self, texts: list[list[bytes]]) -> None:
-        """Prefix sums of word hash times power of the base, over the concatenated words."""
-        if len(self.vocabulary) > VOCABULARY:
-            self.vocabulary = Vocabulary()
-        look = self.vocabulary.__getitem__
-        self.size = np.array([len(t) for t in texts], np.int64)
-        self.first = np.concatenate(([0], np.cumsum(self.size)))[:-1]
-        n = int(self.size.sum())
-        ids = np.fromiter((i for t in texts for i in map(look, t)), np.int64, n)
+    def grow(self, n: int) -> None:
+        """Powers of both bases and of their inverses, beyond n."""
         if len(self.powers[0]) <= n:
             for k, base in enumerate(BASES):
                 for j, b in enumerate((base, pow(base, -1, 2**64))):
-                    steps = np.full(2 * n + 1, b, np.uint64)
+                    steps = np.full(n + n // 4 + 1, b, np.uint64)
                     steps[0] = 1
                     self.powers[2 * k + j] = np.multiply.accumulate(steps)
-        self.sums = []
-        for k, values in enumerate((self.vocabulary.low, self.vocabulary.high)):
-            total = np.zeros(n + 1, np.uint64)
-            np.cumsum(np.frombuffer(values, np.uint64)[ids] * self.powers[2 * k][:n], out=total[1:])
-            self.sums.append(total)
-        self.n = n
+
+    def spans(self, k: int, total: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Polynomials of the values lo to hi (exclusive) from the prefix sums of value times power."""
+        return (total[hi] - total[lo]) * self.powers[2 * k + 1][lo]
+
+    def sums_of(self, k: int, values: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * self.powers[2 * k][:len(values)], out=total[1:])
+        return total
+
+    def load(self, texts: list[bytes]) -> None:
+        """Words of the texts, one after the other, and the prefix sums of their hashes."""
+        data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+        blank = np.concatenate(([True], SPACES[data]))
+        edge = np.flatnonzero(blank[1:] != blank[:-1])
+        lo, hi = edge[::2], edge[1::2]
+        offset = np.cumsum([0] + [len(t) + 1 for t in texts])
+        self.size = np.diff(np.searchsorted(lo, offset))
+        self.first = np.cumsum(self.size) - self.size
+        self.n = n = len(lo)
+        hashes = np.zeros((2, n), np.uint64)
+        at = 0
+        while at < n:  # a piece of bytes at a time; a longer word is a piece of its own
+            end = max(at + 1, int(np.searchsorted(hi, lo[at] + PIECE, "right")))
+            part = BYTES[data[lo[at]:hi[end - 1]]]
+            self.grow(len(part))
+            for k in (0, 1):
+                value = self.spans(k, self.sums_of(k, part), lo[at:end] - lo[at], hi[at:end] - lo[at])
+                hashes[k, at:end] = mix(value + (hi[at:end] - lo[at:end]).astype(np.uint64))
+            at = end
+        self.grow(n)
+        self.sums = [self.sums_of(k, hashes[k]) for k in (0, 1)]
 
     def hash(self, k: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """Hash of the words lo to hi (exclusive), with the k-th base."""
-        return (self.sums[k][hi] - self.sums[k][lo]) * self.powers[2 * k + 1][lo]
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """Bijective scrambling of 64-bit values, so that all bits are fit for comparison."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+        return self.spans(k, self.sums[k], lo, hi)
 
 
 def sliding_min(x: np.ndarray, k: int) -> np.ndarray:
@@ -137,19 +141,19 @@ def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.uint64).view(np.int64))
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, list[int], list[list[bytes]]]]:
-    """(batch, rows, their words), at most ``CHUNK_WORDS`` words or one text at a time."""
+def chunks(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, list[int], list[bytes]]]:
+    """(batch, rows, their texts), at most ``CHUNK`` bytes or one text at a time."""
     for batch in batches:
         rows, found, held = [], [], 0
         column = batch.column(text).cast(pa.large_binary())
         for i in range(batch.num_rows):
-            words = (column[i].as_py() or b"").split()  # bytes: exactly the six ASCII white-space characters
-            if rows and held + len(words) > CHUNK_WORDS:
+            raw = column[i].as_py() or b""
+            if rows and held + len(raw) > CHUNK:
                 yield batch, rows, found
                 rows, found, held = [], [], 0
             rows.append(i)
-            found.append(words)
-            held += len(words)
+            found.append(raw)
+            held += len(raw)
         if rows:
             yield batch, rows, found
 

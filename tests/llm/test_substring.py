@@ -69,14 +69,28 @@ def test_very_long_text_and_chunks(spark, monkeypatch):
 
 def test_a_window_hash_is_the_hash_of_its_words_alone():
     roll = sub.Rolling()
-    w = [f"q{i % 7}".encode() for i in range(100)]
-    roll.load([w, [b"other"] * 3 + w])
+    w = " ".join(f"q{i % 7}" for i in range(100)).encode()
+    roll.load([b"  " + w, b"", b" \n", b"other " * 3 + w.replace(b" ", b"\t\n ") + b" "])
+    assert roll.size.tolist() == [100, 0, 0, 103]
     at = np.array([10, 100 + 3 + 10])
     for k in (0, 1):
         a, b = roll.hash(k, at, at + 50)
         assert a == b
     text, first, many, *_ = sub.runs(roll, 50, 8)
-    assert [int(many[text == t].sum()) for t in (0, 1)] == [51, 54]
+    assert [int(many[text == t].sum()) for t in range(4)] == [51, 0, 0, 54]
+
+
+def test_words_are_hashed_alike_in_pieces(monkeypatch):
+    text = [("x" * 900 + " ab  c\n").encode() * 20, b"a" * 5000 + b" b", "é\u00a0ß \u2003x".encode()]
+    whole, parts = sub.Rolling(), sub.Rolling()
+    whole.load(text)
+    monkeypatch.setattr(sub, "PIECE", 64)
+    parts.load(text)
+    assert whole.size.tolist() == parts.size.tolist() == [60, 2, 2]
+    for k in (0, 1):
+        assert (whole.sums[k] == parts.sums[k]).all()
+        words = np.diff(whole.sums[k]) * whole.powers[2 * k + 1][:64]
+        assert len(set(words.tolist())) == 3 + 2 + 2
 
 
 def test_common_passage_makes_no_large_group(spark):
