@@ -1,7 +1,9 @@
 """SimHash groups, decontamination and top-k against brute force."""
 
 import collections
+import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -115,6 +117,7 @@ def test_dedup_odd_rows(spark, odd):
 
 
 def plain_contaminated(docs, items):
+    """Best similarity of every pair of 0.8 or more; a document shorter than the item is one window."""
     out = {}
     for d, t in docs:
         w = words(t)
@@ -125,9 +128,11 @@ def plain_contaminated(docs, items):
                 continue
             c = collections.Counter(tuple(x[j:j + k]) for j in range(n - k + 1))
             sh = [tuple(w[j:j + k]) for j in range(len(w) - k + 1)]
-            m = n - k + 1
-            best = max((sum((c & collections.Counter(sh[s:s + m])).values()) / (2 * m - sum((c & collections.Counter(sh[s:s + m])).values()))
-                        for s in range(len(sh) - m + 1)), default=0)
+            m, width = n - k + 1, min(n, len(w)) - k + 1
+            best = 0
+            for s in range(len(sh) - width + 1 if width > 0 else 0):
+                same = sum((c & collections.Counter(sh[s:s + width])).values())
+                best = max(best, same / (m + width - same))
             if best >= 0.8:
                 out[d, i] = round(best, 6)
     return out
@@ -151,14 +156,76 @@ def test_decontamination_equals_brute_force(spark):
     assert decontaminate.contaminated(d.limit(0), b).count() == 0 and decontaminate.contaminated(d, b.limit(0)).count() == 0
 
 
-def test_near_values_cover_the_radius():
+def test_blocks_cover_the_radius():
     rng = np.random.default_rng(0)
-    reach, width, blocks = decontaminate.RADIUS // decontaminate.BLOCKS, decontaminate.WIDTH, decontaminate.BLOCKS
+    radius = decontaminate.radius_of(0.8)
+    near, width = set(decontaminate.near_values(radius // decontaminate.BLOCKS)), decontaminate.WIDTH
     for _ in range(500):
         diff = 0
-        for b in rng.choice(64, decontaminate.RADIUS, replace=False):
+        for b in rng.choice(64, radius, replace=False):
             diff |= 1 << int(b)
-        assert min((diff >> i * width & (1 << width) - 1).bit_count() for i in range(blocks)) <= reach
+        assert any((diff >> i * width & (1 << width) - 1) in near for i in range(decontaminate.BLOCKS))
+    assert len(near) < 40  # and they do not cover everything
+
+
+def test_radius_holds_pairs_at_the_threshold():
+    """Fingerprints of two sets of shingles with a similarity just above 0.8, for few and for many shingles."""
+    rng = np.random.default_rng(3)
+    radius, missed, n = decontaminate.radius_of(0.8), 0, 0
+    for m in (9, 10, 18, 45, 96, 300):
+        change = int(m * 0.2 / 1.8)
+        assert (m - change) / (m + change) >= 0.8 > (m - change - 1) / (m + change + 1)
+        for _ in range(1500):
+            h = rng.integers(0, 2 ** 63, m + change, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, m + change, dtype=np.uint64)
+            bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).astype(int)
+            missed += ((2 * bits[:m].sum(0) > m) != (2 * bits[change:].sum(0) > m)).sum() > radius
+            n += 1
+    assert missed <= n // 1000
+
+
+def test_rolled_fingerprints(spark):
+    rng = np.random.default_rng(5)
+    h = [int(x) for x in rng.integers(-2 ** 63, 2 ** 63 - 1, 60)]
+    df = spark.createDataFrame([(h, 7), (h, 60), (h[:1], 1), (h, 1)], "h array<long>, w int")
+    for row in df.select("h", "w", decontaminate.rolled(F.col("h"), F.col("w")).alias("out")).collect():
+        want = []
+        for s in range(len(row["h"]) - row["w"] + 1):
+            part = row["h"][s:s + row["w"]]
+            v = sum((sum(x >> b & 1 for x in part) * 2 > len(part)) << b for b in range(64))
+            want.append(v - 2 ** 64 if v >= 2 ** 63 else v)
+        assert row["out"] == want
+
+
+def test_edited_passages_near_the_threshold(spark):
+    """Random passages with random edits inside random documents, items that repeat their own words included."""
+    rng = random.Random(7)
+    word = lambda: f"w{rng.randrange(400)}"
+    items = [(i, " ".join(word() for _ in range(rng.choice([4, 40, 90, 150])))) for i in range(12)]
+    items += [(50, "la la la la la la la hey " * 5), (51, "one two three four five six " * 4 + "end")]
+    docs = []
+    for d in range(150):
+        part = rng.choice(items)[1].split()
+        for _ in range(rng.choice([0, 1, 2, 3])):
+            at = rng.randrange(len(part))
+            part[at:at + rng.randrange(2)] = [word() for _ in range(rng.randrange(2))]
+        part = part * rng.choice([1, 1, 2])
+        docs.append((d, " ".join([word() for _ in range(rng.randrange(40))] + part + [word() for _ in range(rng.randrange(40))])))
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items + items[:3], "item_id long, text string")
+    got = {(r["id"], r["item_id"]): round(r["similarity"], 6) for r in decontaminate.contaminated(d, b).collect()}
+    want = plain_contaminated(docs, items)
+    assert got == want and sum(v < 1 for v in want.values()) > 20
+
+
+def test_long_item_many_times_in_one_document(spark):
+    rng = random.Random(1)
+    item = [f"t{rng.randrange(10**6)}" for _ in range(1000)]
+    d = spark.createDataFrame([(1, " ".join(item * 8)), (2, " ".join(item[:990])), (3, "other words")], "doc_id long, text string")
+    b = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    decontaminate.contaminated(d.limit(0), b).count()
+    began = time.time()
+    got = decontaminate.contaminated(d, b).collect()
+    assert {(r["id"], r["start"], round(r["similarity"], 3)) for r in got} == {(1, 0, 1.0), (2, 0, round(986 / 996, 3))}
+    assert time.time() - began < 30
 
 
 def plain_topk(ids, vecs, k=5, every=50):
