@@ -176,8 +176,8 @@ def occurrences(named: DataFrame, window: int) -> DataFrame:
 
 
 def run_windows(named: DataFrame, picked: DataFrame, window: int) -> DataFrame:
-    """(w1, w2, c1, c2, off, lo): every window of the picked runs, found again in their texts."""
-    todo = picked.groupBy("r").agg(F.collect_list(F.struct("s", "m", "c1", "c2", "lo")).alias("todo"))
+    """(w1, w2, at, lo): every window of the picked runs (r, s, m, k, lo), found again in their texts; at = k * window + offset."""
+    todo = picked.groupBy("r").agg(F.collect_list(F.struct("s", "m", "k", "lo")).alias("todo"))
     # rows of one id and text share r: one of them is enough
     joined = named.select("r", "text").join(todo, "r").dropDuplicates(["r"]).select("text", "todo")
 
@@ -187,33 +187,37 @@ def run_windows(named: DataFrame, picked: DataFrame, window: int) -> DataFrame:
             roll.load(texts)
             lists = batch.column(1).take(pa.array(rows))
             part = lists.flatten()
-            s, m, c1, c2, lo = (part.field(k).to_numpy(zero_copy_only=False) for k in range(5))
+            s, m, k, lo = (part.field(i).to_numpy(zero_copy_only=False) for i in range(4))
             text = np.repeat(np.arange(len(rows)), np.diff(lists.offsets.to_numpy()))
             off = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
             at = np.repeat(roll.first[text] + s, m) + off
             yield pa.RecordBatch.from_arrays(
-                [signed(mix(roll.hash(0, at, at + window))), signed(mix(roll.hash(1, at, at + window))), pa.array(np.repeat(c1, m)),
-                 pa.array(np.repeat(c2, m)), pa.array(off.astype(np.int32)), pa.array(np.repeat(lo, m))], ["w1", "w2", "c1", "c2", "off", "lo"])
+                [signed(mix(roll.hash(0, at, at + window))), signed(mix(roll.hash(1, at, at + window))),
+                 pa.array(np.repeat(k * window, m) + off), pa.array(np.repeat(lo, m))], ["w1", "w2", "at", "lo"])
 
-    return joined.mapInArrow(find, "w1 long, w2 long, c1 long, c2 long, off int, lo long")
+    return joined.mapInArrow(find, "w1 long, w2 long, at long, lo long")
 
 
 def removals(named: DataFrame, window: int = WINDOW) -> DataFrame:
     """(r, intervals): array<struct(a, b)> of word ranges to remove (b exclusive, may overlap), for rows that have any."""
     occ = occurrences(named, window)
-    shared = occ.groupBy("h").agg(F.min("o").alias("a"), F.max("o").alias("b")).where("a < b").select("h")
+    # stored, so that the join below deals both sides itself and can split a hot anchor
+    shared = cut_lineage(occ.groupBy("h").agg(F.min("o").alias("a"), F.max("o").alias("b")).where("a < b").select("h"))
     occ = cut_lineage(occ.join(shared, "h", "left_semi"))
     keys = occ.groupBy("h", "c1", "c2").agg(F.min("o").alias("lo"), F.first("r").alias("r"), F.first("s").alias("s"), F.first("m").alias("m"))
-    keys = cut_lineage(keys)
-    of_anchor = keys.groupBy("h").agg(F.count("*").alias("n"))
+    keys = cut_lineage(keys.withColumn("k", F.monotonically_increasing_id()))
+    of_anchor = cut_lineage(keys.groupBy("h").agg(F.count("*").alias("n")))
     keys = keys.join(of_anchor, "h")
     alone = keys.where("n = 1").select("c1", "c2", F.array(F.struct(F.lit(0).alias("off"), F.col("m").alias("m"), F.col("lo").alias("lo"))).alias("firsts"))
 
     each = cut_lineage(run_windows(named, keys.where("n > 1"), window))
-    first = each.groupBy("w1", "w2").agg(F.min("lo").alias("first"))
-    told = each.select("w1", "w2", "c1", "c2", "off").join(first, ["w1", "w2"])
+    first = each.groupBy("w1", "w2").agg(F.min("lo").alias("first"), F.max("lo").alias("other")).where("first < other").drop("other")
+    told = each.join(cut_lineage(first), ["w1", "w2"], "left").select("at", F.coalesce("first", "lo").alias("first"))
     # at most ``window`` windows a key
-    several = told.groupBy("c1", "c2").agg(F.sort_array(F.collect_set(F.struct("off", F.lit(1).alias("m"), F.col("first").alias("lo")))).alias("firsts"))
+    off = (F.col("at") % window).cast("int").alias("off")
+    several = told.groupBy(F.expr(f"at div {window}").alias("k")).agg(
+        F.sort_array(F.collect_set(F.struct(off, F.lit(1).alias("m"), F.col("first").alias("lo")))).alias("firsts"))
+    several = several.join(keys.select("k", "c1", "c2"), "k").select("c1", "c2", "firsts")
 
     hit = (occ.select("c1", "c2", "o", "r", "s").join(alone.unionByName(several), ["c1", "c2"])
            .select("r", "s", F.filter("firsts", lambda x: x["lo"] < F.col("o")).alias("gone")).where(F.size("gone") > 0))
