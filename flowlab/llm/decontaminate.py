@@ -154,15 +154,18 @@ def start_runs(spots: Column, least: Column, width: Column, last: Column) -> Col
     """array<struct(lo, hi)>: the starts up to ``last`` whose window holds at least ``least`` of the sorted spots, as runs."""
     empty = F.array().cast("array<struct<lo:int,hi:int>>")
 
-    def step(acc: Column, j: Column) -> Column:
-        lo = F.greatest(F.get(spots, j + least - 1) - width + 1, F.lit(0))
-        hi = F.least(F.get(spots, j), last)
-        end = F.get(acc, F.size(acc) - 1)
-        joined = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(end["lo"].alias("lo"), F.greatest(end["hi"], hi).alias("hi"))))
-        return (F.when(lo > hi, acc).when((F.size(acc) > 0) & (lo <= end["hi"] + 1), joined)
-                .otherwise(F.concat(acc, F.array(F.struct(lo.alias("lo"), hi.alias("hi"))))))
-
-    return F.aggregate(F.sequence(F.lit(0), F.size(spots) - least), empty, step)
+    def run(at: Column) -> Column:
+        def step(acc: Column, j: Column) -> Column:
+            lo = F.greatest(F.get(at, j + least - 1) - width + 1, F.lit(0))
+            hi = F.least(F.get(at, j), last)
+            end = F.get(acc, F.size(acc) - 1)
+            joined = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(end["lo"].alias("lo"), F.greatest(end["hi"], hi).alias("hi"))))
+            return (F.when(lo > hi, acc).when((F.size(acc) > 0) & (lo <= end["hi"] + 1), joined)
+                    .otherwise(F.concat(acc, F.array(F.struct(lo.alias("lo"), hi.alias("hi"))))))
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(at) - least), empty, step)
+
+    return let(spots, run)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
