@@ -5,6 +5,10 @@ code-point offsets. Positions come from splitting a text by the same pattern
 that extracts the matches: a match starts after the gaps and matches in front
 of it.
 
+Matches are handled in groups of ``GROUP``: arrays only grow within a group, and
+a group cuts its stretch of the text out once, so the work grows in proportion
+to the text and its matches.
+
 The patterns are written so that the regex engine neither backtracks nor
 recurses on long runs: a run is only entered at its first character or right
 after the previous match (``\\G``), and repeats are possessive. Both leave the
@@ -48,9 +52,11 @@ BASE = tuple(k.name for k in KINDS if k.base)
 THRESHOLD = 0.5  # spans of added kinds below this score are dropped
 CONTEXT_CHARS = 40  # characters on each side that are searched for context words
 CONTEXT_GAIN = 0.3
-# Every start of an IBAN: one character is matched, so no start is swallowed by the run before it.
-IBAN_START = r"[A-Z](?=[A-Z][0-9]{2}(?:\x20?[A-Z0-9]){11,30})"
-IBAN_REACH = 68  # characters of the longest run with its spaces, and the one after them
+GROUP = 64
+# Every start of an IBAN: one character is matched, so no start is swallowed by the run before it. The look-ahead
+# takes the run behind the start, one character more than any IBAN has, so that its right boundary shows.
+IBAN_START = r"[A-Z](?=[A-Z][0-9]{2}(?:\x20?[A-Z0-9]){11})"
+IBAN_RUN = r"(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,31}+))[A-Z]"
 IBAN_LENGTHS = {
     15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV",
     22: "BG BH DE GB GE IE IM GG JE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
@@ -98,72 +104,144 @@ def valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def iban_prefix(run: Column) -> Column:
     """The longest prefix of a run that is an IBAN: of its country's length, right modulo 97 and not within a longer word; else null."""
-    sizes = F.array(*[F.lit(n) for n in range(34, 14, -1)])
+    def cut(n: int) -> Column:
+        return F.regexp_extract(run, f"^((?:[A-Z0-9]\\x20?){{{n - 1}}}[A-Z0-9])(?![A-Z0-9])", 1)
+
+    def checked(n: int) -> Column:
+        return let(cut(n), lambda x: F.when((x != "") & mod97(x), x))
+
+    out = F.coalesce(*[checked(n) for n in range(34, 14, -1)])
     for n, countries in IBAN_LENGTHS.items():
-        sizes = F.when(F.substring(run, 1, 2).isin(countries.split()), F.array(F.lit(n))).otherwise(sizes)
-    ends = F.transform(sizes, lambda n: F.call_function("regexp_extract", run, F.concat(
-        F.lit(r"^((?:[A-Z0-9]\x20?){"), (n - 1).cast("string"), F.lit(r"}[A-Z0-9])(?![A-Z0-9])")), F.lit(1)))
-    return F.get(F.filter(ends, lambda x: (x != "") & mod97(x)), F.lit(0))
+        out = F.when(F.substring(run, 1, 2).isin(countries.split()), checked(n)).otherwise(out)
+    return out
+
+
+SPANS = "array<struct<start:int,end:int,value:string>>"
+
+
+def grouped(items: Column, size: int = GROUP) -> Column:
+    """The array cut into arrays of ``size``; empty for an empty one."""
+    n = F.size(items)
+    first = F.when(n > 0, F.sequence(F.lit(0), F.call_function("div", n - 1, F.lit(size)).cast("int"))).otherwise(F.array().cast("array<int>"))
+    return F.transform(first, lambda c: F.slice(items, c * size + 1, F.lit(size)))
+
+
+def walked(steps: Column, keep) -> Column:
+    """Spans of the steps (gap, value) whose value ``keep`` accepts: a span starts after all gaps and values before it."""
+    empty = F.array().cast(SPANS)
+    begin = F.struct(F.lit(0).alias("end"), empty.alias("spans"))
+
+    def step(a: Column, s: Column) -> Column:
+        start, end = a["end"] + s["gap"], a["end"] + s["gap"] + F.length(s["value"])
+        span = F.struct(start.alias("start"), end.alias("end"), s["value"].alias("value"))
+        return F.struct(end.alias("end"), F.when(keep(s["value"]), F.concat(a["spans"], F.array(span))).otherwise(a["spans"]).alias("spans"))
+
+    def moved(part: Column, at: Column) -> Column:
+        return F.transform(part["spans"], lambda x: F.struct(
+            (x["start"] + at).alias("start"), (x["end"] + at).alias("end"), x["value"].alias("value")))
+
+    def whole(parts: Column) -> Column:
+        before = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")), lambda a, p: F.struct(
+            (a["at"] + p["end"]).alias("at"), F.concat(a["all"], F.array(a["at"])).alias("all")))["all"]
+        return F.flatten(F.zip_with(parts, before, moved))
+
+    return let(steps, lambda all_: let(F.transform(grouped(all_), lambda part: F.aggregate(part, begin, step)), whole))
+
+
+def steps_of(text: Column, pattern: str, hits: Column) -> Column:
+    """array<struct(gap, value)>: every hit of the pattern with the length of the gap before it."""
+    return let(hits, lambda h: F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(h)), h, lambda g, m: F.struct(
+        F.length(g).alias("gap"), m.alias("value"))))
 
 
 def ibans(text: Column) -> Column:
     """array<struct(start, end, value)> of the leftmost, non-overlapping IBANs; every start is tried."""
-    empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    gaps = F.split(text, IBAN_START, -1)
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-    starts = F.aggregate(F.slice(gaps, F.lit(1), F.size(gaps) - 1), begin, lambda a, g: F.struct(
-        (a["at"] + F.length(g) + 1).alias("at"), F.concat(a["starts"], F.array(a["at"] + F.length(g))).alias("starts")))["starts"]
-    # a run is followed by what stands behind it, so that the right boundary shows
-    found = F.transform(starts, lambda s: F.struct(s.alias("start"), iban_prefix(F.substr(text, s + 1, F.lit(IBAN_REACH))).alias("value")))
-    found = F.filter(found, lambda x: x["value"].isNotNull())
-    walk = F.aggregate(found, empty, lambda a, x: F.when(
-        (F.size(a) == 0) | (x["start"] >= F.coalesce(F.get(a, F.size(a) - 1)["end"], F.lit(0))),
-        F.concat(a, F.array(F.struct(x["start"].alias("start"), (x["start"] + F.length(x["value"])).alias("end"), x["value"].alias("value"))))
-    ).otherwise(a))
-    return walk
+    runs = F.regexp_extract_all(text, F.lit(IBAN_RUN), F.lit(1))
+    # a start is one character; its run travels along and is cut to the IBAN
+    steps = let(runs, lambda r: F.zip_with(F.slice(F.split(text, IBAN_START, -1), F.lit(1), F.size(r)), r, lambda g, x: F.struct(
+        F.length(g).alias("gap"), iban_prefix(x).alias("value"))))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("spans"))
+
+    def step(a: Column, s: Column) -> Column:
+        start = a["at"] + s["gap"]
+        span = F.struct(start.alias("start"), (start + F.length(s["value"])).alias("end"), s["value"].alias("value"))
+        return F.struct((start + 1).alias("at"), F.when(s["value"].isNotNull(), F.concat(a["spans"], F.array(span))).otherwise(a["spans"]).alias("spans"))
+
+    def moved(part: Column, at: Column) -> Column:
+        return F.transform(part["spans"], lambda x: F.struct(
+            (x["start"] + at).alias("start"), (x["end"] + at).alias("end"), x["value"].alias("value")))
+
+    def whole(parts: Column) -> Column:
+        before = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")), lambda a, p: F.struct(
+            (a["at"] + p["at"]).alias("at"), F.concat(a["all"], F.array(a["at"])).alias("all")))["all"]
+        return F.flatten(F.zip_with(parts, before, moved))
+
+    found = let(steps, lambda all_: let(F.transform(grouped(all_), lambda part: F.aggregate(part, begin, step)), whole))
+    return let(found, lambda f: fenced(f, F.lit(0), lambda x, end: x["start"] >= end, SPANS))
+
+
+def fenced(spans: Column, first: Column, keep, kind: str) -> Column:
+    """The spans, by start, that ``keep`` accepts given the end of what was kept before them."""
+    def step(a: Column, x: Column) -> Column:
+        return F.when(keep(x, a["end"]), F.struct(F.greatest(a["end"], x["end"]).alias("end"), F.concat(a["kept"], F.array(x)).alias("kept"))).otherwise(a)
+
+    def run(a: Column, part: Column) -> Column:  # the kept spans of a group grow within it, then join the whole
+        return let(F.aggregate(part, F.struct(a["end"].alias("end"), F.array().cast(kind).alias("kept")), step), lambda g: F.struct(
+            g["end"].alias("end"), F.concat(a["kept"], F.array(g["kept"])).alias("kept")))
+
+    begin = F.struct(first.alias("end"), F.array().cast(f"array<{kind}>").alias("kept"))
+    return F.flatten(F.aggregate(grouped(spans), begin, run)["kept"])
 
 
 def proposals(text: Column, kind: Kind) -> Column:
     """array<struct(start, end, value)> of the valid, leftmost, non-overlapping matches of one kind."""
     if kind.name == "iban":
-        empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
-        return F.when(text.rlike(kind.needs), ibans(text)).otherwise(empty)
-    empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    hits = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
-    gaps = F.split(text, kind.pattern, -1)
-    steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("value")))
-    none = F.struct(F.lit(0).alias("end"), empty.alias("spans"))
-    # spans are appended to an array of structs; the running end is the last component
-    walk = F.aggregate(steps, none, lambda a, s: F.struct(
-        (a["end"] + s["gap"] + F.length(s["value"])).alias("end"),
-        F.when(valid(kind.name, s["value"]), F.concat(a["spans"], F.array(F.struct(
-            (a["end"] + s["gap"]).alias("start"), (a["end"] + s["gap"] + F.length(s["value"])).alias("end"),
-            s["value"].alias("value"))))).otherwise(a["spans"]).alias("spans")))["spans"]
-    return F.when(text.rlike(kind.needs), walk).otherwise(empty)
+        found = ibans(text)
+    else:
+        found = walked(steps_of(text, kind.pattern, F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))), lambda m: valid(kind.name, m))
+    return F.when(text.rlike(kind.needs), found).otherwise(F.array().cast(SPANS))
 
 
 def context_pattern(kind: Kind) -> str:
     return rf"(?:^|[^a-z0-9])(?:{'|'.join(kind.context)})(?:$|[^a-z0-9])"
 
 
-def score(text: Column, kind: Kind, span: Column) -> Column:
+def score(text: Column, kind: Kind, start: Column, end: Column) -> Column:
     """Prior of the kind, raised when a context word stands within ``CONTEXT_CHARS`` of the span, in [0, 1]."""
     if not kind.context:
         return F.lit(kind.score)
-    lo = F.greatest(span["start"] - CONTEXT_CHARS, F.lit(0))
-    near = ascii_lower(F.concat_ws(" ", F.substr(text, lo + 1, span["start"] - lo), F.substr(text, span["end"] + 1, F.lit(CONTEXT_CHARS))))
+    lo = F.greatest(start - CONTEXT_CHARS, F.lit(0))
+    near = ascii_lower(F.concat_ws(" ", F.substr(text, lo + 1, start - lo), F.substr(text, end + 1, F.lit(CONTEXT_CHARS))))
     return F.lit(kind.score) + F.when(near.rlike(context_pattern(kind)), CONTEXT_GAIN).otherwise(0.0)
 
 
+def scored(text: Column, kind: Kind, order: int, found: Column) -> Column:
+    """array<struct(start, order, end, kind, score)> of spans; a group of them looks at one stretch of the text."""
+    def one(stretch: Column, lo: Column, x: Column) -> Column:
+        value = F.least(score(stretch, kind, x["start"] - lo, x["end"] - lo), F.lit(1.0))
+        return F.struct(x["start"].alias("start"), F.lit(order).alias("order"), x["end"].alias("end"), F.lit(kind.name).alias("kind"), value.alias("score"))
+
+    def part(group: Column) -> Column:
+        lo = F.greatest(F.get(group, F.lit(0))["start"] - CONTEXT_CHARS, F.lit(0))
+        hi = F.get(group, F.size(group) - 1)["end"] + CONTEXT_CHARS
+        cut = F.struct(lo.alias("lo"), (F.substr(text, lo + 1, hi - lo) if kind.context else F.lit("")).alias("text"))
+        return let(cut, lambda c: F.transform(group, lambda x: one(c["text"], c["lo"], x)))
+
+    return let(found, lambda all_: F.flatten(F.transform(grouped(all_), part)))
+
+
 def spans(text: Column) -> Column:
     """All accepted spans of a (non-null) text: array<struct(start, order, end, kind, score)>, by start, then kind as listed."""
     def of(order: int, kind: Kind) -> Column:
-        scored = F.transform(proposals(text, kind), lambda s: F.struct(
-            s["start"].alias("start"), F.lit(order).alias("order"), s["end"].alias("end"),
-            F.lit(kind.name).alias("kind"), F.least(score(text, kind, s), F.lit(1.0)).alias("score")))
-        return scored if kind.base else F.filter(scored, lambda s: s["score"] >= THRESHOLD)
+        found = scored(text, kind, order, proposals(text, kind))
+        return found if kind.base else F.filter(found, lambda s: s["score"] >= THRESHOLD)
 
     return F.array_sort(F.concat(*[of(i, k) for i, k in enumerate(KINDS)]))
 
@@ -180,12 +258,24 @@ def find_pii(docs: DataFrame, text_col: str = "text", out: str = "pii_spans") ->
 
 def mask(text: Column, found: Column) -> Column:
     """Text with every span replaced by ``<KIND>``; overlapping spans become one mark, of the first of them."""
-    begin = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    done = F.aggregate(found, begin, lambda a, s: F.struct(
-        F.when(s["start"] >= a["at"], F.concat(a["out"], F.substr(text, a["at"] + 1, s["start"] - a["at"]),
-                                               F.lit("<"), F.upper(s["kind"]), F.lit(">"))).otherwise(a["out"]).alias("out"),
-        F.greatest(a["at"], s["end"]).alias("at")))
-    return F.when(F.size(found) == 0, text).otherwise(F.concat(done["out"], F.substr(text, done["at"] + 1, F.length(text))))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def group(a: Column, part: Column) -> Column:
+        last = F.aggregate(part, a["at"], lambda m, s: F.greatest(m, s["end"]))
+        stretch = F.struct(a["at"].alias("lo"), last.alias("hi"), F.substr(text, a["at"] + 1, last - a["at"]).alias("text"))
+
+        def inside(c: Column) -> Column:
+            done = F.aggregate(part, F.struct(c["lo"].alias("at"), F.lit("").alias("out")), lambda b, s: F.struct(
+                F.greatest(b["at"], s["end"]).alias("at"),
+                F.when(s["start"] >= b["at"], F.concat(b["out"], F.substr(c["text"], b["at"] - c["lo"] + 1, s["start"] - b["at"]),
+                                                       F.lit("<"), F.upper(s["kind"]), F.lit(">"))).otherwise(b["out"]).alias("out")))
+            return F.struct(c["hi"].alias("at"), F.concat(a["out"], F.array(done["out"])).alias("out"))
+
+        return let(stretch, inside)
+
+    done = F.aggregate(grouped(found), begin, group)
+    whole = let(done, lambda d: F.concat(F.array_join(d["out"], ""), F.substr(text, d["at"] + 1, F.length(text))))
+    return F.when(F.size(found) == 0, text).otherwise(whole)
 
 
 def mask_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -146,11 +147,27 @@ def test_very_long_runs_take_no_quadratic_time(spark):
     assert [len(r["pii_spans"]) for r in pii.find_pii(df).orderBy("n").collect()] == [0, 0, 5_000, 0, 3_000]
 
 
+def test_many_matches_in_one_text_take_no_quadratic_time(spark):
+    dump = " ".join(f"AB{i % 90 + 10} CD{i % 83 + 10}" for i in range(10_000))  # 20,000 starts of IBANs; by chance one in 97 checks is right
+    mails = "".join(f"user{i}@host{i}.org, " for i in range(30_000))
+    cards = "4111111111111111, " * 5_000
+    texts = ["short", dump, mails, cards, "é" + "DE89 3704 0044 0532 0130 00; " * 5_000, "ssn 123-45-6789, " * 10_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    pii.mask_pii(df.where("doc_id = 0")).collect()
+    began = time.time()
+    got = pii.find_pii(df).selectExpr("doc_id", "size(pii_spans) n", "get(pii_spans, 0).start a", "get(pii_spans, size(pii_spans) - 1).end b").orderBy("doc_id").collect()
+    assert [r["n"] for r in got][2:] == [30_000, 5_000, 5_000, 10_000]
+    assert [(r["a"], r["b"]) for r in got[2:]] == [(0, len(mails) - 2), (0, len(cards) - 2), (1, len(texts[4]) - 2), (4, len(texts[5]) - 2)]
+    assert time.time() - began < 40
+    masked = [r["text"] for r in pii.mask_pii(df).orderBy("doc_id").collect()]
+    assert masked[:1] + masked[2:] == ["short", "<EMAIL>, " * 30_000, "<CARD>, " * 5_000, "é" + "<IBAN>; " * 5_000, "ssn <SSN>, " * 10_000]
+
+
 def test_added_kinds_are_validated_and_scored(spark):
     rows = [(1, "IBAN DE89 3704 0044 0532 0130 00 end"), (2, "DE89370400440532013001"), (3, "my ssn is 123-45-6789"), (4, "part 123-45-6789 of"), (5, "ssn 000-45-6789")]
     got = check_pii(spark.createDataFrame(rows, "n int, text string"), rows)
     kinds = {n: [s["kind"] for s in v if s["order"] >= 4] for n, v in got.items()}
-    assert kinds == {1: [], 2: [], 3: ["ssn"], 4: [], 5: []} or kinds[1] == ["iban"]
+    assert kinds == {1: ["iban"], 2: [], 3: ["ssn"], 4: [], 5: []}
     bare = spark.createDataFrame([(1, "DE89370400440532013000", 0)], "n int, text string, pii_spans int")
     assert [s["kind"] for s in pii.find_pii(bare).first()["pii_spans"]] == ["iban"]
 
