@@ -230,11 +230,11 @@ def test_long_item_many_times_in_one_document(spark):
 
 def plain_topk(ids, vecs, k=5, every=50):
     out = []
-    for i, q in zip(ids, vecs):
-        if i % every == 0:
-            rank = sorted(((-int(np.dot(q, v)), j) for j, v in zip(ids, vecs) if j != i))[:k]
-            out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(rank)]
-    return sorted(out)
+    for n, (i, q) in enumerate(zip(ids, vecs)):
+        if i is not None and i % every == 0:
+            rank = sorted((-int(np.dot(q, v)), 2 ** 63 if j is None else j) for m, (j, v) in enumerate(zip(ids, vecs)) if m != n)[:k]
+            out += [(i, r + 1, None if j == 2 ** 63 else j, -s) for r, (s, j) in enumerate(rank)]
+    return sorted(out, key=str)
 
 
 @pytest.mark.parametrize("block", [16, 10_000])
@@ -245,17 +245,21 @@ def test_topk_equals_brute_force(spark, monkeypatch, block):
     x = rng.normal(size=(300, 8)).astype("float32")
     x[100:200] = x[0]  # a hot vector: ties go to smaller ids
     x[250:] *= 1e6
-    rows = [(i, [float(e) for e in v], 0) for i, v in enumerate(x)] + [(900, None, 0), (950, [1.0, None], 0), (951, [float("nan")] * 8, 0), (1000, [], 0)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int")
+    ids = list(range(300))
+    ids[200:204], ids[210:213], ids[260] = [0, 0, 50, 50], [None] * 3, None  # repeated ids are rows of their own
+    rows = [(i, [float(e) for e in v], 0) for i, v in zip(ids, x)] + [(900, None, 0), (950, [1.0, None], 0), (951, [float("nan")] * 8, 0), (1000, [], 0)]
+    rows.append((1050, [1.0, 2.0], 0))  # of another length: no candidates
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int").withColumn("row", F.lit("clash")).withColumn("v", F.lit(1))
     v = pivot_topk.quantise(df, "vec_id", "embedding")
-    got = sorted(tuple(r) for r in pivot_topk.top_k(v, v.where(F.col("id") % 50 == 0)).collect())
-    assert got == plain_topk(range(300), np.floor(x.astype(float) * 256).astype(np.int64))
-    assert pivot_topk.top_k(v.limit(0), v.limit(0)).count() == 0
+    got = pivot_topk.top_k(v, F.col("id") % 50 == 0).select("query_id", "rank", "id", "score").collect()
+    assert sorted((tuple(r) for r in got), key=str) == plain_topk(ids, np.floor(x.astype(float) * 256).astype(np.int64))
+    assert pivot_topk.top_k(v.limit(0), F.col("id") % 50 == 0).count() == 0
 
 
 def test_topk_evaluates_few_candidates():
     rng = np.random.default_rng(2)
     centre = rng.integers(-900, 900, (20, 16))
     c = np.repeat(centre, 200, 0) + rng.integers(-5, 5, (4000, 16))
-    *_, evaluated = pivot_topk.best_in_block(np.arange(10), c[:10], np.arange(4000), c, centre, 5)
+    block = lambda n: pivot_topk.Rows(np.arange(n), np.arange(n), c[:n], pivot_topk.to_pivots(c[:n], centre))
+    *_, evaluated = pivot_topk.best_in_block(block(10), block(4000), 5)
     assert evaluated < 0.2 * 10 * 4000
