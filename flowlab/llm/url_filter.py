@@ -19,6 +19,7 @@ from flowlab.session import broadcast_if_small
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
 DAMPING = 0.85
 STEPS = 20
+HUB_EDGES = 100_000  # edges of a host that meet its score in one task
 SEED_SHARE = 0.5  # a host is a seed when at least this share of its pages fits rules of one verdict
 BLOCK_RATIO = 0.5  # a host is blocked when distrust is above this share of trust + distrust
 LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""
@@ -77,8 +78,12 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, step
     """
     ways = edges.select(F.lit("trust").alias("way"), "src", "dst", "n").union(
         edges.select(F.lit("distrust"), "dst", "src", "n"))
-    out = ways.groupBy("way", "src").agg(F.sum("n").alias("total"))
-    walk = cut_lineage(ways.join(out, ["way", "src"]).select("way", "src", "dst", (F.col("n") / F.col("total")).alias("p")))
+    out = ways.groupBy("way", "src").agg(F.sum("n").alias("total"), F.ceil(F.count("*") / HUB_EDGES).cast("long").alias("parts"))
+    # the edges of a hub are dealt to parts by their other end; its score meets each part
+    walk = cut_lineage(ways.join(out, ["way", "src"]).select(
+        "way", "src", "dst", (F.col("n") / F.col("total")).alias("p"), F.pmod(F.xxhash64("dst"), F.col("parts")).alias("part")))
+    hubs = broadcast_if_small(out.where("parts > 1").select("way", "src", "parts"))
+    part = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1).cast("long")) - 1)).alias("part")
     start = cut_lineage(seeds.select("host", F.explode(F.array(
         F.struct(F.lit("trust").alias("way"), F.col("trust").cast("double").alias("s")),
         F.struct(F.lit("distrust").alias("way"), F.col("distrust").cast("double").alias("s")))).alias("x"))
@@ -86,7 +91,8 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, step
     rank = start
     if not walk.isEmpty():
         for step in range(1, steps + 1):
-            moved = (rank.withColumnRenamed("host", "src").join(walk, ["way", "src"])
+            dealt = rank.withColumnRenamed("host", "src").join(hubs, ["way", "src"], "left").select("way", "src", "s", part)
+            moved = (dealt.join(walk, ["way", "src", "part"])
                      .select(F.col("dst").alias("host"), "way", (F.col("s") * F.col("p") * damping).alias("s")))
             rank = (moved.unionByName(start)
                     .groupBy("host", "way").agg(F.sum("s").alias("s")))
