@@ -112,11 +112,12 @@ def plan_mix(docs: DataFrame, keep: tuple[str, ...] = (), weights: tuple = WEIGH
     at the cut gives part of its words. Sizes that add up to zero, and empty
     texts, take nothing and have no position. Null texts have size 0, a null
     source is a source of its own, repeated rows count each, a null doc_id is
-    ordered like an id of its own. ``keep`` names further columns to carry.
+    ordered like an id of its own. The draw takes id and text, so rows of one id,
+    or without one, spread like others. ``keep`` names further columns to carry.
     """
     doc = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"),
-                      F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-                            .cast("binary")).alias("draw"), *keep)
+                      F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"),
+                                     F.md5(F.coalesce("text", F.lit("")).cast("binary"))).cast("binary")).alias("draw"), *keep)
     doc = cut_lineage(doc)  # sizes only: the texts are read once
     sizes = doc.groupBy("source").agg(F.sum("size").alias("source_size"))
     goal = source_targets(sizes, weights, max_epochs)
