@@ -7,7 +7,7 @@ held-out labels or known texts.
 
 from __future__ import annotations
 
-from flowlab.llm import mixing, pii, pivot_topk, substring_dedup, url_filter
+from flowlab.llm import conversation_trie, mixing, pii, pivot_topk, substring_dedup, url_filter
 
 SPACE_CLASS = r"[^\x20\x09-\x0D]+"
 
@@ -35,12 +35,16 @@ WITH u AS MATERIALIZED (SELECT page_id, {host('url')} AS host, coalesce(regexp_e
 j AS MATERIALIZED (SELECT *, CASE {' '.join(cases)} END AS rule FROM u),
 k AS MATERIALIZED (SELECT *, CASE rule {verdicts} END AS ruled FROM j),
 links AS (SELECT {host('url')} AS src, unnest(regexp_extract_all(coalesce(html, ''), {quoted(url_filter.LINK)}, 1)) AS link FROM pages),
-ends AS (SELECT src, {host("CASE WHEN starts_with(link, '//') THEN 'http:' || link ELSE link END")} AS dst FROM links),
-e AS MATERIALIZED (SELECT src, dst, count(*) AS n FROM ends WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY src, dst),
+whole AS (SELECT src, CASE WHEN starts_with(link, '//') THEN 'http:' || link ELSE link END AS link FROM links),
+ends AS (SELECT src, {host("link")} AS dst, coalesce(regexp_extract(link, {quoted('(?s)^.*?://[^/?#]*([^?#]*)')}, 1), '') AS path FROM whole),
+f AS MATERIALIZED (SELECT * FROM ends WHERE src <> '' AND dst <> '' AND src <> dst),
+e AS MATERIALIZED (SELECT src, dst, count(*) AS n FROM f GROUP BY src, dst),
+t AS (SELECT host, CASE rule {verdicts} END AS ruled FROM (SELECT host, path, CASE {' '.join(cases)} END AS rule FROM (SELECT DISTINCT dst AS host, path FROM f))),
 ways AS (SELECT 'trust' AS way, src, dst, n FROM e UNION ALL SELECT 'distrust', dst, src, n FROM e),
 walk AS MATERIALIZED (SELECT way, src, dst, n / sum(n) OVER (PARTITION BY way, src) AS p FROM ways),
+known AS (SELECT host, ruled FROM k WHERE host <> '' UNION ALL SELECT host, ruled FROM t WHERE host NOT IN (SELECT host FROM k)),
 seeds AS (SELECT host, count(*) FILTER (WHERE ruled = 'allow') >= {url_filter.SEED_SHARE} * count(*) AS t,
-                 count(*) FILTER (WHERE ruled = 'block') >= {url_filter.SEED_SHARE} * count(*) AS d FROM k WHERE host <> '' GROUP BY host),
+                 count(*) FILTER (WHERE ruled = 'block') >= {url_filter.SEED_SHARE} * count(*) AS d FROM known GROUP BY host),
 r0 AS MATERIALIZED (SELECT host, 'trust' AS way, 1.0::DOUBLE AS s FROM seeds WHERE t UNION ALL SELECT host, 'distrust', 1.0::DOUBLE FROM seeds WHERE d){steps},
 s AS (SELECT host, sum(CASE WHEN way = 'trust' THEN s ELSE 0 END) AS t, sum(CASE WHEN way = 'distrust' THEN s ELSE 0 END) AS d FROM r{url_filter.STEPS} GROUP BY host)
 SELECT page_id, k.host, path, rule,
@@ -71,7 +75,7 @@ def mix_sql() -> str:
     times = " ".join(f"WHEN {i} THEN {schedule_sql(k)}" for i, k in enumerate(mixing.SCHEDULES))
     return f"""
 WITH d AS MATERIALIZED (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), {quoted(SPACE_CLASS)}))::BIGINT AS size,
-    md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, 'null')) AS draw FROM documents),
+    md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))) AS draw FROM documents),
 g AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 k AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM g),
 w AS (SELECT *, CASE rank % {len(mixing.WEIGHTS)} {weights} END::BIGINT AS weight, source_size * {cap} AS cap FROM k),
@@ -96,18 +100,33 @@ def pii_sql() -> str:
     luhn = f"""list_sum(list_transform(range(1, length({digits}) + 1), lambda i:
       CASE WHEN i % 2 = 1 THEN substr(reverse({digits}), i, 1)::INT
            ELSE [0, 2, 4, 6, 8, 1, 3, 5, 7, 9][substr(reverse({digits}), i, 1)::INT + 1] END)) % 10 = 0"""
-    bare = "replace(value, ' ', '')"
-    turned = f"(substr({bare}, 5) || substr({bare}, 1, 4))"
-    mod = f"""list_reduce(list_prepend(0, list_transform(range(1, length({turned}) + 1), lambda i: ascii(substr({turned}, i, 1)))),
-      lambda a, c: CASE WHEN c <= 57 THEN (a * 10 + c - 48) % 97 ELSE (a * 100 + c - 55) % 97 END) = 1"""
     valid = {
         "email": "true",
         "ip": r"len(list_filter(string_split(value, '.'), lambda x: length(ltrim(x, '0')) > 3 OR (length(ltrim(x, '0')) > 0 AND TRY_CAST(ltrim(x, '0') AS INT) > 255))) = 0",
         "card": f"length({digits}) BETWEEN 12 AND 19 AND {luhn}",
         "phone": f"length({digits}) BETWEEN 9 AND 15",
-        "iban": f"length({bare}) BETWEEN 15 AND 34 AND {mod}",
         "ssn": "NOT regexp_matches(value, '^(000|666|9)') AND NOT regexp_matches(value, '-00-|-0000$')",
     }
+    def checked(x: str) -> str:
+        bare = f"replace({x}, ' ', '')"
+        turned = f"(substr({bare}, 5) || substr({bare}, 1, 4))"
+        return f"""{x} <> '' AND list_reduce(list_prepend(0, list_transform(range(1, length({turned}) + 1), lambda i: ascii(substr({turned}, i, 1)))),
+          lambda a, c: CASE WHEN c <= 57 THEN (a * 10 + c - 48) % 97 ELSE (a * 100 + c - 55) % 97 END) = 1"""
+
+    sizes = " ".join(f"WHEN substr(run, 1, 2) IN ({', '.join(map(quoted, names.split()))}) THEN [{n}]" for n, names in pii.IBAN_LENGTHS.items())
+    head = quoted("[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11}")
+    # every start is tried, the longest right length is taken, and starts within an IBAN taken before are passed over
+    ibans = f"""
+SELECT row, text, start, stop FROM (
+  SELECT row, text, unnest(list_reduce(list_transform(list_sort(list({{'start': start, 'stop': start + length(value)}})), lambda x: {{'stop': x.stop, 'kept': [x]}}),
+    lambda a, x: CASE WHEN x.kept[1].start >= a.stop THEN {{'stop': x.stop, 'kept': list_concat(a.kept, x.kept)}} ELSE a END).kept, recursive := true)
+  FROM (SELECT row, text, start, list_filter(list_transform(sizes, lambda n: regexp_extract(run, '^((?:[A-Z0-9] ?){{' || (n - 1) || '}}[A-Z0-9])(?:[^A-Z0-9]|$)', 1)),
+                                        lambda x: {checked('x')})[1] AS value
+        FROM (SELECT *, CASE {sizes} ELSE range(34, 14, -1) END AS sizes FROM (
+          SELECT row, text, i - 1 AS start, substr(text, i, 72) AS run FROM (
+            SELECT row, text, unnest(range(1, length(text) + 1)) AS i FROM d WHERE regexp_matches(text, {head}))
+          WHERE regexp_matches(substr(text, i, 72), '^' || {head}))))
+  WHERE value IS NOT NULL GROUP BY row, text)"""
     parts = []
     for order, kind in enumerate(pii.KINDS):
         pattern = quoted(plain.get(kind.name, kind.pattern))
@@ -116,6 +135,9 @@ def pii_sql() -> str:
           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"""
         enough = "true" if kind.base else (
             f"{kind.score} + CASE WHEN regexp_matches({near}, {quoted(pii.context_pattern(kind))}) THEN {pii.CONTEXT_GAIN} ELSE 0 END >= {pii.THRESHOLD}")
+        if kind.name == "iban":
+            parts.append(f"\nSELECT row, {order} AS k, '{kind.name}' AS kind, start, stop FROM ({ibans}) WHERE {enough}")
+            continue
         parts.append(f"""
 SELECT row, {order} AS k, '{kind.name}' AS kind, start, stop FROM (
   SELECT row, text, value, stop - length(value) AS start, stop FROM (
@@ -138,14 +160,41 @@ SELECT doc_id, {', '.join(f'coalesce(n_{k}, 0)::BIGINT AS n_{k}' for k in pii.BA
 
 def topk_sql() -> str:
     return f"""
-WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor({pivot_topk.SCALE} * x::DOUBLE)) AS v FROM embeddings
-  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c
-  ON q.vec_id % {pivot_topk.EVERY} = 0 AND c.vec_id <> q.vec_id AND len(c.v) = len(q.v)),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor({pivot_topk.SCALE} * x::DOUBLE)) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.row, q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c
+  ON q.vec_id % {pivot_topk.EVERY} = 0 AND c.row <> q.row AND len(c.v) = len(q.v)),
+r AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM s)
 SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= {pivot_topk.K}"""
 
 
+def trie_sql() -> str:
+    # crc32 of the decimal id, bit by bit: an entry of 0 or more is a byte to mix in, -1 is a shift
+    steps = "flatten(list_transform(range(1, length(x) + 1), lambda i: list_concat([ascii(substr(x, i, 1))::BIGINT], [-1::BIGINT, -1, -1, -1, -1, -1, -1, -1])))"
+    crc = f"""xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, {steps}),
+      lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END))"""
+    return f"""
+WITH r AS MATERIALIZED (SELECT c, t, w, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, t) - 1 AS pos FROM (
+  SELECT conv_id AS c, turn, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS t,
+    len(regexp_extract_all(coalesce(text, ''), {quoted(SPACE_CLASS)})) AS w FROM conversations WHERE conv_id IS NOT NULL)),
+s AS (SELECT c, count(*) AS size, c::VARCHAR AS x FROM r GROUP BY c),
+v AS MATERIALIZED (SELECT s.c, s.c - s.c % {conversation_trie.GROUP} AS b, size, {crc} % {conversation_trie.HEAD} AS h FROM s),
+k AS MATERIALIZED (SELECT v.*, least(v.h, coalesce(o.size, 0)) AS k FROM v LEFT JOIN s o ON o.c = v.b),
+a AS MATERIALIZED (SELECT k.c, pos + 1 AS d, t, w FROM k JOIN r ON r.c = k.b AND pos < k UNION ALL
+  SELECT k.c, k + pos - h + 1, t, w FROM k JOIN r ON r.c = k.c AND pos >= h),
+p AS MATERIALIZED (SELECT c, d, w, md5(string_agg(t, ',') OVER (PARTITION BY c ORDER BY d)) AS p FROM a UNION ALL SELECT c, 0, 0, 'root' FROM k),
+q AS MATERIALIZED (SELECT *, lag(p) OVER (PARTITION BY c ORDER BY d) AS q, d = max(d) OVER (PARTITION BY c) AS last FROM p),
+n AS MATERIALIZED (SELECT p, min(c) AS c, any_value(d) AS d, any_value(w) AS w, any_value(q) AS q, count(*) AS n,
+  coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE last), '') AS ends FROM q GROUP BY p),
+u AS MATERIALIZED (SELECT n.*, coalesce(m, 0) AS m FROM n LEFT JOIN (SELECT q, count(*) AS m FROM n WHERE q IS NOT NULL GROUP BY q) z ON z.q = n.p),
+g AS (SELECT q.p, sum(coalesce((m = 0)::BIGINT, 0)) OVER o AS leaves, sum(coalesce((n - 1) * u.w, 0)) OVER o AS saved
+  FROM q LEFT JOIN u ON u.c = q.c AND u.d = q.d WINDOW o AS (PARTITION BY q.c ORDER BY q.d DESC)),
+t AS (SELECT p, sum(leaves) AS leaves, sum(saved) AS saved FROM g GROUP BY p)
+SELECT u.c AS conv_id, u.d AS depth, o.c AS parent_conv_id, u.n AS n_convs, u.m AS n_children, t.leaves::BIGINT AS n_leaves,
+  t.saved::BIGINT AS saved_tokens, sha256(u.ends) AS ends_sha256
+FROM u JOIN t USING (p) LEFT JOIN n o ON o.p = u.q"""
+
+
 def substring_sql() -> str:
     n = substring_dedup.WINDOW
     return f"""
@@ -167,5 +216,6 @@ ORACLE = {
     "op4_mixing": mix_sql(),
     "op9_pii": pii_sql(),
     "op10_pivot_topk": topk_sql(),
+    "op12_conversation_trie": trie_sql(),
     "op13_substring_dedup": substring_sql(),
 }
