@@ -1,11 +1,12 @@
 """Embedding whitening from an incremental eigendecomposition.
 
 1. Every partition keeps the spectrum of the vectors seen so far: count, mean,
-   eigenvalues and eigenvectors of their scatter matrix. A new vector v changes
-   the scatter by n / (n + 1) (v - mean)(v - mean)', a centred rank-one update:
-   in the eigenbasis that is a diagonal plus one outer product, whose
-   eigenvalues are the roots of a secular equation. Coordinates without weight
-   and equal eigenvalues are deflated first.
+   eigenvalues and eigenvectors of their scatter matrix. ``BATCH`` vectors are
+   centred and reduced to the rows of their triangular factor, which have the
+   same scatter in no more rows than dimensions. Each such row, and the
+   difference of the means, is a centred rank-one update: in the eigenbasis a
+   diagonal plus one outer product, whose eigenvalues are the roots of a secular
+   equation. Coordinates without weight and equal eigenvalues are deflated first.
 2. Spectra combine by successive rank-one updates: one for every eigenpair of
    the other spectrum and one for the difference of the means. ``FAN`` spectra
    meet in a group; levels follow until one is left.
@@ -32,7 +33,8 @@ from flowlab.llm.common import cut_lineage, table
 
 SCALE = 256
 COMPONENTS = 4
-UNIT = 2048  # fit vectors of a partition
+UNIT = 8192  # fit vectors of a partition
+BATCH = 1024  # vectors reduced to one triangular factor
 FAN = 16  # spectra combined in a group
 EPS = np.finfo(float).eps
 SPECTRUM = "unit long, n long, mean array<double>, val array<double>, vec array<double>, total array<decimal(38,0)>"
@@ -125,12 +127,8 @@ def rank_one(val: np.ndarray, vec: np.ndarray, rho: float, v: np.ndarray) -> tup
         diff = (d[None, :] - d[origin][:, None]) - shift[:, None]  # d_j - x_i
         # weights for which the computed roots are exact: keeps the vectors orthogonal
         poles = d[:, None] - d[None, :]
-        ratio = np.ones((k, k))
-        i, j = np.indices((k, k))
-        ratio[i < j] = (-diff[i < j]) / poles[i < j]
-        step = (j <= i) & (i < k - 1)
-        ratio[step] = (-diff[step]) / poles[(i + 1)[step], j[step]]
-        z2 = np.abs(np.prod(ratio, axis=0) * -diff[k - 1])
+        np.fill_diagonal(poles, 1.0)
+        z2 = np.abs(np.prod(diff / poles, axis=0))
         turn = (np.sqrt(z2) * np.sign(z[at]))[:, None] / diff.T
         turn /= np.sqrt((turn * turn).sum(0))
         turned = vec[:, at] @ turn
@@ -154,6 +152,21 @@ class Spectrum:
         self.n += 1
         self.mean = self.mean + step / self.n
 
+    def add_all(self, x: np.ndarray) -> None:
+        """Adds the rows of x: rank-one updates by their centred triangular factor, which has the rows' scatter in at most dim rows."""
+        if not len(x):
+            return
+        mean = x.mean(0)
+        factor = x - mean
+        if len(factor) > len(mean):
+            factor = np.linalg.qr(factor, mode="r")
+        for v in factor:
+            self.val, self.vec = rank_one(self.val, self.vec, 1.0, v)
+        step, n = mean - self.mean, self.n + len(x)
+        if self.n:
+            self.val, self.vec = rank_one(self.val, self.vec, self.n * len(x) / n, step)
+        self.mean, self.n = self.mean + step * (len(x) / n), n
+
     def merge(self, other: Spectrum) -> None:
         if not (self.n and other.n):
             if other.n:
@@ -203,8 +216,8 @@ def spectra(fit: DataFrame, dim: int) -> DataFrame:
             if len(x):
                 unit = batch.column(1)[0].as_py()
                 total = [a + b for a, b in zip(total, exact_sums(x))]
-                for v in x.astype(float):
-                    state.add(v)
+                for at in range(0, len(x), BATCH):
+                    state.add_all(x[at:at + BATCH].astype(float))
         if state.n:
             out = state.row(unit, [Decimal(t) for t in total])
             kinds = {"unit": pa.int64(), "n": pa.int64(), "total": pa.list_(pa.decimal128(38, 0))}

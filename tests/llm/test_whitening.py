@@ -30,7 +30,10 @@ def test_spectrum_equals_dense(name, x):
         parts[i % 3].add(v)
     for p in parts[1:]:
         parts[0].merge(p)
-    for s in (whole, parts[0]):
+    batches = whitening.Spectrum(x.shape[1])
+    for at in range(0, len(x), 90):
+        batches.add_all(x[at:at + 90])
+    for s in (whole, parts[0], batches):
         assert s.n == len(x) and np.allclose(s.mean, x.mean(0))
         assert np.abs(s.vec.T @ s.vec - np.eye(x.shape[1])).max() < 1e-12
         assert np.abs(s.vec * s.val @ s.vec.T - scatter).max() < 1e-11 * size
@@ -66,6 +69,7 @@ def plain(ids, vectors, components=4):
 def test_whiten_equals_dense(spark, monkeypatch):
     monkeypatch.setattr(whitening, "UNIT", 16)  # 20 spectra in two levels
     monkeypatch.setattr(whitening, "FAN", 6)
+    monkeypatch.setattr(whitening, "BATCH", 10)
     rng = np.random.default_rng(2)
     v = (rng.normal(size=(300, 7)) @ rng.normal(size=(7, 7))).astype("float32")
     v = np.concatenate([v, np.repeat(v[:1], 100, 0)])  # a hot vector counts once in the fit
