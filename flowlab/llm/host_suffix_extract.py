@@ -1,19 +1,23 @@
-"""Main text of web pages: page structure, and a suffix array over the pages of a host.
+"""Main text of web pages: page structure, and suffix arrays over the pages of a host.
 
 1. A pass over the html yields the blocks of a page, each with its region:
    boilerplate by structure (menus, forms, adverts, comments, ...), inside an
-   article, or neither.
-2. Pages meet by host. A host with many pages or much text is dealt to shards
-   by a hash of the page, so a hot host never meets in one task; template text
-   is on a large share of a host's pages, so every shard sees it.
-3. In a shard the token streams of all distinct pages are concatenated and
-   their suffixes sorted to the depth of ``RUN`` tokens by prefix doubling.
-   Neighbours of equal rank share a run of that length; where enough distinct
-   pages share it, its tokens are covered. Longer repeats are unions of such
-   runs.
-4. Boilerplate blocks go. Covered tokens go, with a stricter bar inside an
-   article (a template inside articles is on nearly all pages; a passage or a
-   copied article is not). The unique runs stay, in page order.
+   article, or neither. The blocks of all pages are stored once.
+2. Pages meet by host, copies once. A host with many pages or much text is dealt
+   to shards by a hash of the page's content, so a hot host never meets in one
+   task. In a shard the token streams are concatenated and their suffixes sorted
+   to the depth of ``RUN`` tokens by prefix doubling; neighbours of equal rank
+   share a run of that length. A run on a given share of a host's pages is on
+   that share of the pages of some shard, so every shard names the runs that
+   reach it, and loses none.
+3. The named runs of a host with several shards are counted in all of them and
+   summed in Spark. So the bars below hold for whole hosts, however their pages
+   are dealt and however long they are.
+4. Every page is covered by the runs that pass for its host; longer repeats are
+   unions of such runs. Boilerplate blocks go. Covered tokens go, with a
+   stricter bar inside an article (a template inside articles is on nearly all
+   pages; a passage or a copied article is not). The unique runs stay, in page
+   order.
 
 Copies of a page count once, so a copied page is not its own boilerplate.
 """
@@ -30,14 +34,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlab.llm.common import table
+from flowlab.llm.common import cut_lineage, table
 from flowlab.llm.url_filter import url_host
 from flowlab.session import broadcast_if_small
 
 RUN = 8  # tokens of a repeated run (a power of two: prefix doubling)
-FREE_PAGES, FREE_SHARE = 4, 0.5  # distinct pages (and their share) that make a run boilerplate outside articles
+FREE_PAGES, FREE_SHARE = 4, 0.5  # distinct pages of a host (and their share) that make a run boilerplate outside articles
 MAIN_PAGES, MAIN_SHARE = 20, 0.8  # the same inside articles
-SHARD_PAGES, SHARD_BYTES = 128, 4 << 20
+SHARD_PAGES, SHARD_BYTES = 128, 1 << 20  # pages, and bytes of compressed blocks, that meet in a task
+BASES = tuple(np.array([pow(b, i, 2**64) for i in range(RUN)], np.uint64) for b in (0x9E3779B97F4A7C17, 0xC2B2AE3D27D4EB4F))
 
 DROP, MAIN, FREE = 0, 1, 2
 RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "canvas", "object", "select")
@@ -156,8 +161,8 @@ def page_blocks(html: str) -> list[tuple[str, int]]:
     return out
 
 
-def run_support(streams: list[np.ndarray], run: int = RUN) -> list[np.ndarray]:
-    """For every token of every stream, the most distinct streams that share one run of ``run`` tokens over it (1: unique)."""
+def run_counts(streams: list[np.ndarray], run: int = RUN) -> list[np.ndarray]:
+    """For every start of every stream, the number of distinct streams that hold the run of ``run`` tokens there."""
     gap = -np.arange(1, len(streams) * run + 1).reshape(len(streams), run)  # ends of streams match nothing
     whole = np.concatenate([x for s, g in zip(streams, gap) for x in (s, g)]) if streams else np.empty(0, int)
     owner = np.repeat(np.arange(len(streams)), [len(s) + run for s in streams])
@@ -171,71 +176,164 @@ def run_support(streams: list[np.ndarray], run: int = RUN) -> list[np.ndarray]:
     r, o = rank[order], owner[order]
     first = np.concatenate(([True], (r[1:] != r[:-1]) | (o[1:] != o[:-1])))
     shared = np.bincount(r[first])[rank]
-    best = shared.copy()
-    for k in range(1, run):
-        best[k:] = np.maximum(best[k:], shared[:-k])
     out, at = [], 0
     for s in streams:
-        out.append(best[at:at + len(s)] if len(s) >= run else np.ones(len(s), int))
+        out.append(shared[at:at + max(0, len(s) - run + 1)])
         at += len(s) + run
     return out
 
 
-def extract_shard(pages: list[list[tuple[str, int]]]) -> list[str]:
-    """Main texts of pages that share a host (or a shard of it)."""
-    ids: dict[str, int] = {}
-    keys, distinct = [], {}
-    for blocks in pages:
-        key = tuple(t for t, _ in blocks)
-        keys.append(key)
-        distinct.setdefault(key, len(distinct))
-    streams = [np.array([ids.setdefault(w, len(ids)) for t in key for w in t.split(" ")], np.int64) for key in distinct]
-    support = run_support(streams)
-    free_bar = max(FREE_PAGES, FREE_SHARE * len(streams))
-    main_bar = max(MAIN_PAGES, MAIN_SHARE * len(streams))
-    texts = []
-    for key, blocks in zip(keys, pages):
-        seen, at, kept = support[distinct[key]], 0, []
-        for text, region in blocks:
-            words = text.split(" ")
-            here = seen[at:at + len(words)]
-            at += len(words)
-            if region == DROP:
-                continue
-            bar = main_bar if region == MAIN else free_bar
-            if len(here) and here.max() >= bar:
-                text = " ".join(w for w, n in zip(words, here) if n < bar)
-            if text:
-                kept.append(text)
-        texts.append("\n".join(kept))
-    return texts
+class Tokens(dict):
+    """Token -> its number; ``hashes`` holds their 64-bit hashes by number."""
+
+    def __init__(self):
+        super().__init__()
+        self.hashes: list[int] = []
+
+    def __missing__(self, token: str) -> int:
+        import xxhash
+
+        self[token] = at = len(self.hashes)
+        self.hashes.append(xxhash.xxh64_intdigest(token.encode("utf-8", "surrogatepass")))
+        return at
+
+    def stream(self, blocks: list[tuple[str, int]]) -> np.ndarray:
+        return np.array([self[w] for t, _ in blocks for w in t.split(" ")], np.int64)
+
+    def names(self, streams: list[np.ndarray]) -> list[np.ndarray]:
+        """For every stream, the 128-bit names (starts, 2) of its runs: the same for the same tokens in any shard."""
+        value = np.array(self.hashes, np.uint64)
+        out = []
+        for s in streams:
+            h, n = value[s], max(0, len(s) - RUN + 1)
+            out.append(np.stack([sum((h[i:i + n] * b[i] for i in range(RUN)), np.zeros(n, np.uint64)) for b in BASES], 1).view(np.int64))
+        return out
+
+
+def packed(blocks: list[tuple[str, int]]) -> bytes:
+    return zlib.compress(json.dumps(blocks, ensure_ascii=False).encode("utf-8", "replace"), 3)
+
+
+def unpacked(raw: bytes) -> list[tuple[str, int]]:
+    return [tuple(x) for x in json.loads(zlib.decompress(raw))]
+
+
+def shard_runs(rows: pd.DataFrame) -> pd.DataFrame:
+    """(host, r1, r2, n, shards): runs on enough distinct pages of a shard; a row without a name counts the pages."""
+    distinct = rows.drop_duplicates(["k1", "k2"])
+    tokens, d, shards = Tokens(), len(distinct), int(rows["shards"].iloc[0])
+    streams = [tokens.stream(unpacked(z)) for z in distinct["blocks"]]
+    bar = max(FREE_SHARE * d, FREE_PAGES if shards == 1 else 0)
+    counts = run_counts(streams)
+    names = tokens.names(streams)
+    picked = [np.column_stack([r[c >= bar], c[c >= bar]]) for r, c in zip(names, counts)]
+    found = pd.DataFrame(np.concatenate(picked), columns=["r1", "r2", "n"]).drop_duplicates(["r1", "r2"]).astype({"r1": "Int64", "r2": "Int64"})
+    whole = pd.DataFrame({"r1": pd.array([None], "Int64"), "r2": pd.array([None], "Int64"), "n": [d]})
+    return pd.concat([found, whole]).assign(host=rows["host"].iloc[0], shards=shards)[["host", "r1", "r2", "n", "shards"]]
+
+
+def count_runs(rows: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+    """(host, r1, r2, n): on how many distinct pages of a shard the wanted runs are."""
+    if not len(rows) or not len(wanted):
+        return pd.DataFrame({"host": np.array([], object), **{c: np.array([], np.int64) for c in ("r1", "r2", "n")}})
+    tokens, look = Tokens(), set(zip(wanted["r1"], wanted["r2"]))
+    n: dict = {}
+    for z in rows.drop_duplicates(["k1", "k2"])["blocks"]:
+        stream = tokens.stream(unpacked(z))
+        for key in look.intersection(map(tuple, tokens.names([stream])[0].tolist())):
+            n[key] = n.get(key, 0) + 1
+    out = pd.DataFrame([(*k, v) for k, v in n.items()], columns=["r1", "r2", "n"]).astype("int64")
+    return out.assign(host=rows["host"].iloc[0])[["host", "r1", "r2", "n"]]
+
+
+def covered(starts: np.ndarray, n: int) -> np.ndarray:
+    """Whether a run that starts at one of ``starts`` covers each of n tokens."""
+    edge = np.zeros(n + 1, np.int64)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, starts + RUN, -1)
+    return np.cumsum(edge)[:n] > 0
+
+
+def main_text(blocks: list[tuple[str, int]], runs: dict[tuple[int, int], bool], tokens: Tokens) -> str:
+    """The blocks that are not boilerplate, without tokens under the runs; a run counts inside articles if its flag says so."""
+    if not runs:
+        return "\n".join(t for t, region in blocks if region != DROP)
+    stream = tokens.stream(blocks)
+    hits = [(i, runs[key]) for i, key in enumerate(map(tuple, tokens.names([stream])[0].tolist())) if key in runs]
+    free = covered(np.array([i for i, _ in hits], np.int64), len(stream))
+    main = covered(np.array([i for i, m in hits if m], np.int64), len(stream))
+    kept, at = [], 0
+    for text, region in blocks:
+        words = text.split(" ")
+        gone = (main if region == MAIN else free)[at:at + len(words)]
+        at += len(words)
+        if region == DROP:
+            continue
+        if gone.any():
+            text = " ".join(w for w, g in zip(words, gone) if not g)
+        if text:
+            kept.append(text)
+    return "\n".join(kept)
+
+
+def host_runs(doc: DataFrame) -> DataFrame:
+    """(host, r1, r2, main): the runs that are boilerplate on a host, from (host, k1, k2, shard, shards, blocks)."""
+    pages = doc.select("host", "k1", "k2", "shard", "shards", "blocks")
+    named = cut_lineage(pages.groupBy("host", "shard").applyInPandas(shard_runs, "host string, r1 long, r2 long, n long, shards int"))
+    size = named.where("r1 is null").groupBy("host").agg(F.sum("n").alias("pages"))
+    counts = named.where("r1 is not null and shards = 1").select("host", "r1", "r2", "n")
+    wanted = named.where("r1 is not null and shards > 1").groupBy("host", "r1", "r2").agg(F.first("shards").alias("shards"))
+    wanted = wanted.select("host", "r1", "r2", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
+    several = (pages.where("shards > 1").groupBy("host", "shard").cogroup(wanted.groupBy("host", "shard"))
+               .applyInPandas(count_runs, "host string, r1 long, r2 long, n long"))
+    counts = counts.union(several.groupBy("host", "r1", "r2").agg(F.sum("n").alias("n")))
+    share = lambda least, part: F.col("n") >= F.greatest(F.lit(float(least)), F.col("pages") * part)
+    return counts.join(size, "host").where(share(FREE_PAGES, FREE_SHARE)).select("host", "r1", "r2", share(MAIN_PAGES, MAIN_SHARE).alias("main"))
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars), one row per row of ``pages`` (page_id, url, html).
 
     Null or empty html gives the empty text. A null or malformed url belongs to
-    the empty host. Repeated rows give equal rows. Other columns are ignored;
-    an empty table gives an empty table. Nothing is cut or capped.
+    the empty host. Repeated rows give equal rows and count as one page. Other
+    columns are ignored; an empty table gives an empty table. Nothing is cut or
+    capped.
     """
     doc = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), url_host(F.col("url")).alias("host"))
-    shards = (doc.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.octet_length("html")).alias("b"))
-              .select("host", F.greatest(F.ceil(F.col("n") / SHARD_PAGES), F.ceil(F.col("b") / SHARD_BYTES)).alias("g")).where("g > 1"))
-    salt = F.pmod(F.xxhash64("page_id", "url"), F.coalesce("g", F.lit(1)).cast("long")).cast("int")
-    dealt = doc.join(broadcast_if_small(shards), "host", "left").select("page_id", "url", "html", "host", salt.alias("shard"))
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def parse(batches):  # the compressed blocks of a page travel, not its html
+        import xxhash
+
         for b in batches:
-            b["blocks"] = [zlib.compress(json.dumps(page_blocks(h), ensure_ascii=False).encode("utf-8", "replace"), 3) for h in b.pop("html")]
+            blocks = [page_blocks(h) for h in b.pop("html")]
+            keys = [xxhash.xxh3_128_intdigest("\n".join(t for t, _ in x).encode("utf-8", "replace")) for x in blocks]
+            b["k1"] = np.array([k & (2**64 - 1) for k in keys], np.uint64).view(np.int64)
+            b["k2"] = np.array([k >> 64 for k in keys], np.uint64).view(np.int64)
+            b["blocks"] = [packed(x) for x in blocks]
+            b["fresh"] = ~b.duplicated(["host", "k1", "k2"])
             yield b
 
-    def extract(rows: pd.DataFrame) -> pd.DataFrame:
-        texts = extract_shard([[tuple(x) for x in json.loads(zlib.decompress(z))] for z in rows["blocks"]])
+    doc = cut_lineage(doc.mapInPandas(parse, f"page_id {kind}, url string, host string, k1 long, k2 long, blocks binary, fresh boolean"))
+    sizes = doc.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.octet_length("blocks")).alias("b"))
+    shards = sizes.select("host", F.greatest(F.ceil(F.col("n") / SHARD_PAGES), F.ceil(F.col("b") / SHARD_BYTES)).cast("int").alias("g")).where("g > 1")
+    dealt = doc.join(broadcast_if_small(shards), "host", "left").withColumn("shards", F.coalesce("g", F.lit(1)))
+    deal = lambda *cols: F.pmod(F.xxhash64(*cols), F.col("shards").cast("long")).cast("int").alias("shard")
+    # one of the copies within a batch is enough for the counts; the others would only be dropped after the shuffle
+    runs = cut_lineage(host_runs(dealt.where("fresh").select("host", "k1", "k2", deal("k1", "k2"), "shards", "blocks")))
+
+    def extract(rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows):
+            return pd.DataFrame({c: np.array([], object) for c in ("page_id", "url", "text", "n_chars")})
+        known, tokens = dict(zip(zip(found["r1"], found["r2"]), found["main"])), Tokens()
+        texts = [main_text(unpacked(z), known, tokens) for z in rows["blocks"]]
         return pd.DataFrame({"page_id": rows["page_id"], "url": rows["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
-    return (dealt.mapInPandas(parse, f"page_id {kind}, url string, host string, shard int, blocks binary")
-            .groupBy("host", "shard").applyInPandas(extract, f"page_id {kind}, url string, text string, n_chars long"))
+    each = dealt.select("page_id", "url", "host", deal("page_id", "url"), "blocks")
+    places = broadcast_if_small(runs.select("host").distinct().join(shards, "host", "left").select("host", F.coalesce("g", F.lit(1)).alias("g")))
+    spread = runs.join(places, "host").select("host", "r1", "r2", "main", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("shard"))
+    return each.groupBy("host", "shard").cogroup(spread.groupBy("host", "shard")).applyInPandas(
+        extract, f"page_id {kind}, url string, text string, n_chars long")
 
 
 def op6_host_suffix_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

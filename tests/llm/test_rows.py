@@ -206,28 +206,85 @@ def test_pages_yield_the_article(spark):
     assert html.extract_main_text(df.limit(0)).count() == 0
 
 
-def test_repeated_runs_outside_articles_go():
+def block_pages(spark, pages, host="h.com"):
+    """Pages of given (text, region) blocks: paragraphs in or outside an article."""
+    wrap = {html.FREE: "<div>{}</div>", html.MAIN: "<article><p>{}</p></article>", html.DROP: "<nav>{}</nav>"}
+    rows = [(i, f"http://{host}/{i}", "".join(wrap[r].format(t) for t, r in blocks)) for i, blocks in enumerate(pages)]
+    return spark.createDataFrame(rows, "page_id long, url string, html string")
+
+
+def texts_of(df):
+    return [r["text"] for r in html.extract_main_text(df).orderBy("page_id").collect()]
+
+
+def test_repeated_runs_outside_articles_go(spark):
     template = "follow us on all the channels that we run every day of the week"
     pages = [[(template, html.FREE), (f"s{i} unique story number {i} about thing {i * 7} and more words {i}", html.FREE)] for i in range(8)]
-    assert html.extract_shard(pages) == [p[1][0] for p in pages]
+    assert texts_of(block_pages(spark, pages)) == [p[1][0] for p in pages]
     mixed = [[(f"s{i} {template} e{i}", html.FREE)] for i in range(8)]
-    assert html.extract_shard(mixed) == [f"s{i} e{i}" for i in range(8)]
+    assert texts_of(block_pages(spark, mixed)) == [f"s{i} e{i}" for i in range(8)]
     copies = [[("an article that was copied to many pages of the host word for word", html.FREE)]] * 9
-    assert html.extract_shard(copies) == [c[0][0] for c in copies]
+    assert texts_of(block_pages(spark, copies)) == [c[0][0] for c in copies]
     shared = [[(template, html.MAIN), (f"story {i}", html.MAIN)] for i in range(8)]
-    assert html.extract_shard(shared) == [f"{template}\nstory {i}" for i in range(8)]
+    assert texts_of(block_pages(spark, shared)) == [f"{template}\nstory {i}" for i in range(8)]
+    many = [[(template, html.MAIN), (f"s{i} story", html.MAIN)] for i in range(30)]
+    assert texts_of(block_pages(spark, many)) == [f"s{i} story" for i in range(30)]
 
 
-def test_run_support_equals_brute_force():
+def test_run_counts_equal_brute_force():
     rng = np.random.default_rng(5)
     streams = [rng.integers(0, 3, rng.integers(0, 60)) for _ in range(6)]
-    got = html.run_support(streams, 8)
-    for s, g in zip(streams, got):
-        want = np.ones(len(s), int)
-        for a in range(len(s) - 7):
-            n = sum(any((t[b:b + 8] == s[a:a + 8]).all() for b in range(len(t) - 7)) for t in streams)
-            want[a:a + 8] = np.maximum(want[a:a + 8], n)
-        assert g.tolist() == want.tolist()
+    for s, g in zip(streams, html.run_counts(streams, 8)):
+        want = [sum(any((t[b:b + 8] == s[a:a + 8]).all() for b in range(len(t) - 7)) for t in streams) for a in range(len(s) - 7)]
+        assert g.tolist() == want
+
+
+def plain_texts(pages):
+    """Main texts of the blocks of one host's pages by sets of runs."""
+    streams = [tuple(w for t, _ in p for w in t.split(" ")) for p in pages]
+    runs = [{s[i:i + html.RUN] for i in range(len(s) - html.RUN + 1)} for s in set(streams)]
+    count = {}
+    for r in runs:
+        for x in r:
+            count[x] = count.get(x, 0) + 1
+    d, out = len(runs), []
+    for p, s in zip(pages, streams):
+        best = [0] * len(s)
+        for i in range(len(s) - html.RUN + 1):
+            for j in range(i, i + html.RUN):
+                best[j] = max(best[j], count[s[i:i + html.RUN]])
+        at, kept = 0, []
+        for t, region in p:
+            bar = max(html.MAIN_PAGES, html.MAIN_SHARE * d) if region == html.MAIN else max(html.FREE_PAGES, html.FREE_SHARE * d)
+            words = t.split(" ")
+            left = " ".join(w for w, n in zip(words, best[at:at + len(words)]) if n < bar)
+            at += len(words)
+            if region != html.DROP and left:
+                kept.append(left)
+        out.append("\n".join(kept))
+    return out
+
+
+@pytest.mark.parametrize(("pages_a_shard", "bytes_a_shard"), [(128, 1 << 20), (3, 1 << 20), (1, 1 << 20), (128, 300)])
+def test_unmarked_templates_go_however_pages_are_dealt(spark, monkeypatch, pages_a_shard, bytes_a_shard):
+    """No block is marked, so the suffix arrays decide alone; the same texts for every way of dealing pages to shards."""
+    monkeypatch.setattr(html, "SHARD_PAGES", pages_a_shard)
+    monkeypatch.setattr(html, "SHARD_BYTES", bytes_a_shard)
+    rng = random.Random(2)
+    word = lambda: f"w{rng.randrange(3000)}"
+    templates = [" ".join(word() for _ in range(n)) for n in (9, 14, 30)]
+    pages = []
+    for i in range(30):
+        parts = [(t, html.FREE) for t, p in zip(templates, (1.0, 0.7, 0.3)) if rng.random() < p]
+        parts += [(" ".join(word() for _ in range(rng.randrange(3, 60))), rng.choice([html.FREE, html.MAIN, html.MAIN])) for _ in range(3)]
+        parts += [(templates[0], html.MAIN)]
+        rng.shuffle(parts)
+        pages.append(parts)
+    pages[9] = [(" ".join(word() for _ in range(4000)), html.MAIN), *pages[9]]  # one long page among short ones
+    pages += pages[:6]  # copies count once
+    want = plain_texts(pages)
+    plain_join = ["\n".join(t for t, r in p if r != html.DROP) for p in pages]
+    assert texts_of(block_pages(spark, pages)) == want and sum(a != b for a, b in zip(want, plain_join)) == 36
 
 
 def test_hot_host_is_sharded(spark, monkeypatch):
