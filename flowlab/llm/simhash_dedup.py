@@ -60,16 +60,20 @@ def text_fingerprint(raw: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(id, fp): one row per input row, fp the signed 64-bit view of the SimHash; null text is the empty text."""
+    """(id, text_key, fp): one row per input row, fp the signed 64-bit view of the SimHash; null text is the empty text.
+
+    ``text_key`` is xxhash64 of the text: with the id it names a row and its repeats.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(1).cast(pa.binary())
+            texts = b.column(2).cast(pa.binary())
             out = np.fromiter((text_fingerprint(t.as_py() or b"", shingle) for t in texts), "<u8", len(texts))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out.view(np.int64))], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out.view(np.int64))], ["id", "text_key", "fp"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long")
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"id {kind}, text_key long, fp long")
 
 
 def block_keys(n_distinct: int, radius: int) -> list[list[tuple[int, int]]]:
@@ -218,8 +222,10 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                     radius: int = RADIUS) -> DataFrame:
-    """(id, fp, component): one row per input row; component is the smallest id of the linked group.
+    """(id, text_key, fp, component, group): one row per input row; component is the smallest id of the linked group.
 
+    ``group`` is a fingerprint that names the group, as two groups have one
+    component where rows of one id are not linked.
     Null or blank texts have fingerprint zero and link like any other. Rows
     with a null id take part; a group of null ids only has a null component.
     Repeated rows stay. An empty table gives an empty table. Other columns,
@@ -232,27 +238,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = (named.where("component is not null").groupBy("component").agg(F.min("first").alias("low")))
     shared = (named.join(groups, "component", "left").where("n > 1 or component is not null")
               .select("fp", F.when(F.col("component").isNull(), F.col("first")).otherwise(F.col("low")).alias("low"),
-                      F.lit(True).alias("shared")))
+                      F.coalesce("component", "fp").alias("group"), F.lit(True).alias("shared")))
     return (each.join(shared, "fp", "left")
-            .select("id", "fp", F.when(F.col("shared"), F.col("low")).otherwise(F.col("id")).alias("component")))
+            .select("id", "text_key", "fp", F.when(F.col("shared"), F.col("low")).otherwise(F.col("id")).alias("component"),
+                    F.coalesce("group", "fp").alias("group")))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each near-duplicate group: the one of the smallest id. Columns stay as they are.
+    """One document of each near-duplicate group: the one of the smallest id, null last. Columns stay as they are.
 
-    Repeated rows of that id become one row. Of a group of null ids only, one
-    row per distinct text stays.
+    Rows of one id with texts that are not linked are different documents, each
+    judged in its own group; of linked ones, and of a group of null ids only,
+    the smallest text hash stays. Repeated rows become one row.
     """
-    stay = cut_lineage(near_duplicates(docs).where("id <=> component").groupBy("id").agg(F.count("*").alias("n")))
-    tmp, key = "__copies", "__kept_id"
-    kept = docs.join(stay.select(F.col("id").alias(key), F.col("n").alias(tmp)), docs["doc_id"].eqNullSafe(F.col(key))).drop(key)
-    once = kept.where(F.col(tmp) == 1).drop(tmp)
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "text_key")
+    groups = near_duplicates(docs).groupBy("id", "text_key", "group").agg(F.count("*").alias("n"))
+    stay = cut_lineage(groups.groupBy("group").agg(F.min_by(F.struct("id", "text_key", "n"), rank).alias("x")).select("x.*"))
+    tmp, key, own = "__copies", "__kept_id", "__text_key"
+    rows = stay.select(F.col("id").alias(key), F.col("text_key").alias(own), F.col("n").alias(tmp))
+    kept = docs.withColumn("__own_key", F.xxhash64("text"))
+    kept = kept.join(rows, kept["doc_id"].eqNullSafe(F.col(key)) & (F.col("__own_key") == F.col(own))).drop(key, own)
+    once = kept.where(F.col(tmp) == 1).drop(tmp, "__own_key")
     if stay.where("n > 1").isEmpty():
         return once
-    again = kept.where(F.col(tmp) > 1)
-    again = again.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(
-        again.where("doc_id is null").dropDuplicates(["text"]))
-    return once.unionByName(again.drop(tmp))
+    again = kept.where(F.col(tmp) > 1).dropDuplicates(["doc_id", "__own_key"]).drop(tmp, "__own_key")
+    return once.unionByName(again)
 
 
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -116,6 +116,19 @@ def test_dedup_odd_rows(spark, odd):
     assert simhash_dedup.near_duplicates(odd.limit(0)).count() == 0 and simhash_dedup.keep_one(odd.limit(0)).count() == 0
 
 
+def test_rows_of_one_id_are_judged_by_their_texts(spark):
+    """Unlinked texts under one id all stay, linked ones leave one, and no group is lost for lack of an id."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(300)) for x in "abc")
+    rows = [(1, a, "x"), (1, b, "x"), (1, b, "y"), (2, a, "x"), (None, c, "x"), (None, c, "x"), (None, "", "x"), (5, a.replace("a7 ", "changed "), "x"), (6, b, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("group", F.lit("clash")).withColumn("n", F.lit(0))
+    kept = simhash_dedup.keep_one(df)
+    assert kept.columns == df.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+    linked = {r["id"]: r["component"] for r in simhash_dedup.near_duplicates(df).collect()}
+    want = [(1, a), (1, b), (None, ""), (None, c)] + ([] if linked[5] == 1 else [(5, rows[7][1])])
+    assert got == sorted(want, key=str)
+
+
 def plain_contaminated(docs, items):
     """Best similarity of every pair of 0.8 or more; a document shorter than the item is one window."""
     out = {}
