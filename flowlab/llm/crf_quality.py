@@ -16,6 +16,8 @@ Scoring is a pandas UDF over the text column: no shuffle, memory bounded by
 
 from __future__ import annotations
 
+import warnings
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,8 +28,8 @@ from pyspark.sql import functions as F
 from flowlab.llm.common import crc_mod, table
 
 TRAIN_DOCS = 4_000  # labelled documents in the training sample, by a hash of the id
-TRAIN_CHARS = 60_000  # longer documents are not used for training
-TRAIN_LINES = 300  # nor are documents of more lines
+TRAIN_CHARS = 60_000  # characters and lines of a document that are used for training: a stretch of a longer
+TRAIN_LINES = 300  # one, from a place picked by a hash of its text
 FOLDS, HELD_OUT = 4, 2
 CUT = 0.7
 PIECE_CHARS = 1 << 20
@@ -131,6 +133,7 @@ class Chain:
     step: np.ndarray
     slope: float = 1.0
     offset: float = 0.0
+    trained: bool = True
 
 
 def marginals(u: np.ndarray, per_text: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -201,23 +204,36 @@ def fit_curve(raw: np.ndarray, label: np.ndarray, decay: float = 1e-3) -> tuple[
     return float(w[0]), float(w[1])
 
 
+def stretch(text: str, chars: int = TRAIN_CHARS, lines: int = TRAIN_LINES) -> str:
+    """A text, or lines in a row of a longer one from a place picked by a hash, with at most so many characters and lines."""
+    if len(text) <= chars and text.count("\n") < lines:
+        return text
+    parts, draw = text.split("\n"), zlib.crc32(text.encode("utf-8", "replace"))
+    size = np.cumsum([len(x) + 1 for x in parts])
+    at = draw % max(1, len(parts) - lines + 1)
+    at = min(at, int(np.searchsorted(size, max(size[-1] - chars, 0))))  # at least that many characters follow, if there are
+    end = max(at + 1, min(at + lines, int(np.searchsorted(size, (size[at - 1] if at else 0) + chars, "right"))))
+    piece = "\n".join(parts[at:end])
+    skip = draw % max(1, len(piece) - chars + 1)
+    return piece[skip:skip + chars]
+
+
 def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Chain:
     """Fits the model on at most ``train_docs`` labelled documents outside the held-out fold.
 
     Rows with a null or other label, or with a null text, are not used.
-    Without documents of both labels the model is neutral: every line is good
-    with probability one half.
+    Without documents of both labels the model is neutral and not ``trained``:
+    every line is good with probability one half.
     """
     ids = (labels.where(F.col("quality").isin(0, 1) & (crc_mod(F.col("doc_id"), FOLDS) != HELD_OUT))
            .groupBy("doc_id").agg(F.min("quality").alias("quality"))
            .orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs))
     sample = (docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # at most train_docs ids
-              .where(F.length("text") <= TRAIN_CHARS).where(F.regexp_count("text", F.lit("\n")) < TRAIN_LINES)
-              .groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality")))
+              .where("text is not null").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality")))
 
     def features(batches):
         for b in batches:
-            out = [line_features([t]) for t in b["text"]]
+            out = [line_features([stretch(t)]) for t in b["text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"], "quality": b["quality"],
                                 "x": [o[0].astype("<f4").tobytes() for o in out],
                                 "chars": [o[2].astype("<i4").tobytes() for o in out]})
@@ -225,7 +241,7 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> C
     rows = sorted(sample.mapInPandas(features, "doc_id long, quality int, x binary, chars binary").collect(),
                   key=lambda r: r["doc_id"])
     if len({r["quality"] for r in rows}) < 2:
-        return Chain(np.zeros(3 * N_FEATURES + 3), np.zeros((2, 2)))
+        return Chain(np.zeros(3 * N_FEATURES + 3), np.zeros((2, 2)), trained=False)
     xs = [np.frombuffer(r["x"], "<f4").reshape(-1, N_FEATURES) for r in rows]
     per_text = np.array([len(a) for a in xs])
     x = np.concatenate(xs).astype(float)
@@ -269,14 +285,24 @@ def keep_good(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame
     """Documents that the classifier accepts; the columns, whatever their names, stay as they are.
 
     Null and empty texts are scored like any other; repeated rows are judged
-    alike; an empty table stays empty.
+    alike; an empty table stays empty. Where no model can be trained (no labelled
+    documents of both kinds) nothing is rejected, with a warning.
     """
+    chain = train(docs, labels)
+    if not chain.trained:
+        warnings.warn("no labelled documents of both kinds: the quality stage keeps all documents", stacklevel=2)
+        return docs
     tmp = "__quality"
-    return docs.withColumn(tmp, quality_score(train(docs, labels), F.col("text"))).where(F.col(tmp) >= cut).drop(tmp)
+    return docs.withColumn(tmp, quality_score(chain, F.col("text"))).where(F.col(tmp) >= cut).drop(tmp)
 
 
 def op2_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quality of every document: score, and 1 where it is at least 0.7; rows of the held-out fold are marked."""
+    """Quality of every document: score, and 1 where it is at least 0.7; rows of the held-out fold are marked.
+
+    Null and empty texts are scored as the empty text; repeated rows score
+    alike; a null id is a row like any other; without a trained model every score
+    is 0.5; an empty table gives an empty table.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     chain = train(docs, table(spark, sf_dir, "labels"))
     out = docs.select("doc_id", (crc_mod(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"),

@@ -15,6 +15,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from flowlab.llm.common import crc_mod, table
 
 TRAIN_TOXIC, TRAIN_CLEAN = 2_000, 3_000  # labelled documents of either label in the training sample, by a hash of the id
-TRAIN_CHARS = 15_000  # longer documents are not used for training
+TRAIN_CHARS = 15_000  # characters of a document that are used for training: a stretch of a longer one, from a place picked by a hash
 FOLDS, HELD_OUT = 5, 0
 CUT = 0.5
 PREFIXES = (4, 5, 6)
@@ -204,6 +205,12 @@ def fit_linear(samples: list[np.ndarray], target: np.ndarray, vocabulary: int =
     return ids[index][w != 0], w[w != 0], float(b)
 
 
+def stretch(text: str, chars: int = TRAIN_CHARS) -> str:
+    """A text, or so many characters of a longer one from a place picked by a hash."""
+    skip = zlib.crc32(text.encode("utf-8", "replace")) % max(1, len(text) - chars + 1)
+    return text[skip:skip + chars]
+
+
 def train(docs: DataFrame, labels: DataFrame, toxic_docs: int = TRAIN_TOXIC, clean_docs: int = TRAIN_CLEAN) -> tuple[Linear, pd.DataFrame]:
     """(linear model, accuracy of each voter), fitted outside the held-out fold.
 
@@ -214,10 +221,11 @@ def train(docs: DataFrame, labels: DataFrame, toxic_docs: int = TRAIN_TOXIC, cle
     some = lambda y, k: pick.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(k)
     ids = some(1, toxic_docs).unionByName(some(0, clean_docs))
     rows = (docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # at most toxic_docs + clean_docs ids
-            .where(F.length("text") <= TRAIN_CHARS))
+            .where("text is not null"))
 
     def shorten(batches):  # terms travel instead of texts
         for b in batches:
+            b["text"] = [stretch(t) for t in b["text"]]
             words = [tokens(t) for t in b["text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"], "toxic": b["toxic"], "n": [len(w) for w in words],
                                 "shouts": [sum(c.isupper() for c in t) > 0.5 * len(t) for t in b["text"]],

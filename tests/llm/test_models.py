@@ -170,3 +170,53 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
         assert r["words"] == len(re.findall(r"[^\x20\x09-\x0D]+", r["text"]))
         taken[r["doc_id"]] = taken.get(r["doc_id"], 0) + r["words"]
     assert all(taken[i] <= 3 * size[i] for i in taken) and abs(sum(taken.values()) - sum(size.values())) <= 40
+
+
+def write_tables(spark, place, documents, labels, benchmark):
+    kinds = {"documents": "doc_id long, text string, lang string, source string, n_chars long", "labels": "doc_id long, quality int, toxic int",
+             "benchmark": "item_id long, text string"}
+    for (name, kind), rows in zip(kinds.items(), (documents, labels, benchmark)):
+        spark.createDataFrame(rows, kind).write.parquet(f"{place}/{name}.parquet")
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    import corpus_pipeline as pipe
+
+    words = [f"word{i}" for i in range(400)]
+    texts = {"a": " ".join(words[:120]), "b": " ".join(words[120:260]), "c": " ".join(words[260:])}
+    documents = [(1, texts["a"], "en", "s", 1), (1, texts["b"], "en", "s", 1), (None, texts["c"], "en", None, 1), (None, texts["c"], "en", None, 1),
+                 (3, None, None, None, None), (4, "", "en", "s", 0), (5, "write to a@b.co or " + " ".join(words[::3]), "en", "t", 9), (6, texts["a"], "en", "s", 1)]
+    write_tables(spark, f"{tmp_path}/odd", documents, [], [(9, None), (10, "")])
+    left = spark.read.parquet(f"{tmp_path}/odd/documents.parquet")
+    with pytest.warns(UserWarning, match="keeps all documents"):
+        for k, (_, stage) in enumerate(pipe.STAGES[:4]):
+            stage(spark, left, f"{tmp_path}/odd").write.parquet(f"{tmp_path}/stage{k}")
+            left = spark.read.parquet(f"{tmp_path}/stage{k}")
+        got = pipe.run(spark, f"{tmp_path}/odd").collect()
+    texts_left = [(r["doc_id"], r["text"]) for r in left.collect()]
+    assert sorted(texts_left, key=str) == sorted(
+        [(1, texts["a"]), (1, texts["b"]), (None, texts["c"]), (3, None), (5, "write to <EMAIL> or " + " ".join(words[::3]))], key=str)
+    assert sum(r["words"] for r in got) > 0 and {r["doc_id"] for r in got} <= {1, None, 5}
+    write_tables(spark, f"{tmp_path}/empty", [], [], [])
+    with pytest.warns(UserWarning):
+        assert pipe.run(spark, f"{tmp_path}/empty").count() == 0
+
+
+def test_long_texts_train_by_a_stretch(spark):
+    long = "\n".join(f"line {i} of a long and readable text." for i in range(5000))
+    part = crf_quality.stretch(long)
+    assert part in long and part.count("\n") < crf_quality.TRAIN_LINES and len(part) <= crf_quality.TRAIN_CHARS and part.count("\n") > 200
+    assert len(crf_quality.stretch("x" * 200_000)) == crf_quality.TRAIN_CHARS and crf_quality.stretch("a\nb") == "a\nb" and crf_quality.stretch("") == ""
+    wide = "\n".join("y" * 1000 for _ in range(290))
+    assert 0 < len(crf_quality.stretch(wide)) <= crf_quality.TRAIN_CHARS
+    assert weak_toxicity.stretch(long) in long and len(weak_toxicity.stretch(long)) == weak_toxicity.TRAIN_CHARS
+    # documents of which all are long still train a model
+    good = [(i, f"Opening {i}.\n" + long, "x") for i in range(20)]
+    junk = [(100 + i, f"{i} | buy | now\n" * 9000, "x") for i in range(20)]
+    docs = spark.createDataFrame(good + junk, "doc_id long, text string, quality string")
+    labels = spark.createDataFrame([(i, int(i < 100), 0) for i, *_ in good + junk], "doc_id long, quality int, toxic int")
+    chain = crf_quality.train(docs, labels)
+    assert chain.trained
+    kept = {r["doc_id"] for r in crf_quality.keep_good(docs, labels).select("doc_id").collect()}
+    assert kept == {i for i, *_ in good}
+    assert not crf_quality.train(docs, labels.where("quality = 1")).trained
