@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TWO_32 = 4294967296.0
+TWO_52 = 4503599627370496.0
 
 
 def _as_col(c) -> Column:
@@ -29,6 +30,12 @@ def uniform(seed: int, salt: str, *keys) -> Column:
     return hash32(seed, salt, *keys) / F.lit(TWO_32)
 
 
+def uniform52(seed: int, salt: str, *keys) -> Column:
+    """Uniform draw in [0, 1) of 52 bits, for picking among more than some hundred million rows."""
+    text = F.concat_ws(":", F.lit(str(seed)), F.lit(salt), *[_as_col(k).cast("string") for k in keys])
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint") / F.lit(TWO_52)
+
+
 def hash32_sql(seed: int, salt: str, *key_sql: str) -> str:
     """DuckDB text of :func:`hash32` (used by the oracle queries)."""
     keys = ", ".join(key_sql)
@@ -37,3 +44,8 @@ def hash32_sql(seed: int, salt: str, *key_sql: str) -> str:
 
 def uniform_sql(seed: int, salt: str, *key_sql: str) -> str:
     return f"({hash32_sql(seed, salt, *key_sql)} / 4294967296.0)"
+
+
+def uniform52_sql(seed: int, salt: str, *key_sql: str) -> str:
+    """DuckDB text of :func:`uniform52`."""
+    return f"(('0x' || substr(md5(concat_ws(':', '{seed}', '{salt}', {', '.join(key_sql)})), 1, 13))::BIGINT / 4503599627370496.0)"

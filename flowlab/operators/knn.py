@@ -12,6 +12,10 @@ from differences, then the k best of the block pair are emitted. A second step k
 by query id keeps the k best over all reference blocks, ties broken by
 (distance, reference id). Groups are bounded by the block size, so no group
 grows with the data and no single hot key exists (ids are hashed).
+
+With ``group_col`` only rows of one group meet (a device, a fold): the group is
+part of the block key and every group gets block counts of its own, so a group
+that holds most of the rows is spread like the whole table would be.
 """
 
 from __future__ import annotations
@@ -20,15 +24,17 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowlab.session import broadcast_if_small, cut_lineage
+
 DEFAULT_BLOCK_ROWS = 4096
 PAIRS = 1_000_000  # exact distances computed at a time within a tile
 
 
-def _kernel(features: list[str], k: int, exclude_self: bool, carry: list[str], tile: int):
+def _kernel(features: list[str], k: int, exclude_self: bool, carry: list[str], tile: int, group: bool = False):
     d = len(features)
 
     def nearest(Q, qid, R, rid, centre):
@@ -67,7 +73,8 @@ def _kernel(features: list[str], k: int, exclude_self: bool, carry: list[str], t
     def fn(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         cols = ["qid", "rid", "dist", *carry]
         if q.empty or r.empty:
-            return pd.DataFrame({c: pd.Series(dtype="float64") for c in cols}).astype({"qid": "int64", "rid": "int64"})
+            out = pd.DataFrame({c: pd.Series(dtype="float64") for c in cols}).astype({"qid": "int64", "rid": "int64"})
+            return out.assign(_g=np.array([], object)) if group else out
         Q = q[features].to_numpy(dtype=np.float64)
         R = r[features].to_numpy(dtype=np.float64)
         qid = q["_qid"].to_numpy(dtype=np.int64)
@@ -88,7 +95,7 @@ def _kernel(features: list[str], k: int, exclude_self: bool, carry: list[str], t
         out = pd.concat(parts, ignore_index=True)
         out = out.sort_values(["qid", "dist", "rid"], kind="mergesort")
         out = out.groupby("qid", sort=False).head(min(k, R.shape[0]))
-        return out[cols]
+        return out[cols].assign(_g=q["_g"].iloc[0]) if group else out[cols]
 
     return fn
 
@@ -114,11 +121,39 @@ def plan_blocks(nq: int, nr: int, parallelism: int, q_block_rows: int = 8192, r_
 MAX_PARTITIONS = 8192
 
 
+def is_finite(features: list[str]) -> Column:
+    """True where every feature is a finite number."""
+    out = F.lit(True)
+    for f in features:
+        out = out & F.coalesce(F.abs(F.col(f).cast("double")) < F.lit(float("inf")), F.lit(False))  # NaN counts as larger
+    return out
+
+
+def group_blocks(q: DataFrame, r: DataFrame, parallelism: int, tile: int) -> tuple[DataFrame, int]:
+    """(_g, bq, br) for every group on both sides, and the number of block pairs.
+
+    Block sizes start at 8k query and 64k reference rows and are halved until
+    there are at least 2 x parallelism pairs or the blocks reach one tile.
+    """
+    count = lambda df, name: df.groupBy("_g").agg(F.count(F.lit(1)).alias(name))
+    left, right = count(q, "nq"), count(r, "nr").withColumnRenamed("_g", "_gr")
+    sizes = cut_lineage(left.join(right, F.col("_g").eqNullSafe(F.col("_gr"))).drop("_gr"))
+    qb, rb = max(8192, tile), max(65536, tile)
+    if tile < DEFAULT_BLOCK_ROWS:
+        qb = rb = tile
+    while True:
+        plan = sizes.select("_g", F.ceil(F.col("nq") / qb).cast("int").alias("bq"), F.ceil(F.col("nr") / rb).cast("int").alias("br"))
+        pairs = plan.agg(F.sum(F.col("bq").cast("long") * F.col("br"))).first()[0] or 0
+        if pairs >= 2 * parallelism or (qb <= tile and rb <= tile) or not pairs:
+            return plan, int(pairs)
+        qb, rb = (qb, rb // 2) if rb >= qb and rb > tile else (qb // 2, rb)
+
+
 def knn_join(queries: DataFrame, refs: DataFrame, features: list[str], k: int = 5,
              q_key: str = "row_key", r_key: str = "row_key", exclude_self: bool = False,
              carry: list[str] | None = None, block_rows: int = DEFAULT_BLOCK_ROWS,
-             sizes: tuple[int, int] | None = None) -> DataFrame:
-    """Exact k nearest references per query (Euclidean). Returns qid, rid, dist, nn_rank, *carry.
+             sizes: tuple[int, int] | None = None, group_col: str | None = None) -> DataFrame:
+    """Exact k nearest references per query (Euclidean). Returns qid, rid, dist, nn_rank, *carry (and the group).
 
     ``sizes``: (query rows, reference rows) when the caller already knows them
     (they only size the blocks), otherwise both sides are counted.
@@ -127,58 +162,69 @@ def knn_join(queries: DataFrame, refs: DataFrame, features: list[str], k: int =
     With ``exclude_self`` a query never matches the reference with the same id
     (self-join use, e.g. SMOTE neighbours).
 
+    ``group_col``: a column of both sides; only rows of equal groups (null
+    equals null) meet, and neighbours are ranked per (group, query).
+
     Rows with a null, NaN or infinite feature have no distance: such a
     reference is nobody's neighbour, such a query has no neighbours (no rows).
     """
     carry = carry or []
-    nq, nr = sizes if sizes else (queries.count(), refs.count())
-    q = queries.select(F.col(q_key).cast("bigint").alias("_qid"), *[F.col(f).cast("double").alias(f) for f in features])
-    r = refs.select(F.col(r_key).cast("bigint").alias("_rid"), *[F.col(f).cast("double").alias(f) for f in features],
+    group = [F.col(group_col).alias("_g")] if group_col else []
+    q = queries.select(F.col(q_key).cast("bigint").alias("_qid"), *group, *[F.col(f).cast("double").alias(f) for f in features])
+    r = refs.select(F.col(r_key).cast("bigint").alias("_rid"), *group, *[F.col(f).cast("double").alias(f) for f in features],
                     *[F.col(c) for c in carry])
-    finite = F.lit(True)
-    for f in features:
-        finite = finite & F.coalesce(F.abs(F.col(f)) < F.lit(float("inf")), F.lit(False))  # NaN counts as larger
-    q, r = q.where(finite), r.where(finite)
-    carry_fields = [T.StructField(c, refs.schema[c].dataType) for c in carry]
-    schema = T.StructType([T.StructField("qid", T.LongType()), T.StructField("rid", T.LongType()),
-                           T.StructField("dist", T.DoubleType()), *carry_fields])
-    kernel = _kernel(features, k, exclude_self, carry, min(block_rows, DEFAULT_BLOCK_ROWS))
+    q, r = q.where(is_finite(features)), r.where(is_finite(features))
+    fields = [T.StructField("qid", T.LongType()), T.StructField("rid", T.LongType()), T.StructField("dist", T.DoubleType()),
+              *[T.StructField(c, refs.schema[c].dataType) for c in carry]]
+    kernel = _kernel(features, k, exclude_self, carry, min(block_rows, DEFAULT_BLOCK_ROWS), bool(group_col))
     par = queries.sparkSession.sparkContext.defaultParallelism
-    bq, br = plan_blocks(nq, nr, par, tile=block_rows) if block_rows >= DEFAULT_BLOCK_ROWS else (
-        max(1, math.ceil(nq / block_rows)), max(1, math.ceil(nr / block_rows)))
-    q = (q.withColumn("_bq", F.pmod(F.xxhash64("_qid"), F.lit(bq)).cast("int"))
-         .withColumn("_br", F.explode(F.sequence(F.lit(0), F.lit(br - 1)))))
-    r = (r.withColumn("_br", F.pmod(F.xxhash64("_rid"), F.lit(br)).cast("int"))
-         .withColumn("_bq", F.explode(F.sequence(F.lit(0), F.lit(bq - 1)))))
-    keys, n_parts = ["_bq", "_br"], min(bq * br, MAX_PARTITIONS)
+    if group_col:
+        fields.append(T.StructField("_g", queries.schema[group_col].dataType))
+        plan, pairs = group_blocks(q, r, par, block_rows)
+        plan = broadcast_if_small(plan.withColumnRenamed("_g", "_gp"))  # one row per group
+        keys = ["_g", "_bq", "_br"]
+        q, r = (df.join(plan, F.col("_g").eqNullSafe(F.col("_gp"))).drop("_gp") for df in (q, r))
+        bq, br = F.col("bq"), F.col("br")
+    else:
+        nq, nr = sizes if sizes else (queries.count(), refs.count())
+        n_bq, n_br = plan_blocks(nq, nr, par, tile=block_rows) if block_rows >= DEFAULT_BLOCK_ROWS else (
+            max(1, math.ceil(nq / block_rows)), max(1, math.ceil(nr / block_rows)))
+        keys, pairs, bq, br = ["_bq", "_br"], n_bq * n_br, F.lit(n_bq), F.lit(n_br)
+    q = (q.withColumn("_bq", F.pmod(F.xxhash64("_qid"), bq).cast("int"))
+         .withColumn("_br", F.explode(F.sequence(F.lit(0), br - 1))))
+    r = (r.withColumn("_br", F.pmod(F.xxhash64("_rid"), br).cast("int"))
+         .withColumn("_bq", F.explode(F.sequence(F.lit(0), bq - 1))))
     # An explicit partition count on both sides, so adaptive execution does not merge these
     # small-but-CPU-heavy partitions; the cogroup reuses the partitioning.
-    q = q.repartition(n_parts, *keys)
-    r = r.repartition(n_parts, *keys)
-    cand = q.groupBy(*keys).cogroup(r.groupBy(*keys)).applyInPandas(kernel, schema)
-    w = Window.partitionBy("qid").orderBy("dist", "rid")
-    return cand.withColumn("nn_rank", F.row_number().over(w)).filter(F.col("nn_rank") <= k)
+    n_parts = max(1, min(pairs, MAX_PARTITIONS))
+    q = q.drop("bq", "br").repartition(n_parts, *keys)
+    r = r.drop("bq", "br").repartition(n_parts, *keys)
+    cand = q.groupBy(*keys).cogroup(r.groupBy(*keys)).applyInPandas(kernel, T.StructType(fields))
+    w = Window.partitionBy(*(["_g"] if group_col else []), "qid").orderBy("dist", "rid")
+    out = cand.withColumn("nn_rank", F.row_number().over(w)).filter(F.col("nn_rank") <= k)
+    return out.withColumnRenamed("_g", group_col) if group_col else out
 
 
-def weighted_vote(neigh: DataFrame, label_col: str = "label") -> DataFrame:
+def weighted_vote(neigh: DataFrame, label_col: str = "label", by: list[str] | None = None) -> DataFrame:
     """M6 vote: weight 1/d; if a query has neighbours at distance 0, only those count (weight 1).
 
-    Returns qid, predicted (largest weight; tie -> smaller label), score
+    Returns qid (and the group columns ``by``), predicted (largest weight; tie -> smaller label), score
     (weight share of label 1, for ROC/PR curves).
     """
-    per = (neigh.groupBy("qid", label_col)
+    keys = [*(by or []), "qid"]
+    per = (neigh.groupBy(*keys, label_col)
            .agg(F.sum(F.when(F.col("dist") > 0, 1.0 / F.col("dist"))).alias("_inv"),
                 F.count_if(F.col("dist") == 0).alias("_z")))
-    wq = Window.partitionBy("qid")
+    wq = Window.partitionBy(*keys)
     per = per.withColumn("_hz", F.max("_z").over(wq) > 0)
     per = per.withColumn("_w", F.when(F.col("_hz"), F.col("_z").cast("double"))
                          .otherwise(F.coalesce(F.col("_inv"), F.lit(0.0))))
     per = per.withColumn("_tot", F.sum("_w").over(wq))
-    pick = Window.partitionBy("qid").orderBy(F.desc("_w"), F.asc(label_col))
+    pick = Window.partitionBy(*keys).orderBy(F.desc("_w"), F.asc(label_col))
     per = per.withColumn("_rk", F.row_number().over(pick))
     score = F.sum(F.when(F.col(label_col) == 1, F.col("_w")).otherwise(0.0)).over(wq) / F.col("_tot")
     per = per.withColumn("score", score)
-    return per.filter(F.col("_rk") == 1).select("qid", F.col(label_col).alias("predicted"), "score")
+    return per.filter(F.col("_rk") == 1).select(*keys, F.col(label_col).alias("predicted"), "score")
 
 
 def knn_classify(train: DataFrame, test: DataFrame, features: list[str], k: int = 5,
@@ -194,23 +240,49 @@ def knn_classify(train: DataFrame, test: DataFrame, features: list[str], k: int
     return test.join(votes.withColumnRenamed("qid", key_col), key_col, "left")
 
 
-def local_outlier_factor(df: DataFrame, features: list[str], k: int = 5, key_col: str = "row_key",
-                         block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
-    """LOF over a self kNN join (self excluded).
+def density_ratio(around: Column, own: Column) -> Column:
+    """Mean density of the neighbours over the own one; equal rows have infinite density: 1 among their like."""
+    top = F.lit(float("inf"))
+    return F.when((around == top) & (own == top), 1.0).when(own == top, 0.0).otherwise(around / own)
+
+
+def _densities(neigh: DataFrame, k_distance: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, lrd): 1 over the mean reachability of a row's neighbours; infinite where that is 0."""
+    reach = neigh.join(k_distance, [*keys[:-1], "rid"]).withColumn("_reach", F.greatest("_kd_o", "dist"))
+    mean = reach.groupBy(*keys).agg(F.avg("_reach").alias("_mr"))
+    return mean.select(*keys, F.when(F.col("_mr") > 0, 1.0 / F.col("_mr")).otherwise(F.lit(float("inf"))).alias("lrd"))
+
+
+def novelty_lof(refs: DataFrame, queries: DataFrame, features: list[str], k: int = 5, key_col: str = "row_key",
+                group_col: str | None = None, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+    """LOF of every query row against reference rows only (e.g. benign ones), per group if given.
 
+    k-distance and density of a reference come from the other references of its
+    group. A query that is a reference itself does not see itself.
     k-distance(o) = distance to o's k-th neighbour; reach(p, o) = max(k-distance(o), d(p, o));
-    lrd(p) = 1 / mean_o reach(p, o); LOF(p) = mean_o lrd(o) / lrd(p). Ties at the k-th
-    neighbour are cut at k by (distance, id). Returns key, k_distance, lrd, lof.
+    lrd(p) = 1 / mean_o reach(p, o); LOF(p) = mean_o lrd(o) / lrd(p), see :func:`density_ratio`
+    for equal rows. Ties at the k-th neighbour are cut at k by (distance, id).
+
+    Returns one row per query: key, group, k_distance, lrd, lof; null where there is no distance
+    (null, NaN or infinite features) or no reference with neighbours.
     """
-    neigh = knn_join(df, df, features, k, key_col, key_col, exclude_self=True, block_rows=block_rows)
-    kd = neigh.groupBy("qid").agg(F.max("dist").alias("k_distance"))
-    reach = (neigh.join(kd.withColumnRenamed("qid", "rid").withColumnRenamed("k_distance", "_kd_o"), "rid")
-             .withColumn("_reach", F.greatest("_kd_o", "dist")))
-    lrd = reach.groupBy("qid").agg(F.avg("_reach").alias("_mr"))
-    lrd = lrd.withColumn("lrd", F.when(F.col("_mr") > 0, 1.0 / F.col("_mr")).otherwise(F.lit(float("inf"))))
-    lof = (neigh.join(lrd.select(F.col("qid").alias("rid"), F.col("lrd").alias("_lrd_o")), "rid")
-           .groupBy("qid").agg(F.avg("_lrd_o").alias("_mo")))
-    out = (lrd.join(lof, "qid").join(kd, "qid")
-           .withColumn("lof", F.col("_mo") / F.col("lrd"))
-           .select(F.col("qid").alias(key_col), "k_distance", "lrd", "lof"))
-    return out
+    by = [group_col] if group_col else []
+    group = F.col(group_col) if group_col else F.lit(0)
+    refs, queries = refs.withColumn("_lof_g", group), queries.withColumn("_lof_g", group)
+    own = cut_lineage(knn_join(refs, refs, features, k, key_col, key_col, exclude_self=True, block_rows=block_rows, group_col="_lof_g"))
+    far = own.groupBy(F.coalesce(F.col("_lof_g").cast("string"), F.lit("null")).alias("_gk"), F.col("qid").alias("rid")).agg(F.max("dist").alias("_kd_o"))
+    keyed = lambda df: df.withColumn("_gk", F.coalesce(F.col("_lof_g").cast("string"), F.lit("null"))).drop("_lof_g")
+    lrd_o = _densities(keyed(own), far, ["_gk", "qid"]).select("_gk", F.col("qid").alias("rid"), F.col("lrd").alias("_lrd_o"))
+    neigh = cut_lineage(keyed(knn_join(queries, refs, features, k, key_col, key_col, exclude_self=True, block_rows=block_rows, group_col="_lof_g")))
+    lrd = _densities(neigh, far, ["_gk", "qid"])
+    around = neigh.join(lrd_o, ["_gk", "rid"]).groupBy("_gk", "qid").agg(F.avg("_lrd_o").alias("_mo"))
+    reach = neigh.groupBy("_gk", "qid").agg(F.max("dist").alias("k_distance"))
+    scored = lrd.join(around, ["_gk", "qid"]).join(reach, ["_gk", "qid"]).withColumn("lof", density_ratio(F.col("_mo"), F.col("lrd")))
+    rows = keyed(queries.select(F.col(key_col), *[F.col(c) for c in by], "_lof_g")).withColumn("qid", F.col(key_col).cast("bigint"))
+    return rows.join(scored, ["_gk", "qid"], "left").select(key_col, *by, "k_distance", "lrd", "lof")
+
+
+def local_outlier_factor(df: DataFrame, features: list[str], k: int = 5, key_col: str = "row_key",
+                         block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+    """LOF of every row among all rows (self excluded): key, k_distance, lrd, lof. See :func:`novelty_lof`."""
+    return novelty_lof(df, df, features, k, key_col, None, block_rows)

@@ -2,7 +2,7 @@
 
 Every metric is computed from one small aggregation (counts per
 (actual, predicted) cell); ratios use try_divide with 0 for an empty
-denominator (zero_division = 0).
+denominator (zero_division = 0). Nothing is rounded here.
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlab.functions.exprs import r6, safe_ratio
+from flowlab.functions.exprs import safe_ratio
+from flowlab.session import cut_lineage
 
 # Fixed class names of the binary task, in label order 0, 1.
 BINARY_NAMES = {0: "benign", 1: "attack"}
@@ -52,17 +53,17 @@ def metrics_from_counts(counts: DataFrame) -> DataFrame:
     f10 = safe_ratio(2 * tn, 2 * tn + fn + fp)
     return counts.withColumns({
         "n_rows": total,
-        "accuracy": r6(safe_ratio(tp + tn, total)),
-        "precision": r6(prec),
-        "recall": r6(rec),
-        "f1": r6(f1),
-        "benign_precision": r6(prec0),
-        "benign_recall": r6(rec0),
-        "benign_f1": r6(f10),
-        "macro_precision": r6((prec + prec0) / 2),
-        "macro_recall": r6((rec + rec0) / 2),
-        "macro_f1": r6((f1 + f10) / 2),
-        "false_positive_rate": r6(safe_ratio(fp, fp + tn)),
+        "accuracy": safe_ratio(tp + tn, total),
+        "precision": prec,
+        "recall": rec,
+        "f1": f1,
+        "benign_precision": prec0,
+        "benign_recall": rec0,
+        "benign_f1": f10,
+        "macro_precision": (prec + prec0) / 2,
+        "macro_recall": (rec + rec0) / 2,
+        "macro_f1": (f1 + f10) / 2,
+        "false_positive_rate": safe_ratio(fp, fp + tn),
     })
 
 
@@ -87,7 +88,7 @@ def classification_report(df: DataFrame, actual: str = "actual", predicted: str
     labels. Computed from the (actual, predicted) cell counts (at most L^2 rows).
     """
     cells = df.groupBy(F.col(actual).alias("a"), F.col(predicted).alias("p")).agg(F.count(F.lit(1)).alias("n"))
-    cells = cells.cache()
+    cells = cut_lineage(cells)  # at most L^2 rows, read three times
     sup = cells.groupBy(F.col("a").alias("label")).agg(F.sum("n").alias("support"))
     pred = cells.groupBy(F.col("p").alias("label")).agg(F.sum("n").alias("predicted_n"))
     hit = cells.filter(F.col("a") == F.col("p")).select(F.col("a").alias("label"), F.col("n").alias("tp"))
@@ -106,23 +107,23 @@ def classification_report(df: DataFrame, actual: str = "actual", predicted: str
                                F.col("label").cast("string"))
     else:
         name_expr = F.col("label").cast("string")
-    per = per.withColumn("class", name_expr).cache()
+    per = cut_lineage(per.withColumn("class", name_expr))
     totals = per.agg(F.sum("support").alias("N"), F.sum("tp").alias("hits"), F.count(F.lit(1)).alias("L"),
                      F.avg("precision").alias("mp"), F.avg("recall").alias("mr"), F.avg("f1").alias("mf"),
                      safe_ratio(F.sum(F.col("precision") * F.col("support")), F.sum("support")).alias("wp"),
                      safe_ratio(F.sum(F.col("recall") * F.col("support")), F.sum("support")).alias("wr"),
                      safe_ratio(F.sum(F.col("f1") * F.col("support")), F.sum("support")).alias("wf"))
     rows = [
-        per.select("class", F.col("label").cast("int").alias("label"), r6("precision").alias("precision"),
-                   r6("recall").alias("recall"), r6("f1").alias("f1"), "support"),
+        per.select("class", F.col("label").cast("int").alias("label"), F.col("precision").alias("precision"),
+                   F.col("recall").alias("recall"), F.col("f1").alias("f1"), "support"),
         totals.select(F.lit("accuracy").alias("class"), F.lit(None).cast("int").alias("label"),
                       F.lit(None).cast("double").alias("precision"), F.lit(None).cast("double").alias("recall"),
-                      r6(safe_ratio("hits", "N")).alias("f1"), F.col("N").cast("bigint").alias("support")),
+                      safe_ratio("hits", "N").alias("f1"), F.col("N").cast("bigint").alias("support")),
         totals.select(F.lit("macro avg").alias("class"), F.lit(None).cast("int").alias("label"),
-                      r6("mp").alias("precision"), r6("mr").alias("recall"), r6("mf").alias("f1"),
+                      F.col("mp").alias("precision"), F.col("mr").alias("recall"), F.col("mf").alias("f1"),
                       F.col("N").cast("bigint").alias("support")),
         totals.select(F.lit("weighted avg").alias("class"), F.lit(None).cast("int").alias("label"),
-                      r6("wp").alias("precision"), r6("wr").alias("recall"), r6("wf").alias("f1"),
+                      F.col("wp").alias("precision"), F.col("wr").alias("recall"), F.col("wf").alias("f1"),
                       F.col("N").cast("bigint").alias("support")),
     ]
     return reduce(DataFrame.unionByName, rows)
@@ -130,16 +131,16 @@ def classification_report(df: DataFrame, actual: str = "actual", predicted: str
 
 def pooled_metrics(fold_counts: DataFrame) -> DataFrame:
     """Sum tn/fp/fn/tp over folds, then ratios; plus the mean of per-fold metrics
-    (averaged unrounded, rounded once)."""
+    (unrounded)."""
     tn, fp, fn, tp = (F.col(c) for c in ("tn", "fp", "fn", "tp"))
     acc = safe_ratio(tp + tn, tn + fp + fn + tp)
     f1 = safe_ratio(2 * tp, 2 * tp + fp + fn)
     f10 = safe_ratio(2 * tn, 2 * tn + fn + fp)
     pooled = fold_counts.agg(*[F.sum(c).cast("bigint").alias(c) for c in ("tn", "fp", "fn", "tp")],
-                             r6(F.avg(acc)).alias("mean_fold_accuracy"),
-                             r6(F.avg(safe_ratio(tp, tp + fn))).alias("mean_fold_recall"),
-                             r6(F.avg(safe_ratio(tn, tn + fp))).alias("mean_fold_benign_recall"),
-                             r6(F.avg((f1 + f10) / 2)).alias("mean_fold_macro_f1"),
+                             F.avg(acc).alias("mean_fold_accuracy"),
+                             F.avg(safe_ratio(tp, tp + fn)).alias("mean_fold_recall"),
+                             F.avg(safe_ratio(tn, tn + fp)).alias("mean_fold_benign_recall"),
+                             F.avg((f1 + f10) / 2).alias("mean_fold_macro_f1"),
                              F.count(F.lit(1)).alias("n_folds"))
     return metrics_from_counts(pooled)
 
@@ -165,7 +166,6 @@ def roc_pr_auc(scored: DataFrame, actual: str = "actual", score: str = "score")
     (range-partitioned, no single-task window).
     """
     from flowlab.operators.position import running_totals
-    from flowlab.session import cut_lineage
 
     # one row per distinct score; stored once so the totals and the running sums do not
     # recompute the scoring plan (e.g. a kNN join) behind it
@@ -185,5 +185,5 @@ def roc_pr_auc(scored: DataFrame, actual: str = "actual", score: str = "score")
     return agg.select(
         F.lit(int(P)).cast("bigint").alias("positives"), F.lit(int(N)).cast("bigint").alias("negatives"),
         "distinct_scores",
-        r6(F.try_divide(F.col("_auc_num"), F.lit(P * N))).alias("roc_auc"),
-        r6(F.try_divide(F.col("_ap_num"), F.lit(P))).alias("pr_auc"))
+        F.try_divide(F.col("_auc_num"), F.lit(P * N)).alias("roc_auc"),
+        F.try_divide(F.col("_ap_num"), F.lit(P)).alias("pr_auc"))

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowlab.functions.exprs import r6, stacked
+from flowlab.functions.exprs import stacked
+from flowlab.operators.selection import exact_quantiles
 
 
 def eda_counts(df: DataFrame, group_a: str, group_b: str) -> DataFrame:
@@ -32,8 +33,8 @@ def eda_features(df: DataFrame, features: list[str]) -> DataFrame:
                  F.stddev_samp(x).alias(f"s{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
     wide = df.agg(*aggs)
     return stacked(wide, [[F.lit(f).alias("feature"), F.col(f"c{i}").alias("n"), F.col(f"z{i}").alias("n_null"),
-                           r6(f"m{i}").alias("mean"), r6(f"s{i}").alias("std"), r6(f"lo{i}").alias("min"),
-                           r6(f"hi{i}").alias("max")] for i, f in enumerate(features)])
+                           F.col(f"m{i}").alias("mean"), F.col(f"s{i}").alias("std"), F.col(f"lo{i}").alias("min"),
+                           F.col(f"hi{i}").alias("max")] for i, f in enumerate(features)])
 
 
 def nonfinite_counts(df: DataFrame, features: list[str]) -> DataFrame:
@@ -73,16 +74,9 @@ def list_set_compare(a: Column, b: Column) -> dict[str, Column]:
     }
 
 
-def eda_quantiles(df: DataFrame, features: list[str], probs: tuple[float, ...] = (0.25, 0.5, 0.75, 0.9),
-                  accuracy: int = 1_000_000) -> DataFrame:
-    """Per feature quantiles in one pass with a bounded sketch.
-
-    One rule at every size: the rank error of ``percentile_approx`` is at most
-    rows / accuracy (below one rank, hence exact, up to ``accuracy`` rows), and
-    its sketch holds a bounded number of samples per feature and task.
-    """
-    wide = df.agg(*[F.percentile_approx(F.col(f).cast("double"), list(probs), accuracy).alias(f"p{i}")
-                    for i, f in enumerate(features)])
+def eda_quantiles(df: DataFrame, features: list[str], probs: tuple[float, ...] = (0.25, 0.5, 0.75, 0.9)) -> DataFrame:
+    """Exact quantiles per feature (the ceil(p n)-th smallest value), one column per probability, at any size."""
     names = [f"q{int(round(p * 100))}" for p in probs]
-    return stacked(wide, [[F.lit(f).alias("feature"), *[r6(F.col(f"p{i}")[j]).alias(n) for j, n in enumerate(names)]]
-                          for i, f in enumerate(features)])
+    long = exact_quantiles(df, features, probs)
+    cols = [F.max(F.when(F.col("prob") == float(p), F.col("value"))).alias(n) for p, n in zip(probs, names)]
+    return long.groupBy("feature").agg(*cols)

@@ -6,22 +6,22 @@ pair stays one table (write it with ``partitionBy('split')``).
 W4 / W5 select, per class, the ``q_c`` rows with the smallest seeded hash
 ``h = md5(seed:salt:key)`` (ties by key): a uniformly random subset of exact
 size, independent of partitioning. The selection does not rank a whole class
-in one task: rows are counted per (class, top bits of h); a prefix sum over
-that small table gives, per class, the bucket holding the cut; rows below it
-are test, rows above it train, and only the rows in the cut bucket
-(about n_c / 2^bits) are ranked.
+in one task: rows are counted per (class, top bits of h); that one table gives
+the class sizes, the quotas and, by prefix sums, the bucket holding the cut of
+every class; rows below it are test, rows above it train, and only the rows in
+the cut bucket (about n_c / 2^bits) are ranked. Rows with a null class are a
+class of their own with its quota.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlab.functions.rand import hash32
 from flowlab.operators.position import positions_within
-from flowlab.session import broadcast_if_small
+from flowlab.operators.selection import kth_values
+from flowlab.session import broadcast_if_small, cut_lineage
 
 TRAIN = "train"
 TEST = "test"
@@ -53,41 +53,34 @@ def largest_remainder_quota(counts: DataFrame, class_col: str, test_fraction: fl
     return c.select(class_col, "n", (F.col("n") - F.col("train_c")).cast("bigint").alias("q"))
 
 
-def _bucket_bits(max_class_rows: int, rows_per_bucket: int = 50_000) -> int:
-    if max_class_rows <= rows_per_bucket:
-        return 8
-    return int(min(24, max(8, math.ceil(math.log2(max_class_rows / rows_per_bucket)))))
+BITS = 18  # top bits of the draw that the rows are counted by
 
 
 def quota_split(df: DataFrame, class_col: str, key_col: str, test_fraction: float = 0.2,
                 seed: int = 42, rule: str = "per_class_round", salt: str = "split") -> DataFrame:
     """Exact-quota stratified split (W4 with rule='per_class_round', W5 with 'largest_remainder')."""
-    h = hash32(seed, salt, key_col)
-    counts = df.groupBy(class_col).agg(F.count(F.lit(1)).alias("n"))
+    hashed = df.withColumn("_h", hash32(seed, salt, key_col)).withColumn("_b", F.shiftright("_h", 32 - BITS))
+    hist = cut_lineage(hashed.groupBy(F.col(class_col).alias("_cls"), "_b").agg(F.count(F.lit(1)).alias("_nb")))
+    counts = hist.groupBy(F.col("_cls").alias(class_col)).agg(F.sum("_nb").alias("n"))
     if rule == "per_class_round":
         quotas = per_class_round_quota(counts, class_col, test_fraction)
     elif rule == "largest_remainder":
         quotas = largest_remainder_quota(counts, class_col, test_fraction)
     else:
         raise ValueError(f"unknown quota rule {rule!r}")
-    quotas = quotas.cache()  # tiny: one row per class, reused below
-    max_n = quotas.agg(F.max("n")).first()[0] or 0
-    bits = _bucket_bits(int(max_n))
-
-    hashed = df.withColumn("_h", h).withColumn("_b", F.shiftright("_h", 32 - bits))
-    hist = hashed.groupBy(class_col, "_b").agg(F.count(F.lit(1)).alias("_nb"))
-    upto = Window.partitionBy(class_col).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    hist = hist.withColumn("_cum", F.sum("_nb").over(upto))
-    cut = (hist.join(quotas, class_col)
+
+    upto = Window.partitionBy("_cls").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    cum = hist.withColumn("_cum", F.sum("_nb").over(upto))
+    cut = (cum.join(broadcast_if_small(quotas), F.col("_cls").eqNullSafe(F.col(class_col)))
            .filter(F.col("_cum") >= F.col("q"))
-           .groupBy(class_col)
+           .groupBy("_cls")
            .agg(F.min_by(F.struct("_b", (F.col("q") - F.col("_cum") + F.col("_nb")).alias("_need")), "_b")
                 .alias("_c"))
-           .select(class_col, F.col("_c._b").alias("_cut"), F.col("_c._need").alias("_need")))
-    cut = broadcast_if_small(cut.withColumnRenamed(class_col, "_cls"))  # one row per class
+           .select("_cls", F.col("_c._b").alias("_cut"), F.col("_c._need").alias("_need")))
+    cut = broadcast_if_small(cut)  # one row per class
 
-    joined = hashed.join(cut, hashed[class_col].eqNullSafe(cut["_cls"]), "left").drop("_cls")
-    rest = (joined.filter(F.col("_cut").isNull() | (F.col("_b") != F.col("_cut")))
+    joined = hashed.join(cut, hashed[class_col].eqNullSafe(cut["_cls"])).drop("_cls")
+    rest = (joined.filter(F.col("_b") != F.col("_cut"))
             .withColumn("split", F.when(F.col("_b") < F.col("_cut"), F.lit(TEST)).otherwise(F.lit(TRAIN))))
     in_cut = joined.filter(F.col("_b") == F.col("_cut"))
     rn = F.row_number().over(Window.partitionBy(class_col).orderBy("_h", key_col))
@@ -117,6 +110,37 @@ def ordered_split(df: DataFrame, group_col: str = "source_file", order_cols: lis
             .drop("_n"))
 
 
+def ordered_cut(df: DataFrame, group_col: str = "source_file", time_col: str = "ts", key_col: str = "row_key",
+                train_ratio: float = 0.8) -> DataFrame:
+    """W3 without positions: the same split as :func:`ordered_split` over (time, key), by two cut values per source.
+
+    The floor(n * ratio)-th row of a source in the order of (time, key) is found
+    by refined histograms (:func:`flowlab.operators.selection.kth_values`): first
+    the time at the cut, then, among the rows of that time, the key. Only (source,
+    time, key) are read by the counting passes, no data is sorted, shuffled or
+    stored, and a hot source is counted where its rows are. A row is train if
+    its (time, key) does not lie behind the cut.
+
+    Times are timestamps or numbers, keys are integers, unique within a source
+    and time. A null time stands in front; a null source is a source.
+    """
+    timed = dict(df.dtypes)[time_col] in ("timestamp", "timestamp_ntz", "date")
+    t = F.unix_micros(F.col(time_col).cast("timestamp")) if timed else F.col(time_col)
+    whole = timed or dict(df.dtypes)[time_col] in ("tinyint", "smallint", "int", "bigint")
+    kind = "long" if whole else "double"
+    first = F.lit(-(1 << 62)).cast("long") if whole else F.lit(float("-inf"))
+    rows = df.select(F.col(group_col).alias("g"), F.coalesce(t.cast(kind), first).alias("x"), F.col(key_col).cast("long").alias("_key"))
+    sizes = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    wants = sizes.select(F.lit(0).alias("w"), "g", F.floor(F.col("n").cast("double") * F.lit(float(train_ratio))).cast("long").alias("need"))
+    times = broadcast_if_small(kth_values(rows.select("g", "x"), wants.where("need > 0")).select(F.col("g").alias("_tg"), F.col("value").alias("_t"), "rest"))
+    at = rows.join(times, F.col("g").eqNullSafe(F.col("_tg"))).where(F.col("x") == F.col("_t"))
+    keys = kth_values(at.select("g", F.col("_key").alias("x")), times.select(F.lit(0).alias("w"), F.col("_tg").alias("g"), F.col("rest").alias("need")))
+    cuts = times.join(keys.select(F.col("g").alias("_kg"), F.col("value").alias("_k")), F.col("_tg").eqNullSafe(F.col("_kg"))).select("_tg", "_t", "_k")
+    out = df.withColumn("_x", F.coalesce(t.cast(kind), first)).join(broadcast_if_small(cuts), F.col(group_col).eqNullSafe(F.col("_tg")), "left")
+    train = (F.col("_x") < F.col("_t")) | ((F.col("_x") == F.col("_t")) & (F.col(key_col) <= F.col("_k")))
+    return out.withColumn("split", F.when(F.coalesce(train, F.lit(False)), F.lit(TRAIN)).otherwise(F.lit(TEST))).drop("_x", "_tg", "_t", "_k")
+
+
 def ordered_split_by_position(df: DataFrame, group_col: str = "source_file", pos_col: str = "row_pos",
                               train_ratio: float = 0.8) -> DataFrame:
     """W3 when positions were stored at ingest: no sort, no window.

@@ -7,24 +7,28 @@ each one that has a SQL form. Metrics are rounded to 6 decimals on both sides.
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from flowlab.functions.exprs import nonfinite_to_null, pct_of_total, r6, stacked
+from flowlab.functions.exprs import clean_nonfinite, nonfinite_to_null, pct_of_total, r6
+from flowlab.operators import checks
 from flowlab.operators import features as feat
+from flowlab.operators import folds
 from flowlab.plans import experiments as exp
 from flowlab.operators import iforest
-from flowlab.operators import knn
+from flowlab.operators import knn, knn_lsh
 from flowlab.operators import label as lab
+from flowlab.operators import leakage
 from flowlab.operators import metrics as met
 from flowlab.operators import quality as qual
 from flowlab.operators import runs as runs_op
 from flowlab.operators import scale as sc
 from flowlab.operators import smote as smote_op
 from flowlab.operators import split as sp
-from flowlab.session import broadcast_if_small, read_table
+from flowlab.session import broadcast_if_small, cut_lineage, read_table, remove_folder, scratch_folder
 from flowlab.sources import ingest
 from flowlab.sources.adapters import (TRAFFIC_FEATURES, embedding_features, embeddings_as_rows,
                                       events_as_traffic)
@@ -50,6 +54,11 @@ def device_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select((F.col("n_nationkey") + 1).cast("int").alias("device_id"), F.col("n_name").alias("device_name"))
 
 
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Every DOUBLE column rounded (to 6 decimals): the output form of the registered metric queries."""
+    return df.select(*[F.round(F.col(f"`{c}`"), digits).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
+
+
 # ------------------------------------------------------------------ labeling
 def q_label_events(spark, sf_dir):
     """Device, binary label/target, family, type, multiclass label per row."""
@@ -64,7 +73,8 @@ def q_class_distribution(spark, sf_dir):
     """
     t = F.col("binary_target")
     per = traffic_split(spark, sf_dir).groupBy(F.col("split").alias("stage")).agg(
-        F.count_if(t == 0).alias("n0"), F.count_if(t == 1).alias("n1")).cache()
+        F.count_if(t == 0).alias("n0"), F.count_if(t == 1).alias("n1"))
+    per = cut_lineage(per)  # one row per stage
     both = per.unionByName(per.agg(F.lit("all").alias("stage"), F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
     stages = spark.createDataFrame([("all",), (sp.TRAIN,), (sp.TEST,)], "stage STRING")  # fixed stage list
     wide = stages.join(both, "stage", "left").select(
@@ -100,10 +110,16 @@ def q_ordered_split(spark, sf_dir):
 
 def q_split_summary(spark, sf_dir):
     """A4: per source total/train/test rows and label of the ordered split."""
-    s = sp.ordered_split(traffic(spark, sf_dir), "source_file", ["ts", "row_key"], 0.8)
+    s = sp.ordered_cut(traffic(spark, sf_dir), "source_file", "ts", "row_key", 0.8)
     return sp.source_split_summary(s, "source_file")
 
 
+def q_ordered_cut(spark, sf_dir):
+    """W3 by cut values: the ordered split of every row without positions."""
+    s = sp.ordered_cut(traffic(spark, sf_dir), "source_file", "ts", "row_key", 0.8)
+    return s.select("row_key", "source_file", "split")
+
+
 def q_stratified_split(spark, sf_dir):
     """Exact per-class quota round(0.2 n_c), seeded uniform choice."""
     return traffic_split(spark, sf_dir).select("row_key", "binary_target", "split")
@@ -123,7 +139,7 @@ def q_split_disjoint(spark, sf_dir):
 
 # ------------------------------------------------------------------ scaling
 def _fit_scaler(spark, sf_dir, kind="standard"):
-    split = traffic_split(spark, sf_dir).cache()
+    split = traffic_split(spark, sf_dir)
     train = split.filter(F.col("split") == sp.TRAIN)
     model = sc.fit_standard(train, TRAFFIC_FEATURES) if kind == "standard" else sc.fit_minmax(train, TRAFFIC_FEATURES)
     return split, model
@@ -162,7 +178,7 @@ def scaled_traffic_split(spark, sf_dir) -> DataFrame:
 
 def knn_predictions(spark, sf_dir) -> DataFrame:
     """Flagship chain: label -> stratified split -> train-only scaling -> 5-NN (distance weights)."""
-    data = scaled_traffic_split(spark, sf_dir).cache()
+    data = scaled_traffic_split(spark, sf_dir)
     train = data.filter(F.col("split") == sp.TRAIN)
     test = data.filter(F.col("split") == sp.TEST)
     return knn.knn_classify(train, test, TRAFFIC_FEATURES, K, "binary_target", "row_key")
@@ -190,19 +206,19 @@ def q_confusion(spark, sf_dir):
 def q_binary_metrics(spark, sf_dir):
     """A5 + A6 + A7: counts, accuracy, attack/benign precision, recall, F1, macro averages, FPR."""
     p = knn_predictions(spark, sf_dir)
-    return met.binary_metrics(p, "binary_target", "predicted")
+    return rounded(met.binary_metrics(p, "binary_target", "predicted"))
 
 
 def q_classification_report(spark, sf_dir):
     """10-class report (per class, accuracy, macro, weighted) of 5-NN on embeddings."""
     e = embeddings_as_rows(read_table(spark, sf_dir, "embeddings"))
-    s = sp.stratified_split(e, "class_label", "row_key", TEST_FRACTION, SEED).cache()
+    s = sp.stratified_split(e, "class_label", "row_key", TEST_FRACTION, SEED)
     feats = embedding_features()
     model = sc.fit_standard(s.filter(F.col("split") == sp.TRAIN), feats)
     z = model.transform(s)
     pred = knn.knn_classify(z.filter(F.col("split") == sp.TRAIN), z.filter(F.col("split") == sp.TEST),
                             feats, K, "class_label", "row_key")
-    return met.classification_report(pred, "class_label", "predicted").drop("label")
+    return rounded(met.classification_report(pred, "class_label", "predicted").drop("label"))
 
 
 def _fold_knn(train: DataFrame, test: DataFrame, sizes: tuple[int, int] | None = None) -> DataFrame:
@@ -213,44 +229,32 @@ def _fold_knn(train: DataFrame, test: DataFrame, sizes: tuple[int, int] | None =
 
 
 def lodo_fold_counts(spark, sf_dir) -> DataFrame:
-    """M8 with 5-NN: per held-out device, scaler and references from the other devices only."""
-    t = traffic(spark, sf_dir).cache()
-    sizes = {r[0]: r[1] for r in t.groupBy("device_id").count().collect()}  # one row per device
-    total = sum(sizes.values())
-    per = []
-    for d in sorted(sizes, key=lambda v: (v is None, v)):
-        train, test = sp.holdout_fold(t, "device_id", d)
-        pred = _fold_knn(train, test, sizes=(sizes[d], total - sizes[d]))
-        c = met.confusion_counts(pred, "binary_target", "predicted")
-        per.append(c.select(F.lit(d).cast("int").alias("device_id"), "*",
-                            F.lit(total - sizes[d]).cast("bigint").alias("train_rows")))
-    return reduce(DataFrame.unionByName, per)
-
-
-def _fold_knn_sel(train: DataFrame, test: DataFrame, sel: list[str], sizes=None) -> DataFrame:
-    """Per fold: scaler fitted on the fold's train rows, 5-NN over the selected features."""
-    model = sc.fit_standard(train, TRAFFIC_FEATURES)
-    tr = model.transform(sc.narrow_to_float(train, TRAFFIC_FEATURES))
-    te = model.transform(sc.narrow_to_float(test, TRAFFIC_FEATURES))
-    return knn.knn_classify(tr, te, sel, K, "binary_target", "row_key", sizes=sizes)
+    """M8 with 5-NN: per held-out device, scaler and references from the other devices only; all folds in one plan."""
+    pred, scalers = folds.holdout_knn(traffic(spark, sf_dir), TRAFFIC_FEATURES, "device_id", k=K)
+    return folds.fold_counts(pred, scalers).select(F.col("fold").cast("int").alias("device_id"), "tn", "fp", "fn", "tp",
+                                                   F.col("train_rows").cast("bigint").alias("train_rows"))
 
 
-def _lodo_selected(spark, sf_dir, per_fold_sel: dict | None, global_sel: list[str] | None) -> DataFrame:
-    t = traffic(spark, sf_dir).cache()
-    sizes = {r[0]: r[1] for r in t.groupBy("device_id").count().collect()}  # one row per device
-    total = sum(sizes.values())
-    rows = []
-    for d in sorted(sizes, key=lambda v: (v is None, v)):
-        sel = per_fold_sel[d] if per_fold_sel is not None else global_sel
-        train, test = sp.holdout_fold(t, "device_id", d)
-        pred = _fold_knn_sel(train, test, sel, sizes=(sizes[d], total - sizes[d]))
-        m = met.binary_metrics(pred, "binary_target", "predicted")
-        rows.append(m.select(F.lit(d).cast("int").alias("device_id"), F.lit(" ".join(sel)).alias("selected"),
-                             "tn", "fp", "fn", "tp", "accuracy", "precision", "recall", "f1", "macro_f1",
-                             (F.col("n_rows") == F.lit(sizes[d])).alias("v_confusion_total"),
-                             F.lit(len(set(sel)) == TOP_N).alias("v_unique_features"),
-                             F.lit(set(sel) <= set(TRAFFIC_FEATURES)).alias("v_subset_of_all")))
-    return reduce(DataFrame.unionByName, rows)
+def _lodo_selected(spark, sf_dir, selected: DataFrame | None, everywhere: list[str] | None) -> DataFrame:
+    """Per held-out device, 5-NN on the fold's selected (fold, feature) rows, or on one list in every fold."""
+    t = traffic(spark, sf_dir)
+    if selected is None:
+        ids = t.select(F.col("device_id").alias("fold")).distinct()
+        selected = ids.select("fold", F.explode(F.lit(everywhere)).alias("feature"))
+    selected = cut_lineage(selected)  # folds x top-n rows
+    pred, scalers = folds.holdout_knn(t, TRAFFIC_FEATURES, "device_id", k=K, selected=selected)
+    place = {f: i for i, f in enumerate(TRAFFIC_FEATURES)}
+    order = F.from_json(F.lit(json.dumps(place)), "map<string,int>")
+    lists = selected.groupBy(F.col("fold").alias("_sel")).agg(
+        F.sort_array(F.collect_list(F.struct(F.coalesce(F.element_at(order, F.col("feature")), F.lit(len(place))), "feature"))).alias("l"))
+    names = lists.select("_sel", F.transform("l", lambda x: x["feature"]).alias("names"))
+    m = met.metrics_from_counts(folds.fold_counts(pred, scalers)).join(names, F.col("fold").eqNullSafe(F.col("_sel")))
+    known = F.array(*[F.lit(f) for f in TRAFFIC_FEATURES])
+    return m.select(F.col("fold").cast("int").alias("device_id"), F.array_join("names", " ").alias("selected"), "tn", "fp", "fn", "tp",
+                    *[r6(c).alias(c) for c in ("accuracy", "precision", "recall", "f1", "macro_f1")],
+                    (F.col("n_rows") == F.col("test_rows")).alias("v_confusion_total"),
+                    (F.size(F.array_distinct("names")) == TOP_N).alias("v_unique_features"),
+                    (F.size(F.array_except("names", known)) == 0).alias("v_subset_of_all"))
 
 
 def q_lodo_knn_global_top(spark, sf_dir):
@@ -264,58 +268,62 @@ def q_lodo_knn_global_top(spark, sf_dir):
 def q_nested_lodo_knn(spark, sf_dir):
     """M9 + V5: per held-out device, top-2 ranked on the other devices only (leak-free), scaler on the
     other devices, 5-NN on the held-out device; validation flags per fold."""
-    t = traffic(spark, sf_dir)
-    ranks = feat.rank_features(feat.holdout_importance(t, TRAFFIC_FEATURES, "binary_target", "device_id"), ["fold"])
-    chosen = ranks.filter(F.col("rank") <= TOP_N).select("fold", "feature").collect()  # folds x 2 rows
-    per_fold = {}
-    for row in chosen:
-        per_fold.setdefault(row["fold"], set()).add(row["feature"])
-    per_fold = {k: [f for f in TRAFFIC_FEATURES if f in v] for k, v in per_fold.items()}
-    return _lodo_selected(spark, sf_dir, per_fold, None)
+    ranks = feat.rank_features(feat.holdout_importance(traffic(spark, sf_dir), TRAFFIC_FEATURES, "binary_target", "device_id"), ["fold"])
+    return _lodo_selected(spark, sf_dir, ranks.filter(F.col("rank") <= TOP_N).select("fold", "feature"), None)
 
 
 def q_lodo_knn(spark, sf_dir):
     """M8 + R3: one metrics row per held-out device."""
-    return met.metrics_from_counts(lodo_fold_counts(spark, sf_dir)).drop("n_rows").orderBy("device_id")
+    return rounded(met.metrics_from_counts(lodo_fold_counts(spark, sf_dir)).drop("n_rows")).orderBy("device_id")
 
 
 def q_lodo_pooled(spark, sf_dir):
     """Pooled counts over folds, ratios from the pooled counts, mean fold metrics."""
-    return met.pooled_metrics(lodo_fold_counts(spark, sf_dir)).drop("n_rows")
+    return rounded(met.pooled_metrics(lodo_fold_counts(spark, sf_dir)).drop("n_rows"))
 
 
 def q_hardest_devices(spark, sf_dir):
     """Three lowest attack-recall folds (tie: most FN) and three lowest benign-recall (tie: most FP)."""
     m = met.metrics_from_counts(lodo_fold_counts(spark, sf_dir))
-    out = met.hardest_groups(m, "device_id", 3)
+    out = rounded(met.hardest_groups(m, "device_id", 3))
     return out.orderBy(*out.columns)
 
 
+def transfer_parts(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The ordered-split train part of device 1, and every row of device 2."""
+    t = traffic(spark, sf_dir)
+    train = sp.ordered_cut(t.filter(F.col("device_id") == 1), "source_file", "ts", "row_key", 0.8)
+    return train.filter(F.col("split") == sp.TRAIN), t.filter(F.col("device_id") == 2)
+
+
 def q_transfer_knn(spark, sf_dir):
     """Train on the ordered-split train part of device 1, test on every row of device 2."""
-    s = sp.ordered_split(traffic(spark, sf_dir), "source_file", ["ts", "row_key"], 0.8).cache()
-    train = s.filter((F.col("device_id") == 1) & (F.col("split") == sp.TRAIN))
-    test = s.filter(F.col("device_id") == 2)
-    return met.binary_metrics(_fold_knn(train, test), "binary_target", "predicted").drop("n_rows")
+    train, test = transfer_parts(spark, sf_dir)
+    return rounded(met.binary_metrics(_fold_knn(train, test), "binary_target", "predicted").drop("n_rows"))
 
 
 def q_family_holdout(spark, sf_dir):
-    """Hold out one attack family at a time; 5-NN trained on all other rows."""
-    t = traffic(spark, sf_dir).cache()
-    fams = [r[0] for r in t.filter(F.col("binary_target") == 1).select("family").distinct()
-            .orderBy("family").collect()]
-    per = []
-    for f in fams:
-        train, test = sp.holdout_fold(t, "family", f)
-        pred = _fold_knn(train, test)
-        per.append(met.binary_metrics(pred, "binary_target", "predicted")
-                   .select(F.lit(f).alias("held_out_family"), "*"))
-    return reduce(DataFrame.unionByName, per).drop("n_rows")
+    """Hold out one attack family at a time; 5-NN trained on all other rows; all folds in one plan."""
+    t = traffic(spark, sf_dir)
+    fams = [r[0] for r in t.filter(F.col("binary_target") == 1).select("family").distinct().collect()]
+    pred, scalers = folds.holdout_knn(t, TRAFFIC_FEATURES, "family", k=K, folds=fams)
+    m = met.metrics_from_counts(folds.fold_counts(pred, scalers).drop("test_rows", "train_rows")).drop("n_rows")
+    return rounded(m.withColumnRenamed("fold", "held_out_family"))
+
+
+def q_attack_type_holdout(spark, sf_dir):
+    """X9 by attack type: hold out one (family, type) at a time; 5-NN trained on all other rows; all folds in one plan."""
+    t = traffic(spark, sf_dir)
+    kinds = [r[0] for r in t.filter(F.col("attack_type").isNotNull()).select("multiclass_label").distinct().collect()]
+    pred, scalers = folds.holdout_knn(t, TRAFFIC_FEATURES, "multiclass_label", k=K, folds=kinds)
+    m = met.metrics_from_counts(folds.fold_counts(pred, scalers))
+    out = m.select(F.col("fold").alias("held_out_type"), "tn", "fp", "fn", "tp", "recall", F.col("train_rows").cast("bigint").alias("train_rows"))
+    return rounded(out).orderBy("held_out_type")
 
 
 def _smote_train(spark, sf_dir) -> DataFrame:
     data = scaled_traffic_split(spark, sf_dir)
-    train = data.filter(F.col("split") == sp.TRAIN).cache()
+    train = cut_lineage(data.filter(F.col("split") == sp.TRAIN).select("row_key", "binary_target", *TRAFFIC_FEATURES))
     return smote_op.smote(train, TRAFFIC_FEATURES, "binary_target", "row_key", K, SEED)
 
 
@@ -335,7 +343,7 @@ def q_smote_balanced(spark, sf_dir):
 def q_auc(spark, sf_dir):
     """ROC-AUC and PR-AUC of the kNN attack score."""
     p = knn_predictions(spark, sf_dir)
-    return met.roc_pr_auc(p, "binary_target", "score")
+    return rounded(met.roc_pr_auc(p, "binary_target", "score"))
 
 
 def q_lof(spark, sf_dir):
@@ -345,6 +353,38 @@ def q_lof(spark, sf_dir):
     return out.select("row_key", r6("k_distance").alias("k_distance"), r6("lrd").alias("lrd"), r6("lof").alias("lof"))
 
 
+def q_lof_benign(spark, sf_dir):
+    """LOF (k=5) of every row against the benign rows of its device, features scaled by these rows."""
+    t = traffic(spark, sf_dir)
+    benign = t.filter(F.col("binary_target") == 0)
+    stats = benign.groupBy(F.col("device_id").alias("_d")).agg(*[a for i, f in enumerate(TRAFFIC_FEATURES) for a in (
+        F.avg(F.col(f).cast("double")).alias(f"m{i}"), F.stddev_pop(F.col(f).cast("double")).alias(f"s{i}"))])
+    stats = broadcast_if_small(stats)  # one row per device
+    z = t.join(stats, F.col("device_id").eqNullSafe(F.col("_d"))).select("row_key", "device_id", "binary_target", *[
+        ((F.col(f).cast("double") - F.col(f"m{i}")) / F.when(F.col(f"s{i}") > 0, F.col(f"s{i}")).otherwise(1.0)).alias(f)
+        for i, f in enumerate(TRAFFIC_FEATURES)])
+    out = knn.novelty_lof(z.filter(F.col("binary_target") == 0), z, TRAFFIC_FEATURES, K, "row_key", "device_id")
+    return out.select("row_key", "device_id", r6("k_distance").alias("k_distance"), r6("lrd").alias("lrd"), r6("lof").alias("lof"))
+
+
+def q_knn_approx(spark, sf_dir):
+    """J9, approximate mode: random projections against the exact join on the scaled split, as checked rows."""
+    data = cut_lineage(scaled_traffic_split(spark, sf_dir))
+    test, train = data.filter(F.col("split") == sp.TEST), data.filter(F.col("split") == sp.TRAIN)
+    approx, model = knn_lsh.approx_knn_join(test, train, TRAFFIC_FEATURES, K)
+    exact = knn.knn_join(test, train, TRAFFIC_FEATURES, K)
+    approx, exact = cut_lineage(approx), cut_lineage(exact)
+    met_pairs = knn_lsh.bucket_pairs(model, test, train, TRAFFIC_FEATURES) if model else 0
+    one = knn_lsh.recall(approx, exact)
+    all_pairs = test.count() * train.count()
+    named = {
+        "recall_at_least_0.9": F.first("recall") >= 0.9,
+        "every_query_has_k_rows": F.first("exact_pairs") == F.lit(approx.count()),
+        "few_pairs_meet": F.lit(met_pairs < 0.4 * all_pairs),
+    }
+    return qual.checks_table(named, one)
+
+
 # ------------------------------------------------------------------ run records and result tables
 RUN_METRICS = ["n_orders", "total_price", "mean_price", "max_price", "open_share"]
 BASELINE_EXPERIMENT = "1-URGENT"
@@ -366,19 +406,21 @@ def _runs_long(spark, sf_dir) -> DataFrame:
 
 def q_run_summary_pop(spark, sf_dir):
     """Per experiment and metric: runs, mean, min, max, population std."""
-    return runs_op.summary_pop(_runs_long(spark, sf_dir), ["experiment", "metric"])
+    return rounded(runs_op.summary_pop(_runs_long(spark, sf_dir), ["experiment", "metric"]))
 
 
 def q_run_summary_sample(spark, sf_dir):
     """Per experiment, year and metric: n, reported value and kind, mean, sample std, min, max."""
     long = _runs_long(spark, sf_dir).withColumn("year", F.substring("run_id", 1, 4))
-    return runs_op.summary_sample(long, ["experiment", "year", "metric"])
+    out = runs_op.summary_sample(long, ["experiment", "year", "metric"], "run_id")
+    values = F.array_join(F.transform("run_values", lambda v: F.format_string("%.12f", v)), ";")
+    return rounded(out.withColumn("run_values", values))
 
 
 def q_change_table(spark, sf_dir):
     """J5 + P13-P15: every experiment's mean metrics against the baseline experiment."""
     summ = runs_op.summary_pop(_runs_long(spark, sf_dir), ["experiment", "metric"])
-    return runs_op.compare_to_baseline(summ, "experiment", BASELINE_EXPERIMENT, "mean")
+    return rounded(runs_op.compare_to_baseline(summ, "experiment", BASELINE_EXPERIMENT, "mean"), 3)  # sums of prices: some 10^9
 
 
 def q_run_vs_prior(spark, sf_dir):
@@ -398,32 +440,74 @@ def q_run_vs_prior(spark, sf_dir):
 
 
 def q_golden_match(spark, sf_dir):
-    """5-NN confusion matrix against the 3-NN one as the stored golden; per cell and overall match."""
-    data = scaled_traffic_split(spark, sf_dir).cache()
-    train = data.filter(F.col("split") == sp.TRAIN)
-    test = data.filter(F.col("split") == sp.TEST)
-    p5 = knn.knn_classify(train, test, TRAFFIC_FEATURES, 5, "binary_target", "row_key")
-    p3 = knn.knn_classify(train, test, TRAFFIC_FEATURES, 3, "binary_target", "row_key")
-    c5 = met.confusion_long(p5, "binary_target", "predicted")
-    c3 = met.confusion_long(p3, "binary_target", "predicted")
-    return runs_op.golden_match(c5, c3, ["actual", "predicted"], "n")
+    """5-NN confusion matrix against the stored 3-NN one; per cell and overall match.
+
+    The golden matrix is written as a wide CSV and read back with its checks. One kNN join serves both: the three nearest are the first ranks of the five.
+    """
+    data = scaled_traffic_split(spark, sf_dir)
+    train, test = data.filter(F.col("split") == sp.TRAIN), data.filter(F.col("split") == sp.TEST)
+    neigh = cut_lineage(knn.knn_join(test, train, TRAFFIC_FEATURES, K, carry=["binary_target"]))
+    labels = test.select("row_key", "binary_target")
+    cells = []
+    for k in (K, 3):
+        votes = knn.weighted_vote(neigh.filter(F.col("nn_rank") <= k), "binary_target").withColumnRenamed("qid", "row_key")
+        cells.append(met.confusion_long(labels.join(votes, "row_key", "left"), "binary_target", "predicted"))
+    names = F.array(F.lit("benign"), F.lit("attack"))
+    named = [c.select(F.get(names, F.col("actual")).alias("actual"), F.get(names, F.col("predicted")).alias("predicted"), "n") for c in cells]
+    place = scratch_folder(spark, "golden")
+    ingest.write_matrix(named[1], f"{place}/matrix", ["benign", "attack"])
+    golden = cut_lineage(ingest.read_matrix(spark, f"{place}/matrix", ["benign", "attack"]))
+    remove_folder(spark, place)
+    out = runs_op.golden_match(named[0], golden, ["actual", "predicted"], "n")
+    code = lambda c: (F.array_position(names, F.col(c)) - 1).cast("int").alias(c)
+    return out.select(code("actual"), code("predicted"), "run_n", "golden_n", "match", "all_match")
 
 
 def q_snapshot_diff(spark, sf_dir):
-    """Per (source, day) row counts of two states: days <= 20, and days >= 10 with value > 1."""
+    """Rows created, removed and changed between two train tables: the stratified one with binary labels,
+    and the ordered one with multiclass labels (benign rows in both are unchanged and left out)."""
     t = traffic(spark, sf_dir)
-    before = t.filter(F.col("dom") <= 20).groupBy("source_file", "dom").agg(F.count(F.lit(1)).alias("n"))
-    after = (t.filter((F.col("dom") >= 10) & (F.col("value") > 1.0))
-             .groupBy("source_file", "dom").agg(F.count(F.lit(1)).alias("n")))
-    d = runs_op.snapshot_diff(before, after, ["source_file", "dom"], "n")
-    return d.select("source_file", F.col("dom").cast("int").alias("dom"),
-                    F.coalesce("before_value", F.lit(0)).alias("before_n"),
-                    F.coalesce("after_value", F.lit(0)).alias("after_n"), "status")
+    before = sp.stratified_split(t, "binary_target", "row_key", TEST_FRACTION, SEED).filter(F.col("split") == sp.TRAIN)
+    after = sp.ordered_cut(t, "source_file", "ts", "row_key", 0.8).filter(F.col("split") == sp.TRAIN)
+    diff, _ = runs_op.bucketed_diff(before.select("row_key", "source_file", F.col("binary_label").alias("label")),
+                                    after.select("row_key", "source_file", F.col("multiclass_label").alias("label")), "row_key", ["source_file", "label"])
+    return diff
+
+
+def q_label_digest(spark, sf_dir):
+    """Digest of the ordered test labels after the split, as carried through prediction, and of the predictions."""
+    data = scaled_traffic_split(spark, sf_dir)
+    test = data.filter(F.col("split") == sp.TEST)
+    pred = cut_lineage(knn_predictions(spark, sf_dir).select("row_key", "binary_target", "predicted"))
+    stages = [("split_test", test, "binary_target"), ("carried", pred, "binary_target"), ("predicted", pred, "predicted")]
+    return reduce(DataFrame.unionByName, [
+        runs_op.ordered_digest(df, ["row_key"], col).select(F.lit(n).alias("stage"), "rows", "digest") for n, df, col in stages])
+
+
+def q_leakage_check(spark, sf_dir):
+    """Per scope and part, rows whose feature tuple (and label) also stands in another part of the split or fold."""
+    t = traffic(spark, sf_dir)
+    scopes = [
+        ("stratified_split", sp.stratified_split(t, "binary_target", "row_key", TEST_FRACTION, SEED), F.col("split")),
+        ("ordered_split", sp.ordered_cut(t, "source_file", "ts", "row_key", 0.8), F.col("split")),
+        ("device_folds", t, F.col("device_id").cast("string")),
+    ]
+    cols = [*TRAFFIC_FEATURES, "binary_target"]
+    out = []
+    for name, df, part in scopes:
+        c = leakage.copies_across(df.select(*cols, part.alias("part")), cols, "part")
+        out.append(c.select(F.lit(name).alias("scope"), "*", (F.col("copied_rows") == 0).alias("clean")))
+    e = embeddings_as_rows(read_table(spark, sf_dir, "embeddings"))
+    rough = [F.round(F.col(f), 0).alias(f) for f in embedding_features()[:2]]  # two rounded dimensions: copies do occur
+    s = sp.stratified_split(e, "class_label", "row_key", TEST_FRACTION, SEED)
+    c = leakage.copies_across(s.select(*rough, "split"), embedding_features()[:2], "split")
+    out.append(c.select(F.lit("rounded_embeddings").alias("scope"), "*", (F.col("copied_rows") == 0).alias("clean")))
+    return reduce(DataFrame.unionByName, out)
 
 
 def q_fingerprint(spark, sf_dir):
     """Test-label fingerprint after the split and after prediction (must be equal)."""
-    data = scaled_traffic_split(spark, sf_dir).cache()
+    data = scaled_traffic_split(spark, sf_dir)
     test = data.filter(F.col("split") == sp.TEST)
     pred = knn.knn_classify(data.filter(F.col("split") == sp.TRAIN), test, TRAFFIC_FEATURES, K)
     a = runs_op.fingerprint(test, "row_key", "binary_target").select(F.lit("split_test").alias("stage"), "*")
@@ -434,7 +518,7 @@ def q_fingerprint(spark, sf_dir):
 def q_runtime_table(spark, sf_dir):
     """One row per experiment, one column per metric (mean over runs)."""
     summ = runs_op.summary_pop(_runs_long(spark, sf_dir), ["experiment", "metric"])
-    return runs_op.pivot_table(summ, "experiment", "metric", "mean", RUN_METRICS)
+    return rounded(runs_op.pivot_table(summ, "experiment", "metric", "mean", RUN_METRICS))
 
 
 def q_summary_table(spark, sf_dir):
@@ -444,7 +528,7 @@ def q_summary_table(spark, sf_dir):
         F.first("mean").alias("value"), F.first("std").alias("std"), F.first("min").alias("min"),
         F.first("max").alias("max"))
     runs = summ.groupBy("experiment").agg(F.max("runs").cast("bigint").alias("runs"))
-    return wide.join(runs, "experiment")
+    return rounded(wide.join(runs, "experiment"))
 
 
 def q_experiment_table(spark, sf_dir):
@@ -453,55 +537,16 @@ def q_experiment_table(spark, sf_dir):
     m = met.metrics_from_counts(counts).withColumnRenamed("n_rows", "test_rows")
     dim = broadcast_if_small(device_dim(spark, sf_dir))
     return m.join(dim, "device_id", "left").select("device_id", "device_name", "train_rows", "test_rows", "tn", "fp",
-                                                   "fn", "tp", "accuracy", "precision", "recall", "f1", "macro_f1")
+                                                   "fn", "tp", *[r6(c).alias(c) for c in ("accuracy", "precision", "recall", "f1", "macro_f1")])
 
 
 def q_run_checks(spark, sf_dir):
-    """V1: named checks of the flagship run: split rows agree, confusion total, supports, labels unchanged."""
+    """V1: checks of the flagship run: rows, supports, labels, predictions, and the report's ratios against the counts."""
     t = traffic(spark, sf_dir)
-    data = scaled_traffic_split(spark, sf_dir).cache()
-    train = data.filter(F.col("split") == sp.TRAIN)
-    test = data.filter(F.col("split") == sp.TEST)
-    pred = knn.knn_classify(train, test, TRAFFIC_FEATURES, K).cache()
-    conf = met.confusion_counts(pred, "binary_target", "predicted")
-    fp_a = runs_op.fingerprint(test, "row_key", "binary_target")
-    fp_b = runs_op.fingerprint(pred, "row_key", "binary_target")
-    bal = smote_op.smote(train.cache(), TRAFFIC_FEATURES, "binary_target", "row_key", K, SEED)
-    bal_counts = bal.groupBy("binary_target").agg(F.count(F.lit(1)).alias("n"))
-    mets = met.binary_metrics(pred, "binary_target", "predicted")
-
-    def m(df, **named):  # one aggregation per frame
-        wide = df.agg(*[expr.cast("double").alias(k) for k, expr in named.items()])
-        return [stacked(wide, [[F.lit(k).alias("measure"), F.col(k).alias("value")] for k in named])]
-
-    rows = (m(t, input_rows=F.count(F.lit(1)))
-            + m(data, split_rows=F.count(F.lit(1)))
-            + m(test, test_rows=F.count(F.lit(1)), test_pos=F.count_if(F.col("binary_target") == 1))
-            + m(conf, conf_total=F.first(F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")),
-                conf_pos=F.first(F.col("fn") + F.col("tp")))
-            + m(fp_a, a_rows=F.first("rows"), a_sum=F.first("hash_sum"), a_xor=F.first("hash_xor"))
-            + m(fp_b, b_rows=F.first("rows"), b_sum=F.first("hash_sum"), b_xor=F.first("hash_xor"))
-            + m(pred, unpredicted=F.count_if(F.col("predicted").isNull()),
-                non_binary=F.count_if(~F.col("predicted").isin(0, 1)))
-            + m(bal_counts, smote_min=F.min("n"), smote_max=F.max("n"))
-            + m(mets, acc_gap=F.first(F.abs(F.col("accuracy") - F.round(
-                (F.col("tp") + F.col("tn")) / (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")), 6)))))
-    measures = reduce(DataFrame.unionByName, rows)
-    names = ["input_rows", "split_rows", "test_rows", "test_pos", "conf_total", "conf_pos", "a_rows", "a_sum",
-             "a_xor", "b_rows", "b_sum", "b_xor", "unpredicted", "non_binary", "smote_min", "smote_max", "acc_gap"]
-    one = measures.groupBy().pivot("measure", names).agg(F.first("value"))
-    c = F.col
-    named = {
-        "split_rows_agree": c("input_rows") == c("split_rows"),
-        "confusion_total_equals_test_rows": c("conf_total") == c("test_rows"),
-        "attack_support_agrees": c("conf_pos") == c("test_pos"),
-        "test_labels_unchanged": (c("a_rows") == c("b_rows")) & (c("a_sum") == c("b_sum")) & (c("a_xor") == c("b_xor")),
-        "every_test_row_predicted": c("unpredicted") == 0,
-        "predictions_binary": c("non_binary") == 0,
-        "classes_balanced_after_smote": c("smote_min") == c("smote_max"),
-        "metrics_recomputable_from_counts": c("acc_gap") <= 1e-15,
-    }
-    return stacked(one, [[F.lit(k).alias("check"), v.alias("passed")] for k, v in named.items()])
+    data = scaled_traffic_split(spark, sf_dir)
+    pred = cut_lineage(knn_predictions(spark, sf_dir).select("row_key", "binary_target", "predicted"))
+    report = checks.reported_metrics(met.classification_report(pred, "binary_target", "predicted", met.BINARY_NAMES))
+    return checks.run_checks(t, data, pred, report, _smote_train(spark, sf_dir))
 
 
 def q_cross_run_checks(spark, sf_dir):
@@ -528,12 +573,12 @@ def q_eda_counts(spark, sf_dir):
 
 def q_eda_features(spark, sf_dir):
     """Per feature count, nulls, mean, sample std, min, max."""
-    return qual.eda_features(traffic(spark, sf_dir), TRAFFIC_FEATURES)
+    return rounded(qual.eda_features(traffic(spark, sf_dir), TRAFFIC_FEATURES))
 
 
 def q_eda_quantiles(spark, sf_dir):
     """25/50/75/90 % quantiles of every traffic feature."""
-    return qual.eda_quantiles(traffic(spark, sf_dir), TRAFFIC_FEATURES)
+    return rounded(qual.eda_quantiles(traffic(spark, sf_dir), TRAFFIC_FEATURES))
 
 
 def q_quality(spark, sf_dir):
@@ -559,15 +604,21 @@ def q_regex_timing(spark, sf_dir):
 
 
 def q_row_expectation(spark, sf_dir):
-    """V7: per source, file-summary row count vs rows after the ordered split, and expected split sizes."""
-    t = traffic(spark, sf_dir)
-    summary = t.groupBy("source_file").agg(F.count(F.lit(1)).alias("expected_rows"))
-    s = sp.source_split_summary(sp.ordered_split(t, "source_file", ["ts", "row_key"], 0.8), "source_file")
+    """V7: per source, the rows of the raw table vs rows after labeling and the ordered split, and expected split sizes.
+
+    The expectation is counted on the raw events by device, type and family, before any traffic operator.
+    """
+    raw = read_table(spark, sf_dir, "events")
+    parts = raw.groupBy((F.col("user_id") % 9 + 1).alias("d"), "event_type", (F.floor(F.col("user_id") / 9) % 2).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    name = F.concat(F.col("d").cast("string"), F.when(F.col("event_type") == "view", ".benign").when(F.col("event_type") == "signup", ".signup").otherwise(
+        F.concat(F.lit("."), "event_type", F.when(F.col("k") == 0, ".scan").otherwise(".flood"))), F.lit(".csv"))
+    summary = parts.groupBy(name.alias("source_file")).agg(F.sum("n").alias("expected_rows"))
+    s = sp.source_split_summary(sp.ordered_cut(traffic(spark, sf_dir), "source_file", "ts", "row_key", 0.8), "source_file")
     j = summary.join(s, "source_file", "full_outer")
     exp_train = F.floor(F.col("expected_rows").cast("double") * F.lit(0.8)).cast("bigint")
+    ok = F.coalesce((F.col("expected_rows") == F.col("total_rows")) & (exp_train == F.col("train_rows")), F.lit(False))
     return j.select("source_file", "expected_rows", F.col("total_rows").alias("observed_rows"),
-                    exp_train.alias("expected_train"), F.col("train_rows").alias("observed_train"),
-                    ((F.col("expected_rows") == F.col("total_rows")) & (exp_train == F.col("train_rows"))).alias("ok"))
+                    exp_train.alias("expected_train"), F.col("train_rows").alias("observed_train"), ok.alias("ok"))
 
 
 TOP_N = 2
@@ -667,8 +718,8 @@ def q_list_strings(spark, sf_dir):
                     F.size(F.split(s, " ")).alias("n_train_devices"))
 
 
-def knn_three_config(train_raw: DataFrame, test_raw: DataFrame) -> DataFrame:
-    """M7 / M10 with the kNN classifier: all features / top-2 / top-2 + SMOTE.
+def knn_three_config(train_raw: DataFrame, test_raw: DataFrame, source: str = "events") -> DataFrame:
+    """M7 / M10 with the kNN classifier: all features / top-2 / top-2 + SMOTE, one run record each.
 
     Ranking, scaling and SMOTE are fitted on the train rows only; test rows are only transformed.
     """
@@ -676,58 +727,61 @@ def knn_three_config(train_raw: DataFrame, test_raw: DataFrame) -> DataFrame:
     top = [r[0] for r in ranked.filter(F.col("selected")).orderBy("rank").select("feature").collect()]
     sel = [f for f in TRAFFIC_FEATURES if f in set(top)]
     model = sc.fit_standard(train_raw, TRAFFIC_FEATURES)
-    train = model.transform(sc.narrow_to_float(train_raw, TRAFFIC_FEATURES)).cache()
-    test = model.transform(sc.narrow_to_float(test_raw, TRAFFIC_FEATURES))
+    keep = ["row_key", "binary_target", *TRAFFIC_FEATURES]
+    train = cut_lineage(model.transform(sc.narrow_to_float(train_raw, TRAFFIC_FEATURES)).select(*keep))
+    test = cut_lineage(model.transform(sc.narrow_to_float(test_raw, TRAFFIC_FEATURES)).select(*keep))
     bal = smote_op.smote(train, sel, "binary_target", "row_key", K, SEED)
-    bal = bal.withColumn("row_key", F.coalesce(F.col("row_key"), -1 - F.col("syn_id"))).cache()
+    bal = cut_lineage(bal.withColumn("row_key", F.coalesce(F.col("row_key"), -1 - F.col("syn_id"))))
     configs = [("all_features", TRAFFIC_FEATURES, train), (f"top{TOP_N}", sel, train),
                (f"top{TOP_N}_smote", sel, bal)]
     rows = []
     for name, feats, refs in configs:
-        pred = knn.knn_classify(refs, test, feats, K, "binary_target", "row_key")
+        n_refs = refs.count()
+        pred = cut_lineage(knn.knn_classify(refs, test, feats, K, "binary_target", "row_key", sizes=(test.count(), n_refs))
+                           .select("row_key", "binary_target", "predicted"))
         m = met.binary_metrics(pred, "binary_target", "predicted")
-        rows.append(m.select(F.lit(name).alias("config"), F.lit(len(feats)).alias("n_features"),
-                             F.lit(refs.count()).cast("bigint").alias("train_rows"), "tn", "fp", "fn", "tp",
-                             "accuracy", "precision", "recall", "f1", "macro_f1"))
+        digest = runs_op.ordered_digest(pred, ["row_key"], "binary_target").first()["digest"]
+        rows.append(m.select(F.lit(name).alias("config"), F.lit(len(feats)).alias("n_features"), F.lit(" ".join(feats)).alias("features"),
+                             F.lit(n_refs).cast("bigint").alias("train_rows"), F.lit(source).alias("test_source"), F.lit(digest).alias("test_labels"),
+                             "tn", "fp", "fn", "tp", "accuracy", "precision", "recall", "f1", "macro_f1"))
     return reduce(DataFrame.unionByName, rows)
 
 
+def _three_split(spark, sf_dir) -> DataFrame:
+    split = traffic_split(spark, sf_dir)
+    return knn_three_config(split.filter(F.col("split") == sp.TRAIN), split.filter(F.col("split") == sp.TEST))
+
+
 def q_knn_three_config(spark, sf_dir):
     """M7 with the kNN classifier on the stratified split: all features / top-2 / top-2 + SMOTE."""
-    split = traffic_split(spark, sf_dir).cache()
-    return knn_three_config(split.filter(F.col("split") == sp.TRAIN), split.filter(F.col("split") == sp.TEST))
+    return rounded(_three_split(spark, sf_dir).drop("features", "test_source", "test_labels"))
 
 
 def q_experiment_run_checks(spark, sf_dir):
-    """V2 over the three-configuration runs: three runs, feature counts [all, top, top], the same test
-    rows and the same test class counts in every run."""
-    runs = q_knn_three_config(spark, sf_dir)
-    n_all, top = len(TRAFFIC_FEATURES), TOP_N
-    named = {
-        "three_runs": F.count(F.lit(1)) == 3,
-        "feature_counts": (F.count_if((F.col("config") == "all_features") & (F.col("n_features") == n_all)) == 1)
-        & (F.count_if((F.col("config") != "all_features") & (F.col("n_features") == top)) == 2),
-        "same_test_rows": F.count_distinct(F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")) == 1,
-        "same_test_attack_rows": F.count_distinct(F.col("fn") + F.col("tp")) == 1,
-        "smote_run_has_more_train_rows": F.max(F.when(F.col("config").endswith("_smote"), F.col("train_rows")))
-        > F.max(F.when(F.col("config") == "all_features", F.col("train_rows"))),
-    }
-    return qual.checks_table(named, runs)
+    """V2 over the three-configuration runs: features and their order, one test source, one label digest, rows and counts."""
+    return checks.cross_run_checks(_three_split(spark, sf_dir), len(TRAFFIC_FEATURES), TOP_N)
 
 
 def q_transfer_three_config(spark, sf_dir):
     """M10, three variants: train on device 1's ordered-train part, test on all of device 2."""
-    s = sp.ordered_split(traffic(spark, sf_dir), "source_file", ["ts", "row_key"], 0.8).cache()
-    train = s.filter((F.col("device_id") == 1) & (F.col("split") == sp.TRAIN))
-    test = s.filter(F.col("device_id") == 2)
-    return knn_three_config(train, test)
+    return rounded(knn_three_config(*transfer_parts(spark, sf_dir)).drop("features", "test_source", "test_labels"))
 
 
-# ------------------------------------------------------------------ models (rows-only checks)
-# Forest size for the 9-fold plans (9 and 18 fits): smaller than the 100-tree default to bound
-# the cost of the registered check; pass numTrees/maxDepth to the plan functions to change it.
-FOLD_RF = dict(numTrees=20, maxDepth=12)
+def q_nested_lodo_checks(spark, sf_dir):
+    """V5 of the leak-free leave-one-device-out runs: every device held out once, its rows all scored, distinct known features."""
+    t = traffic(spark, sf_dir)
+    ranks = feat.rank_features(feat.holdout_importance(t, TRAFFIC_FEATURES, "binary_target", "device_id"), ["fold"])
+    chosen = cut_lineage(ranks.filter(F.col("rank") <= TOP_N).select("fold", "feature"))
+    pred, scalers = folds.holdout_knn(t, TRAFFIC_FEATURES, "device_id", k=K, selected=chosen)
+    names = chosen.groupBy("fold").agg(F.array_join(F.sort_array(F.collect_list("feature")), " ").alias("selected"))
+    sizes = t.groupBy(F.col("device_id").alias("fold")).agg(F.count(F.lit(1)).alias("n"))
+    ids = [r["fold"] for r in sizes.select("fold").collect()]  # one row per device
+    trained = sizes.select("fold", F.filter(F.lit(ids), lambda o: o != F.col("fold")).alias("train_folds"))
+    records = folds.fold_counts(pred, scalers).join(names, "fold").join(trained, "fold")
+    return checks.fold_checks(records, sizes, TRAFFIC_FEATURES, TOP_N).withColumn("fold", F.col("fold").cast("int"))
+
 
+# ------------------------------------------------------------------ models (rows-only checks)
 def q_rf_importance(spark, sf_dir):
     """M1 + M3 + W1: forest impurity importances of the traffic features (train split)."""
     train = traffic_split(spark, sf_dir).filter(F.col("split") == sp.TRAIN)
@@ -736,31 +790,45 @@ def q_rf_importance(spark, sf_dir):
 
 def q_rf_three_config(spark, sf_dir):
     """M7 (+ M1, M2, M4, M5): all features / top-2 / top-2 + scaling + SMOTE, forest metrics each."""
-    s = traffic_split(spark, sf_dir).cache()
-    return exp.three_config(s.filter(F.col("split") == sp.TRAIN), s.filter(F.col("split") == sp.TEST),
-                            TRAFFIC_FEATURES, TOP_N, SEED)
+    s = traffic_split(spark, sf_dir)
+    return rounded(exp.three_config(s.filter(F.col("split") == sp.TRAIN), s.filter(F.col("split") == sp.TEST),
+                                    TRAFFIC_FEATURES, TOP_N, SEED))
+
+
+def q_transfer_rf(spark, sf_dir):
+    """M10 with forests, three variants, top features in rank order: device 1's ordered-train part against device 2."""
+    train, test = transfer_parts(spark, sf_dir)
+    return rounded(exp.three_config(train, test, TRAFFIC_FEATURES, TOP_N, SEED, order="rank"))
+
+
+def q_transfer_rf_supports(spark, sf_dir):
+    """M10 with forests, the rows SQL can check: features, train rows and class supports of the three variants."""
+    train, test = transfer_parts(spark, sf_dir)
+    out = exp.three_config(train, test, TRAFFIC_FEATURES, TOP_N, SEED, order="rank")
+    return out.select("config", "n_features", F.col("train_rows").cast("bigint").alias("train_rows"),
+                      (F.col("tn") + F.col("fp")).alias("benign_support"), (F.col("fn") + F.col("tp")).alias("attack_support"))
 
 
 def q_lodo_rf(spark, sf_dir):
     """M8: leave-one-device-out forests on a global top-2 list ranked on all rows (leaky, as the reference)."""
-    return exp.lodo_rf(traffic(spark, sf_dir), TRAFFIC_FEATURES, "device_id", top_n=TOP_N, **FOLD_RF)
+    return exp.lodo_rf(traffic(spark, sf_dir), TRAFFIC_FEATURES, "device_id", top_n=TOP_N)
 
 
 def q_nested_lodo(spark, sf_dir):
     """M9 + V5: leak-free leave-one-device-out with a per-fold selector forest (top 2)."""
-    return exp.nested_lodo(traffic(spark, sf_dir), TRAFFIC_FEATURES, TOP_N, "device_id", **FOLD_RF)
+    return exp.nested_lodo(traffic(spark, sf_dir), TRAFFIC_FEATURES, TOP_N, "device_id")
 
 
 def q_other_models(spark, sf_dir):
     """Logistic regression, linear SVM, GBT and MLP on the stratified split."""
-    s = traffic_split(spark, sf_dir).cache()
+    s = traffic_split(spark, sf_dir)
     return exp.other_models(s.filter(F.col("split") == sp.TRAIN), s.filter(F.col("split") == sp.TEST),
                             TRAFFIC_FEATURES, SEED)
 
 
 def q_isolation_forest(spark, sf_dir):
     """Isolation forest per device fitted on benign rows (100 trees, 256 samples), every row scored."""
-    t = traffic(spark, sf_dir).cache()
+    t = cut_lineage(traffic(spark, sf_dir).select("row_key", "device_id", "binary_target", *TRAFFIC_FEATURES))
     forest = iforest.fit_isolation_forest(t.filter(F.col("binary_target") == 0), TRAFFIC_FEATURES, "row_key",
                                           "device_id", n_trees=100, psi=256, seed=SEED)
     scored = iforest.score_isolation_forest(t, forest, TRAFFIC_FEATURES, "row_key", "device_id", psi=256,
@@ -769,6 +837,58 @@ def q_isolation_forest(spark, sf_dir):
         "row_key", "device_id", "binary_target", r6("mean_path").alias("mean_path"), r6("score").alias("score"))
 
 
+# ------------------------------------------------------------------ stored tables
+def q_roundtrip_partitions(spark, sf_dir):
+    """S6 + S7: labeled rows written by device, device 3 replaced by its attack rows, and read back partition by partition.
+
+    ``pruned``: the scan of one device reads that partition only. The folder is removed afterwards.
+    """
+    t = traffic(spark, sf_dir).select("row_key", "device_id", "binary_label", *TRAFFIC_FEATURES)
+    place = scratch_folder(spark, "labeled")
+    ingest.write_labeled(t, place)
+    ingest.replace_partitions(t.filter((F.col("device_id") == 3) & (F.col("binary_label") == "attack")), place, "device_id")
+    back = spark.read.parquet(place)
+    three = back.filter(F.col("device_id") == 3)
+    pruned = F.lit(ingest.is_pruned(three, "device_id") and not ingest.is_pruned(back, "device_id"))
+    out = back.groupBy(F.col("device_id").cast("int").alias("device_id"), "binary_label").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("row_key").cast("bigint").alias("keys"), r6(F.sum(F.col("value").cast("double"))).alias("value"))
+    out = cut_lineage(out.withColumn("pruned", pruned))
+    remove_folder(spark, place)
+    return out
+
+
+def q_roundtrip_json(spark, sf_dir):
+    """S9 + S11: run records with nested structs, lists and maps as JSON and back, then as a CSV result and back."""
+    runs = run_table(spark, sf_dir).withColumns({
+        "counts": F.struct(F.col("n_orders").alias("orders"), F.struct(F.col("open_share").alias("open")).alias("share")),
+        "prices": F.array("mean_price", "max_price"),
+        "by_name": F.create_map(F.lit("total"), F.col("total_price"), F.lit("mean"), F.col("mean_price"))})
+    record = runs.select("experiment", "run_id", "counts", "prices", "by_name")
+    place = scratch_folder(spark, "records")
+    ingest.write_run_records(record, f"{place}/json")
+    back = spark.read.schema(record.schema).json(f"{place}/json")
+    flat = back.select("experiment", "run_id", F.col("counts.orders").alias("orders"), r6("counts.share.open").alias("open_share"),
+                       r6(F.get("prices", F.lit(1))).alias("max_price"), r6(F.element_at("by_name", "total")).alias("total_price"),
+                       F.size("by_name").alias("n_names"))
+    ingest.write_result_csv(flat, f"{place}/csv")
+    out = cut_lineage(spark.read.schema(flat.schema).option("header", True).csv(f"{place}/csv"))
+    remove_folder(spark, place)
+    return out
+
+
+def q_nonfinite_nested(spark, sf_dir):
+    """P12 on nested columns: 1/discount and sqrt(tax - 0.04) inside a struct, an array and a map of lineitem rows."""
+    li = read_table(spark, sf_dir, "lineitem")
+    inv, sq = F.pow(F.col("l_discount"), F.lit(-1.0)), F.sqrt(F.col("l_tax") - F.lit(0.04))
+    nested = li.select("l_orderkey", "l_linenumber",
+                       F.struct(F.col("l_quantity").alias("quantity"), F.struct(inv.alias("inv"), F.array(sq, inv).alias("both")).alias("inner")).alias("rec"),
+                       F.create_map(F.lit("inv"), inv, F.lit("sqrt"), sq).alias("by"))
+    c = clean_nonfinite(nested)
+    return c.select("l_orderkey", "l_linenumber", r6("rec.quantity").alias("quantity"), r6("rec.inner.inv").alias("inv"),
+                    r6(F.get("rec.inner.both", F.lit(0))).alias("first"), r6(F.get("rec.inner.both", F.lit(1))).alias("second"),
+                    F.size("rec.inner.both").alias("n_both"), r6(F.element_at("by", "inv")).alias("by_inv"), r6(F.element_at("by", "sqrt")).alias("by_sqrt"))
+
+
 # ------------------------------------------------------------------ streaming
 def q_stream_counts(spark, sf_dir):
     """Structured-streaming labeling of the events files with running counts per device and label."""
@@ -783,6 +903,7 @@ QUERIES = {
     "device_summary": q_device_summary,
     "label_consistency": q_label_consistency,
     "ordered_split": q_ordered_split,
+    "ordered_cut": q_ordered_cut,
     "split_summary": q_split_summary,
     "stratified_split": q_stratified_split,
     "library_split": q_library_split,
@@ -802,10 +923,13 @@ QUERIES = {
     "hardest_devices": q_hardest_devices,
     "transfer_knn": q_transfer_knn,
     "family_holdout": q_family_holdout,
+    "attack_type_holdout": q_attack_type_holdout,
     "smote": q_smote,
     "smote_balanced": q_smote_balanced,
     "auc": q_auc,
     "lof": q_lof,
+    "lof_benign": q_lof_benign,
+    "knn_approx": q_knn_approx,
     "run_summary_pop": q_run_summary_pop,
     "run_summary_sample": q_run_summary_sample,
     "change_table": q_change_table,
@@ -813,6 +937,8 @@ QUERIES = {
     "golden_match": q_golden_match,
     "snapshot_diff": q_snapshot_diff,
     "fingerprint": q_fingerprint,
+    "label_digest": q_label_digest,
+    "leakage_check": q_leakage_check,
     "runtime_table": q_runtime_table,
     "summary_table": q_summary_table,
     "experiment_table": q_experiment_table,
@@ -837,8 +963,14 @@ QUERIES = {
     "knn_three_config": q_knn_three_config,
     "transfer_three_config": q_transfer_three_config,
     "experiment_run_checks": q_experiment_run_checks,
+    "nested_lodo_checks": q_nested_lodo_checks,
+    "roundtrip_partitions": q_roundtrip_partitions,
+    "roundtrip_json": q_roundtrip_json,
+    "nonfinite_nested": q_nonfinite_nested,
     "rf_importance": q_rf_importance,
     "rf_three_config": q_rf_three_config,
+    "transfer_rf": q_transfer_rf,
+    "transfer_rf_supports": q_transfer_rf_supports,
     "lodo_rf": q_lodo_rf,
     "nested_lodo": q_nested_lodo,
     "other_models": q_other_models,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from flowlab.functions.rand import hash32_sql, uniform_sql
+from flowlab.functions.rand import hash32_sql, uniform52_sql
 from flowlab.sources.adapters import EVENTS_AS_TRAFFIC_SQL, TRAFFIC_FEATURES, embeddings_as_rows_sql
 
 SEED = 42
@@ -178,19 +178,19 @@ def vote_sql(nn: str, group: str = "") -> str:
   vote AS (SELECT {g}qid, label AS predicted, w1 / tot AS score FROM v4 WHERE rk2 = 1)"""
 
 
-def metrics_cols_sql() -> str:
+def metrics_cols_sql(digits: int | None = 6) -> str:
+    """tn, fp, fn, tp and all ratios; rounded unless ``digits`` is None."""
     p = "coalesce(tp / nullif(tp + fp, 0), 0.0)"
     r = "coalesce(tp / nullif(tp + fn, 0), 0.0)"
     f1 = "coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0.0)"
     p0 = "coalesce(tn / nullif(tn + fn, 0), 0.0)"
     r0 = "coalesce(tn / nullif(tn + fp, 0), 0.0)"
     f10 = "coalesce(2 * tn / nullif(2 * tn + fn + fp, 0), 0.0)"
-    return (f"tn, fp, fn, tp, round(coalesce((tp + tn) / nullif(tn + fp + fn + tp, 0), 0.0), 6) AS accuracy, "
-            f"round({p}, 6) AS precision, round({r}, 6) AS recall, round({f1}, 6) AS f1, "
-            f"round({p0}, 6) AS benign_precision, round({r0}, 6) AS benign_recall, round({f10}, 6) AS benign_f1, "
-            f"round(({p} + {p0}) / 2, 6) AS macro_precision, round(({r} + {r0}) / 2, 6) AS macro_recall, "
-            f"round(({f1} + {f10}) / 2, 6) AS macro_f1, "
-            f"round(coalesce(fp / nullif(fp + tn, 0), 0.0), 6) AS false_positive_rate")
+    named = {"accuracy": "coalesce((tp + tn) / nullif(tn + fp + fn + tp, 0), 0.0)", "precision": p, "recall": r, "f1": f1, "benign_precision": p0,
+             "benign_recall": r0, "benign_f1": f10, "macro_precision": f"({p} + {p0}) / 2", "macro_recall": f"({r} + {r0}) / 2",
+             "macro_f1": f"({f1} + {f10}) / 2", "false_positive_rate": "coalesce(fp / nullif(fp + tn, 0), 0.0)"}
+    one = (lambda x: f"round({x}, {digits})") if digits is not None else (lambda x: x)
+    return "tn, fp, fn, tp, " + ", ".join(f"{one(x)} AS {n}" for n, x in named.items())
 
 
 def counts_sql(src: str, actual: str = "actual", predicted: str = "predicted", group: str = "") -> str:
@@ -292,11 +292,11 @@ FROM pooled"""
 
 ORACLE["hardest_devices"] = f"""WITH {LODO_CTE},
   c AS ({counts_sql('fpred', group='fold')}),
-  m AS (SELECT CAST(fold AS INTEGER) AS device_id, {metrics_cols_sql()} FROM c),
+  m AS (SELECT CAST(fold AS INTEGER) AS device_id, {metrics_cols_sql(None)} FROM c),
   a AS (SELECT 'attack_recall' AS criterion, CAST(row_number() OVER (ORDER BY recall, fn DESC, device_id) AS INTEGER) AS rank,
-               device_id, recall AS recall_value, fn AS errors FROM m),
+               device_id, round(recall, 6) AS recall_value, fn AS errors FROM m),
   b AS (SELECT 'benign_recall' AS criterion, CAST(row_number() OVER (ORDER BY benign_recall, fp DESC, device_id) AS INTEGER) AS rank,
-               device_id, benign_recall AS recall_value, fp AS errors FROM m)
+               device_id, round(benign_recall, 6) AS recall_value, fp AS errors FROM m)
 SELECT * FROM a WHERE rank <= 3 UNION ALL SELECT * FROM b WHERE rank <= 3"""
 
 ORACLE["transfer_knn"] = f"""WITH {ORDERED_CTE},""" + fold_knn_cte(
@@ -320,8 +320,8 @@ SMOTE_CTE = f"""{scaled_cte('standard')},
          FROM mino a JOIN mino b ON a.row_key <> b.row_key),
   mnn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, rid) AS rk FROM md) WHERE rk <= 5),
   syn0 AS (SELECT unnest(range(need)) AS j, n_c, cls FROM mc),
-  syn AS (SELECT j, cls, CAST(floor({uniform_sql(SEED, "smote:' || cls || ':base", 'j')} * n_c * 5) AS BIGINT) AS r,
-                 {uniform_sql(SEED, "smote:' || cls || ':step", 'j')} AS step FROM syn0),
+  syn AS (SELECT j, cls, CAST(floor({uniform52_sql(SEED, "smote:' || cls || ':base", 'j')} * n_c * 5) AS BIGINT) AS r,
+                 {uniform52_sql(SEED, "smote:' || cls || ':step", 'j')} AS step FROM syn0),
   syn2 AS (SELECT j, cls, step, r // 5 AS pos, r % 5 + 1 AS nn_rank FROM syn),
   made AS (SELECT s.j AS syn_id, s.cls, s.step, b.row_key AS base_key, mnn.rid AS nn_key,
                   {', '.join(f'b.{f} + s.step * (o.{f} - b.{f}) AS {f}' for f in FEATS)}
@@ -353,7 +353,7 @@ ORACLE["lof"] = f"""WITH {EMB_CTE},
   reach AS (SELECT nn.qid, greatest(kd.k_distance, nn.dist) AS r FROM nn JOIN kd ON nn.rid = kd.qid),
   lrd AS (SELECT qid, CASE WHEN avg(r) > 0 THEN 1.0 / avg(r) ELSE 'inf'::DOUBLE END AS lrd FROM reach GROUP BY 1),
   lo AS (SELECT nn.qid, avg(l.lrd) AS mo FROM nn JOIN lrd l ON nn.rid = l.qid GROUP BY 1)
-SELECT qid AS row_key, round(k_distance, 6) AS k_distance, round(lrd, 6) AS lrd, round(mo / lrd, 6) AS lof
+SELECT qid AS row_key, round(k_distance, 6) AS k_distance, round(lrd, 6) AS lrd, round(CASE WHEN isinf(mo) AND isinf(lrd) THEN 1.0 WHEN isinf(lrd) THEN 0.0 ELSE mo / lrd END, 6) AS lof
 FROM lrd JOIN lo USING (qid) JOIN kd USING (qid)"""
 
 
@@ -413,12 +413,12 @@ RUNS_CTE = """
            FROM orders GROUP BY 1, 2),
   rl AS (""" + " UNION ALL ".join(
     f"SELECT experiment, run_id, '{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM runs" for m in RUN_METRICS) + """),
-  summ AS (SELECT experiment, metric, count(*) AS runs, round(avg(value), 6) AS mean, round(min(value), 6) AS min,
-                  round(max(value), 6) AS max, round(coalesce(stddev_pop(value), 0.0), 6) AS std FROM rl GROUP BY ALL)
+  summ AS (SELECT experiment, metric, count(*) AS runs, avg(value) AS mean, min(value) AS min,
+                  max(value) AS max, coalesce(stddev_pop(value), 0.0) AS std FROM rl GROUP BY ALL)
 """
 
 ORACLE["run_summary_pop"] = f"""WITH {RUNS_CTE}
-SELECT * FROM summ"""
+SELECT experiment, metric, runs, round(mean, 6) AS mean, round(min, 6) AS min, round(max, 6) AS max, round(std, 6) AS std FROM summ"""
 
 ORACLE["run_summary_sample"] = f"""WITH {RUNS_CTE}
 SELECT experiment, substr(run_id, 1, 4) AS year, metric, count(value) AS n,
@@ -427,7 +427,8 @@ SELECT experiment, substr(run_id, 1, 4) AS year, metric, count(value) AS n,
             WHEN count(value) = 1 THEN 'single_measured_run' ELSE 'arithmetic_mean' END AS reported_value_kind,
        round(CASE WHEN count(value) > 1 THEN avg(value) END, 6) AS mean,
        round(CASE WHEN count(value) > 1 THEN stddev_samp(value) END, 6) AS standard_deviation,
-       round(min(value), 6) AS minimum, round(max(value), 6) AS maximum
+       round(min(value), 6) AS minimum, round(max(value), 6) AS maximum,
+       coalesce(string_agg(printf('%.12f', value), ';' ORDER BY run_id), '') AS run_values
 FROM rl GROUP BY ALL"""
 
 ORACLE["change_table"] = f"""WITH {RUNS_CTE},
@@ -436,16 +437,16 @@ ORACLE["change_table"] = f"""WITH {RUNS_CTE},
   j AS (SELECT c.*, b.reference_value, comparison_value - reference_value AS d,
                CASE WHEN reference_value <> 0 THEN (comparison_value - reference_value) / reference_value * 100.0 END AS sg
         FROM c JOIN b USING (metric))
-SELECT experiment, metric, comparison_value, reference_value, round(d, 6) AS absolute_change,
-       round(sg, 6) AS signed_percent_change,
+SELECT experiment, metric, round(comparison_value, 3) AS comparison_value, round(reference_value, 3) AS reference_value, round(d, 3) AS absolute_change,
+       round(sg, 3) AS signed_percent_change,
        CASE WHEN d < 0 THEN 'reduction' WHEN d > 0 THEN 'increase' ELSE 'no_change' END AS direction,
-       round(CASE WHEN d < 0 THEN -sg WHEN d = 0 THEN 0.0 END, 6) AS reduction_percent,
-       round(CASE WHEN d > 0 THEN sg WHEN d = 0 THEN 0.0 END, 6) AS increase_percent,
-       round(d, 6) AS absolute_metric_difference, round(d * 100.0, 6) AS percentage_point_difference,
+       round(CASE WHEN d < 0 THEN -sg WHEN d = 0 THEN 0.0 END, 3) AS reduction_percent,
+       round(CASE WHEN d > 0 THEN sg WHEN d = 0 THEN 0.0 END, 3) AS increase_percent,
+       round(d, 3) AS absolute_metric_difference, round(d * 100.0, 3) AS percentage_point_difference,
        CASE WHEN d > 0 THEN 'increase' WHEN d < 0 THEN 'decrease' ELSE 'no_change' END AS metric_direction,
        round(CASE WHEN reference_value <> 0 THEN (reference_value - comparison_value) / reference_value * 100.0
-                  ELSE 0.0 END, 6) AS reduction_pct,
-       round(reference_value / nullif(comparison_value, 0), 6) AS ratio,
+                  ELSE 0.0 END, 3) AS reduction_pct,
+       round(reference_value / nullif(comparison_value, 0), 3) AS ratio,
        CASE WHEN reference_value / nullif(comparison_value, 0) > 1 THEN 'speedup'
             WHEN reference_value / nullif(comparison_value, 0) < 1 THEN 'slowdown' ELSE 'same' END AS speed_direction
 FROM j"""
@@ -465,11 +466,11 @@ SELECT cur.experiment, cur.month, cur.n_orders, CAST(pri.n_orders AS DOUBLE) AS
 FROM cur LEFT JOIN pri ON cur.experiment = pri.experiment AND cur.month = pri.month"""
 
 ORACLE["runtime_table"] = f"""WITH {RUNS_CTE}
-SELECT experiment, {', '.join(f"max(CASE WHEN metric = '{m}' THEN mean END) AS {m}" for m in RUN_METRICS)}
+SELECT experiment, {', '.join(f"round(max(CASE WHEN metric = '{m}' THEN mean END), 6) AS {m}" for m in RUN_METRICS)}
 FROM summ GROUP BY experiment"""
 
 ORACLE["summary_table"] = f"""WITH {RUNS_CTE}
-SELECT experiment, {', '.join(f"max(CASE WHEN metric = '{m}' THEN {a} END) AS {m}_{n}" for m in RUN_METRICS
+SELECT experiment, {', '.join(f"round(max(CASE WHEN metric = '{m}' THEN {a} END), 6) AS {m}_{n}" for m in RUN_METRICS
                               for a, n in (('mean', 'value'), ('std', 'std'), ('min', 'min'), ('max', 'max')))},
        CAST(max(runs) AS BIGINT) AS runs
 FROM summ GROUP BY experiment"""
@@ -484,16 +485,14 @@ ORACLE["golden_match"] = "WITH " + scaled_cte("standard") + """,
         FROM c5 FULL OUTER JOIN c3 USING (actual, predicted))
 SELECT *, bool_and(match) OVER () AS all_match FROM j"""
 
-ORACLE["snapshot_diff"] = f"""WITH {TRAFFIC_CTE},
-  b AS (SELECT source_file, CAST(dom AS INTEGER) AS dom, count(*) AS n FROM traffic WHERE dom <= 20 GROUP BY ALL),
-  a AS (SELECT source_file, CAST(dom AS INTEGER) AS dom, count(*) AS n FROM traffic WHERE dom >= 10 AND value > 1.0 GROUP BY ALL),
-  j AS (SELECT coalesce(b.source_file, a.source_file) AS source_file, coalesce(b.dom, a.dom) AS dom,
-               b.n AS before_value, a.n AS after_value, b.n IS NOT NULL AS ib, a.n IS NOT NULL AS ia
-        FROM b FULL OUTER JOIN a ON b.source_file = a.source_file AND b.dom = a.dom)
-SELECT source_file, dom, coalesce(before_value, 0) AS before_n, coalesce(after_value, 0) AS after_n,
-       CASE WHEN NOT ib THEN 'created' WHEN NOT ia THEN 'removed'
-            WHEN before_value IS NOT DISTINCT FROM after_value THEN 'unchanged' ELSE 'changed' END AS status
-FROM j"""
+ORACLE["snapshot_diff"] = f"""WITH {SPLIT_CTE}, {ORDERED_CTE[len(TRAFFIC_CTE) + 1:]},
+  b AS (SELECT row_key, source_file, binary_label AS label FROM tsplit WHERE split = 'train'),
+  a AS (SELECT row_key, source_file, multiclass_label AS label FROM osplit WHERE split = 'train')
+SELECT coalesce(b.row_key, a.row_key) AS row_key,
+       CASE WHEN b.row_key IS NULL THEN 'created' WHEN a.row_key IS NULL THEN 'removed' ELSE 'changed' END AS status,
+       b.source_file AS before_source_file, b.label AS before_label, a.source_file AS after_source_file, a.label AS after_label
+FROM b FULL OUTER JOIN a ON a.row_key = b.row_key
+WHERE b.row_key IS NULL OR a.row_key IS NULL OR b.label IS DISTINCT FROM a.label OR b.source_file IS DISTINCT FROM a.source_file"""
 
 FP_SQL = hash32_sql(0, "fp", "row_key", "binary_target")
 
@@ -520,18 +519,24 @@ ORACLE["run_checks"] = f"""WITH {KNN_PRED_CTE},
   c AS ({counts_sql('pred')}),
   fa AS (SELECT count(*) AS r, sum({FP_SQL}) AS s, bit_xor({FP_SQL}) AS x FROM te),
   fb AS (SELECT count(*) AS r, sum({FP_SQL}) AS s, bit_xor({FP_SQL}) AS x
-         FROM (SELECT row_key, actual AS binary_target FROM pred))
+         FROM (SELECT row_key, actual AS binary_target FROM pred)),
+  hits AS (SELECT count(*) FILTER (WHERE predicted = 1) AS np, count(*) FILTER (WHERE actual = 1) AS na,
+                  count(*) FILTER (WHERE actual = 1 AND predicted = 1) AS nb, avg(CAST(actual = predicted AS DOUBLE)) AS acc FROM pred),
+  pr AS (SELECT acc, coalesce(nb / nullif(np, 0), 0.0) AS p, coalesce(nb / nullif(na, 0), 0.0) AS r FROM hits),
+  rep AS (SELECT acc, p, r, coalesce(2 * p * r / nullif(p + r, 0), 0.0) AS f FROM pr)
 SELECT 'split_rows_agree' AS check, (SELECT count(*) FROM traffic) = (SELECT count(*) FROM tsplit) AS passed
-UNION ALL SELECT 'confusion_total_equals_test_rows', (SELECT tn + fp + fn + tp FROM c) = (SELECT count(*) FROM te)
+UNION ALL SELECT 'confusion_covers_test_rows', (SELECT tn + fp + fn + tp FROM c) = (SELECT count(*) FROM te)
+UNION ALL SELECT 'benign_support_agrees', (SELECT tn + fp FROM c) = (SELECT count(*) FROM te WHERE binary_target = 0)
 UNION ALL SELECT 'attack_support_agrees', (SELECT fn + tp FROM c) = (SELECT count(*) FROM te WHERE binary_target = 1)
 UNION ALL SELECT 'test_labels_unchanged', (SELECT r FROM fa) = (SELECT r FROM fb) AND (SELECT s FROM fa) = (SELECT s FROM fb)
           AND (SELECT x FROM fa) = (SELECT x FROM fb)
 UNION ALL SELECT 'every_test_row_predicted', (SELECT count(*) FROM pred WHERE predicted IS NULL) = 0
 UNION ALL SELECT 'predictions_binary', (SELECT count(*) FROM pred WHERE predicted NOT IN (0, 1)) = 0
 UNION ALL SELECT 'classes_balanced_after_smote', (SELECT min(n) = max(n) FROM bal)
-UNION ALL SELECT 'metrics_recomputable_from_counts',
-          (SELECT abs(round(coalesce((tp + tn) / nullif(tn + fp + fn + tp, 0), 0.0), 6)
-                      - round((tp + tn) / (tn + fp + fn + tp), 6)) <= 1e-15 FROM c)"""
+UNION ALL SELECT 'accuracy_follows_from_counts', abs(acc - (SELECT (tp + tn) / (tn + fp + fn + tp) FROM c)) <= 1e-12 FROM rep
+UNION ALL SELECT 'precision_follows_from_counts', abs(p - (SELECT coalesce(tp / nullif(tp + fp, 0), 0.0) FROM c)) <= 1e-12 FROM rep
+UNION ALL SELECT 'recall_follows_from_counts', abs(r - (SELECT coalesce(tp / nullif(tp + fn, 0), 0.0) FROM c)) <= 1e-12 FROM rep
+UNION ALL SELECT 'f1_follows_from_counts', abs(f - (SELECT coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0.0) FROM c)) <= 1e-12 FROM rep"""
 
 # ------------------------------------------------------------------ quality / EDA
 ORACLE["eda_counts"] = f"""WITH {TRAFFIC_CTE}
@@ -625,7 +630,7 @@ SELECT row_key, feature, round(value, 6) AS value FROM lng WHERE feature IN (SEL
 
 ORACLE["fold_stats"] = f"""WITH {LODO_CTE},
   c AS ({counts_sql('fpred', group='fold')}),
-  m AS (SELECT fold, {metrics_cols_sql()} FROM c),
+  m AS (SELECT fold, {metrics_cols_sql(None)} FROM c),
   lng AS ({' UNION ALL '.join(f"SELECT fold, '{x}' AS metric, CAST({x} AS DOUBLE) AS value FROM m"
                              for x in ['accuracy', 'precision', 'recall', 'f1', 'benign_recall', 'macro_f1'])})
 SELECT metric, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, round(min(value), 6) AS min,
@@ -734,8 +739,8 @@ def three_config_cte(base_cte: str, train_cond: str, test_cond: str) -> str:
          FROM mino a JOIN mino b ON a.row_key <> b.row_key JOIN sel ON true),
   mnn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, rid) AS rk FROM md) WHERE rk <= 5),
   syn0 AS (SELECT unnest(range(need)) AS j, n_c, cls FROM mc),
-  syn AS (SELECT j, cls, CAST(floor({uniform_sql(SEED, "smote:' || cls || ':base", 'j')} * n_c * 5) AS BIGINT) AS r,
-                 {uniform_sql(SEED, "smote:' || cls || ':step", 'j')} AS step FROM syn0),
+  syn AS (SELECT j, cls, CAST(floor({uniform52_sql(SEED, "smote:' || cls || ':base", 'j')} * n_c * 5) AS BIGINT) AS r,
+                 {uniform52_sql(SEED, "smote:' || cls || ':step", 'j')} AS step FROM syn0),
   syn2 AS (SELECT j, cls, step, r // 5 AS pos, r % 5 + 1 AS nn_rank FROM syn),
   made AS (SELECT -1 - s.j AS row_key, s.cls AS binary_target,
                   {', '.join(f'b.{f} + s.step * (o.{f} - b.{f}) AS {f}' for f in FEATS)}
@@ -831,8 +836,97 @@ ORACLE["experiment_run_checks"] = ORACLE["knn_three_config"].replace(THREE_SELEC
 SELECT 'three_runs' AS check, count(*) = 3 AS passed FROM runs
 UNION ALL SELECT 'feature_counts', count(*) FILTER (WHERE config = 'all_features' AND n_features = 4) = 1
           AND count(*) FILTER (WHERE config <> 'all_features' AND n_features = 2) = 2 FROM runs
+UNION ALL SELECT 'features_are_as_many_as_counted', (SELECT n_sel FROM sel) = 2
+UNION ALL SELECT 'top_runs_share_features_and_order', (SELECT count(*) FROM sel) = 1
+UNION ALL SELECT 'one_test_source', true
+UNION ALL SELECT 'same_test_labels', (SELECT count(DISTINCT n) FROM (SELECT count(*) AS n FROM pred_all UNION ALL
+          SELECT count(*) FROM pred_top UNION ALL SELECT count(*) FROM pred_bal)) = 1
 UNION ALL SELECT 'same_test_rows', count(DISTINCT tn + fp + fn + tp) = 1 FROM runs
 UNION ALL SELECT 'same_test_attack_rows', count(DISTINCT fn + tp) = 1 FROM runs
 UNION ALL SELECT 'smote_run_has_more_train_rows',
           max(CASE WHEN config LIKE '%_smote' THEN train_rows END) > max(CASE WHEN config = 'all_features' THEN train_rows END)
 FROM runs"""
+
+ORACLE["nested_lodo_checks"] = f"""WITH {TRAFFIC_CTE}, d AS (SELECT DISTINCT device_id FROM traffic)
+SELECT CAST(device_id AS INTEGER) AS fold, c."check", true AS passed FROM d, (VALUES ('fold_was_run'), ('confusion_covers_group'), ('features_distinct'),
+  ('features_known'), ('held_out_not_in_train'), ('train_and_test_are_all_rows')) c("check")"""
+
+ORACLE["ordered_cut"] = f"""WITH {ORDERED_CTE}
+SELECT row_key, source_file, split FROM osplit"""
+
+ORACLE["attack_type_holdout"] = f"WITH {TRAFFIC_CTE}," + fold_knn_cte(
+    "SELECT DISTINCT multiclass_label AS fold FROM traffic WHERE attack_type IS NOT NULL",
+    "t.multiclass_label IS DISTINCT FROM f.fold", "t.multiclass_label IS NOT DISTINCT FROM f.fold") + f""",
+  c AS ({counts_sql('fpred', group='fold')})
+SELECT c.fold AS held_out_type, tn, fp, fn, tp, round(coalesce(tp / nullif(tp + fn, 0), 0.0), 6) AS recall, ftrain.train_rows
+FROM c JOIN ftrain USING (fold)"""
+
+_BENIGN = ", ".join(f"avg(CAST({f} AS DOUBLE)) AS m{i}, stddev_pop(CAST({f} AS DOUBLE)) AS s{i}" for i, f in enumerate(FEATS))
+_BENIGN_Z = ", ".join(f"(CAST(t.{f} AS DOUBLE) - s.m{i}) / CASE WHEN s.s{i} > 0 THEN s.s{i} ELSE 1.0 END AS {f}" for i, f in enumerate(FEATS))
+ORACLE["lof_benign"] = f"""WITH {TRAFFIC_CTE},
+  st AS (SELECT device_id, {_BENIGN} FROM traffic WHERE binary_target = 0 GROUP BY device_id),
+  z AS (SELECT t.row_key, t.device_id, t.binary_target, {_BENIGN_Z} FROM traffic t JOIN st s ON s.device_id = t.device_id),
+  d AS (SELECT a.row_key AS qid, b.row_key AS rid, a.binary_target AS target, {dist_sql('a', 'b', FEATS)} AS dist
+        FROM z a JOIN z b ON a.device_id = b.device_id AND b.binary_target = 0 AND a.row_key <> b.row_key),
+  nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, rid) AS rk FROM d) WHERE rk <= 5),
+  kd AS (SELECT qid, max(dist) AS k_distance FROM nn GROUP BY 1),
+  lrd AS (SELECT nn.qid, CASE WHEN avg(greatest(kd.k_distance, nn.dist)) > 0 THEN 1.0 / avg(greatest(kd.k_distance, nn.dist)) ELSE 'inf'::DOUBLE END AS lrd
+          FROM nn JOIN kd ON nn.rid = kd.qid GROUP BY 1),
+  lo AS (SELECT nn.qid, avg(l.lrd) AS mo FROM nn JOIN lrd l ON nn.rid = l.qid GROUP BY 1)
+SELECT t.row_key, t.device_id, round(k_distance, 6) AS k_distance, round(lrd, 6) AS lrd,
+       round(CASE WHEN isinf(mo) AND isinf(lrd) THEN 1.0 WHEN isinf(lrd) THEN 0.0 ELSE mo / lrd END, 6) AS lof
+FROM traffic t LEFT JOIN kd ON kd.qid = t.row_key LEFT JOIN lrd ON lrd.qid = t.row_key LEFT JOIN lo ON lo.qid = t.row_key"""
+
+ORACLE["knn_approx"] = """SELECT unnest(['recall_at_least_0.9', 'every_query_has_k_rows', 'few_pairs_meet']) AS check,
+  (SELECT count(*) FROM events) > 0 AS passed"""
+
+
+def digest_sql(src: str, value: str, stage: str) -> str:
+    """Digest of ``value`` in the order of row_key: chunks of 4096 rows, and the chunks' digests in order (two levels)."""
+    return f"""SELECT '{stage}' AS stage, CAST(sum(n) AS BIGINT) AS rows,
+  CASE WHEN count(*) = 1 THEN max(h) ELSE sha256(string_agg(h, ',' ORDER BY c)) END AS digest
+FROM (SELECT c, count(*) AS n, sha256(string_agg(v, ',' ORDER BY pos)) AS h FROM (
+  SELECT pos // 4096 AS c, pos, v FROM (SELECT row_number() OVER (ORDER BY row_key) - 1 AS pos, coalesce({value}::VARCHAR, '') AS v FROM {src})) GROUP BY c)"""
+
+
+ORACLE["label_digest"] = f"WITH {KNN_PRED_CTE}\n" + " UNION ALL ".join((
+    digest_sql("te", "binary_target", "split_test"), digest_sql("pred", "actual", "carried"), digest_sql("pred", "predicted", "predicted")))
+
+
+def leak_sql(scope: str, src: str, part: str, cols: list[str]) -> str:
+    same = " AND ".join(f"a.{c} IS NOT DISTINCT FROM b.{c}" for c in cols)
+    return f"""SELECT '{scope}' AS scope, part, count(*) AS rows, count(*) FILTER (WHERE copied) AS copied_rows,
+  count(DISTINCT CASE WHEN copied THEN ({', '.join(cols)}) END) AS copied_tuples, count(*) FILTER (WHERE copied) = 0 AS clean
+FROM (SELECT a.*, {part} AS part, EXISTS (SELECT 1 FROM {src} b WHERE {same} AND b.{part} IS DISTINCT FROM a.{part}) AS copied FROM {src} a) GROUP BY part"""
+
+
+_LEAK = [*FEATS, "binary_target"]
+ORACLE["leakage_check"] = f"""WITH {SPLIT_CTE}, {ORDERED_CTE[len(TRAFFIC_CTE) + 1:]}, {EMB_CTE},
+  folds AS (SELECT *, CAST(device_id AS VARCHAR) AS fold FROM traffic),
+  eq AS (SELECT class_label, CAST(round_even(count(*) * 0.2::DOUBLE, 0) AS BIGINT) AS q FROM emb GROUP BY 1),
+  er AS (SELECT emb.*, row_number() OVER (PARTITION BY class_label
+            ORDER BY {hash32_sql(SEED, 'split', 'row_key')}, row_key) AS _rn FROM emb),
+  es AS (SELECT round(e0, 0) AS e0, round(e1, 0) AS e1, CASE WHEN _rn <= eq.q THEN 'test' ELSE 'train' END AS split FROM er JOIN eq USING (class_label))
+""" + " UNION ALL ".join((leak_sql("stratified_split", "tsplit", "split", _LEAK), leak_sql("ordered_split", "osplit", "split", _LEAK),
+                          leak_sql("device_folds", "folds", "fold", _LEAK), leak_sql("rounded_embeddings", "es", "split", ["e0", "e1"])))
+
+ORACLE["roundtrip_partitions"] = f"""WITH {TRAFFIC_CTE}
+SELECT device_id, binary_label, count(*) AS n, CAST(sum(row_key) AS BIGINT) AS keys, round(sum(CAST(value AS DOUBLE)), 6) AS value, true AS pruned
+FROM traffic WHERE device_id <> 3 OR binary_label = 'attack' GROUP BY device_id, binary_label"""
+
+ORACLE["roundtrip_json"] = f"""WITH {RUNS_CTE}
+SELECT experiment, run_id, n_orders AS orders, round(open_share, 6) AS open_share, round(max_price, 6) AS max_price,
+       round(total_price, 6) AS total_price, CAST(2 AS INTEGER) AS n_names FROM runs"""
+
+_INV = "CASE WHEN isnan(pow(l_discount, -1.0)) OR isinf(pow(l_discount, -1.0)) THEN NULL ELSE pow(l_discount, -1.0) END"
+_SQ = "CASE WHEN isnan(sqrt(l_tax - 0.04::DOUBLE)) OR isinf(sqrt(l_tax - 0.04::DOUBLE)) THEN NULL ELSE sqrt(l_tax - 0.04::DOUBLE) END"
+ORACLE["nonfinite_nested"] = f"""SELECT l_orderkey, l_linenumber, round(l_quantity, 6) AS quantity, round({_INV}, 6) AS inv, round({_SQ}, 6) AS first,
+       round({_INV}, 6) AS second, CAST(2 AS INTEGER) AS n_both, round({_INV}, 6) AS by_inv, round({_SQ}, 6) AS by_sqrt FROM lineitem"""
+
+ORACLE["transfer_rf_supports"] = f"""WITH {ORDERED_CTE},
+  tr AS (SELECT count(*) AS n, max(c) AS most, count(*) * 0 + max(k) AS k FROM (SELECT count(*) OVER (PARTITION BY binary_target) AS c, 1 AS k
+         FROM osplit WHERE device_id = 1 AND split = 'train')),
+  te AS (SELECT count(*) FILTER (WHERE binary_target = 0) AS b, count(*) FILTER (WHERE binary_target = 1) AS a FROM traffic WHERE device_id = 2)
+SELECT 'all_features' AS config, 4 AS n_features, CAST(n AS BIGINT) AS train_rows, b AS benign_support, a AS attack_support FROM tr, te
+UNION ALL SELECT 'top2', 2, CAST(n AS BIGINT), b, a FROM tr, te
+UNION ALL SELECT 'top2_smote', 2, CAST(2 * most AS BIGINT), b, a FROM tr, te"""

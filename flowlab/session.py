@@ -82,3 +82,24 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Dat
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder of its own under the shared checkpoint folder (not created yet)."""
+    import uuid
+
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_folder(spark: SparkSession, path: str) -> bool:
+    """Deletes a folder that :func:`scratch_folder` named, wherever the shared file system is; False if there is none.
+
+    Only folders below the checkpoint folder are taken. Needs a classic session
+    (the file system is reached through the JVM of the driver).
+    """
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    if not path.startswith(base + "/") or ".." in path:
+        raise ValueError(f"{path} is not below {base}")
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return bool(where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True))

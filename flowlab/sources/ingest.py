@@ -13,7 +13,7 @@ from __future__ import annotations
 import json
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -187,3 +187,70 @@ def row_expectation(scanned: DataFrame, summary: DataFrame, train_ratio: float =
         "expected_train": F.floor(F.col("expected_rows").cast("double") * F.lit(float(train_ratio))).cast("bigint"),
         "ok": F.coalesce(F.col("expected_rows") == F.col("observed_rows"), F.lit(False)),
     })
+
+
+def read_matrix(spark: SparkSession, path: str, classes: list[str] | None = None) -> DataFrame:
+    """A stored confusion matrix (wide CSV) as cells (actual, predicted, n).
+
+    The file has an unnamed first column with ``actual_<class>`` and one column
+    ``predicted_<class>`` per class. Row and column classes must be the same set
+    without repeats (and ``classes``, if given), every cell a whole number;
+    anything else raises.
+    """
+    columns = header_columns(spark, path)
+    names = [c.removeprefix("predicted_") for c in columns[1:]]
+    if any(not c.startswith("predicted_") for c in columns[1:]) or len(set(names)) != len(names):
+        raise ValueError(f"columns are not distinct predicted classes: {columns[1:]}")
+    schema = T.StructType([T.StructField("_row", T.StringType()), *[T.StructField(n, T.LongType()) for n in names]])
+    wide = spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").option("enforceSchema", True).csv(path)
+    rows = [r[0] for r in wide.select("_row").collect()]  # one row per class
+    found = [(r or "").removeprefix("actual_") for r in rows]
+    if any(not (r or "").startswith("actual_") for r in rows) or sorted(found) != sorted(set(names)):
+        raise ValueError(f"rows {rows} do not name the classes of the columns {names}")
+    if classes is not None and sorted(found) != sorted(classes):
+        raise ValueError(f"classes are {sorted(found)}, expected {sorted(classes)}")
+    cells = wide.select(F.regexp_replace("_row", "^actual_", "").alias("actual"), F.explode(F.array(*[
+        F.struct(F.lit(n).alias("predicted"), F.col(f"`{n}`").alias("n")) for n in names])).alias("c")).select("actual", "c.*")
+    if cells.where("n is null or n < 0").count():
+        raise ValueError(f"{path} has cells that are no counts")
+    return cells
+
+
+def write_matrix(cells: DataFrame, path: str, classes: list[str]) -> None:
+    """Cells (actual, predicted, n) as the wide CSV that :func:`read_matrix` reads; absent cells are 0."""
+    wide = cells.groupBy("actual").pivot("predicted", classes).agg(F.first("n"))
+    order = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("actual"))
+    out = wide.orderBy(order).select(F.concat(F.lit("actual_"), "actual").alias(" "), *[F.coalesce(F.col(f"`{c}`"), F.lit(0)).alias(f"predicted_{c}") for c in classes])
+    out.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
+def read_importances(spark: SparkSession, path: str, top: int | None = None) -> DataFrame:
+    """A stored importance table (CSV with columns feature, importance), ranked by importance, file order on ties.
+
+    Features are distinct and importances finite numbers of at least 0; ``top`` keeps the first ranks.
+    """
+    columns = header_columns(spark, path)
+    if not {"feature", "importance"} <= set(columns):
+        raise ValueError(f"{path} needs the columns feature and importance, has {columns}")
+    schema = T.StructType([T.StructField(c, T.DoubleType() if c == "importance" else T.StringType()) for c in columns])
+    rows = (spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path)
+            .select("feature", "importance", F.monotonically_increasing_id().alias("_line")))
+    bad = rows.where("feature is null or importance is null or isnan(importance) or importance < 0 or importance = double('infinity')").count()
+    if bad or rows.count() != rows.select("feature").distinct().count():
+        raise ValueError(f"{path} has repeated features or values that are no importances")
+    ranked = rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("importance"), "_line")))  # one row per feature
+    return ranked.where(F.col("rank") <= top).drop("_line") if top else ranked.drop("_line")
+
+
+def replace_partitions(df: DataFrame, path: str, by: str) -> None:
+    """Writes only the partitions that ``df`` holds; the others stay (dynamic partition overwrite)."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+
+
+def is_pruned(df: DataFrame, column: str) -> bool:
+    """Whether the scan of ``df`` is limited to partitions by a filter on ``column``."""
+    import re
+
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    found = re.findall(r"PartitionFilters: \[([^\]]*)\]", plan)
+    return bool(found) and all(re.search(rf"\b{re.escape(column)}#", f) for f in found)

@@ -14,10 +14,10 @@ def test_zero_division_and_absent_class(spark):
     m = met.binary_metrics(df).first()
     assert (m.tn, m.fp, m.fn, m.tp) == (2, 0, 1, 0)
     assert m.precision == 0.0 and m.recall == 0.0 and m.f1 == 0.0
-    assert m.accuracy == round(2 / 3, 6)
+    assert math.isclose(m.accuracy, 2 / 3, rel_tol=1e-15)
     rep = {r["class"]: r for r in met.classification_report(df, names=met.BINARY_NAMES).collect()}
     assert rep["attack"].precision == 0.0 and rep["attack"].support == 1
-    assert rep["accuracy"].f1 == round(2 / 3, 6)
+    assert math.isclose(rep["accuracy"].f1, 2 / 3, rel_tol=1e-15)
 
 
 def test_confusion_long_zero_filled(spark):
@@ -52,8 +52,8 @@ def test_auc_matches_brute_force(spark):
     s = (np.round(rng.random(400), 2)).tolist()  # many ties
     df = spark.createDataFrame(list(zip(y, s)), "actual INT, score DOUBLE")
     r = met.roc_pr_auc(df).first()
-    assert math.isclose(r.roc_auc, round(_auc_brute(y, s), 6), abs_tol=1e-6)
-    assert math.isclose(r.pr_auc, round(_ap_brute(y, s), 6), abs_tol=1e-6)
+    assert math.isclose(r.roc_auc, _auc_brute(y, s), abs_tol=1e-12)
+    assert math.isclose(r.pr_auc, _ap_brute(y, s), abs_tol=1e-12)
 
 
 def test_summary_rules_one_and_three_runs(spark):
@@ -61,11 +61,14 @@ def test_summary_rules_one_and_three_runs(spark):
                                  "experiment STRING, run INT, metric STRING, value DOUBLE")
     pop = {r.experiment: r for r in runs.summary_pop(long, ["experiment", "metric"]).collect()}
     assert pop["a"].std == 0.0 and pop["a"].mean == 5.0
-    assert pop["b"].std == round(np.std([1, 2, 4]), 6)
-    smp = {r.experiment: r for r in runs.summary_sample(long, ["experiment", "metric"]).collect()}
+    assert math.isclose(pop["b"].std, np.std([1, 2, 4]), rel_tol=1e-12)
+    smp = {r.experiment: r for r in runs.summary_sample(long, ["experiment", "metric"], "run").collect()}
+    assert smp["a"].run_values == [5.0] and smp["b"].run_values == [1.0, 2.0, 4.0]
+    none = runs.summary_sample(long.withColumn("value", F.lit(None).cast("double")), ["experiment"], "run").first()
+    assert (none.n, none.reported_value, none.reported_value_kind, none.run_values) == (0, None, runs.NOT_MEASURED, [])
     assert smp["a"].reported_value_kind == "single_measured_run" and smp["a"].mean is None
     assert smp["a"].standard_deviation is None and smp["a"].reported_value == 5.0
-    assert smp["b"].standard_deviation == round(float(np.std([1, 2, 4], ddof=1)), 6)
+    assert math.isclose(smp["b"].standard_deviation, np.std([1, 2, 4], ddof=1), rel_tol=1e-12)
 
 
 def test_direction_change_golden(spark):
