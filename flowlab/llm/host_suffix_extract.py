@@ -2,7 +2,7 @@
 
 1. A pass over the html yields the blocks of a page, each with its region:
    boilerplate by structure (menus, forms, adverts, comments, ...), inside an
-   article, or neither. The blocks of all pages are stored once.
+   article, or neither. The blocks that are not boilerplate are stored once.
 2. Pages meet by host, copies once. A host with many pages or much text is dealt
    to shards by a hash of the page's content, so a hot host never meets in one
    task. In a shard the token streams are concatenated and their suffixes sorted
@@ -13,11 +13,11 @@
 3. The named runs of a host with several shards are counted in all of them and
    summed in Spark. So the bars below hold for whole hosts, however their pages
    are dealt and however long they are.
-4. Every page is covered by the runs that pass for its host; longer repeats are
-   unions of such runs. Boilerplate blocks go. Covered tokens go, with a
-   stricter bar inside an article (a template inside articles is on nearly all
-   pages; a passage or a copied article is not). The unique runs stay, in page
-   order.
+4. Every page is covered by the runs that pass for its host (at most twice as
+   many as a mean page of the host has tokens); longer repeats are unions of such
+   runs. Covered tokens go, with a stricter bar inside an article (a template
+   inside articles is on nearly all pages; a passage or a copied article is
+   not). The unique runs stay, in page order.
 
 Copies of a page count once, so a copied page is not its own boilerplate.
 """
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from flowlab.llm.common import cut_lineage, table
 from flowlab.llm.url_filter import url_host
-from flowlab.session import broadcast_if_small
+from flowlab.session import BROADCAST_MAX_ROWS, broadcast_if_small
 
 RUN = 8  # tokens of a repeated run (a power of two: prefix doubling)
 FREE_PAGES, FREE_SHARE = 4, 0.5  # distinct pages of a host (and their share) that make a run boilerplate outside articles
@@ -211,7 +211,7 @@ class Tokens(dict):
 
 
 def packed(blocks: list[tuple[str, int]]) -> bytes:
-    return zlib.compress(json.dumps(blocks, ensure_ascii=False).encode("utf-8", "replace"), 3)
+    return zlib.compress(json.dumps(blocks, ensure_ascii=False).encode("utf-8", "replace"), 6)
 
 
 def unpacked(raw: bytes) -> list[tuple[str, int]]:
@@ -255,9 +255,9 @@ def covered(starts: np.ndarray, n: int) -> np.ndarray:
 
 
 def main_text(blocks: list[tuple[str, int]], runs: dict[tuple[int, int], bool], tokens: Tokens) -> str:
-    """The blocks that are not boilerplate, without tokens under the runs; a run counts inside articles if its flag says so."""
+    """The blocks without the tokens under the runs; a run counts inside articles if its flag says so."""
     if not runs:
-        return "\n".join(t for t, region in blocks if region != DROP)
+        return "\n".join(t for t, _ in blocks)
     stream = tokens.stream(blocks)
     hits = [(i, runs[key]) for i, key in enumerate(map(tuple, tokens.names([stream])[0].tolist())) if key in runs]
     free = covered(np.array([i for i, _ in hits], np.int64), len(stream))
@@ -267,8 +267,6 @@ def main_text(blocks: list[tuple[str, int]], runs: dict[tuple[int, int], bool],
         words = text.split(" ")
         gone = (main if region == MAIN else free)[at:at + len(words)]
         at += len(words)
-        if region == DROP:
-            continue
         if gone.any():
             text = " ".join(w for w, g in zip(words, gone) if not g)
         if text:
@@ -284,7 +282,8 @@ def host_runs(doc: DataFrame) -> DataFrame:
     counts = named.where("r1 is not null and shards = 1").select("host", "r1", "r2", "n")
     wanted = named.where("r1 is not null and shards > 1").groupBy("host", "r1", "r2").agg(F.first("shards").alias("shards"))
     wanted = wanted.select("host", "r1", "r2", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
-    several = (pages.where("shards > 1").groupBy("host", "shard").cogroup(wanted.groupBy("host", "shard"))
+    asked = broadcast_if_small(wanted.select("host").distinct())  # no other page needs a second look
+    several = (pages.where("shards > 1").join(asked, "host", "left_semi").groupBy("host", "shard").cogroup(wanted.groupBy("host", "shard"))
                .applyInPandas(count_runs, "host string, r1 long, r2 long, n long"))
     counts = counts.union(several.groupBy("host", "r1", "r2").agg(F.sum("n").alias("n")))
     share = lambda least, part: F.col("n") >= F.greatest(F.lit(float(least)), F.col("pages") * part)
@@ -306,7 +305,7 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
         import xxhash
 
         for b in batches:
-            blocks = [page_blocks(h) for h in b.pop("html")]
+            blocks = [[(t, r) for t, r in page_blocks(h) if r != DROP] for h in b.pop("html")]
             keys = [xxhash.xxh3_128_intdigest("\n".join(t for t, _ in x).encode("utf-8", "replace")) for x in blocks]
             b["k1"] = np.array([k & (2**64 - 1) for k in keys], np.uint64).view(np.int64)
             b["k2"] = np.array([k >> 64 for k in keys], np.uint64).view(np.int64)
@@ -317,23 +316,27 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     doc = cut_lineage(doc.mapInPandas(parse, f"page_id {kind}, url string, host string, k1 long, k2 long, blocks binary, fresh boolean"))
     sizes = doc.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.octet_length("blocks")).alias("b"))
     shards = sizes.select("host", F.greatest(F.ceil(F.col("n") / SHARD_PAGES), F.ceil(F.col("b") / SHARD_BYTES)).cast("int").alias("g")).where("g > 1")
-    dealt = doc.join(broadcast_if_small(shards), "host", "left").withColumn("shards", F.coalesce("g", F.lit(1)))
-    deal = lambda *cols: F.pmod(F.xxhash64(*cols), F.col("shards").cast("long")).cast("int").alias("shard")
     # one of the copies within a batch is enough for the counts; the others would only be dropped after the shuffle
-    runs = cut_lineage(host_runs(dealt.where("fresh").select("host", "k1", "k2", deal("k1", "k2"), "shards", "blocks")))
-
-    def extract(rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows):
-            return pd.DataFrame({c: np.array([], object) for c in ("page_id", "url", "text", "n_chars")})
-        known, tokens = dict(zip(zip(found["r1"], found["r2"]), found["main"])), Tokens()
-        texts = [main_text(unpacked(z), known, tokens) for z in rows["blocks"]]
-        return pd.DataFrame({"page_id": rows["page_id"], "url": rows["url"], "text": texts, "n_chars": [len(t) for t in texts]})
-
-    each = dealt.select("page_id", "url", "host", deal("page_id", "url"), "blocks")
-    places = broadcast_if_small(runs.select("host").distinct().join(shards, "host", "left").select("host", F.coalesce("g", F.lit(1)).alias("g")))
-    spread = runs.join(places, "host").select("host", "r1", "r2", "main", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("shard"))
-    return each.groupBy("host", "shard").cogroup(spread.groupBy("host", "shard")).applyInPandas(
-        extract, f"page_id {kind}, url string, text string, n_chars long")
+    dealt = doc.where("fresh").join(broadcast_if_small(shards), "host", "left").withColumn("shards", F.coalesce("g", F.lit(1)))
+    shard = F.pmod(F.xxhash64("k1", "k2"), F.col("shards").cast("long")).cast("int").alias("shard")
+    runs = cut_lineage(host_runs(dealt.select("host", "k1", "k2", shard, "shards", "blocks")))
+
+    each = doc.select("page_id", "url", "host", "blocks")
+    found = runs.groupBy("host").agg(F.collect_list("r1").alias("r1"), F.collect_list("r2").alias("r2"), F.collect_list("main").alias("main"))
+    each = each.join(F.broadcast(found) if runs.count() <= BROADCAST_MAX_ROWS else found, "host", "left").drop("host")
+
+    def extract(batches):
+        for b in batches:
+            known: dict = {}  # the runs of a host come with each of its pages, and are read once
+            texts, tokens = [], Tokens()
+            for z, r1, r2, main in zip(b["blocks"], b["r1"], b["r2"], b["main"]):
+                key = b"" if r1 is None else r1.tobytes()
+                if key not in known:
+                    known[key] = {} if r1 is None else dict(zip(zip(r1.tolist(), r2.tolist()), main))
+                texts.append(main_text(unpacked(z), known[key], tokens))
+            yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+
+    return each.mapInPandas(extract, f"page_id {kind}, url string, text string, n_chars long")
 
 
 def op6_host_suffix_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
