@@ -413,7 +413,7 @@ def q_run_summary_sample(spark, sf_dir):
     """Per experiment, year and metric: n, reported value and kind, mean, sample std, min, max."""
     long = _runs_long(spark, sf_dir).withColumn("year", F.substring("run_id", 1, 4))
     out = runs_op.summary_sample(long, ["experiment", "year", "metric"], "run_id")
-    values = F.array_join(F.transform("run_values", lambda v: F.format_string("%.12f", v)), ";")
+    values = F.array_join(F.transform("run_values", lambda v: F.round(v, 6).cast("decimal(28,6)").cast("string")), ";")
     return rounded(out.withColumn("run_values", values))
 
 

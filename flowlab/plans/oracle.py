@@ -428,7 +428,7 @@ SELECT experiment, substr(run_id, 1, 4) AS year, metric, count(value) AS n,
        round(CASE WHEN count(value) > 1 THEN avg(value) END, 6) AS mean,
        round(CASE WHEN count(value) > 1 THEN stddev_samp(value) END, 6) AS standard_deviation,
        round(min(value), 6) AS minimum, round(max(value), 6) AS maximum,
-       coalesce(string_agg(printf('%.12f', value), ';' ORDER BY run_id), '') AS run_values
+       coalesce(string_agg(CAST(CAST(round(value, 6) AS DECIMAL(28, 6)) AS VARCHAR), ';' ORDER BY run_id), '') AS run_values
 FROM rl GROUP BY ALL"""
 
 ORACLE["change_table"] = f"""WITH {RUNS_CTE},

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 # Default row bound under which a derived side table is broadcast. The bound is
 # checked with a count on the (already aggregated) table before the hint is added.
 BROADCAST_MAX_ROWS = 200_000
+BROADCAST_MAX_BYTES = 64 << 20
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
@@ -67,17 +68,29 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only if a count proves it has at most ``max_rows`` rows.
+def _row_bytes(df: DataFrame):
+    """About the bytes of a row: 8 a column, and what strings, binaries, arrays, maps and structs hold."""
+    total = F.lit(8 * len(df.columns)).cast("long")
+    for f in df.schema.fields:
+        kind, col = f.dataType.typeName(), F.col(f"`{f.name}`")
+        if kind in ("string", "binary"):
+            total = total + F.coalesce(F.octet_length(col), F.lit(0))
+        elif kind in ("array", "map", "struct"):
+            total = total + F.coalesce(F.octet_length(col.cast("string")), F.lit(0))
+    return total
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Broadcast ``df`` only if a pass over it proves at most ``max_rows`` rows and about ``max_bytes`` bytes.
 
     Meant for aggregated side tables (cut points, per-group counts, parameter
     rows). The table is checkpointed first, so its aggregation runs once for
-    both the size check and the join. Above the bound the (checkpointed)
+    both the size check and the join. Above the bounds the (checkpointed)
     DataFrame is returned without the hint and Spark plans a shuffle join.
     """
-    small = cut_lineage(df)  # computed once; the count and the join read the stored copy
-    n = small.count()
-    return F.broadcast(small) if n <= max_rows else small
+    small = cut_lineage(df)  # computed once; the size check and the join read the stored copy
+    size = small.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(_row_bytes(small)), F.lit(0)).alias("b")).first()
+    return F.broadcast(small) if size["n"] <= max_rows and size["b"] <= max_bytes else small
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -37,7 +37,7 @@ def test_every_query_has_an_oracle_except_model_outputs():
     import __spark_entry__ as E
     from flowlab.plans import catalog
 
-    rows_only = {"isolation_forest", "lodo_rf", "nested_lodo", "other_models", "rf_importance", "rf_three_config"}
+    rows_only = {"isolation_forest", "lodo_rf", "nested_lodo", "other_models", "rf_importance", "rf_three_config", "transfer_rf"}
     q, o = E.queries(), E.oracle_sql()
     assert set(catalog.QUERIES) - set(o) == rows_only
     assert set(catalog.QUERIES) <= set(q) and set(o) <= set(q)

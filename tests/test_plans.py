@@ -6,7 +6,7 @@ import re
 import pytest
 
 SF = "/root/testdata/sf0.001"
-MODEL_FITS = {"rf_importance", "rf_three_config", "lodo_rf", "nested_lodo", "other_models"}
+MODEL_FITS = {"rf_importance", "rf_three_config", "transfer_rf", "transfer_rf_supports", "lodo_rf", "nested_lodo", "other_models"}
 
 
 def _plan(df) -> str:
@@ -49,7 +49,7 @@ def test_scans_are_pruned(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="driver test data not present")
-@pytest.mark.parametrize("name", ["eda_features", "quality", "eda_quantiles"])
+@pytest.mark.parametrize("name", ["eda_features", "quality"])
 def test_summaries_read_their_table_once(spark, name):
     import __spark_entry__ as E
 
