@@ -239,6 +239,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = (named.join(groups, "component", "left").where("n > 1 or component is not null")
               .select("fp", F.when(F.col("component").isNull(), F.col("first")).otherwise(F.col("low")).alias("low"),
                       F.coalesce("component", "fp").alias("group"), F.lit(True).alias("shared")))
+    shared = cut_lineage(shared)  # stored, so that the join below deals both sides itself and can split a hot fingerprint
     return (each.join(shared, "fp", "left")
             .select("id", "text_key", "fp", F.when(F.col("shared"), F.col("low")).otherwise(F.col("id")).alias("component"),
                     F.coalesce("group", "fp").alias("group")))
