@@ -123,7 +123,7 @@ def test_anchor_words_lose_no_prediction():
 
 def test_oracles_equal_spark(spark):
     con = duckdb.connect()
-    for t in ("documents", "pages", "embeddings"):
+    for t in ("documents", "pages", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('/root/testdata/sf0.001/{t}.parquet')")
     for name, sql in registry.ORACLE.items():
         df = registry.QUERIES[name](spark, "/root/testdata/sf0.001")
