@@ -340,6 +340,39 @@ def q_smote_balanced(spark, sf_dir):
     return out.groupBy("binary_target", "is_synthetic").agg(F.count(F.lit(1)).alias("n"))
 
 
+FAMILIES = ["benign", "signup", "click", "error", "purchase"]  # class codes of the multiclass experiment, in this order
+
+
+def _family_split(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Train and test rows with their family as a class code, stratified by family, scaled by the train rows."""
+    code = F.array_position(F.array(*[F.lit(f) for f in FAMILIES]), F.col("family")).cast("int") - 1
+    rows = traffic(spark, sf_dir).withColumn("family_code", code).select("row_key", "family_code", *TRAFFIC_FEATURES)
+    s = sp.stratified_split(rows, "family_code", "row_key", TEST_FRACTION, SEED)
+    model = sc.fit_standard(s.filter(F.col("split") == sp.TRAIN), TRAFFIC_FEATURES)
+    z = model.transform(sc.narrow_to_float(s, TRAFFIC_FEATURES))
+    train, test = (cut_lineage(z.filter(F.col("split") == part).drop("split")) for part in (sp.TRAIN, sp.TEST))
+    return train, test
+
+
+def q_multiclass_smote(spark, sf_dir):
+    """M5 + X5 over families: SMOTE brings every family to the size of the largest; rows per family, made and given."""
+    train, _ = _family_split(spark, sf_dir)
+    out = smote_op.smote(train, TRAFFIC_FEATURES, "family_code", "row_key", K, SEED)
+    return out.groupBy("family_code", "is_synthetic").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("base_key"), F.lit(0)).cast("bigint").alias("base_keys"),
+                                                          F.coalesce(F.sum("nn_key"), F.lit(0)).cast("bigint").alias("nn_keys"))
+
+
+def q_multiclass_report(spark, sf_dir):
+    """M7 over families: report of 5-NN on the SMOTE-balanced train rows, per family, accuracy, macro and weighted."""
+    train, test = _family_split(spark, sf_dir)
+    bal = smote_op.smote(train, TRAFFIC_FEATURES, "family_code", "row_key", K, SEED)
+    # made rows of different families share numbers: the class goes into their key
+    bal = cut_lineage(bal.withColumn("row_key", F.coalesce(F.col("row_key"), -1 - (F.col("syn_id") * len(FAMILIES) + F.col("family_code")))))
+    pred = knn.knn_classify(bal, test, TRAFFIC_FEATURES, K, "family_code", "row_key")
+    names = dict(enumerate(FAMILIES))
+    return rounded(met.classification_report(pred, "family_code", "predicted", names).drop("label"))
+
+
 def q_auc(spark, sf_dir):
     """ROC-AUC and PR-AUC of the kNN attack score."""
     p = knn_predictions(spark, sf_dir)
@@ -413,8 +446,9 @@ def q_run_summary_sample(spark, sf_dir):
     """Per experiment, year and metric: n, reported value and kind, mean, sample std, min, max."""
     long = _runs_long(spark, sf_dir).withColumn("year", F.substring("run_id", 1, 4))
     out = runs_op.summary_sample(long, ["experiment", "year", "metric"], "run_id")
-    values = F.array_join(F.transform("run_values", lambda v: F.round(v, 6).cast("decimal(28,6)").cast("string")), ";")
-    return rounded(out.withColumn("run_values", values))
+    # as text for the whole numbers only: the last digit of a mean depends on the order of its sum
+    values = F.array_join(F.transform("run_values", lambda v: v.cast("long").cast("string")), ";")
+    return rounded(out.withColumns({"run_values": F.when(F.col("metric") == "n_orders", values), "n_values": F.size("run_values")}))
 
 
 def q_change_table(spark, sf_dir):
@@ -636,6 +670,37 @@ def q_feature_rank(spark, sf_dir):
     return ranked.select("rank", "feature", r6("importance").alias("importance"), "source_column_index", "selected").orderBy("rank")
 
 
+WIDE_TOP = 20
+
+
+def q_feature_rank_wide(spark, sf_dir):
+    """W1 + W2 at the reference's width: top 20 of the 64 embedding columns on the stratified train rows."""
+    e = embeddings_as_rows(read_table(spark, sf_dir, "embeddings"))
+    s = sp.stratified_split(e, "binary_target", "row_key", TEST_FRACTION, SEED)
+    ranked = feat.rank_features(feat.feature_importance(s.filter(F.col("split") == sp.TRAIN), embedding_features(), "binary_target"), top_n=WIDE_TOP)
+    return ranked.select("rank", "feature", r6("importance").alias("importance"), "source_column_index", "selected").orderBy("rank")
+
+
+def q_wide_three_config(spark, sf_dir):
+    """M7 at the reference's width, without SMOTE: 5-NN on all 64 embedding columns, and on the top 20 in canonical and in rank order."""
+    e = embeddings_as_rows(read_table(spark, sf_dir, "embeddings"))
+    s = cut_lineage(sp.stratified_split(e, "binary_target", "row_key", TEST_FRACTION, SEED))
+    train, test = s.filter(F.col("split") == sp.TRAIN), s.filter(F.col("split") == sp.TEST)
+    feats = embedding_features()
+    ranked = feat.rank_features(feat.feature_importance(train, feats, "binary_target"), top_n=WIDE_TOP)
+    top = [r[0] for r in ranked.filter(F.col("selected")).orderBy("rank").select("feature").collect()]
+    model = sc.fit_standard(train, feats)
+    z_train, z_test = cut_lineage(model.transform(train)), cut_lineage(model.transform(test))
+    rows = []
+    for name, order in (("all_features", None), ("top20", "canonical"), ("top20_ranked", "rank")):
+        keep = ["row_key", "binary_target"]
+        cols = feats if order is None else [c for c in feat.select_top(z_train, top, feats, WIDE_TOP, order, keep).columns if c not in keep]
+        pred = knn.knn_classify(z_train, z_test, cols, K, "binary_target", "row_key")
+        m = met.binary_metrics(pred, "binary_target", "predicted")
+        rows.append(m.select(F.lit(name).alias("config"), F.lit(len(cols)).alias("n_features"), "tn", "fp", "fn", "tp", "accuracy", "macro_f1"))
+    return rounded(reduce(DataFrame.unionByName, rows))
+
+
 def q_feature_sets(spark, sf_dir):
     """J3 + J4 + U4: selected features (semi join), model positions in canonical order, set checks."""
     ranked, _ = _train_rank(spark, sf_dir)
@@ -926,6 +991,8 @@ QUERIES = {
     "attack_type_holdout": q_attack_type_holdout,
     "smote": q_smote,
     "smote_balanced": q_smote_balanced,
+    "multiclass_smote": q_multiclass_smote,
+    "multiclass_report": q_multiclass_report,
     "auc": q_auc,
     "lof": q_lof,
     "lof_benign": q_lof_benign,
@@ -952,6 +1019,8 @@ QUERIES = {
     "regex_timing": q_regex_timing,
     "row_expectation": q_row_expectation,
     "feature_rank": q_feature_rank,
+    "feature_rank_wide": q_feature_rank_wide,
+    "wide_three_config": q_wide_three_config,
     "feature_sets": q_feature_sets,
     "select_top": q_select_top,
     "fold_stats": q_fold_stats,

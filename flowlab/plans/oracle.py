@@ -428,7 +428,8 @@ SELECT experiment, substr(run_id, 1, 4) AS year, metric, count(value) AS n,
        round(CASE WHEN count(value) > 1 THEN avg(value) END, 6) AS mean,
        round(CASE WHEN count(value) > 1 THEN stddev_samp(value) END, 6) AS standard_deviation,
        round(min(value), 6) AS minimum, round(max(value), 6) AS maximum,
-       coalesce(string_agg(CAST(CAST(round(value, 6) AS DECIMAL(28, 6)) AS VARCHAR), ';' ORDER BY run_id), '') AS run_values
+       string_agg(CASE WHEN metric = 'n_orders' THEN CAST(CAST(value AS BIGINT) AS VARCHAR) END, ';' ORDER BY run_id) AS run_values,
+       CAST(count(value) AS INTEGER) AS n_values
 FROM rl GROUP BY ALL"""
 
 ORACLE["change_table"] = f"""WITH {RUNS_CTE},
@@ -831,6 +832,93 @@ ORACLE["nested_lodo_knn"] = f"WITH {FOLD_RANK_CTE}," + fold_knn_weighted_cte(
     f"SELECT fold, string_agg(feature, ' ' ORDER BY source_column_index) AS selected, count(*) AS n_sel, "
     f"count(*) FILTER (WHERE feature IN ({_KNOWN})) AS n_known FROM fr WHERE rank <= 2 GROUP BY fold")
 
+# ------------------------------------------------------------------ families, and the 64 embedding columns
+FAMILIES = ["benign", "signup", "click", "error", "purchase"]
+_FZ = ", ".join(f"(CAST({f} AS DOUBLE) - m{i}) / s{i} AS {f}" for i, f in enumerate(FEATS))
+_FP = ", ".join(f"avg(CAST({f} AS DOUBLE)) AS m{i}, CASE WHEN coalesce(stddev_pop(CAST({f} AS DOUBLE)), 0) = 0 THEN 1.0 ELSE stddev_pop(CAST({f} AS DOUBLE)) END AS s{i}"
+                for i, f in enumerate(FEATS))
+FAMILY_CTE = TRAFFIC_CTE + f""",
+  fam AS (SELECT *, CAST(list_position({FAMILIES}, family) - 1 AS INTEGER) AS family_code FROM traffic),
+  fq AS (SELECT family_code, CAST(round_even(count(*) * 0.2::DOUBLE, 0) AS BIGINT) AS q FROM fam GROUP BY 1),
+  fr AS (SELECT fam.*, row_number() OVER (PARTITION BY family_code ORDER BY {hash32_sql(SEED, 'split', 'row_key')}, row_key) AS _rn FROM fam),
+  fs AS (SELECT fr.*, CASE WHEN _rn <= fq.q THEN 'test' ELSE 'train' END AS split FROM fr JOIN fq USING (family_code)),
+  fp AS (SELECT {_FP} FROM fs WHERE split = 'train'),
+  te AS (SELECT row_key, family_code, {_FZ} FROM fs JOIN fp ON true WHERE split = 'test'),
+  tr AS (SELECT row_key, family_code, {_FZ} FROM fs JOIN fp ON true WHERE split = 'train'),
+  cnt AS (SELECT family_code, count(*) AS n FROM tr GROUP BY 1),
+  mc AS (SELECT family_code AS cls, n AS n_c, (SELECT max(n) FROM cnt) - n AS need FROM cnt WHERE n < (SELECT max(n) FROM cnt)),
+  mino AS (SELECT tr.*, row_number() OVER (PARTITION BY family_code ORDER BY row_key) - 1 AS pos FROM tr JOIN mc ON mc.cls = tr.family_code),
+  md AS (SELECT a.row_key AS qid, b.row_key AS rid, {dist_sql('a', 'b', FEATS)} AS dist
+         FROM mino a JOIN mino b ON a.family_code = b.family_code AND a.row_key <> b.row_key),
+  mnn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, rid) AS rk FROM md) WHERE rk <= 5),
+  syn0 AS (SELECT unnest(range(need)) AS j, n_c, cls FROM mc),
+  syn AS (SELECT j, cls, CAST(floor({uniform52_sql(SEED, "smote:' || cls || ':base", 'j')} * n_c * 5) AS BIGINT) AS r,
+                 {uniform52_sql(SEED, "smote:' || cls || ':step", 'j')} AS step FROM syn0),
+  made AS (SELECT s.j, s.cls, b.row_key AS base_key, o.row_key AS nn_key,
+                  {', '.join(f'b.{f} + s.step * (o.{f} - b.{f}) AS {f}' for f in FEATS)}
+           FROM syn s JOIN mino b ON b.pos = s.r // 5 AND b.family_code = s.cls JOIN mnn ON mnn.qid = b.row_key AND mnn.rk = s.r % 5 + 1
+           JOIN mino o ON o.row_key = mnn.rid)
+"""
+ORACLE["multiclass_smote"] = f"""WITH {FAMILY_CTE}
+SELECT family_code, false AS is_synthetic, count(*) AS n, CAST(0 AS BIGINT) AS base_keys, CAST(0 AS BIGINT) AS nn_keys FROM tr GROUP BY 1
+UNION ALL SELECT cls, true, count(*), CAST(sum(base_key) AS BIGINT), CAST(sum(nn_key) AS BIGINT) FROM made GROUP BY 1"""
+
+ORACLE["multiclass_report"] = f"""WITH {FAMILY_CTE},
+  bal AS (SELECT row_key, family_code, {', '.join(FEATS)} FROM tr UNION ALL
+          SELECT -1 - (j * {len(FAMILIES)} + cls), cls, {', '.join(FEATS)} FROM made),
+  dd AS (SELECT te.row_key AS qid, bal.row_key AS rid, bal.family_code AS label, {dist_sql('te', 'bal', FEATS)} AS dist FROM te JOIN bal ON true),
+  nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, rid) AS rk FROM dd) WHERE rk <= 5),
+  {vote_sql('nn')},
+  pred AS (SELECT te.family_code AS a, vote.predicted AS p FROM te LEFT JOIN vote ON te.row_key = vote.qid),""" + (
+    ORACLE["classification_report"][ORACLE["classification_report"].index("  cells AS (SELECT a, p"):]
+    .replace("SELECT CAST(label AS VARCHAR) AS class,", f"SELECT {FAMILIES}[label + 1] AS class,"))
+
+
+def wide_rank_cte() -> str:
+    n = []
+    for i, f in enumerate(EFEATS):
+        x = f"CAST({f} AS DOUBLE)"
+        n.append(f"SELECT '{f}' AS feature, {i} AS source_column_index, binary_target AS c, count({x}) AS n, avg({x}) AS m, var_pop({x}) * count({x}) AS v "
+                 "FROM et WHERE split = 'train' GROUP BY binary_target")
+    return f"""{EMB_CTE},
+  wq AS (SELECT binary_target, CAST(round_even(count(*) * 0.2::DOUBLE, 0) AS BIGINT) AS q FROM emb GROUP BY 1),
+  wr AS (SELECT emb.*, row_number() OVER (PARTITION BY binary_target ORDER BY {hash32_sql(SEED, 'split', 'row_key')}, row_key) AS _rn FROM emb),
+  et AS MATERIALIZED (SELECT wr.*, CASE WHEN _rn <= wq.q THEN 'test' ELSE 'train' END AS split FROM wr JOIN wq USING (binary_target)),
+  ws AS ({' UNION ALL '.join(n)}),
+  wt AS (SELECT feature, source_column_index, sum(n * m) / sum(n) AS mean FROM ws GROUP BY ALL),
+  wi AS (SELECT ws.feature, ws.source_column_index, CASE WHEN sum(v) + sum(n * (m - mean) * (m - mean)) > 0
+           THEN sum(n * (m - mean) * (m - mean)) / (sum(v) + sum(n * (m - mean) * (m - mean))) ELSE 0.0 END AS importance
+         FROM ws JOIN wt USING (feature) GROUP BY ALL),
+  wk AS (SELECT *, CAST(row_number() OVER (ORDER BY importance DESC, source_column_index) AS INTEGER) AS rank FROM wi)"""
+
+
+ORACLE["feature_rank_wide"] = f"""WITH {wide_rank_cte()}
+SELECT rank, feature, round(importance, 6) AS importance, source_column_index, rank <= 20 AS selected FROM wk"""
+
+
+def wide_config_sql(tag: str, config: str, n: str, weighted: bool) -> str:
+    w = (lambda f: f"w_{f} * ") if weighted else (lambda f: "")
+    terms = " + ".join(f"{w(f)}(((CAST(te.{f} AS DOUBLE) - m{i}) / s{i} - (CAST(tr.{f} AS DOUBLE) - m{i}) / s{i}) ** 2)" for i, f in enumerate(EFEATS))
+    v = vote_sql(f"nn_{tag}")
+    for name in ("v1", "v2", "v3", "v4"):
+        v = v.replace(f" {name} AS", f" {name}_{tag} AS").replace(f"FROM {name})", f"FROM {name}_{tag})").replace(f"FROM {name} ", f"FROM {name}_{tag} ")
+    return f"""
+  dd_{tag} AS (SELECT te.row_key AS qid, tr.row_key AS rid, tr.binary_target AS label, sqrt({terms}) AS dist FROM te JOIN tr ON true JOIN ep ON true JOIN wsel ON true),
+  nn_{tag} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, rid) AS rk FROM dd_{tag}) WHERE rk <= 5),
+  {v.replace("vote AS", f"vote_{tag} AS")},
+  c_{tag} AS ({counts_sql(f'(SELECT te.binary_target AS actual, x.predicted FROM te LEFT JOIN vote_{tag} x ON x.qid = te.row_key)')}),
+  m_{tag} AS (SELECT '{config}' AS config, {n} AS n_features, {metrics_cols_sql()} FROM c_{tag})"""
+
+
+ORACLE["wide_three_config"] = f"""WITH {wide_rank_cte()},
+  wsel AS (SELECT {', '.join(f"max(CASE WHEN feature = '{f}' AND rank <= 20 THEN 1.0 ELSE 0.0 END) AS w_{f}" for f in EFEATS)} FROM wk),
+  ep AS (SELECT {_emb_params_sql()} FROM et WHERE split = 'train'),
+  te AS (SELECT * FROM et WHERE split = 'test'), tr AS (SELECT * FROM et WHERE split = 'train'),""" + wide_config_sql(
+    "all", "all_features", "64", False) + "," + wide_config_sql("top", "top20", "20", True) + """
+SELECT config, n_features, tn, fp, fn, tp, accuracy, macro_f1 FROM m_all
+UNION ALL SELECT config, n_features, tn, fp, fn, tp, accuracy, macro_f1 FROM m_top
+UNION ALL SELECT 'top20_ranked', n_features, tn, fp, fn, tp, accuracy, macro_f1 FROM m_top"""
+
 ORACLE["experiment_run_checks"] = ORACLE["knn_three_config"].replace(THREE_SELECT, "") + """,
   runs AS (""" + THREE_SELECT + """)
 SELECT 'three_runs' AS check, count(*) = 3 AS passed FROM runs
