@@ -54,8 +54,9 @@ def holdout_knn(df: DataFrame, features: list[str], fold_col: str, label_col: st
     that is not selected is 0 on both sides. Rows with a null, NaN or infinite
     feature get a null prediction and are nobody's reference.
     """
-    rows = df.select(F.col(fold_col).alias("_own"), F.col(key_col), F.col(label_col).alias("actual"), *features)
-    scalers = cut_lineage(fold_scalers(df, features, fold_col))  # one row per group
+    # the narrow rows are stored once: the moments, both sides of the join and the result read them
+    rows = cut_lineage(df.select(F.col(fold_col).alias("_own"), F.col(key_col), F.col(label_col).alias("actual"), *features))
+    scalers = cut_lineage(fold_scalers(rows, features, "_own"))  # one row per group
     ids = [r[0] for r in scalers.select("fold").collect()]
     kind = df.schema[fold_col].dataType
     wanted = F.array(*[F.lit(v).cast(kind) for v in ids if folds is None or v in folds]).cast(f"array<{kind.simpleString()}>")
@@ -76,7 +77,8 @@ def holdout_knn(df: DataFrame, features: list[str], fold_col: str, label_col: st
 
     queries = scaled(rows.withColumn("fold", F.col("_own")).where(F.exists(wanted, lambda v: v.eqNullSafe(F.col("_own")))))
     refs = scaled(rows.withColumn("fold", F.explode(F.filter(wanted, lambda v: ~v.eqNullSafe(F.col("_own"))))))
-    neigh = knn.knn_join(queries, refs, features, k, key_col, key_col, carry=["actual"], group_col="fold")
+    sizes = scalers.where("train_rows > 0").select(F.col("fold").alias("_g"), F.col("test_rows").alias("nq"), F.col("train_rows").alias("nr"))
+    neigh = knn.knn_join(queries, refs, features, k, key_col, key_col, carry=["actual"], group_col="fold", group_sizes=sizes)
     votes = knn.weighted_vote(neigh, "actual", ["fold"]).withColumnsRenamed({"fold": "_vf", "qid": "_vq"})
     asked = queries.select("fold", F.col(key_col), "actual")
     pred = asked.join(votes, F.col("fold").eqNullSafe(F.col("_vf")) & (F.col(key_col) == F.col("_vq")), "left")

@@ -32,6 +32,16 @@ from flowlab.session import broadcast_if_small, cut_lineage
 
 DEFAULT_BLOCK_ROWS = 4096
 PAIRS = 1_000_000  # exact distances computed at a time within a tile
+GROUPS = 256  # groups of the columns of a tile whose minima bound the k-th distance
+
+
+def same_ids(qid: np.ndarray, rid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs (query, reference) of equal ids."""
+    order = np.argsort(rid, kind="stable")
+    lo, hi = np.searchsorted(rid[order], qid, "left"), np.searchsorted(rid[order], qid, "right")
+    many = hi - lo
+    i = np.repeat(np.arange(len(qid)), many)
+    return i, order[np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
 
 
 def _kernel(features: list[str], k: int, exclude_self: bool, carry: list[str], tile: int, group: bool = False):
@@ -39,25 +49,33 @@ def _kernel(features: list[str], k: int, exclude_self: bool, carry: list[str], t
 
     def nearest(Q, qid, R, rid, centre):
         """(query row, reference row, distance) of the k best references of every query of a tile."""
-        # product form on centred coordinates: its rounding error follows the spread, not the offset
+        # Product form on centred coordinates (its rounding error follows the spread, not the offset), less the
+        # query's own norm: one matrix product over the coordinates and a column for the reference's norm.
         q0, r0 = Q - centre, R - centre
         qn, rn = np.einsum("ij,ij->i", q0, q0), np.einsum("ij,ij->i", r0, r0)
-        d2 = qn[:, None] + rn[None, :] - 2.0 * (q0 @ r0.T)
+        n, kk = len(R), min(k, len(R))
+        groups = max(kk, min(GROUPS, n))  # a group is every groups-th column
+        pad = -n % groups
+        right = np.column_stack([np.concatenate([-2.0 * r0, np.zeros((pad, d))]), np.concatenate([rn, np.full(pad, np.inf)])])
+        v = np.column_stack([q0, np.ones(len(q0))]) @ right.T
         if exclude_self:
-            d2[qid[:, None] == rid[None, :]] = np.inf
-        kk = min(k, R.shape[0])
-        kth = np.partition(d2, kk - 1, axis=1)[:, kk - 1]
+            own = same_ids(qid, rid)
+            v[own] = np.inf
+        # k groups have a member up to the k-th smallest group minimum, so it bounds the k-th distance from above
+        low = v.reshape(len(Q), -1, groups).min(axis=1)
+        kth = np.partition(low, kk - 1, axis=1)[:, kk - 1]
         tol = 1e-9 * (qn + rn.max()) + 1e-12  # far above the rounding error of the product form
-        near = d2 <= (kth + tol)[:, None]
+        near = v <= (kth + tol)[:, None]
+        near[:, n:] = False
         if exclude_self:
-            near &= qid[:, None] != rid[None, :]
-        ends = np.cumsum(near.sum(axis=1))
+            near[own] = False
+        ends = np.cumsum(np.count_nonzero(near, axis=1))
         out, start = [], 0
         while start < Q.shape[0]:  # equal rows may all be near: recompute about PAIRS pairs at a time
             base = ends[start - 1] if start else 0
             stop = max(start + 1, int(np.searchsorted(ends, base + PAIRS, side="right")))
-            qi, rj = np.nonzero(near[start:stop])
-            qi = qi + start
+            at = np.flatnonzero(near[start:stop])
+            qi, rj = at // near.shape[1] + start, at % near.shape[1]
             acc = np.zeros(qi.shape[0], dtype=np.float64)
             for f in range(d):  # exact, sequential sum of squared differences
                 diff = Q[qi, f] - R[rj, f]
@@ -129,15 +147,16 @@ def is_finite(features: list[str]) -> Column:
     return out
 
 
-def group_blocks(q: DataFrame, r: DataFrame, parallelism: int, tile: int) -> tuple[DataFrame, int]:
-    """(_g, bq, br) for every group on both sides, and the number of block pairs.
+def group_blocks(q: DataFrame, r: DataFrame, parallelism: int, tile: int, sizes: DataFrame | None = None) -> tuple[DataFrame, int]:
+    """(_g, bq, br) for every group on both sides, and the number of block pairs; ``sizes`` (_g, nq, nr) if they are known.
 
     Block sizes start at 8k query and 64k reference rows and are halved until
     there are at least 2 x parallelism pairs or the blocks reach one tile.
     """
-    count = lambda df, name: df.groupBy("_g").agg(F.count(F.lit(1)).alias(name))
-    left, right = count(q, "nq"), count(r, "nr").withColumnRenamed("_g", "_gr")
-    sizes = cut_lineage(left.join(right, F.col("_g").eqNullSafe(F.col("_gr"))).drop("_gr"))
+    if sizes is None:
+        count = lambda df, name: df.groupBy("_g").agg(F.count(F.lit(1)).alias(name))
+        left, right = count(q, "nq"), count(r, "nr").withColumnRenamed("_g", "_gr")
+        sizes = cut_lineage(left.join(right, F.col("_g").eqNullSafe(F.col("_gr"))).drop("_gr"))
     qb, rb = max(8192, tile), max(65536, tile)
     if tile < DEFAULT_BLOCK_ROWS:
         qb = rb = tile
@@ -152,11 +171,12 @@ def group_blocks(q: DataFrame, r: DataFrame, parallelism: int, tile: int) -> tup
 def knn_join(queries: DataFrame, refs: DataFrame, features: list[str], k: int = 5,
              q_key: str = "row_key", r_key: str = "row_key", exclude_self: bool = False,
              carry: list[str] | None = None, block_rows: int = DEFAULT_BLOCK_ROWS,
-             sizes: tuple[int, int] | None = None, group_col: str | None = None) -> DataFrame:
+             sizes: tuple[int, int] | None = None, group_col: str | None = None, group_sizes: DataFrame | None = None) -> DataFrame:
     """Exact k nearest references per query (Euclidean). Returns qid, rid, dist, nn_rank, *carry (and the group).
 
     ``sizes``: (query rows, reference rows) when the caller already knows them
-    (they only size the blocks), otherwise both sides are counted.
+    (they only size the blocks), otherwise both sides are counted; ``group_sizes``:
+    the same as a table (_g, nq, nr), one row per group.
 
     ``carry``: numeric reference columns passed through (e.g. the class label).
     With ``exclude_self`` a query never matches the reference with the same id
@@ -180,7 +200,7 @@ def knn_join(queries: DataFrame, refs: DataFrame, features: list[str], k: int =
     par = queries.sparkSession.sparkContext.defaultParallelism
     if group_col:
         fields.append(T.StructField("_g", queries.schema[group_col].dataType))
-        plan, pairs = group_blocks(q, r, par, block_rows)
+        plan, pairs = group_blocks(q, r, par, block_rows, group_sizes)
         plan = broadcast_if_small(plan.withColumnRenamed("_g", "_gp"))  # one row per group
         keys = ["_g", "_bq", "_br"]
         q, r = (df.join(plan, F.col("_g").eqNullSafe(F.col("_gp"))).drop("_gp") for df in (q, r))
@@ -268,12 +288,14 @@ def novelty_lof(refs: DataFrame, queries: DataFrame, features: list[str], k: int
     """
     by = [group_col] if group_col else []
     group = F.col(group_col) if group_col else F.lit(0)
+    alone = refs is queries
     refs, queries = refs.withColumn("_lof_g", group), queries.withColumn("_lof_g", group)
     own = cut_lineage(knn_join(refs, refs, features, k, key_col, key_col, exclude_self=True, block_rows=block_rows, group_col="_lof_g"))
     far = own.groupBy(F.coalesce(F.col("_lof_g").cast("string"), F.lit("null")).alias("_gk"), F.col("qid").alias("rid")).agg(F.max("dist").alias("_kd_o"))
     keyed = lambda df: df.withColumn("_gk", F.coalesce(F.col("_lof_g").cast("string"), F.lit("null"))).drop("_lof_g")
     lrd_o = _densities(keyed(own), far, ["_gk", "qid"]).select("_gk", F.col("qid").alias("rid"), F.col("lrd").alias("_lrd_o"))
-    neigh = cut_lineage(keyed(knn_join(queries, refs, features, k, key_col, key_col, exclude_self=True, block_rows=block_rows, group_col="_lof_g")))
+    neigh = keyed(own) if alone else cut_lineage(keyed(knn_join(queries, refs, features, k, key_col, key_col, exclude_self=True,
+                                                                block_rows=block_rows, group_col="_lof_g")))
     lrd = _densities(neigh, far, ["_gk", "qid"])
     around = neigh.join(lrd_o, ["_gk", "rid"]).groupBy("_gk", "qid").agg(F.avg("_lrd_o").alias("_mo"))
     reach = neigh.groupBy("_gk", "qid").agg(F.max("dist").alias("k_distance"))

@@ -176,9 +176,16 @@ def scaled_traffic_split(spark, sf_dir) -> DataFrame:
     return model.transform(sc.narrow_to_float(split, TRAFFIC_FEATURES))
 
 
-def knn_predictions(spark, sf_dir) -> DataFrame:
+def stored_split(spark, sf_dir) -> DataFrame:
+    """Keys, labels and scaled features of the split; the split is stored once for plans that read it several times."""
+    raw = cut_lineage(traffic_split(spark, sf_dir).select("row_key", "binary_target", "split", *TRAFFIC_FEATURES))
+    model = sc.fit_standard(raw.filter(F.col("split") == sp.TRAIN), TRAFFIC_FEATURES)
+    return model.transform(sc.narrow_to_float(raw, TRAFFIC_FEATURES))
+
+
+def knn_predictions(spark, sf_dir, data: DataFrame | None = None) -> DataFrame:
     """Flagship chain: label -> stratified split -> train-only scaling -> 5-NN (distance weights)."""
-    data = scaled_traffic_split(spark, sf_dir)
+    data = stored_split(spark, sf_dir) if data is None else data
     train = data.filter(F.col("split") == sp.TRAIN)
     test = data.filter(F.col("split") == sp.TEST)
     return knn.knn_classify(train, test, TRAFFIC_FEATURES, K, "binary_target", "row_key")
@@ -321,9 +328,9 @@ def q_attack_type_holdout(spark, sf_dir):
     return rounded(out).orderBy("held_out_type")
 
 
-def _smote_train(spark, sf_dir) -> DataFrame:
-    data = scaled_traffic_split(spark, sf_dir)
-    train = cut_lineage(data.filter(F.col("split") == sp.TRAIN).select("row_key", "binary_target", *TRAFFIC_FEATURES))
+def _smote_train(spark, sf_dir, data: DataFrame | None = None) -> DataFrame:
+    data = stored_split(spark, sf_dir) if data is None else data
+    train = data.filter(F.col("split") == sp.TRAIN).drop("split")
     return smote_op.smote(train, TRAFFIC_FEATURES, "binary_target", "row_key", K, SEED)
 
 
@@ -402,7 +409,7 @@ def q_lof_benign(spark, sf_dir):
 
 def q_knn_approx(spark, sf_dir):
     """J9, approximate mode: random projections against the exact join on the scaled split, as checked rows."""
-    data = cut_lineage(scaled_traffic_split(spark, sf_dir))
+    data = stored_split(spark, sf_dir)
     test, train = data.filter(F.col("split") == sp.TEST), data.filter(F.col("split") == sp.TRAIN)
     approx, model = knn_lsh.approx_knn_join(test, train, TRAFFIC_FEATURES, K)
     exact = knn.knn_join(test, train, TRAFFIC_FEATURES, K)
@@ -478,7 +485,7 @@ def q_golden_match(spark, sf_dir):
 
     The golden matrix is written as a wide CSV and read back with its checks. One kNN join serves both: the three nearest are the first ranks of the five.
     """
-    data = scaled_traffic_split(spark, sf_dir)
+    data = stored_split(spark, sf_dir)
     train, test = data.filter(F.col("split") == sp.TRAIN), data.filter(F.col("split") == sp.TEST)
     neigh = cut_lineage(knn.knn_join(test, train, TRAFFIC_FEATURES, K, carry=["binary_target"]))
     labels = test.select("row_key", "binary_target")
@@ -510,9 +517,9 @@ def q_snapshot_diff(spark, sf_dir):
 
 def q_label_digest(spark, sf_dir):
     """Digest of the ordered test labels after the split, as carried through prediction, and of the predictions."""
-    data = scaled_traffic_split(spark, sf_dir)
+    data = stored_split(spark, sf_dir)
     test = data.filter(F.col("split") == sp.TEST)
-    pred = cut_lineage(knn_predictions(spark, sf_dir).select("row_key", "binary_target", "predicted"))
+    pred = cut_lineage(knn_predictions(spark, sf_dir, data).select("row_key", "binary_target", "predicted"))
     stages = [("split_test", test, "binary_target"), ("carried", pred, "binary_target"), ("predicted", pred, "predicted")]
     return reduce(DataFrame.unionByName, [
         runs_op.ordered_digest(df, ["row_key"], col).select(F.lit(n).alias("stage"), "rows", "digest") for n, df, col in stages])
@@ -541,7 +548,7 @@ def q_leakage_check(spark, sf_dir):
 
 def q_fingerprint(spark, sf_dir):
     """Test-label fingerprint after the split and after prediction (must be equal)."""
-    data = scaled_traffic_split(spark, sf_dir)
+    data = stored_split(spark, sf_dir)
     test = data.filter(F.col("split") == sp.TEST)
     pred = knn.knn_classify(data.filter(F.col("split") == sp.TRAIN), test, TRAFFIC_FEATURES, K)
     a = runs_op.fingerprint(test, "row_key", "binary_target").select(F.lit("split_test").alias("stage"), "*")
@@ -577,10 +584,10 @@ def q_experiment_table(spark, sf_dir):
 def q_run_checks(spark, sf_dir):
     """V1: checks of the flagship run: rows, supports, labels, predictions, and the report's ratios against the counts."""
     t = traffic(spark, sf_dir)
-    data = scaled_traffic_split(spark, sf_dir)
-    pred = cut_lineage(knn_predictions(spark, sf_dir).select("row_key", "binary_target", "predicted"))
+    data = stored_split(spark, sf_dir)
+    pred = cut_lineage(knn_predictions(spark, sf_dir, data).select("row_key", "binary_target", "predicted"))
     report = checks.reported_metrics(met.classification_report(pred, "binary_target", "predicted", met.BINARY_NAMES))
-    return checks.run_checks(t, data, pred, report, _smote_train(spark, sf_dir))
+    return checks.run_checks(t, data, pred, report, _smote_train(spark, sf_dir, data))
 
 
 def q_cross_run_checks(spark, sf_dir):
