@@ -438,16 +438,16 @@ ORACLE["change_table"] = f"""WITH {RUNS_CTE},
   j AS (SELECT c.*, b.reference_value, comparison_value - reference_value AS d,
                CASE WHEN reference_value <> 0 THEN (comparison_value - reference_value) / reference_value * 100.0 END AS sg
         FROM c JOIN b USING (metric))
-SELECT experiment, metric, round(comparison_value, 3) AS comparison_value, round(reference_value, 3) AS reference_value, round(d, 3) AS absolute_change,
-       round(sg, 3) AS signed_percent_change,
+SELECT experiment, metric, round(comparison_value, 6) AS comparison_value, round(reference_value, 6) AS reference_value, round(d, 6) AS absolute_change,
+       round(sg, 6) AS signed_percent_change,
        CASE WHEN d < 0 THEN 'reduction' WHEN d > 0 THEN 'increase' ELSE 'no_change' END AS direction,
-       round(CASE WHEN d < 0 THEN -sg WHEN d = 0 THEN 0.0 END, 3) AS reduction_percent,
-       round(CASE WHEN d > 0 THEN sg WHEN d = 0 THEN 0.0 END, 3) AS increase_percent,
-       round(d, 3) AS absolute_metric_difference, round(d * 100.0, 3) AS percentage_point_difference,
+       round(CASE WHEN d < 0 THEN -sg WHEN d = 0 THEN 0.0 END, 6) AS reduction_percent,
+       round(CASE WHEN d > 0 THEN sg WHEN d = 0 THEN 0.0 END, 6) AS increase_percent,
+       round(d, 6) AS absolute_metric_difference, round(d * 100.0, 4) AS percentage_point_difference,
        CASE WHEN d > 0 THEN 'increase' WHEN d < 0 THEN 'decrease' ELSE 'no_change' END AS metric_direction,
        round(CASE WHEN reference_value <> 0 THEN (reference_value - comparison_value) / reference_value * 100.0
-                  ELSE 0.0 END, 3) AS reduction_pct,
-       round(reference_value / nullif(comparison_value, 0), 3) AS ratio,
+                  ELSE 0.0 END, 6) AS reduction_pct,
+       round(reference_value / nullif(comparison_value, 0), 6) AS ratio,
        CASE WHEN reference_value / nullif(comparison_value, 0) > 1 THEN 'speedup'
             WHEN reference_value / nullif(comparison_value, 0) < 1 THEN 'slowdown' ELSE 'same' END AS speed_direction
 FROM j"""
