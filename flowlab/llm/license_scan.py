@@ -3,8 +3,8 @@
 A paragraph is a line of a text. A sparse multinomial logistic regression over
 word 1- to 3-grams names a licence family. It is trained on windows of the
 templates (passages, and short notices made of every lead and every name of a
-licence), bare and between words of document lines, against lines of a bounded
-sample of documents (class unknown). Its features are the n-grams of the
+licence), bare and between words of document lines, against the lines of all
+documents (class unknown). Its features are the n-grams of the
 templates that hold a word which is rare in ordinary lines. A prediction stands
 above a probability that is calibrated on held-out unknown lines. It is
 confirmed by comparison with the templates of its family: the paragraph shares
@@ -16,7 +16,7 @@ N-grams outside the vocabulary have no weight, so a paragraph without any
 n-gram that speaks for a family is unknown whatever else it holds. Only
 paragraphs with the rarest word of such an n-gram are scored; no other can be
 predicted. Everything runs as DataFrame expressions and Spark ML (JVM) stages;
-there is no shuffle over the documents.
+training counts words and equal vectors of lines, no text is shuffled.
 """
 
 from __future__ import annotations
@@ -91,8 +91,6 @@ FAMILIES = ("unknown", *NAMES)
 SHINGLE = 5
 SIMILARITY = 0.8
 WINDOW, STEP = 12, 3  # words of a training window, and its advance
-SAMPLE_DOCS = 1_000  # documents whose lines train and calibrate the unknown class, by a hash of the id
-SAMPLE_LINES = 10_000  # at most so many of their lines
 FAMILY_ROWS, UNKNOWN_WEIGHT = 300.0, 5.0  # weight of a family in the training, and of the unknown class in families
 COPIES = 12, 3  # training rows of a window of a passage and of a short notice: bare, and between words of lines
 SHORT = 12  # words of a short notice at most
@@ -153,16 +151,24 @@ class Scanner:
 
 
 def train(docs: DataFrame) -> Scanner:
-    """Fits and calibrates the classifier; reads ``SAMPLE_DOCS`` documents of ``docs``."""
+    """Fits and calibrates the classifier on the lines of all of ``docs``, in two passes; equal vectors are one weighted row."""
     spark = docs.sparkSession
     base = cut_lineage(templates(spark))
-    ids = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id")).limit(SAMPLE_DOCS)
     known = [r[0] for r in base.select(F.explode(F.array_distinct(runs(F.col("words"), 3)))).distinct().collect()]
-    # stored before they are compared, so that a line is cut into words once
-    some = cut_lineage(lines(docs.join(F.broadcast(ids), "doc_id", "left_semi")).where("size(words) > 2")  # SAMPLE_DOCS ids at most
-                       .orderBy(F.xxhash64("doc_id", "paragraph")).limit(SAMPLE_LINES))
-    plain = some.where(~F.arrays_overlap(runs(F.col("words"), 3), listed(known))).select(F.lit("unknown").alias("family"), "words")
-    plain = cut_lineage(plain.withColumn("i", F.pmod(F.xxhash64("words"), F.lit(997))))
+    # the generator keeps the words as one value; otherwise each use of them would cut the line again
+    cut = lines(docs).select(F.explode(F.array("words")).alias("words"))
+    plain = cut.where((F.size("words") > 2) & ~F.arrays_overlap(runs(F.col("words"), 3), listed(known)))
+    vocabulary = [r[0] for r in base.select(F.explode(grams(F.col("words"))).alias("g")).distinct().orderBy("g").collect()]
+    parts = listed(sorted({w for g in vocabulary for w in g.split(" ")}))
+    # first pass: lines per word of the templates, all lines, and 997 lines to stand around the templates
+    number = F.pmod(F.xxhash64("words"), F.lit(997)).cast("string")
+    facts = F.concat(F.transform(F.array_intersect("words", parts), lambda w: F.struct(F.lit("word").alias("kind"), w.alias("key"), F.lit(None).cast("array<string>").alias("noise"))),
+                     F.array(F.struct(F.lit("line").alias("kind"), number.alias("key"), F.slice("words", 1, 16).alias("noise"))))
+    facts = cut_lineage(plain.select(F.explode(facts).alias("f")).groupBy("f.kind", "f.key").agg(F.count(F.lit(1)).alias("n"), F.min("f.noise").alias("noise")))
+    counts = facts.where("kind = 'word'").collect()  # at most one row per word of the templates
+    n_plain = facts.where("kind = 'line'").agg(F.sum("n")).first()[0] or 1
+    seen = {r["key"]: r["n"] / n_plain for r in counts}
+    features = [g for g in vocabulary if min(seen.get(w, 0.0) for w in g.split(" ")) <= RARE]
     windows = base.select("family", "copies", F.explode(F.concat(
         F.array("words"),
         F.when(F.size("words") > WINDOW, F.transform(F.sequence(F.lit(1), F.size("words") - WINDOW + 1, F.lit(STEP)),
@@ -170,30 +176,30 @@ def train(docs: DataFrame) -> Scanner:
     )).alias("words"))
     # every window bare, and between words of document lines (a paragraph may hold more than the notice)
     around = windows.select("family", "words", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
-    around = around.withColumn("i", F.pmod(F.xxhash64("family", "words", "copy"), F.lit(997)))
-    noise = plain.groupBy("i").agg(F.min("words").alias("noise"))
+    around = around.withColumn("i", F.pmod(F.xxhash64("family", "words", "copy"), F.lit(997)).cast("string"))
+    noise = facts.where("kind = 'line'").select(F.col("key").alias("i"), "noise")
     mixed = (around.join(noise, "i", "left").select("family", F.when((F.col("copy") == 0) | F.col("noise").isNull(), F.col("words"))
              .otherwise(F.concat(F.slice("noise", 1, 8), "words", F.slice("noise", 9, 8))).alias("words")))
     label = F.array_position(F.array(*[F.lit(f) for f in FAMILIES]), F.col("family")).cast("double") - 1
-    rows = cut_lineage(mixed.unionByName(plain.select("family", "words"))
-                       .select(label.alias("label"), F.col("words"), grams(F.col("words")).alias("grams"),
-                               (F.pmod(F.xxhash64("words"), F.lit(HELD_OUT)) == 0).alias("held_out")).coalesce(4))
+    # second pass: the n-grams of a line that are features; a line without a rare word of the templates has none
+    rare = listed(sorted({w for g in features for w in g.split(" ") if seen.get(w, 0.0) <= RARE}))
+    told = F.when(F.arrays_overlap("words", rare), F.array_sort(F.array_intersect(grams(F.col("words")), listed(features)))).otherwise(F.array().cast("array<string>"))
+    rows = mixed.select(label.alias("label"), "words").unionByName(plain.select(F.lit(0.0).alias("label"), "words"))
+    rows = rows.select("label", told.alias("grams"), (F.pmod(F.xxhash64("words"), F.lit(HELD_OUT)) == 0).alias("held_out"))
+    rows = cut_lineage(rows.groupBy("label", "grams", "held_out").agg(F.count(F.lit(1)).alias("n")))
     fit_rows = rows.where((F.col("label") > 0) | ~F.col("held_out"))
     # every family weighs the same, however many names it has, and the unknown class as much as five of them
-    size = fit_rows.groupBy("label").agg(F.count("*").alias("n"))
-    fit_rows = fit_rows.join(F.broadcast(size), "label").withColumn("weight", F.when(F.col("label") > 0, 1.0).otherwise(UNKNOWN_WEIGHT) * FAMILY_ROWS / F.col("n"))
-    features = [r[0] for r in base.select(F.explode(grams(F.col("words"))).alias("g")).distinct().orderBy("g").collect()]
-    parts = listed(sorted({w for g in features for w in g.split(" ")}))
-    counts = plain.select(F.explode(F.array_intersect("words", parts)).alias("w")).groupBy("w").count().collect()
-    n_plain = max(plain.count(), 1)
-    seen = {r["w"]: r["count"] / n_plain for r in counts}  # at most one row per word of the templates
-    features = [g for g in features if min(seen.get(w, 0.0) for w in g.split(" ")) <= RARE]
+    size = fit_rows.groupBy("label").agg(F.sum("n").alias("rows"))
+    weight = F.when(F.col("label") > 0, 1.0).otherwise(UNKNOWN_WEIGHT) * FAMILY_ROWS * F.col("n") / F.col("rows")
+    fit_rows = fit_rows.join(F.broadcast(size), "label").withColumn("weight", weight)  # one row per family
     vectors = CountVectorizerModel.from_vocabulary(features, "grams", "features", binary=True)
+    # sorted, so that the sums of the fit do not depend on the layout of the documents
+    fit_rows = vectors.transform(fit_rows).select("label", "features", "weight", "grams").repartition(4, "label", "grams").sortWithinPartitions("label", "grams")
     model = LogisticRegression(family="multinomial", regParam=2e-4, elasticNetParam=0.5, maxIter=25, standardization=False, weightCol="weight"
-                               ).fit(vectors.transform(fit_rows).select("label", "features", "weight"))
+                               ).fit(fit_rows.select("label", "features", "weight"))
     scored = model.transform(vectors.transform(rows.where("held_out and label = 0")))
     best = F.array_max(F.slice(vector_to_array("probability"), 2, len(FAMILIES) - 1))
-    calm = scored.agg(F.percentile(best, F.lit(ACCEPT))).first()[0]
+    calm = scored.agg(F.percentile(best, F.lit(ACCEPT), F.col("n"))).first()[0]
     threshold = min(max(0.5, float(calm) if calm is not None else 0.5), 0.9)
 
     return Scanner(vectors, model, threshold, anchor_words(features, model.coefficientMatrix.toArray(),

@@ -52,3 +52,9 @@ def test_training_without_documents(spark, docs):
     bare = license_scan.train(docs.limit(0))
     df = spark.createDataFrame([(1, "Licensed under the MIT License."), (2, "nothing of the kind here")], "doc_id long, text string")
     assert {r["doc_id"]: r["family"] for r in license_scan.scan(df, bare).collect()}.get(1) == "mit"
+
+
+def test_training_reads_every_document(spark):
+    rows = [(i if i % 3 else None, f"line {i} by the river\n" + ("the commons are open" if i in (7, 1234) else "the park is open")) for i in range(2500)]
+    trained = license_scan.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert trained.seen["commons"] == 2 / 5000 and trained.seen["the"] == 1.0
