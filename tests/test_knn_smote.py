@@ -140,3 +140,28 @@ def test_equal_rows_stay_within_memory():
     out = fn(q, r)
     assert len(out) == 10_000 and set(out["rid"]) == set(range(5))
     assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1_500_000  # KiB
+
+
+def test_wide_block_stays_within_memory():
+    """A block of 64 features: the kernel holds one tile and the best so far, and blocks are bounded by their bytes."""
+    import tracemalloc
+
+    import pandas as pd
+
+    rng = np.random.default_rng(1)
+    feats = [f"f{j}" for j in range(64)]
+    Q, R = rng.normal(size=(5000, 64)), rng.normal(size=(9000, 64))
+    q = pd.DataFrame(Q, columns=feats).assign(_qid=np.arange(5000))
+    r = pd.DataFrame(R, columns=feats).assign(_rid=np.arange(9000), label=np.arange(9000) % 7)
+    tracemalloc.start()
+    out = knn._kernel(feats, 5, False, ["label"], 4096)(q, r)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120 << 20
+    assert len(out) == 25_000 and (out["label"] == out["rid"] % 7).all()
+    for i in (0, 1023, 1024, 4999):
+        want = np.argsort(((R - Q[i]) ** 2).sum(axis=1), kind="stable")[:5]
+        assert out[out["qid"] == i].sort_values("dist")["rid"].tolist() == want.tolist()
+    for d, k in ((2, 5), (64, 5), (1000, 5), (4, 4000)):
+        nq, nr = knn.block_side(d, k)
+        assert nr * d <= knn.BLOCK_VALUES and nq <= nr and (nq * k <= knn.BLOCK_OUT or nq == knn.QUERY_TILE)
