@@ -141,6 +141,21 @@ def lines(docs: DataFrame) -> DataFrame:
             .select("doc_id", "paragraph", tokens(F.col("line")).alias("words")))
 
 
+def of_templates(parts: list[str]) -> Column:
+    """``kept``: the words that templates hold, in order. Each word is looked up in a set that is made once, not once a line."""
+    return F.filter("words", lambda w: w.isin(parts)).alias("kept")
+
+
+def plain_lines(docs: DataFrame, known: list[str], parts: list[str]) -> DataFrame:
+    """(words, kept): the lines of three words or more without three words in a row (``known``) of a template."""
+    # the generators keep the words as one value; otherwise each use of them would cut the line again
+    cut = lines(docs).select(F.explode(F.array("words")).alias("words")).where(F.size("words") > 2)
+    cut = cut.select("words", F.explode(F.array(of_templates(parts))).alias("kept"))
+    # three words in a row of a template are in a row in ``kept`` as well; only where that holds the whole line is compared
+    near = F.exists(runs(F.col("kept"), 3), lambda g: g.isin(known))
+    return cut.where(~(near & F.arrays_overlap(runs(F.col("words"), 3), listed(known))))
+
+
 @dataclass
 class Scanner:
     vectors: CountVectorizerModel
@@ -155,14 +170,12 @@ def train(docs: DataFrame) -> Scanner:
     spark = docs.sparkSession
     base = cut_lineage(templates(spark))
     known = [r[0] for r in base.select(F.explode(F.array_distinct(runs(F.col("words"), 3)))).distinct().collect()]
-    # the generator keeps the words as one value; otherwise each use of them would cut the line again
-    cut = lines(docs).select(F.explode(F.array("words")).alias("words"))
-    plain = cut.where((F.size("words") > 2) & ~F.arrays_overlap(runs(F.col("words"), 3), listed(known)))
     vocabulary = [r[0] for r in base.select(F.explode(grams(F.col("words"))).alias("g")).distinct().orderBy("g").collect()]
-    parts = listed(sorted({w for g in vocabulary for w in g.split(" ")}))
+    parts = sorted({w for g in vocabulary for w in g.split(" ")})
+    plain = plain_lines(docs, known, parts)
     # first pass: lines per word of the templates, all lines, and 997 lines to stand around the templates
     number = F.pmod(F.xxhash64("words"), F.lit(997)).cast("string")
-    facts = F.concat(F.transform(F.array_intersect("words", parts), lambda w: F.struct(F.lit("word").alias("kind"), w.alias("key"), F.lit(None).cast("array<string>").alias("noise"))),
+    facts = F.concat(F.transform(F.array_distinct("kept"), lambda w: F.struct(F.lit("word").alias("kind"), w.alias("key"), F.lit(None).cast("array<string>").alias("noise"))),
                      F.array(F.struct(F.lit("line").alias("kind"), number.alias("key"), F.slice("words", 1, 16).alias("noise"))))
     facts = cut_lineage(plain.select(F.explode(facts).alias("f")).groupBy("f.kind", "f.key").agg(F.count(F.lit(1)).alias("n"), F.min("f.noise").alias("noise")))
     counts = facts.where("kind = 'word'").collect()  # at most one row per word of the templates
@@ -182,9 +195,10 @@ def train(docs: DataFrame) -> Scanner:
              .otherwise(F.concat(F.slice("noise", 1, 8), "words", F.slice("noise", 9, 8))).alias("words")))
     label = F.array_position(F.array(*[F.lit(f) for f in FAMILIES]), F.col("family")).cast("double") - 1
     # second pass: the n-grams of a line that are features; a line without a rare word of the templates has none
-    rare = listed(sorted({w for g in features for w in g.split(" ") if seen.get(w, 0.0) <= RARE}))
-    told = F.when(F.arrays_overlap("words", rare), F.array_sort(F.array_intersect(grams(F.col("words")), listed(features)))).otherwise(F.array().cast("array<string>"))
-    rows = mixed.select(label.alias("label"), "words").unionByName(plain.select(F.lit(0.0).alias("label"), "words"))
+    rare = sorted({w for g in features for w in g.split(" ") if seen.get(w, 0.0) <= RARE})
+    told = F.when(F.exists("kept", lambda w: w.isin(rare)), F.array_sort(F.array_distinct(F.filter(grams(F.col("words")), lambda g: g.isin(features))))
+                  ).otherwise(F.array().cast("array<string>"))
+    rows = mixed.select(label.alias("label"), "words", of_templates(parts)).unionByName(plain.select(F.lit(0.0).alias("label"), "words", "kept"))
     rows = rows.select("label", told.alias("grams"), (F.pmod(F.xxhash64("words"), F.lit(HELD_OUT)) == 0).alias("held_out"))
     rows = cut_lineage(rows.groupBy("label", "grams", "held_out").agg(F.count(F.lit(1)).alias("n")))
     fit_rows = rows.where((F.col("label") > 0) | ~F.col("held_out"))
@@ -239,9 +253,8 @@ def scan(docs: DataFrame, scanner: Scanner | None = None) -> DataFrame:
     no rows.
     """
     s = scanner or train(docs)
-    anchors = listed(s.anchors)
     # the few candidates are stored, so that the texts are read and cut into words once
-    para = cut_lineage(lines(docs.select("doc_id", "text")).where(F.arrays_overlap("words", anchors))).withColumn("grams", grams(F.col("words")))
+    para = cut_lineage(lines(docs.select("doc_id", "text")).where(F.exists("words", lambda w: w.isin(s.anchors)))).withColumn("grams", grams(F.col("words")))
     scored = s.model.transform(s.vectors.transform(para))
     p = vector_to_array("probability")
     named = (scored.select("doc_id", "paragraph", "words", F.col("prediction").cast("int").alias("k"), p.alias("p"))

@@ -58,3 +58,30 @@ def test_training_reads_every_document(spark):
     rows = [(i if i % 3 else None, f"line {i} by the river\n" + ("the commons are open" if i in (7, 1234) else "the park is open")) for i in range(2500)]
     trained = license_scan.train(spark.createDataFrame(rows, "doc_id long, text string"))
     assert trained.seen["commons"] == 2 / 5000 and trained.seen["the"] == 1.0
+
+
+def test_plain_lines_look_words_up_in_sets_made_once(spark):
+    known, parts = ["free of charge", "under the terms", "the terms of"], ["charge", "free", "of", "terms", "the", "under", *(f"x{c}" for c in "abcdefgh")]
+    texts = ["it is free of charge here\nfree of any charge\nfree and of some charge under a bridge", "under the terms\nthe the terms\nunder the", None, "",
+             "Under THE\tterms 12\n\nno such words here\nfree of of charge the of terms", "of charge free of charge\nof charge free of charge"]
+    df = spark.createDataFrame([(1, t) for t in texts], "doc_id long, text string")
+    want = []
+    for line in "\n".join(t for t in texts if t).split("\n"):
+        ws = line.lower().replace("12", "0").split()
+        if len(ws) > 2 and not any(" ".join(ws[i:i + 3]) in known for i in range(len(ws) - 2)):
+            want.append((ws, [w for w in ws if w in parts]))
+    plain = license_scan.plain_lines(df, known, parts)
+    assert sorted((r["words"], r["kept"]) for r in plain.collect()) == sorted(want) and len(want) == 5
+    # the comparison of a whole line with all of ``known`` stands behind the look-up of its few words of the templates
+    plan = plain._jdf.queryExecution().executedPlan().toString()
+    assert "INSET" in plan and plan.index("exists(") < plan.index("arrays_overlap(")
+
+
+def test_training_hashes_no_list_for_every_line(spark, monkeypatch):
+    """All lists of a training and a scan are sets of an expression; only lines near a template are compared with a literal array."""
+    used = []
+    whole = license_scan.listed
+    monkeypatch.setattr(license_scan, "listed", lambda words: used.append(len(words)) or whole(words))
+    df = spark.createDataFrame([(i, f"line {i} by the river is open\nthe commons of {i}") for i in range(50)], "doc_id long, text string")
+    assert license_scan.scan(df, license_scan.train(df)).count() == 0
+    assert len(used) == 1
