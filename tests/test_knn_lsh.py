@@ -1,6 +1,7 @@
 """Approximate kNN join: recall against the exact one, few pairs, an exact way for queries that find too little."""
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from flowlab.operators import knn, knn_lsh
@@ -39,3 +40,19 @@ def test_far_queries_equal_rows_and_bad_rows(spark):
     approx, model = knn_lsh.approx_knn_join(same, same, ["a", "b", "c"], 2, exclude_self=True)
     assert model is None and approx.count() == 1200
     assert knn_lsh.approx_knn_join(refs.limit(0), refs, ["a"], 2)[0].count() == 0
+
+
+def test_a_full_bucket_lists_no_pairs(spark):
+    rng = np.random.default_rng(5)
+    refs, queries = clustered(spark, rng, 3000), clustered(spark, np.random.default_rng(6), 300, 10_000)
+    feats = ["a", "b", "c"]
+    model = knn_lsh.fit_projections(refs, feats, 40.0)
+    met, reach = knn_lsh.bucket_pairs(model, queries, refs, feats), 8.0
+    q, r = queries.withColumnRenamed("row_key", "qid"), refs.withColumnRenamed("row_key", "rid")
+    listed = knn_lsh.bucket_neighbours(model, q.unionByName(q), r.unionByName(r), feats, 4, False)  # rows that come twice count once
+    assert listed.count() <= 300 * 4 * knn_lsh.TABLES < met / 10
+    pairs = model.approxSimilarityJoin(knn_lsh.assemble(q, feats), knn_lsh.assemble(r, feats), reach, "dist")
+    best = lambda df: {(x["qid"], x["rid"]): x["dist"] for x in df.withColumn("rank", F.row_number().over(
+        Window.partitionBy("qid").orderBy("dist", "rid"))).where("rank <= 4").collect()}
+    want = best(pairs.select("datasetA.qid", "datasetB.rid", "dist"))
+    assert want and best(listed.where(F.col("dist") < reach)) == want
